@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, media, toxicity
+from kindred.llm import archives, bpe, decontamination, media, near_duplicates, personal_data, repeated_passages, sharding, toxicity
 
 #: Vocabulary of the word-end BPE; a file of the environment, never copied here.
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
@@ -41,5 +41,48 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op8_media_fingerprints": op8_media_fingerprints, "op10_bpe": op10_bpe}
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal_data.label_spans(docs, personal_data.fit_spans(docs)).select("doc_id", "spans")
+    counts = [F.expr(f"cast(size(filter(spans, c -> c.kind = '{k}')) as long)").alias(f"n_{k}") for k in personal_data.BASE]
+    return found.select("doc_id", *counts, F.sha2(personal_data.span_text(kinds=personal_data.BASE).cast("binary"), 256).alias("base_sha256"), personal_data.span_text().alias("spans"))
+
+
+def op3_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.balanced_shards(table(spark, sf_dir, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = F.concat_ws(",", "items")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    legacy = archives.legacy_archives(table(spark, sf_dir, "pages"))
+    found = archives.read_archives(archives.convert_archives(legacy))
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_key").alias("refers_to"))
+
+
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_components(table(spark, sf_dir, "documents"), near_duplicates.NearDuplicates(shingle=3, percent=85))
+
+
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_personal_data": op2_personal_data,
+    "op3_balanced_shards": op3_balanced_shards,
+    "op5_decontamination": op5_decontamination,
+    "op6_arc_to_warc": op6_arc_to_warc,
+    "op7_repeated_passages": op7_repeated_passages,
+    "op8_media_fingerprints": op8_media_fingerprints,
+    "op9_near_duplicates": op9_near_duplicates,
+    "op10_bpe": op10_bpe,
+}
 ORACLES: dict[str, str] = {}
