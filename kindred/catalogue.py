@@ -1,4 +1,500 @@
 """Queries of the duplicate-audit operators over the test tables, and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kindred import fixtures as fx
+from kindred.functions import arrays, text
+from kindred.operators import catalogs, decisions, embedding, exact, pairs, reports, vectors, verify
+from kindred.schema import KEYS
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+# Common parts of the SQL, as named subqueries.
+SCANS = r"""
+scans as (
+  select *, '/data/' || dataset || '/' || subject_id || case when session_id = '' then '' else '/' || session_id end || '/anat/' || doc_id || '_T1w.nii.gz' as candidate from (
+    select doc_id, concat('ds', cast(substr(source, 4) as int) % 3) as dataset, concat('sub-', lang, doc_id % 2) as subject_id,
+           case when doc_id % 5 = 0 then '' else concat('ses-', (doc_id // 2) % 2) end as session_id,
+           sha256(text) as raw_hash, sha256(regexp_replace(lower(trim(text)), '\s+', ' ', 'g')) as can_hash, strlen(text) as n_bytes
+    from documents)),
+dups as (
+  select 'can_hash:' || dense_rank() over (order by can_hash) as group_id, can_hash, 'T1w' as modality, dataset, subject_id, session_id, candidate, candidate as resolved_path, raw_hash, n_bytes
+  from scans where can_hash in (select can_hash from scans group by 1 having count(*) > 1)),
+firsts as (
+  select * from (select *, row_number() over (partition by group_id order by dataset, subject_id, session_id, candidate) as r, count(*) over (partition by group_id) as n from dups) where r = 1),
+"""
+VECTORS = """
+v as (
+  select vec_id, 'ds' || (label % 3) as dataset, 'sub-' || lpad(cast(vec_id // 2 as varchar), 4, '0') as subject_id, '/v/' || vec_id as path, sha256(cast(vec_id as varchar)) as uid, cast(embedding as double[]) as e
+  from embeddings),
+sims as (
+  select q, c, qd, qs, qp, cd, cs, cp, sim, row_number() over (partition by q order by sim desc, c) as rank from (
+    select a.uid q, b.uid c, a.dataset qd, a.subject_id qs, a.path qp, b.dataset cd, b.subject_id cs, b.path cp, list_cosine_similarity(a.e, b.e) sim
+    from v a join v b on a.uid <> b.uid and (a.dataset <> b.dataset or a.subject_id <> b.subject_id))),
+near as (select q, c, qd, qs, qp, cd, cs, cp, rank, round(sim, 6) as similarity from sims where rank <= 10),
+allpairs as (
+  select least(q, c) ua, greatest(q, c) ub, max(similarity) similarity, min(rank) best_rank, count(*) n_directions,
+         any_value(case when q < c then qd else cd end) da, any_value(case when q < c then qs else cs end) sa, any_value(case when q < c then qp else cp end) pa,
+         any_value(case when q < c then cd else qd end) db, any_value(case when q < c then cs else qs end) sb, any_value(case when q < c then cp else qp end) pb
+  from near group by 1, 2),
+pairs as (select * from allpairs where similarity >= 0.40),
+mirror as (
+  select ua q, ub c, da qd, sa qs, pa qp, db cd, sb cs, pb cp, similarity from pairs
+  union all select ub, ua, db, sb, pb, da, sa, pa, similarity from pairs),
+listed as (select *, row_number() over (partition by q order by similarity desc, cd, cs, c) as slot from mirror),
+log as (
+  select *, case when similarity >= 0.40 then 'yes' when similarity >= 0.38 then 'maybe' else 'no' end as qa, 1 as seq from allpairs
+  union all
+  select *, case when similarity >= 0.38 and similarity < 0.40 then 'yes' else 'no' end, 2 from allpairs where (cast(substr(pa, 4) as bigint) + cast(substr(pb, 4) as bigint)) % 7 = 0),
+lastd as (
+  select least(pa, pb) path_1, greatest(pa, pb) path_2, case when pa <= pb then da else db end d1, case when pa <= pb then sa else sb end s1, case when pa <= pb then db else da end d2, case when pa <= pb then sb else sa end s2, qa, seq
+  from log qualify row_number() over (partition by pa, pb order by seq desc) = 1),
+edges as (
+  select least(k1, k2) ka, greatest(k1, k2) kb, count(*) n from (select d1 || '|' || s1 k1, d2 || '|' || s2 k2 from lastd where qa = 'yes') where k1 <> k2 group by 1, 2),
+"""
+GROUPS = """
+hops as (select ka x, kb y from edges union select kb, ka from edges),
+walk(n, m) as (select x, x from hops union select h.x, w.m from walk w join hops h on h.y = w.n and w.m < h.x),
+comp as (select n, min(m) m from walk group by n),
+sized as (select m, count(*) s from comp group by m),
+groups as (
+  select 'group_' || lpad(cast(dense_rank() over (order by s, sized.m) as varchar), 6, '0') as group_id, s as group_size, string_split(n, '|')[1] as dataset, string_split(n, '|')[2] as subject_id, n as subject_key
+  from comp join sized on comp.m = sized.m),
+"""
+
+
+def query(sql: str | None = None, parts: str = ""):
+    """Registers a query under its function's name; parts: named subqueries that sql needs."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            head = "with recursive " + parts.strip().rstrip(",") + "\n" if parts else ""
+            ORACLES[f.__name__] = head + sql
+        return f
+
+    return add
+
+
+# -- exact stage -------------------------------------------------------------------------------
+
+
+@query("select doc_id, raw_hash, can_hash, n_bytes from scans", SCANS)
+def exact_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.scans(spark, sf).select("doc_id", "raw_hash", "can_hash", "n_bytes")
+
+
+@query("select group_id, can_hash, modality, dataset, subject_id, session_id, candidate, resolved_path from dups", SCANS)
+def exact_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.duplicates(spark, sf).select("group_id", "can_hash", "modality", *KEYS)
+
+
+@query("select group_id, n, dataset, subject_id, session_id, candidate, resolved_path from firsts", SCANS)
+def exact_representatives(spark: SparkSession, sf: str) -> DataFrame:
+    return exact.representatives(fx.duplicates(spark, sf))
+
+
+@query(
+    "select 'EXACT_DUPLICATE' as remove_reason, d.dataset, d.subject_id, d.session_id, d.candidate, d.resolved_path, f.candidate as kept_candidate, f.resolved_path as kept_resolved_path, '' as error from dups d join firsts f using (group_id) where d.resolved_path <> f.resolved_path",
+    SCANS,
+)
+def exact_removed(spark: SparkSession, sf: str) -> DataFrame:
+    return exact.removed_exact(fx.duplicates(spark, sf))
+
+
+@query(
+    """select remove_reason, resolved_path, kept_resolved_path, error from (
+  select case when d.resolved_path is not null and d.resolved_path <> f.resolved_path then 'EXACT_DUPLICATE' when s.doc_id % 19 = 0 then 'HASH_FAILED' end as remove_reason, s.candidate as resolved_path,
+         case when d.resolved_path <> f.resolved_path then f.resolved_path else '' end as kept_resolved_path, case when d.resolved_path <> f.resolved_path then '' else 'OSError: unreadable' end as error
+  from scans s left join dups d on d.resolved_path = s.candidate left join firsts f using (group_id)) where remove_reason is not null""",
+    SCANS,
+)
+def removed_all(spark: SparkSession, sf: str) -> DataFrame:
+    s = fx.scans(spark, sf)
+    errors = s.where("doc_id % 19 = 0").select("resolved_path", F.lit("OSError: unreadable").alias("error"))
+    return exact.removed_all(fx.duplicates(spark, sf), errors, s).select("remove_reason", "resolved_path", "kept_resolved_path", "error")
+
+
+@query("select dataset, subject_id, session_id, candidate, candidate as resolved_path, sha256(candidate) as scan_uid from scans where candidate not in (select d.candidate from dups d join firsts f using (group_id) where d.candidate <> f.candidate)", SCANS)
+def near_input(spark: SparkSession, sf: str) -> DataFrame:
+    return exact.near_input(fx.scans(spark, sf), exact.removed_exact(fx.duplicates(spark, sf)))
+
+
+@query("select candidate as resolved_path, raw_hash from scans where doc_id % 3 <> 0", SCANS)
+def hash_resume(spark: SparkSession, sf: str) -> DataFrame:
+    s = fx.scans(spark, sf)
+    return exact.not_yet_hashed(s, s.where("doc_id % 3 = 0")).select("resolved_path", "raw_hash")
+
+
+@query("select candidate as resolved_path, can_hash, cast(null as varchar) as error from (select candidate, raw_hash as can_hash from scans)", SCANS)
+def hash_items(spark: SparkSession, sf: str) -> DataFrame:
+    docs = fx._keys(fx.table(spark, sf, "documents"))
+    return exact.hash_items(docs.select(F.col("candidate").alias("resolved_path"), F.col("text").cast("binary").alias("content")))
+
+
+PATHS = r"""
+raw as (select doc_id, candidate from scans),
+odd as (select doc_id, case when doc_id % 13 = 0 then replace(p, '.nii.gz', '.txt') else p end as candidate from (select doc_id, case when doc_id % 17 = 0 then replace(candidate, '/anat/', '/Derivatives/anat/') else candidate end as p from raw)),
+"""
+
+
+@query("select candidate, regexp_extract(candidate, '([^/]+)/sub-', 1) as dataset, regexp_extract(candidate, '/(sub-[^/]+)/', 1) as subject_id, regexp_extract(candidate, '/sub-[^/]+/(ses-[^/]+)', 1) as session_id from odd", SCANS + PATHS)
+def parse_path(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.odd_paths(spark, sf).withColumn("p", text.path_parts("candidate")).select("candidate", "p.*")
+
+
+@query("select candidate, case when lower(candidate) like '%/derivatives/%' then 'excluded_dir' when not regexp_matches(candidate, '\\.nii(\\.gz)?$') then 'not_nifti' else 'ok' end as status from odd".replace("\\\\", "\\"), SCANS + PATHS)
+def classify_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return catalogs.classified(fx.odd_paths(spark, sf).select("candidate")).select("candidate", "status")
+
+
+@query("select regexp_extract(candidate, '([^/]+)/sub-', 1) as dataset, regexp_extract(candidate, '/(sub-[^/]+)/', 1) as subject_id, regexp_extract(candidate, '/sub-[^/]+/(ses-[^/]+)', 1) as session_id, candidate, candidate as resolved_path from odd where lower(candidate) not like '%/derivatives/%' and candidate like '%.nii.gz'", SCANS + PATHS)
+def valid_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    return catalogs.valid_catalog(catalogs.classified(fx.odd_paths(spark, sf).select("candidate")))
+
+
+# -- verification ------------------------------------------------------------------------------
+
+
+def _members(spark: SparkSession, sf: str) -> DataFrame:
+    s = fx.scans(spark, sf)
+    # every seventh file differs in its raw bytes only, every eleventh is missing
+    raw = F.when(F.col("doc_id") % 11 == 0, None).when(F.col("doc_id") % 7 == 0, F.sha2(F.concat("raw_hash", F.col("doc_id").cast("string")), 256)).otherwise(F.col("raw_hash"))
+    facts = s.select("resolved_path", "n_bytes", raw.alias("raw_hash"), "can_hash")
+    return fx.duplicates(spark, sf).select("group_id", "resolved_path").join(facts, "resolved_path")
+
+
+MEMBERS = "members as (select group_id, resolved_path, n_bytes, can_hash, case when id % 11 = 0 then null when id % 7 = 0 then sha256(raw_hash || id) else raw_hash end as raw_hash from (select *, cast(regexp_extract(resolved_path, '/([0-9]+)_T1w', 1) as bigint) as id from dups)),"
+
+
+@query(
+    """select i.group_id, i.resolved_path as resolved_path_i, j.resolved_path as resolved_path_j,
+  case when i.raw_hash is null or j.raw_hash is null then 'MISSING' when i.n_bytes <> j.n_bytes then 'DIFF_SIZE' when i.raw_hash <> j.raw_hash then 'DIFF_CONTENT' else 'OK' end as raw_reason,
+  case when i.raw_hash = j.raw_hash and i.n_bytes = j.n_bytes then 'SAME_BYTES' else 'CAN_EQUAL_OTHER' end as category
+from members j join (select * from members qualify row_number() over (partition by group_id order by resolved_path) = 1) i on i.group_id = j.group_id and i.resolved_path <> j.resolved_path""",
+    SCANS + MEMBERS,
+)
+def verify_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    found = verify.compared(verify.anchor_pairs(_members(spark, sf)))
+    return found.select("group_id", "resolved_path_i", "resolved_path_j", "raw_reason", "category")
+
+
+@query(
+    "select group_id, count(*) as n, case when count(raw_hash) = count(*) then min(raw_hash) = max(raw_hash) end as byte_identical_all, min(can_hash) = max(can_hash) as canonical_identical_all from members group by group_id", SCANS + MEMBERS
+)
+def verify_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return verify.group_checks(_members(spark, sf)).select("group_id", "n", "byte_identical_all", "canonical_identical_all")
+
+
+# -- exact reports -----------------------------------------------------------------------------
+
+BASE = "b as (select distinct group_id, dataset, subject_id, session_id, candidate, resolved_path from dups),"
+DETAIL = {
+    "within_sessions": "select group_id, dataset, subject_id, session_id, candidate, resolved_path, row_number() over (partition by group_id order by resolved_path) as slot from b where group_id in (select group_id from b group by 1 having count(*) >= 2 and count(distinct (dataset, subject_id, session_id)) = 1)",
+    "within_subjects": "select group_id, dataset, subject_id, session_id, resolved_path as candidate, resolved_path, row_number() over (partition by group_id, dataset, subject_id order by session_id) as slot from (select group_id, dataset, subject_id, session_id, min(resolved_path) as resolved_path, count(*) over (partition by group_id, dataset, subject_id) as c from b where session_id <> '' group by 1, 2, 3, 4) where c >= 2",
+    "within_datasets": "select group_id, dataset, subject_id, session_id, candidate, resolved_path, row_number() over (partition by group_id, dataset order by subject_id, session_id, candidate) as slot from b where (group_id, dataset) in (select (group_id, dataset) from b group by group_id, dataset having count(distinct subject_id) >= 2)",
+    "across_datasets": "select group_id, dataset, subject_id, session_id, candidate, resolved_path, row_number() over (partition by group_id order by dataset, subject_id, session_id, candidate) as slot from b where group_id in (select group_id from b group by 1 having count(distinct dataset) >= 2)",
+}
+
+
+def _category(name: str):
+    def detail(spark: SparkSession, sf: str) -> DataFrame:
+        return reports.CATEGORY[name](reports.base_rows(fx.duplicates(spark, sf), fx.MODALITY)).select("group_id", *KEYS, "slot")
+
+    def stats(spark: SparkSession, sf: str) -> DataFrame:
+        return reports.dataset_stats(detail(spark, sf))
+
+    detail.__name__, stats.__name__ = f"cat_{name}", f"cat_{name}_stats"
+    query(DETAIL[name], SCANS + BASE)(detail)
+    query(f"select dataset, count(distinct resolved_path) as n_images from ({DETAIL[name]}) group by dataset", SCANS + BASE)(stats)
+
+
+for _name in DETAIL:
+    _category(_name)
+
+
+@query("select set_key, count(distinct resolved_path) as n_images from b join (select group_id, array_to_string(list_sort(list(distinct dataset)), '|') as set_key from b group by 1 having count(distinct dataset) >= 2) using (group_id) group by 1", SCANS + BASE)
+def across_set_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.across_set_stats(reports.base_rows(fx.duplicates(spark, sf)))
+
+
+@query("select group_id, dataset, subject_id, session_id, candidate, resolved_path from b qualify count(*) over (partition by group_id, dataset) >= 2", SCANS + BASE)
+def by_dataset_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.by_dataset(reports.base_rows(fx.duplicates(spark, sf))).select("group_id", *KEYS)
+
+
+AXIS = """
+weights as (select dataset, sum(c) as w from (select dataset, group_id, count(distinct candidate) as c from b group by 1, 2) group by 1),
+axis as (
+  select row_number() over (order by w, lower(dataset), dataset, coalesce(try_cast(regexp_extract(subject_id, '([0-9]+)', 1) as bigint), 1000000000), subject_id, coalesce(try_cast(regexp_extract(session_id, '([0-9]+)', 1) as bigint), 1000000000), session_id, candidate) - 1 as idx, *
+  from (select distinct dataset, subject_id, session_id, candidate, resolved_path from b) join weights using (dataset)),
+"""
+PAIR = """
+points as (
+  select x.group_id, case when p.dataset <> q.dataset then 'across_datasets' when p.subject_id <> q.subject_id then 'across_subjects' when p.session_id = '' or q.session_id = '' or p.session_id = q.session_id then 'within_session' else 'across_sessions' end as category, p.idx as x, q.idx as y
+  from b x join axis p using (resolved_path) join b z on z.group_id = x.group_id join axis q on q.resolved_path = z.resolved_path where p.idx < q.idx),
+"""
+
+
+@query("select idx, dataset, subject_id, session_id, candidate, resolved_path from axis", SCANS + BASE + AXIS)
+def axis_index(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.exact_axis(reports.base_rows(fx.duplicates(spark, sf)))
+
+
+@query(
+    "select 'dataset' as level, min(idx) as start, max(idx) as end, dataset as value from axis group by dataset union all select 'subject_id', min(idx), max(idx), subject_id from axis group by dataset, subject_id union all select 'session_id', min(idx), max(idx), session_id from axis group by dataset, subject_id, session_id".replace(" as end", ' as "end"'),
+    SCANS + BASE + AXIS,
+)
+def axis_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    axis = reports.exact_axis(reports.base_rows(fx.duplicates(spark, sf)))
+    out = [reports.axis_blocks(axis, by).withColumn("level", F.lit(by)) for by in ("dataset", "subject_id", "session_id")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("select group_id, category, x, y from points", SCANS + BASE + AXIS + PAIR)
+def pair_matrix_points(spark: SparkSession, sf: str) -> DataFrame:
+    rows = reports.base_rows(fx.duplicates(spark, sf))
+    return reports.pair_points(rows, reports.exact_axis(rows))
+
+
+@query("select c.category, count(points.category) as n_pairs from (select unnest(['within_session', 'across_sessions', 'across_subjects', 'across_datasets']) as category) c left join points using (category) group by 1", SCANS + BASE + AXIS + PAIR)
+def pair_categories(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.pair_category_counts(reports.base_rows(fx.duplicates(spark, sf)))
+
+
+# -- near stage --------------------------------------------------------------------------------
+
+
+@query("select q as query, c as cand, rank, similarity from near", VECTORS)
+def knn_neighbors(spark: SparkSession, sf: str) -> DataFrame:
+    found = vectors.nearest(fx.vectors_of(fx.vector_scans(spark, sf)), 10, "pre")
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    "select q as query, c as cand, row_number() over (partition by q order by sim desc, c) as rank, round(sim, 6) as similarity from (select a.uid q, b.uid c, a.dataset = b.dataset and a.subject_id = b.subject_id as own, list_cosine_similarity(a.e, b.e) sim, row_number() over (partition by a.uid order by list_cosine_similarity(a.e, b.e) desc, b.uid) as r from v a, v b) where r <= 11 and not own qualify row_number() over (partition by q order by sim desc, c) <= 10",
+    VECTORS,
+)
+def knn_post_filter(spark: SparkSession, sf: str) -> DataFrame:
+    found = vectors.nearest(fx.vectors_of(fx.vector_scans(spark, sf)), 10, "post")
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def knn_ivf(spark: SparkSession, sf: str) -> DataFrame:
+    v = fx.vectors_of(fx.vector_scans(spark, sf))
+    return vectors.nearest_by_lists(v, 10, lists=16, probes=12, filter_mode="pre", least=100)
+
+
+@query("select vec_id, list_transform(e, lambda x: round(x / greatest(sqrt(list_sum(list_transform(e, lambda y: y * y))), 1e-12), 5)) as unit from v", VECTORS)
+def normalised_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    v = fx.table(spark, sf, "embeddings")
+    return v.select("vec_id", F.transform(vectors.normalised("embedding"), lambda x: F.round(x, 5)).alias("unit"))
+
+
+PAIR_OUT = "ua as scan_uid_a, ub as scan_uid_b, da as dataset_a, sa as subject_id_a, pa as resolved_path_a, db as dataset_b, sb as subject_id_b, pb as resolved_path_b, similarity, best_rank, n_directions"
+
+
+@query(f"select {PAIR_OUT} from pairs", VECTORS)
+def scan_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    found = pairs.scan_pairs(fx.neighbours(spark, sf), 0.40)
+    return found.select(*[f"{c}_{s}" for s in ("a", "b") for c in ("scan_uid", "dataset", "subject_id", "resolved_path")], "similarity", "best_rank", "n_directions")
+
+
+def _listed(spark: SparkSession, sf: str, cap: int | None = None) -> DataFrame:
+    return pairs.review_list(pairs.scan_pairs(fx.neighbours(spark, sf), 0.40), cap)
+
+
+@query("select q as query_scan_uid, c as cand_scan_uid, slot, similarity from listed", VECTORS)
+def review_long(spark: SparkSession, sf: str) -> DataFrame:
+    return _listed(spark, sf).select("query_scan_uid", "cand_scan_uid", "slot", "similarity")
+
+
+@query("select q as query_scan_uid, c as cand_scan_uid, slot, similarity from listed where slot <= 2", VECTORS)
+def review_topn(spark: SparkSession, sf: str) -> DataFrame:
+    return _listed(spark, sf, 2).select("query_scan_uid", "cand_scan_uid", "slot", "similarity")
+
+
+@query(
+    "select q as query_scan_uid, any_value(qd) as query_dataset, any_value(qs) as query_subject_id, any_value(qp) as query_src_path, count(*) as n_candidates, coalesce(max(case when slot = 1 then c end), '') as candidate_1_scan_uid, coalesce(max(case when slot = 1 then cp end), '') as candidate_1_src_path, coalesce(max(case when slot = 2 then c end), '') as candidate_2_scan_uid, coalesce(max(case when slot = 3 then cd end), '') as candidate_3_dataset from listed where slot <= 3 group by q",
+    VECTORS,
+)
+def review_wide(spark: SparkSession, sf: str) -> DataFrame:
+    out = pairs.review_wide(_listed(spark, sf, 3), 3)
+    return out.select("query_scan_uid", "query_dataset", "query_subject_id", "query_src_path", "n_candidates", "candidate_1_scan_uid", "candidate_1_src_path", "candidate_2_scan_uid", "candidate_3_dataset")
+
+
+@query(
+    "select least(qp, cp) as p1, greatest(qp, cp) as p2, q as query_scan_uid, c as cand_scan_uid, similarity as cand_similarity from listed where slot <= 2 qualify row_number() over (partition by least(qp, cp), greatest(qp, cp) order by similarity desc, qp <= cp desc, q, slot) = 1",
+    VECTORS,
+)
+def review_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.undirected(pairs.review_long(pairs.review_wide(_listed(spark, sf, 2), 2))).select("p1", "p2", "query_scan_uid", "cand_scan_uid", "cand_similarity")
+
+
+@query("select distinct q as scan_uid, qd as dataset, qs as subject_id, qp as src_path from listed", VECTORS)
+def scan_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.scan_requests(pairs.review_long(pairs.review_wide(_listed(spark, sf)))).select("scan_uid", "dataset", "subject_id", "src_path")
+
+
+@query("select path_1, path_2, d1 as dataset_1, s1 as subject_id_1, d2 as dataset_2, s2 as subject_id_2, qa as qa_status, seq from lastd", VECTORS)
+def decisions_latest(spark: SparkSession, sf: str) -> DataFrame:
+    return decisions.latest(fx.decision_log(spark, sf)).select("path_1", "path_2", "dataset_1", "subject_id_1", "dataset_2", "subject_id_2", "qa_status", "seq")
+
+
+@query("select path_1, path_2, qa as qa_status from lastd where cast(substr(path_1, 4) as bigint) % 5 <> 0 and cast(substr(path_2, 4) as bigint) % 5 <> 0", VECTORS)
+def decisions_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    paths = fx.vector_scans(spark, sf).where("vec_id % 5 <> 0").select(F.col("resolved_path").alias("path"))
+    return decisions.pruned(decisions.latest(fx.decision_log(spark, sf)), paths).select("path_1", "path_2", "qa_status")
+
+
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of the log with their decision; those with a path divisible by 3 are undecided."""
+    current = decisions.latest(fx.decision_log(spark, sf))
+    some = current.where("cast(substr(path_1, 4) as bigint) % 3 <> 0")
+    keys = current.select("path_1", "path_2", F.col("dataset_1").alias("dataset"), F.col("subject_id_1").alias("subject_id"))
+    return decisions.looked_up(keys, some)
+
+
+ITEMS = "items as (select path_1, path_2, d1 as dataset, s1 as subject_id, cast(substr(path_1, 4) as bigint) % 3 <> 0 as is_decided, case when cast(substr(path_1, 4) as bigint) % 3 <> 0 then qa else 'no' end as qa_status from lastd), prog as (select dataset, subject_id, count(*) filter (is_decided) as n_done, count(*) as n_total, count(*) filter (is_decided) = count(*) as done from items group by 1, 2),"
+
+
+@query("select * from items", VECTORS + ITEMS)
+def decision_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return _items(spark, sf)
+
+
+@query("select * from prog", VECTORS + ITEMS)
+def review_progress_subject(spark: SparkSession, sf: str) -> DataFrame:
+    return decisions.subject_progress(_items(spark, sf))
+
+
+@query("select dataset, count(*) filter (done) as n_subjects_done, count(*) as n_subjects from prog group by 1", VECTORS + ITEMS)
+def review_progress_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    return decisions.dataset_progress(decisions.subject_progress(_items(spark, sf)))
+
+
+@query("select dataset, subject_id, lag(subject_id) over w as prev_subject, lead(subject_id) over w as next_subject from prog window w as (partition by dataset order by subject_id)", VECTORS + ITEMS)
+def subject_nav(spark: SparkSession, sf: str) -> DataFrame:
+    return decisions.subject_navigation(decisions.subject_progress(_items(spark, sf)))
+
+
+@query("select path_1, path_2, coalesce(case when cast(substr(path_1, 4) as bigint) % 3 <> 0 then qa end, 'no') as qa_status from lastd", VECTORS)
+def decisions_with_defaults(spark: SparkSession, sf: str) -> DataFrame:
+    current = decisions.latest(fx.decision_log(spark, sf))
+    some = current.where("cast(substr(path_1, 4) as bigint) % 3 <> 0")
+    return decisions.with_defaults(some, current.drop("qa_status", "seq")).select("path_1", "path_2", "qa_status")
+
+
+@query("select ka as subject_key_a, kb as subject_key_b, n as n_yes_scan_pairs from edges", VECTORS)
+def subject_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return decisions.subject_edges(decisions.latest(fx.decision_log(spark, sf))).select("subject_key_a", "subject_key_b", "n_yes_scan_pairs")
+
+
+def _groups(spark: SparkSession, sf: str) -> DataFrame:
+    return decisions.subject_groups(decisions.subject_edges(decisions.latest(fx.decision_log(spark, sf))))
+
+
+@query("select * from groups", VECTORS + GROUPS)
+def subject_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return _groups(spark, sf)
+
+
+INNER = "select group_id, dataset, subject_id from groups where (group_id, dataset) in (select (group_id, dataset) from groups group by group_id, dataset having count(distinct subject_id) >= 2)"
+
+
+@query(INNER, VECTORS + GROUPS)
+def near_by_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.near_by_dataset(_groups(spark, sf))
+
+
+@query(f"select *, row_number() over (partition by group_id, dataset order by subject_id) as slot from ({INNER})", VECTORS + GROUPS)
+def near_within_datasets(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.near_within_datasets(_groups(spark, sf))
+
+
+@query(f"select dataset, count(distinct subject_id) as n_subjects from ({INNER}) group by 1", VECTORS + GROUPS)
+def near_dataset_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.near_dataset_stats(reports.near_by_dataset(_groups(spark, sf)))
+
+
+@query("select group_id, dataset, subject_id, row_number() over (partition by group_id order by dataset, subject_id) as slot from groups where group_id in (select group_id from groups group by 1 having count(distinct dataset) >= 2)", VECTORS + GROUPS)
+def near_across_datasets(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.near_across_datasets(_groups(spark, sf))
+
+
+@query("select set_key, count(*) as n_rows from groups join (select group_id, array_to_string(list_sort(list(distinct dataset)), '|') as set_key from groups group by 1 having count(distinct dataset) >= 2) using (group_id) group by 1", VECTORS + GROUPS)
+def near_set_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.near_set_stats(_groups(spark, sf))
+
+
+NEAR_AXIS = "nw as (select dataset, count(distinct subject_key) as w from groups group by 1), naxis as (select row_number() over (order by w, lower(dataset), dataset, coalesce(try_cast(regexp_extract(subject_id, '([0-9]+)', 1) as bigint), 1000000000), subject_id) - 1 as idx, dataset, subject_id, subject_key from (select distinct dataset, subject_id, subject_key from groups) join nw using (dataset)),"
+
+
+@query("select * from naxis", VECTORS + GROUPS + NEAR_AXIS)
+def near_axis(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.near_axis(_groups(spark, sf))
+
+
+@query("select a.group_id, case when p.dataset = q.dataset then 'within_dataset' else 'across_datasets' end as category, p.idx as x, q.idx as y from groups a join naxis p using (subject_key) join groups b on a.group_id = b.group_id join naxis q on q.subject_key = b.subject_key where p.idx < q.idx", VECTORS + GROUPS + NEAR_AXIS)
+def near_pair_points(spark: SparkSession, sf: str) -> DataFrame:
+    from kindred.plans.stored import stored
+
+    groups = stored(_groups(spark, sf), "groups")
+    return reports.near_pair_points(groups, reports.near_axis(groups))
+
+
+@query("select uid as scan_uid, row_number() over (order by uid) - 1 as emb_row from v where vec_id % 7 <> 0", VECTORS)
+def embedding_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    v = fx.vector_scans(spark, sf)
+    return embedding.manifest(v, v.where("vec_id % 7 <> 0")).select("scan_uid", "emb_row")
+
+
+@query("select uid as scan_uid, case when vec_id % 6 = 0 then 'inference' else 'preprocessing' end as stage, case when vec_id % 6 = 0 then 'new' else 'old' end as error from v where (vec_id % 2 = 0 or vec_id % 6 = 0) and vec_id % 5 <> 0", VECTORS)
+def failures_merge(spark: SparkSession, sf: str) -> DataFrame:
+    v = fx.vector_scans(spark, sf)
+    rows = lambda m, stage, error: v.where(f"vec_id % {m} = 0").select("scan_uid", F.lit(stage).alias("stage"), F.lit(error).alias("error"))
+    return embedding.merge_failures(rows(2, "preprocessing", "old"), rows(6, "inference", "new"), v.where("vec_id % 5 = 0"))
+
+
+# -- kernels and functions ---------------------------------------------------------------------
+
+
+@query("select vec_id, list_transform(e, lambda x: round(greatest(0.0, least(1.0, (x - list_aggregate(e, 'quantile_cont', 0.01)) / (list_aggregate(e, 'quantile_cont', 0.99) - list_aggregate(e, 'quantile_cont', 0.01)))), 6)) as scaled from v", VECTORS)
+def winsor_minmax(spark: SparkSession, sf: str) -> DataFrame:
+    v = fx.table(spark, sf, "embeddings")
+    return v.select("vec_id", F.transform(arrays.winsorised("embedding"), lambda x: F.round(x, 6)).alias("scaled"))
+
+
+SPARSE = "sp as (select vec_id, list_transform(e, lambda x: case when x > 0.1 then x else 0.0 end) as w from v), ce as (select vec_id, w, list_filter(list_transform(w, lambda x, i: case when x <> 0 then i - 1 end), lambda x: x is not null) as pos from sp), cc as (select vec_id, w, cast(case when len(pos) > 0 then floor(list_aggregate(pos, 'quantile_cont', 0.5)) else floor(len(w) / 2) end as int) as centre from ce),"
+
+
+@query("select vec_id, centre from cc", VECTORS + SPARSE)
+def center_index(spark: SparkSession, sf: str) -> DataFrame:
+    v = fx.table(spark, sf, "embeddings").withColumn("w", F.transform("embedding", lambda x: F.when(x.cast("double") > 0.1, x).otherwise(0.0)))
+    return v.select("vec_id", arrays.centre_index("w").alias("centre"))
+
+
+@query("select vec_id, list_transform(range(0, 4), lambda j: cast(greatest(0, least(63, centre + (j - 1) * 2)) as int)) as slices from cc", VECTORS + SPARSE)
+def slice_stack(spark: SparkSession, sf: str) -> DataFrame:
+    v = fx.table(spark, sf, "embeddings").withColumn("w", F.transform("embedding", lambda x: F.when(x.cast("double") > 0.1, x).otherwise(0.0)))
+    return v.select("vec_id", arrays.slice_positions(F.size("w"), arrays.centre_index("w"), 4, 2).alias("slices"))
+
+
+@query("select event_id, case when lower(trim(t)) in ('nan', 'none', 'null', 'na', 'n/a') then '' else trim(t) end as cleaned from (select event_id, case event_id % 6 when 0 then ' NaN ' when 1 then 'None' when 2 then 'n/a' when 3 then '' else ' ' || event_type || ' ' end as t from events)")
+def null_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    e = fx.table(spark, sf, "events")
+    t = F.when(F.col("event_id") % 6 == 0, " NaN ").when(F.col("event_id") % 6 == 1, "None").when(F.col("event_id") % 6 == 2, "n/a").when(F.col("event_id") % 6 == 3, "").otherwise(F.concat(F.lit(" "), "event_type", F.lit(" ")))
+    return e.select("event_id", text.clean(t).alias("cleaned"))
+
+
+@query("select doc_id, 'en' || (doc_id % 2) as sub, case when doc_id % 5 = 0 then null else '' || ((doc_id // 2) % 2) end as ses, cast(doc_id as varchar) as run from documents")
+def path_entities(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx._keys(fx.table(spark, sf, "documents").withColumn("lang", F.lit("en")))
+    name = F.concat_ws("_", "subject_id", F.when(F.col("session_id") != "", F.col("session_id")), F.concat(F.lit("run-"), F.col("doc_id").cast("string")), F.lit("T1w.nii.gz"))
+    e = text.path_entities(F.concat(F.lit("/data/"), name))
+    return rows.select("doc_id", F.element_at(e, "sub").alias("sub"), F.element_at(e, "ses").alias("ses"), F.element_at(e, "run").alias("run"))
