@@ -19,7 +19,7 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow with a function of one batch; empty batches are skipped."""
 
     def run(batches):

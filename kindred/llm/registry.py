@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import archives, bpe, decontamination, media, near_duplicates, personal_data, repeated_passages, sharding, toxicity
+from kindred.llm import archives, bpe, decontamination, media, near_duplicates, personal_data, repeated_passages, sharding, toxicity, url_filters
+from kindred.plans.stored import stored
 
 #: Vocabulary of the word-end BPE; a file of the environment, never copied here.
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
@@ -53,6 +54,75 @@ def op3_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _capture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a fetch time: the tables have none, so the id gives a day of 2024."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(365)).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched_at"))
+
+
+def _list_entries(captures: DataFrame) -> DataFrame:
+    """A dated list log about the hosts of the pages, derived from the digest of each host."""
+    hosts = captures.select(url_filters.host_of("url").alias("host")).where("host <> ''").distinct().withColumn("m", F.md5(F.col("host").cast("binary")))
+    digit = lambda i: f"(instr('0123456789abcdef', substr(m, {i}, 1)) - 1)"
+    since = f"({digit(1)} * 16 + {digit(2)})"
+    last = f"({since} + {digit(3)} * 8 + 1)"
+    name = f"case when {digit(4)} < 6 then 'adult' when {digit(4)} < 11 then 'malware' else 'spam' end"
+    day = lambda n: f"date_add(date'2024-01-01', cast({n} as int))"
+    log = []
+    for condition, kind, value, action, at in (
+        (f"{digit(5)} < 8", "host", "host", "add", since),
+        (f"{digit(5)} < 8", "host", "host", "remove", last),
+        (f"{digit(5)} < 3", "host", "host", "add", f"{last} + 20"),
+        (f"{digit(5)} >= 12", "domain", "regexp_replace(host, '^(www|m|blog)[.]', '')", "add", since),
+        (f"{digit(6)} < 4", "prefix", "concat(host, '/en')", "add", last),
+    ):
+        log.append(hosts.where(condition).selectExpr(f"{name} as list", f"'{kind}' as kind", f"{value} as value", f"'{action}' as action", f"{day(at)} as at"))
+    out = log[0]
+    for more in log[1:]:
+        out = out.union(more)
+    return out
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = _capture_rows(spark, sf_dir)
+    entries = stored(_list_entries(captures), "entries")
+    found = url_filters.evaluate_captures(captures, entries)
+    return found.select("page_id", "host", "n_entries", F.concat_ws(",", "lists").alias("lists"), (F.col("n_entries") > 0).alias("blocked"))
+
+
+OP4_SQL = r"""
+with captures as (
+  select row_number() over () rid, page_id, url, date '2024-01-01' + cast(page_id * 37 % 365 as int) as t,
+         rtrim(regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1), '.') as host,
+         regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1) as path
+  from pages),
+hosts as (select distinct host, md5(host) m from captures where host <> ''),
+d as (select host, [instr('0123456789abcdef', substr(m, i, 1)) - 1 for i in range(1, 7)] x from hosts),
+e as (select host, x, x[1] * 16 + x[2] as since, x[1] * 16 + x[2] + x[3] * 8 + 1 as last,
+             case when x[4] < 6 then 'adult' when x[4] < 11 then 'malware' else 'spam' end as list from d),
+log as (
+  select list, 'host:' || host as key, 'add' as action, since as day from e where x[5] < 8
+  union all select list, 'host:' || host, 'remove', last from e where x[5] < 8
+  union all select list, 'host:' || host, 'add', last + 20 from e where x[5] < 3
+  union all select list, 'domain:' || regexp_replace(host, '^(www|m|blog)[.]', ''), 'add', since from e where x[5] >= 12
+  union all select list, 'prefix:' || host || '/en', 'add', last from e where x[6] < 4),
+final as (select list, key, day, max(action) as action from log group by all),
+changed as (select *, lag(action) over (partition by list, key order by day) as before from final),
+spans as (
+  select list, key, action, date '2024-01-01' + cast(day as int) as since, date '2024-01-01' + cast(lead(day) over (partition by list, key order by day) as int) as until
+  from changed where action <> coalesce(before, 'remove')),
+keys as (
+  select rid, t, 'host:' || host as key from captures where host <> ''
+  union select rid, t, 'domain:' || array_to_string(string_split(host, '.')[i:], '.') from captures, unnest(range(1, len(string_split(host, '.')) + 1)) u(i) where host <> ''
+  union select rid, t, 'prefix:' || host || '/' || array_to_string(string_split(path, '/')[1:i], '/') from captures, unnest(range(1, len(string_split(path, '/')) + 1)) u(i) where host <> '' and path <> ''),
+met as (
+  select rid, count(*) n, array_to_string(list_sort(list(distinct list)), ',') lists
+  from keys join spans using (key) where action = 'add' and since <= t and (until is null or t < until) group by rid)
+select page_id, host, coalesce(n, 0) as n_entries, coalesce(lists, '') as lists, coalesce(n, 0) > 0 as blocked
+from captures left join met using (rid)
+"""
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.concat_ws(",", "items")
@@ -78,6 +148,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_personal_data": op2_personal_data,
     "op3_balanced_shards": op3_balanced_shards,
+    "op4_url_filters": op4_url_filters,
     "op5_decontamination": op5_decontamination,
     "op6_arc_to_warc": op6_arc_to_warc,
     "op7_repeated_passages": op7_repeated_passages,
@@ -85,4 +156,4 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_url_filters": OP4_SQL}

@@ -222,3 +222,17 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, id_col: str = "do
 
     kind = documents.schema[id_col].dataType.simpleString()
     return map_batches(documents.select(id_col, F.col(text_col).cast("string")), score, f"`{id_col}` {kind}, score double")
+
+
+def drop_toxic(documents: DataFrame, model: ToxicityModel, threshold: float, text_col: str = "text") -> DataFrame:
+    """documents without the rows that score threshold or more; all columns stay as they are."""
+    held = documents.sparkSession.sparkContext.broadcast(model)
+    readers: dict[int, Reader] = {}
+    names, at = documents.columns, documents.columns.index(text_col)
+
+    def keep(b: pa.RecordBatch) -> pa.RecordBatch:
+        reader = readers.setdefault(0, Reader(held.value.lexicon))
+        x = np.stack([reader.features(t or "") for t in b.column(at).to_pylist()])
+        return pa.RecordBatch.from_arrays(b.columns, names=names).filter(pa.array(held.value.score(x) < threshold))
+
+    return map_batches(documents, keep, documents.schema)
