@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from kindred.llm.arrow_rows import map_batches
 
@@ -55,7 +56,9 @@ class WordBpe:
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.library = Tokenizer.from_str(raw.decode())
         symbols = byte_symbols()
+        self.byte_of = {c: b for b, c in enumerate(symbols)}
         self.inner = np.array([vocab[c] for c in symbols], np.int64)
         self.last = np.array([vocab[c + end] for c in symbols], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -217,9 +220,12 @@ class WordBpe:
         for part in self.split_special.split(chunk) if self.split_special and any(x in chunk for x in self.special) else [chunk]:
             if part in self.special:
                 out.append(self.special[part])
+            elif part and max(part) < "\u0250":
+                out += self.pieces.findall(unicodedata.normalize("NFC", part).lower())
             elif part:
-                # lower case of each character by itself: no final form of sigma
-                out += self.pieces.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+                # beyond Latin letters, character classes follow the Unicode version of the library
+                plain = self.library.normalizer.normalize_str(part)
+                out += [bytes(map(self.byte_of.__getitem__, p)).decode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
         return out
 
     def encode_texts(self, texts: list[str]) -> list[list[int]]:

@@ -1,0 +1,389 @@
+"""The ten operators against brute force on small fixtures with nulls, ties, copies and odd texts."""
+
+import base64
+import hashlib
+import os
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from kindred.llm import archives, bpe, decontamination, media, near_duplicates, personal_data, registry, repeated_passages, sharding, toxicity, url_filters
+from kindred.llm.boosting import BoostedTrees, Isotonic
+
+SCHEMA = "doc_id long, text string, lang string, id string, h long"  # clashing extra columns
+
+
+def docs(spark, texts, start=0):
+    return spark.createDataFrame([(start + i, t, "en", "x", 7) for i, t in enumerate(texts)], SCHEMA)
+
+
+def prose(r, n, vocab=400):
+    return " ".join(f"w{r.randrange(vocab)}" for _ in range(n))
+
+
+ODD = [None, "", " \t\n", "a", "ÀÉ ß \U0001f600 中文", "x" * 5000, "A b " * 3000, "\x00\x1c  z", "Σίσυφος ΟΔΟΣ İ"]
+
+
+# -- BPE ---------------------------------------------------------------------------------------
+
+
+@pytest.mark.skipif(not os.path.exists(registry.VOCABULARY), reason="needs the vocabulary")
+def test_bpe_matches_library(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(registry.VOCABULARY)
+    r = random.Random(4)
+    texts = [*ODD, "it's <|endoftext|>we'LL <|startoftext|><|ENDOFTEXT|>!!", "é e" + "́" * 3, "".join(chr(r.randrange(32, 0x2FFF)) for _ in range(3000)), "ab" * 2000, prose(r, 50)]
+    rows = {x.doc_id: x for x in bpe.bpe_decode(bpe.bpe_encode(docs(spark, texts), registry.VOCABULARY), registry.VOCABULARY).collect()}
+    for i, text in enumerate(texts):
+        want = t.encode(text or "", add_special_tokens=False).ids
+        assert rows[i].ids == want, i
+        assert rows[i].decoded == t.decode(want, skip_special_tokens=False)
+    model = bpe.WordBpe(open(registry.VOCABULARY, "rb").read())
+    words = [w.encode() for w in {prose(r, 1) + "abcdefghij"[: r.randrange(10)] for _ in range(300)}]
+    alone = [model.merge_one([int(model.inner[b]) for b in w[:-1]] + [int(model.last[w[-1]])]) for w in words]
+    assert model.merge_all(words) == alone
+    assert bpe.bpe_encode(docs(spark, []), registry.VOCABULARY).count() == 0
+
+
+# -- media -------------------------------------------------------------------------------------
+
+
+def test_media_round_trip(spark):
+    texts = [*ODD, "same", "same", "t" * 64]
+    rows = {r.doc_id: r for r in media.media_features(media.media_column(docs(spark, texts))).collect()}
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        assert rows[i].n_bytes == len(raw) and bytes(rows[i].payload) == raw + bytes(-len(raw) % 64 if raw else 64)
+        assert len(rows[i].times) == len(rows[i].codes) and rows[i].times == sorted(rows[i].times)
+    assert rows[len(ODD)].codes == rows[len(ODD) + 1].codes
+    loud = bytes(128 + int(100 * np.sin(2 * np.pi * 16 * k / 256)) for k in range(256 * 4))
+    times, codes = media.fingerprint(loud)
+    assert ((codes >> 16) == 16).any() and set(times[(codes >> 16) == 16]) == {0, 1, 2}
+
+
+# -- near duplicates ---------------------------------------------------------------------------
+
+
+def brute_components(texts, k, percent):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return [len(s) for s in sets], [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
+def test_near_duplicates(spark, k, percent):
+    r = random.Random(k)
+    texts = list(ODD)
+    for _ in range(6):
+        base = prose(r, 120).split()
+        for _ in range(25):  # families around and below the threshold
+            w = list(base)
+            for _ in range(r.randrange(0, 9)):
+                w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    texts += [texts[-1]] * 20 + [texts[-1].upper()] + ["one two", "one two", "ONE\ttwo"]
+    sizes, want = brute_components(texts, k, percent)
+    got = {x.doc_id: x for x in near_duplicates.near_duplicate_components(docs(spark, texts), near_duplicates.NearDuplicates(shingle=k, percent=percent)).collect()}
+    assert [got[i].n_shingles for i in range(len(texts))] == sizes
+    assert [got[i].component_id for i in range(len(texts))] == want
+    assert all(got[i].kept == (want[i] == i) for i in range(len(texts)))
+
+
+def test_near_duplicates_without_id_and_empty(spark):
+    rows = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (2, "a b c d"), (2, "a b c d")], "doc_id long, text string")
+    got = [(r.doc_id, r.component_id, r.kept) for r in near_duplicates.near_duplicate_components(rows).collect()]
+    assert sorted(got, key=str) == [(1, 1, True), (2, 1, False), (2, 1, False), (None, None, True)]
+    assert near_duplicates.near_duplicate_components(docs(spark, [])).count() == 0
+
+
+def test_sketch_fills_and_estimates():
+    r = np.random.RandomState(1)
+    a = np.unique(r.randint(0, 2**62, 1000).astype(np.uint64))
+    b = np.unique(np.concatenate([a[:900], r.randint(0, 2**62, 100).astype(np.uint64)]))
+    s = near_duplicates.sketches([a, b, a[:1], a[:0]], 256)
+    assert (s[:3] != near_duplicates._FULL).all() and (s[3] == near_duplicates._FULL).all()
+    true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    assert abs((s[0] == s[1]).mean() - true) < 0.15
+    odd = near_duplicates.odd_sketches([a, b]).view(np.uint64)
+    assert np.bitwise_count(odd[0] ^ odd[1]).sum() <= len(np.setxor1d(a, b))
+
+
+# -- repeated passages -------------------------------------------------------------------------
+
+
+def brute_repeats(texts, length):
+    raw = [(t or "").encode() for t in texts]
+    count = defaultdict(int)
+    for b in raw:
+        for i in range(len(b) - length + 1):
+            count[b[i : i + length]] += 1
+    out = []
+    for b in raw:
+        m = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if count[b[i : i + length]] > 1:
+                m[i : i + length] = b"\1" * length
+        out.append((len(b), sum(m), len(re.findall(b"\1+", bytes(m))), bytes(x for x, y in zip(b, m, strict=True) if not y)))
+    return out
+
+
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_repeated_passages(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeated_passages, "HOT", hot)
+    monkeypatch.setattr(repeated_passages, "BATCH_STRINGS", 256)
+    monkeypatch.setattr(repeated_passages, "SEGMENT", 700)
+    r = random.Random(9)
+    shared = [prose(r, n) for n in (8, 20, 21, 40)]
+    texts = list(ODD)
+    for _ in range(60):
+        parts = [prose(r, r.randrange(5, 60), 10**6)]
+        for _ in range(r.randrange(3)):
+            parts += [r.choice(shared)[r.randrange(30) :], prose(r, r.randrange(1, 30), 10**6)]
+        texts.append(" ".join(parts))
+    texts += [texts[20], texts[20], "ab" * 300, "é" * 150]
+    got = {x.doc_id: x for x in repeated_passages.remove_repeats(docs(spark, texts), length=100, gram=32).collect()}
+    for i, want in enumerate(brute_repeats(texts, 100)):
+        assert (got[i].n_bytes, got[i].n_removed, len(got[i].spans), bytes(got[i].kept)) == want, i
+
+
+def test_suffix_levels():
+    r = np.random.RandomState(2)
+    index, seen = repeated_passages.LogSuffixIndex(5), defaultdict(list)
+    matched = set()
+    data = r.randint(0, 3, (600, 5)).astype(np.uint8)
+    for lo in range(0, 600, 37):
+        n = np.arange(lo, min(600, lo + 37))
+        matched |= set(index.add(data[n], n).tolist())
+        for i in n:
+            seen[data[i].tobytes()].append(i)
+        assert matched == {i for v in seen.values() if len(v) > 1 for i in v}
+    assert sum(x is not None for x in index.levels) <= 5
+    assert repeated_passages.anchors(b"x" * 399) == []
+
+
+def test_repeats_with_shared_ids(spark):
+    long = " ".join(f"q{i}" for i in range(200))
+    rows = spark.createDataFrame([(1, long), (1, "short"), (None, long), (None, None)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in repeated_passages.remove_repeats(rows).collect())
+    n = len(long)
+    assert got == sorted([("1", n, n), ("1", 5, 0), ("None", n, n), ("None", 0, 0)])
+
+
+# -- decontamination ---------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_decontamination(spark, monkeypatch, small):
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", small)
+    r = random.Random(5)
+    items = [prose(r, n, 60) for n in (3, 9, 10, 11, 30)] + [None, "", "!!", "Zwölf Äpfel"]
+    items += [items[4], items[2] + " " + items[4]]
+    texts = [*ODD, "zwölf Äpfel", "zwölf äpfel", *[prose(r, 50, 60) for _ in range(20)]]
+    for _ in range(20):
+        it = r.choice(items[:5]).split()
+        texts.append(prose(r, 5, 60) + " " + ", ".join(it[r.randrange(len(it)) :]).upper() + " -- " + r.choice(items[:5]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = defaultdict(set)
+    for i, t in enumerate(items):
+        w = words(t)
+        for s in range(max(1, len(w) - 9)) if w else ():
+            windows[tuple(w[s : s + 10])].add(str(i))
+    got = {x.doc_id: x for x in decontamination.find_contamination(docs(spark, texts), bench).collect()}
+    for i, t in enumerate(texts):
+        w, hit, found = words(t), set(), set()
+        for win, owners in windows.items():
+            for s in range(len(w) - len(win) + 1):
+                if tuple(w[s : s + len(win)]) == win:
+                    hit |= set(range(s, s + len(win)))
+                    found |= owners
+        assert (got[i].n_words, got[i].n_hit, got[i].items) == (len(w), len(hit), sorted(found)), i
+    assert decontamination.find_contamination(docs(spark, texts), bench.limit(0)).where("n_hit > 0").count() == 0
+    assert decontamination.find_contamination(docs(spark, []), bench).count() == 0
+
+
+# -- personal data -----------------------------------------------------------------------------
+
+E = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+C = re.compile(r"[0-9]([\x20-]?[0-9])+")
+P = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(d):
+    return sum(x - 9 * (x > 9) for x in (int(c) * (1 + k % 2) for k, c in enumerate(reversed(d)))) % 10 == 0
+
+
+def brute_spans(t):
+    return {
+        "email": [m.span() for m in E.finditer(t)], "ip": [m.span() for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))],
+        "card": [m.span() for m in C.finditer(t) if 16 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and luhn(d)], "phone": [m.span() for m in P.finditer(t) if 8 <= len(re.sub(r"\D", "", m[0])) <= 15],
+    }
+
+
+def test_personal_data(spark):
+    r = random.Random(6)
+    texts = [*ODD, "a@b.c%d@e.f x@y@z.com _x@y.org a@b.com_x@y.org", "1.2.3.4.5.6.7.8 001.02.3.255 1.2.3.256 1.2.3", "+1 (456) 555-2186 and +123 +12", "4111 1111 1111 1111 x 4111-1111-1111-1112", "é😀 4111111111111111, me@ex.org", "call 212 555-0187 or jo (at) ex (dot) com", "1 " * 4000, "a" * 20000 + "@", "9." * 3000, "sk_live_abcdEFGH12345678"]
+    texts += ["".join(r.choice("ab1.2@-+ ()%é") for _ in range(200)) for _ in range(150)]
+    d = docs(spark, texts)
+    model = personal_data.fit_spans(d)
+    got = {x.doc_id: x for x in personal_data.label_spans(d, model).withColumn("red", personal_data.redacted()).collect()}
+    for i, t in enumerate(texts):
+        want = brute_spans(t or "")
+        mine = defaultdict(list)
+        for s in got[i].spans:
+            mine[s.kind].append((s.s, s.e))
+        assert {k: mine[k] for k in want} == want, t
+        order = [list(personal_data.PATTERNS).index(s.kind) for s in got[i].spans]
+        assert order == sorted(order)
+    assert got[len(ODD) + 4].red == "é😀 <card>, <email>" and got[0].red is None
+    assert personal_data.label_spans(docs(spark, []), personal_data.fit_spans(docs(spark, []))).count() == 0
+
+
+def test_reliability_estimates():
+    r = random.Random(3)
+    counts = defaultdict(int)
+    for _ in range(20000):
+        truth = 1 if r.random() < 0.4 else -1
+        votes = [truth if r.random() < p else -truth for p in (0.95, 0.8, 0.6, 0.9)]
+        counts["card", *votes, 1, 0] += 1
+    model = personal_data.estimate([(*k, n) for k, n in counts.items()])
+    for name, p in zip(personal_data.VOTES, (0.95, 0.8, 0.6, 0.9), strict=True):
+        assert abs(model.reliability["card", name] - p) < 0.05
+    assert personal_data.estimate([]).accepted() == "false"
+
+
+# -- sharding ----------------------------------------------------------------------------------
+
+
+def test_shards_even_and_together(spark):
+    r = random.Random(8)
+    texts = [*ODD, *["hot"] * 300, *[f"pair {i // 2}" for i in range(200)], *[prose(r, 5) for _ in range(300)]]
+    got = sharding.balanced_shards(docs(spark, texts), 7).collect()
+    by, groups = defaultdict(list), defaultdict(set)
+    for x in got:
+        raw = (texts[x.doc_id] or "").encode()
+        assert (x.size, x.text_crc32) == (len(raw) + 16, zlib.crc32(raw))
+        by[x.shard].append(x.slot)
+        groups[raw].add(x.shard)
+    n = [len(v) for v in by.values()]
+    assert len(got) == len(texts) and len(n) == 7 and max(n) - min(n) <= 1
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert len(groups[b"hot"]) <= 5 and sum(len(s) > 1 for b, s in groups.items() if b != b"hot") <= 6
+    few = sharding.balanced_shards(docs(spark, ["a", None]), 5).collect()
+    assert sorted(x.slot for x in few) == [0, 0] and len({x.shard for x in few}) == 2
+    assert sharding.balanced_shards(docs(spark, []), 5).count() == 0
+
+
+def test_labels_follow_links_under_quota(spark):
+    links = spark.createDataFrame([(i, 0) for i in range(1, 40)] + [(100 + i, 100) for i in range(1, 4)] + [(5, 5), (None, 1)], "a long, b long")
+    got = {r.id: r.label for r in sharding.propagate_labels(links, 4, 11.0).collect()}
+    assert len(got) == 44 and len({got[100 + i] for i in range(4)}) == 1
+
+
+# -- URL filters -------------------------------------------------------------------------------
+
+
+def test_url_filters(spark):
+    entries = spark.createDataFrame(
+        [("l1", "domain", "ex.com", "add", 10), ("l1", "domain", "ex.com", "add", 12), ("l1", "domain", "ex.com", "remove", 20), ("l1", "domain", "ex.com", "add", 30), ("l2", "host", "a.ex.com", "add", 5), ("l2", "host", "a.ex.com", "remove", 5), ("l3", "prefix", "ex.com/p/q", "add", 0), ("l4", "host", None, "add", 0), ("l4", "host", "z", "remove", 1)],
+        "list string, kind string, value string, action string, at int",
+    )
+    spans = sorted(tuple(r) for r in url_filters.validity_intervals(entries).collect())
+    assert [s[:5] for s in spans] == [("l1", "domain", "ex.com", 10, 20), ("l1", "domain", "ex.com", 30, None), ("l3", "prefix", "ex.com/p/q", 0, None)]
+    rows = [(1, "http://A.Ex.com:80/x", 10), (2, "http://ex.com/p/q/r?z", 20), (3, "https://u@ex.com/p/qq", 29), (4, "http://notex.com/", 15), (5, None, 15), (6, "nonsense", 15), (7, "http://ex.com/", None), (7, "http://ex.com./", 31), (None, "http://b.a.ex.com", 11), (8, "http://" + "a." * 5000 + "ex.com/" + "s/" * 5000, 12)]
+    caps = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, fetched_at int, key string")
+    got = sorted(((str(r.page_id), r.n_entries, ",".join(r.lists)) for r in url_filters.evaluate_captures(caps, entries).collect()))
+    assert got == sorted([("1", 1, "l1"), ("2", 1, "l3"), ("3", 0, ""), ("4", 0, ""), ("5", 0, ""), ("6", 0, ""), ("7", 0, ""), ("7", 1, "l1"), ("None", 1, "l1"), ("8", 1, "l1")])
+    assert url_filters.evaluate_captures(caps, entries.limit(0)).where("n_entries > 0").count() == 0
+
+
+# -- archives ----------------------------------------------------------------------------------
+
+
+def test_arc_to_warc(spark):
+    html = ["<p>é</p>", "", None, "<p>é</p>", "\r\n\r\nHTTP/1.1", "x" * 200_000, "", "line\n\nURL 1.2.3.4"]
+    pages = spark.createDataFrame([(i, f"http://h/{i} b" if i else None, t, "q") for i, t in enumerate(html)] + [(None, "http://n/", "solo", "q")], "page_id long, url string, html string, key string")
+    got = {r.key: r for r in archives.read_archives(archives.convert_archives(archives.legacy_archives(pages))).collect()}
+    assert len(got) == len(html) + 1
+    top = {}
+    for i, t in enumerate(html):
+        top[(t or "").encode()] = i
+    for i, t in enumerate(html):
+        raw = (t or "").encode()
+        digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        want = (len(raw), digest, "response", None) if top[raw] == i else (len(raw), digest, "revisit", top[raw])
+        assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to_key) == want, i
+    assert got[None].record_type == "response"
+    assert archives.read_archives(archives.convert_archives(archives.legacy_archives(pages.limit(0)))).count() == 0
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_versions(version):
+    data = archives.write_arc([("http://a/", "1.2.3.4", "20010203040506", "text/plain", b"one\ntwo"), ("dns:a", "-", "1999", "text/dns", b"")], version)
+    one, two = archives.read_arc(data)
+    assert (one.version, one.url, one.content, two.content) == (version, "http://a/", b"one\ntwo", b"")
+    fields, block = next(archives.read_warc(archives.gzip_member(archives.warc_record(one, archives.record_id(None, one.url, one.date, one.content), None))))
+    assert fields["warc-date"] == "2001-02-03T04:05:06Z" and block == b"one\ntwo"
+    assert archives.key_of(archives.record_id(77, "", "", b"")) == 77 and archives.key_of(archives.record_id(None, "u", "d", b"")) is None
+    with pytest.raises(ValueError):
+        list(archives.read_arc(data[:-5]))
+
+
+# -- toxicity ----------------------------------------------------------------------------------
+
+
+def test_toxicity_held_out(spark):
+    r = random.Random(7)
+    texts, labels = [], []
+    for i in range(1200):
+        bad = i % 8 == 0
+        w = prose(r, 30, 3000).split()
+        if bad:
+            w[r.randrange(30)] = r.choice(["stupid", "1d10t!", f"grumf{r.randrange(9)}en", f"grumf{r.randrange(9)}"])
+        texts.append(" ".join(w))
+        labels.append((i, int(bad), 9))
+    d = docs(spark, [*texts, *ODD])
+    lab = spark.createDataFrame([*labels, (None, 1, 0), (5, None, 0)], "doc_id long, toxic int, quality int")
+    model = toxicity.fit_toxicity(d, lab, ~registry.held_out())
+    rows = toxicity.score_toxicity(d, model).withColumn("out", registry.held_out()).collect()
+    assert len(rows) == len(texts) + len(ODD) and all(0 <= x.score <= 1 for x in rows)
+    held = [(x.score >= 0.3, x.doc_id % 8 == 0) for x in rows if x.out and x.doc_id < 1200]
+    assert sum(a == b for a, b in held) >= 0.95 * len(held) and sum(a and b for a, b in held) >= 0.8 * sum(b for _, b in held)
+    kept = toxicity.drop_toxic(d, model, 0.3)
+    assert kept.columns == d.columns and kept.count() == sum(x.score < 0.3 for x in rows)
+    none = toxicity.fit_toxicity(d, lab.limit(0), F.lit(True))
+    assert {x.score for x in toxicity.score_toxicity(d, none).collect()} == {0.0}
+
+
+def test_boosting_and_calibration():
+    r = np.random.RandomState(0)
+    x = r.rand(4000, 5)
+    p = np.where((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3), 0.9, 0.1)
+    y = (r.rand(4000) < p).astype(float)
+    m = BoostedTrees().fit(x[:2000], y[:2000])
+    iso = Isotonic.fit(m.margin(x[2000:3000]), y[2000:3000])
+    got = iso.apply(m.margin(x[3000:]))
+    assert ((got > 0.5) == (p[3000:] > 0.5)).mean() > 0.95 and abs(got.mean() - y[3000:].mean()) < 0.05
+    assert (np.diff(iso.y) >= 0).all()
