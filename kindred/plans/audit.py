@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kindred import schema
 from kindred.operators import catalogs, decisions, exact, pairs, reports, vectors
 from kindred.plans import sinks
+from kindred.plans.cache import cached
 from kindred.plans.profile import Profiler
 from kindred.schema import KEYS
 from kindred.sources import tables
@@ -104,7 +105,9 @@ def run_near(spark: SparkSession, cfg: AuditConfig, embed: Callable[[DataFrame],
     with p.stage("near_neighbours"):
         held = spark.read.parquet(f"{out}/embeddings")
         v = held.select(F.col("scan_uid").alias("uid"), F.concat_ws("|", "dataset", "subject_id").alias("owner"), "embedding")
-        found = vectors.nearest_by_lists(v, cfg.topk, cfg.nlist, cfg.nprobe, cfg.train_size, cfg.filter_mode) if cfg.use_ivf else vectors.nearest(v, cfg.topk, cfg.filter_mode)
+        search = lambda: vectors.nearest_by_lists(v, cfg.topk, cfg.nlist, cfg.nprobe, cfg.train_size, cfg.filter_mode) if cfg.use_ivf else vectors.nearest(v, cfg.topk, cfg.filter_mode)
+        params = {k: getattr(cfg, k) for k in ("topk", "use_ivf", "nlist", "nprobe", "train_size", "filter_mode")}
+        found = cached(search, f"{out}/neighbour_cache", v, params=params)
         side = lambda s: held.select(*[F.col(c).alias(f"{s}_{c}") for c in (*KEYS, "scan_uid")])
         sinks.write_table(found.join(side("query"), F.col("query") == F.col("query_scan_uid")).join(side("cand"), F.col("cand") == F.col("cand_scan_uid")).drop("query", "cand"), f"{out}/neighbours")
     with p.stage("near_pairs"):

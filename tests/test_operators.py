@@ -273,3 +273,18 @@ def test_streaming(spark, tmp_path):
     q = stream.writeStream.foreachBatch(lambda b, e: incremental.apply_decisions(b, e, log)).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(log).count() == 3
+
+
+def test_cache_follows_inputs(spark, tmp_path):
+    from kindred.plans.cache import cached, fingerprint
+
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "i long, s string"), spark.createDataFrame([(2, "y"), (1, "x")], "i long, s string")
+    assert fingerprint(a) == fingerprint(b) != fingerprint(b.where("i = 1")) and fingerprint(a) != fingerprint(a, params={"k": 1})
+    built = []
+
+    def build(df):
+        built.append(1)
+        return df
+
+    assert cached(lambda: build(a), str(tmp_path), a).count() == 2
+    assert cached(lambda: build(a), str(tmp_path), b).count() == 2 and len(built) == 1
