@@ -11,7 +11,9 @@ smallest id goes on. In each bucket everyone is compared with the bucket's small
 (stars), the links that hold are merged to components, and only pairs of one bucket that
 still lie in different components are compared after that. So big groups of near copies
 cost about their size, and a link that banding finds is never skipped unless its two ends
-are joined already.
+are joined already. Of such pairs an odd sketch rules out those that can't be similar: it has the
+parity of the shingles hashed to each of ODD_BITS bits, so two sketches differ in at most as
+many bits as the sets differ in shingles.
 """
 
 from __future__ import annotations
@@ -43,6 +45,9 @@ class NearDuplicates:
     rows: int = 4
 
 
+#: Bits of the odd sketch; a multiple of 64.
+ODD_BITS = 1024
+
 _MULTIPLIERS = (np.random.RandomState(11).randint(0, 2**62, 64, np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -92,6 +97,14 @@ def sketches(sets: list[np.ndarray], bins: int) -> np.ndarray:
     return out.reshape(n, bins)
 
 
+def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Odd sketches of several sets, as len(sets) rows of 64-bit words."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bit = (_mixed(np.concatenate(sets) ^ np.uint64(0x5DEECE66D)) % np.uint64(ODD_BITS)).astype(np.int64)
+    parity = np.bincount(owner * ODD_BITS + bit, minlength=len(sets) * ODD_BITS).reshape(len(sets), ODD_BITS) & 1
+    return np.packbits(parity.astype(np.uint8), axis=1).view(np.int64)
+
+
 def _describe(b: pa.RecordBatch, p: NearDuplicates) -> pa.RecordBatch:
     sets = [shingle_set(t, p.shingle) for t in b.column(1).to_pylist()]
     sketch = sketches(sets, p.bands * p.rows).reshape(len(sets), p.bands, p.rows)
@@ -103,7 +116,9 @@ def _describe(b: pa.RecordBatch, p: NearDuplicates) -> pa.RecordBatch:
     ends = np.concatenate([[0], np.cumsum(has * p.bands)]).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(band[has].ravel().view(np.int64)))
     keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-    return pa.RecordBatch.from_arrays([b.column(0), pa.array(counts), pa.array(keys, pa.binary()), lists], names=["id", "n", "set_key", "bands"])
+    odd = odd_sketches(sets)
+    words = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * odd.shape[1]), pa.array(odd.ravel()))
+    return pa.RecordBatch.from_arrays([b.column(0), pa.array(counts), pa.array(keys, pa.binary()), lists, words], names=["id", "n", "set_key", "bands", "odd"])
 
 
 def _sets(b: pa.RecordBatch, p: NearDuplicates) -> pa.RecordBatch:
@@ -117,6 +132,13 @@ def _possible(x: str, y: str, p: NearDuplicates):
     return F.lit(100) * F.least(x, y) >= F.lit(p.percent) * F.greatest(x, y)
 
 
+def _near(x: str, y: str, nx: str, ny: str, p: NearDuplicates):
+    """Odd sketches don't differ in more bits than two sets that are similar enough may differ
+    in shingles: (100 + percent) * difference <= (100 - percent) * (size + size)."""
+    bits = F.expr(" + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(ODD_BITS // 64)))
+    return F.lit(100 + p.percent) * bits <= F.lit(100 - p.percent) * (F.col(nx) + F.col(ny))
+
+
 def _links(pairs: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFrame:
     """Of pairs (x, y) those whose full sets are similar enough. The side with few, much-used
     sets comes last: its join is on y, where adaptive execution may split the other side."""
@@ -137,12 +159,13 @@ def near_duplicate_components(documents: DataFrame, p: NearDuplicates = NearDupl
     """
     kind = documents.schema[id_col].dataType.simpleString()
     source = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    told = stored(map_batches(source, lambda b: _describe(b, p), f"id {kind}, n long, set_key binary, bands array<long>"), "sketches")
+    told = stored(map_batches(source, lambda b: _describe(b, p), f"id {kind}, n long, set_key binary, bands array<long>, odd array<long>"), "sketches")
     classes = told.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("class_id"))
-    first = told.select("id", "n", "set_key", "bands").join(classes, ["set_key"]).where("id = class_id")
+    first = told.join(classes, ["set_key"]).where("id = class_id")
     banded = first.select("id", "n", F.explode("bands").alias("band")).dropDuplicates(["band", "id"])
-    centres = banded.groupBy("band").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1")
-    buckets = stored(banded.join(centres.select("band", "centre"), "band"), "buckets")
+    # stored, so that its join has a shuffle on both sides and large buckets can be split
+    centres = stored(banded.groupBy("band").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1").select("band", "centre"), "centres")
+    buckets = stored(banded.join(centres, "band"), "buckets")
     wanted = buckets.select("id").distinct()
     sets = stored(map_batches(source.join(wanted, "id", "left_semi"), lambda b: _sets(b, p), f"id {kind}, members array<long>"), "sets")
 
@@ -153,9 +176,12 @@ def near_duplicate_components(documents: DataFrame, p: NearDuplicates = NearDupl
 
     placed = buckets.join(merged, buckets.id == merged.node, "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    rest = stored(placed.join(mixed, "band", "left_semi"), "rest")
-    one, two = rest.toDF("band", "x", "nx", "cx"), rest.toDF("band", "y", "ny", "cy")
-    pairs = one.join(two, "band").where((F.col("cx") != F.col("cy")) & (F.col("x") > F.col("y")) & _possible("nx", "ny", p)).select("x", "y").distinct()
+    mixed = stored(mixed, "mixed")
+    odd = first.select("id", "odd").dropDuplicates(["id"])
+    rest = stored(placed.join(mixed, "band", "left_semi").join(odd, "id").select("band", "id", "n", "component", "odd"), "rest")
+    one, two = rest.toDF("band", "x", "nx", "cx", "ox"), rest.toDF("band", "y", "ny", "cy", "oy")
+    apart = (F.col("cx") != F.col("cy")) & (F.col("x") > F.col("y")) & _possible("nx", "ny", p) & _near("ox", "oy", "nx", "ny", p)
+    pairs = one.join(two, "band").where(apart).select("x", "y").distinct()
     more = stored(_links(pairs.join(stars, ["x", "y"], "left_anti"), sets, p), "links")
     if more.isEmpty():
         final = merged
@@ -163,7 +189,7 @@ def near_duplicate_components(documents: DataFrame, p: NearDuplicates = NearDupl
         # the components found so far are contracted: an edge from each member to its smallest
         final = connected_components(more.union(merged.where("node <> component").select("node", "component")), "x", "y")
     final = stored(final, "components")
-    drop(buckets, sets, links, merged, rest, more)
+    drop(centres, buckets, sets, links, merged, mixed, rest, more)
     of_class = classes.join(final, classes.class_id == final.node, "left").select("set_key", F.coalesce("component", "class_id").alias("component"))
     out = told.select("id", "n", "set_key").join(of_class, "set_key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
