@@ -144,6 +144,34 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_components(table(spark, sf_dir, "documents"), near_duplicates.NearDuplicates(shingle=3, percent=85))
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP5_SQL = rf"""
+with d as (select row_number() over () rid, doc_id, list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents),
+i as (select item_id, list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from benchmark),
+windows as (select distinct item_id, list_slice(w, s, least(s + 9, len(w))) ws from i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(s) where len(w) > 0),
+sizes as (select distinct len(ws) n from windows),
+places as (select rid, s, n, list_slice(w, s, s + n - 1) ws from d, sizes, unnest(range(1, len(w) - n + 2)) t(s) where len(w) >= n),
+hits as (select rid, s, n, item_id from places join windows using (ws)),
+covered as (select rid, count(distinct p) n_hit from (select rid, unnest(range(s, s + n)) p from hits) group by rid),
+items as (select rid, count(distinct item_id) n_items, array_to_string(list_sort(list(distinct cast(item_id as varchar))), ',') ids from hits group by rid)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (rid) left join items using (rid)
+"""
+OP9_SQL = rf"""
+with recursive d as (select doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+g as (
+  select distinct doc_id, list_slice(w, s, s + 2) g from d, unnest(range(1, len(w) - 1)) t(s) where len(w) >= 3
+  union all select doc_id, w from d where len(w) between 1 and 2),
+n as (select doc_id, count(*) n from g group by 1),
+common as (select a.doc_id x, b.doc_id y, count(*) c from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from common join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+hops as (select x, y from links union select y, x from links),
+walk(v, m) as (select x, x from hops union select h.x, w.m from walk w join hops h on h.y = w.v and w.m < h.x),
+components as (select v, min(m) m from walk group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m, d.doc_id) as component_id, coalesce(m, d.doc_id) = d.doc_id as kept
+from d left join n using (doc_id) left join components on v = d.doc_id
+"""
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_personal_data": op2_personal_data,
@@ -156,4 +184,4 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {"op4_url_filters": OP4_SQL}
+ORACLES: dict[str, str] = {"op4_url_filters": OP4_SQL, "op5_decontamination": OP5_SQL, "op9_near_duplicates": OP9_SQL}
