@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Rows and bytes of one Arrow batch: what a Python worker holds of the input at a time.
-BATCH_ROWS = 1024
-BATCH_BYTES = "16m"
+BATCH_ROWS = 512
+BATCH_BYTES = "8m"
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -19,16 +19,23 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with a function of one batch; empty batches are skipped."""
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema, done: Callable[[], None] = lambda: None) -> DataFrame:
+    """mapInArrow with a function of one batch; empty batches are skipped.
+
+    done is called at the end of each task: workers outlive their tasks, so what they
+    remember is given back there.
+    """
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                out = f(b)
-                if isinstance(out, pa.RecordBatch):
-                    yield out
-                else:
-                    yield from out
+        try:
+            for b in batches:
+                if b.num_rows:
+                    out = f(b)
+                    if isinstance(out, pa.RecordBatch):
+                        yield out
+                    else:
+                        yield from out
+        finally:
+            done()
 
     return bounded_batches(df).mapInArrow(run, schema)

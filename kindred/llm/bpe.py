@@ -28,8 +28,8 @@ from kindred.llm.arrow_rows import map_batches
 
 NONE = np.iinfo(np.int64).max
 BLOCK_WIDTH = 64
-#: Words that a Python worker remembers between batches; the memory is emptied when full.
-REMEMBERED = 300_000
+#: Words that a Python worker remembers between the batches of a task; emptied when full.
+REMEMBERED = 250_000
 #: A vocabulary file is sent to every executor; larger ones than this are refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: What str.split() also splits on although Unicode doesn't count it as white space.
@@ -274,6 +274,12 @@ class _Held:
         return self.broadcast.value
 
 
+def _forget() -> None:
+    """Drops what the worker remembers, at the end of a task; the vocabulary stays."""
+    for model in _loaded.values():
+        model.known, model.words = {}, {}
+
+
 def read_vocabulary(spark, path: str) -> _Held:
     """Reads the vocabulary file on the driver and broadcasts it; its size is checked."""
     import hashlib
@@ -298,7 +304,7 @@ def bpe_encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
         return pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[id_col, "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_batches(df.select(id_col, F.col(text_col).cast("string")), encode, f"`{id_col}` {kind}, ids array<int>")
+    return map_batches(df.select(id_col, F.col(text_col).cast("string")), encode, f"`{id_col}` {kind}, ids array<int>", _forget)
 
 
 def bpe_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

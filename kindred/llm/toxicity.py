@@ -34,8 +34,8 @@ SAMPLE_ROWS = 16_000
 #: Entries of the learned lexicon, at most, and documents an entry must occur in.
 LEXICON_SIZE = 600
 LEAST_DOCUMENTS = 4
-#: Remembered word forms of a Python worker; emptied when full.
-REMEMBERED = 300_000
+#: Word forms that a Python worker remembers within a task; emptied when full.
+REMEMBERED = 150_000
 
 # Common insults, second-person words, and letters written as other signs.
 INSULTS = frozenset("idiot moron stupid loser scum trash clown pathetic worthless disgusting dumb fool ugly hate".split())
@@ -221,7 +221,7 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, id_col: str = "do
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(held.value.score(x), pa.float64())], names=[id_col, "score"])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    return map_batches(documents.select(id_col, F.col(text_col).cast("string")), score, f"`{id_col}` {kind}, score double")
+    return map_batches(documents.select(id_col, F.col(text_col).cast("string")), score, f"`{id_col}` {kind}, score double", readers.clear)
 
 
 def drop_toxic(documents: DataFrame, model: ToxicityModel, threshold: float, text_col: str = "text") -> DataFrame:
@@ -235,4 +235,4 @@ def drop_toxic(documents: DataFrame, model: ToxicityModel, threshold: float, tex
         x = np.stack([reader.features(t or "") for t in b.column(at).to_pylist()])
         return pa.RecordBatch.from_arrays(b.columns, names=names).filter(pa.array(held.value.score(x) < threshold))
 
-    return map_batches(documents, keep, documents.schema)
+    return map_batches(documents, keep, documents.schema, readers.clear)
