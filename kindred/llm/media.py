@@ -6,8 +6,14 @@ FFT; in each of BANDS bands of a frame the strongest bin is a peak if it exceeds
 mean. Each peak is paired with the peaks of the same band in the next FAN frames. A pair is
 one integer: (bin, later bin, distance in frames), stored with the time of its first frame.
 
+Frames overlap, the first begins LEAD samples before the payload and the last ends FRAME - LEAD
+after it (silence is added): a payload of PAD bytes has two frames, and every byte has a weight
+of 0.4 or more in one of them. Times count FRAME samples: the time of a frame is the block of
+FRAME samples in which it begins, 0 before the payload.
+
 Defined results: null text is empty; payloads are padded with bytes 0 to a positive multiple
-of PAD; equal payloads give equal columns; silent payloads have empty arrays.
+of PAD; equal payloads give equal columns; silent payloads have empty arrays; payloads of a few
+bytes may share their peaks.
 """
 
 from __future__ import annotations
@@ -25,7 +31,9 @@ from kindred.llm.arrow_rows import map_batches
 PAD = 64
 RATE = 8000
 FRAME = 256
-HOP = 256
+HOP = 64
+#: Samples from the beginning of the first frame to the payload.
+LEAD = 200
 #: First bins of the bands; the last entry is the end.
 BANDS = (1, 9, 25, 57, 129)
 FAN = 2
@@ -55,14 +63,15 @@ _window = np.hanning(FRAME + 1)[:FRAME].astype(np.float32)
 
 
 def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Times (frame numbers) and codes of the peak pairs, ordered by time, band, distance."""
+    """Times (in FRAME samples) and codes of the peak pairs, ordered by frame, band, distance."""
     x = np.frombuffer(samples, np.uint8)
-    n = max(1, -(-len(x) // HOP))
+    n = 1 + -(-len(x) // HOP)
     peaks = np.zeros((n, len(BANDS) - 1), np.int64)
     for lo in range(0, n, BLOCK):
         hi = min(n, lo + BLOCK)
-        part = x[lo * HOP : (hi - 1) * HOP + FRAME].astype(np.float32) - 128
-        part = np.pad(part, (0, (hi - 1 - lo) * HOP + FRAME - len(part)))
+        start, end = lo * HOP - LEAD, (hi - 1) * HOP + FRAME - LEAD
+        part = x[max(0, start) : end].astype(np.float32) - 128
+        part = np.pad(part, (max(0, -start), end - max(0, start) - len(part)))
         frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
         power = np.abs(np.fft.rfft(frames * _window, axis=1)).round(1)
         mean = power[:, 1:].mean(axis=1)
@@ -75,7 +84,7 @@ def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
         if n > d:
             first, later = peaks[:-d], peaks[d:]
             t, k = np.nonzero((first > 0) & (later > 0))
-            times.append(t)
+            times.append(np.maximum(t * HOP - LEAD, 0) // FRAME)
             codes.append((first[t, k] << 16) | (later[t, k] << 4) | d)
             order.append((t * len(BANDS) + k) * (FAN + 1) + d)
     if not times:

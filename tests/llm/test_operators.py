@@ -66,6 +66,31 @@ def test_media_round_trip(spark):
     assert ((codes >> 16) == 16).any() and set(times[(codes >> 16) == 16]) == {0, 1, 2}
 
 
+def test_media_short_texts_and_frame_borders(spark):
+    r = random.Random(12)
+    texts = ["a", "bc", *[prose(r, n) for n in (5, 9, 12, 20, 30, 50) for _ in range(4)]]
+    assert all(len(t) <= 256 for t in texts)
+    rows = media.media_features(media.media_column(docs(spark, texts))).collect()
+    assert all(len(x.codes) > 0 for x in rows)
+    assert len({(*x.times, -1, *x.codes) for x in rows if x.n_bytes > 16}) == len(texts) - 2  # a few bytes may share their peaks
+    silent = np.full(1024, 128, np.uint8)
+    assert len(media.fingerprint(silent.tobytes())[1]) == 0
+    burst = np.array([228, 28, 228], np.uint8)
+    for at in (0, 254, 255, 256, 510, 511, 512, 1005):
+        x = silent.copy()
+        x[at : at + 3] = burst
+        assert len(media.fingerprint(x.tobytes())[1]) > 0, at
+    quiet = (128 + 8 * np.sin(2 * np.pi * 16 * np.arange(1024) / 256)).astype(np.uint8)
+    ended = quiet.copy()
+    ended[-3:] = burst
+    assert list(media.fingerprint(quiet.tobytes())[1]) != list(media.fingerprint(ended.tobytes())[1])
+    long = bytes(r.randrange(32, 123) for _ in range(256 * 40))
+    whole = media.fingerprint(long)
+    with pytest.MonkeyPatch.context() as m:  # blocks of frames do not matter
+        m.setattr(media, "BLOCK", 7)
+        assert all((a == b).all() for a, b in zip(whole, media.fingerprint(long), strict=True))
+
+
 # -- near duplicates ---------------------------------------------------------------------------
 
 
