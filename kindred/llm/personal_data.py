@@ -29,7 +29,7 @@ PATTERNS = {
     "email_written": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._-]{1,63}+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{2,63}+)+",
     "phone_local": r"(?<![+0-9()-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "secret": r"(?<![A-Za-z0-9_-])(?:AKIA|ASIA|ghp_|gho_|sk_live_|sk_test_|sk-|xox[bp]-)[A-Za-z0-9_-]{12,200}+",
+    "secret": r"(?<![A-Za-z0-9_-])(?:AKIA|ASIA|ghp_|gho_|sk_live_|sk_test_|sk-|xox[bp]-)[A-Za-z0-9_-]{12,}+",
 }
 BASE = ("email", "ip", "card", "phone")
 #: A sign that any span of the kind holds; texts without it are not searched.

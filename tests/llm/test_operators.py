@@ -286,6 +286,16 @@ def test_personal_data(spark):
     assert personal_data.label_spans(docs(spark, []), personal_data.fit_spans(docs(spark, []))).count() == 0
 
 
+def test_long_secrets_are_redacted_whole(spark):
+    r = random.Random(11)
+    key = lambda n: "".join(r.choice("abcdEFGH0123_-") for _ in range(n))
+    keys = ["sk_live_Abcd1" + key(n) for n in (20, 195, 200, 500, 100_000)]
+    d = docs(spark, [f"token: {k} end" for k in keys])
+    for x in personal_data.label_spans(d, personal_data.fit_spans(d)).withColumn("red", personal_data.redacted()).collect():
+        spans = [(s.s, s.e) for s in x.spans if s.kind == "secret"]
+        assert spans == [(7, 7 + len(keys[x.doc_id]))] and x.red == "token: <secret> end"
+
+
 def test_reliability_estimates():
     r = random.Random(3)
     counts = defaultdict(int)
