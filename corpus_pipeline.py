@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import bpe, decontamination, near_duplicates, personal_data, toxicity
-from kindred.llm.registry import VOCABULARY, held_out, table
+from kindred.llm.registry import TOXIC_SCORE, VOCABULARY, held_out, table
 from kindred.plans.sizes import broadcast_if_small
 from kindred.plans.stored import drop, stored
 
-#: Documents that score as much or more are rejected.
-REJECT_SCORE = 0.5
+#: Documents that score as much or more are rejected: those that op1 calls toxic.
+REJECT_SCORE = TOXIC_SCORE
 #: Ids to remove that are broadcast, at most; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 

@@ -10,6 +10,8 @@ from kindred.plans.stored import stored
 
 #: Vocabulary of the word-end BPE; a file of the environment, never copied here.
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+#: Documents that score as much or more are toxic.
+TOXIC_SCORE = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +26,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit_toxicity(docs, labels, ~held_out())
     scored = toxicity.score_toxicity(docs, model)
-    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"))
 
 
 def op8_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,12 @@
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from kindred.llm import registry
+from kindred.llm import registry, toxicity
+from kindred.llm.boosting import BoostedTrees, Isotonic
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="needs the test tables")
@@ -50,3 +52,13 @@ def test_stages_take_odd_rows(spark):
         assert out.count() >= 4
     assert corpus_pipeline.one_of_each_group(spark, docs, SF).where("doc_id = 3").count() == 1
     assert corpus_pipeline.redact_personal_data(spark, docs, SF).where("doc_id is null").first().text == "<email> and more"
+
+
+@pytest.mark.parametrize("score", [0.29, 0.3, 0.4])
+def test_rejects_what_the_operator_calls_toxic(spark, monkeypatch, score):
+    trees = BoostedTrees().fit(np.zeros((4, len(toxicity.FEATURES))), np.array([0.0, 1, 0, 1]))
+    model = toxicity.ToxicityModel(toxicity.Lexicon({}, {}), trees, Isotonic(np.array([0.0]), np.array([score])))
+    monkeypatch.setattr(toxicity, "fit_toxicity", lambda *_: model)
+    clean = {r.doc_id for r in registry.QUERIES["op1_toxicity"](spark, SF).where("predicted = 0").collect()}
+    kept = corpus_pipeline.reject_toxic(spark, registry.table(spark, SF, "documents"), SF)
+    assert {r.doc_id for r in kept.collect()} == clean and bool(clean) == (score < 0.3)
