@@ -1,11 +1,14 @@
-"""Balanced label propagation: shards of equal row counts that keep linked documents together.
+"""Shards of equal row counts that keep linked documents together.
 
-Linked documents start in the shard of their smallest neighbour and move, round by round,
-to the shard where most of their neighbours are, as far as that shard has room under its
-quota: with more proposals than room, a hash of id and round decides who may move. Documents
-without links fill up. A last layout step makes the sizes exact: documents are numbered in
-the order of (shard, group), and equal runs of numbers become the final shards, so that only
-the groups at the 39 cuts, and those larger than a shard, are divided.
+propagate_labels: linked documents start in the shard of their smallest neighbour and move,
+round by round, to the shard where most of their neighbours are, as far as that shard has room
+under its quota: with more proposals than room, a hash of id and round decides who may move.
+
+balanced_shards links equal texts, as stars round the smallest id. All of a star start with one
+label, so no row proposes a move and no quota acts: the label is a hash of the group. What makes
+the shards even is the layout: documents are numbered in the order of (label, group), and equal
+runs of numbers become the final shards, so that only the groups at the 39 cuts, and those
+larger than a shard, are divided.
 
 Numbering needs no global sort. Rows fall into a bounded number of blocks (groups above the
 mean block size are dealt over blocks of their own); block counts are summed up on a table of

@@ -337,6 +337,18 @@ def test_labels_follow_links_under_quota(spark):
     assert len(got) == 44 and len({got[100 + i] for i in range(4)}) == 1
 
 
+def test_labels_move_with_room_only(spark):
+    r = random.Random(13)
+    read = lambda links, even, rounds: {x.id: x.label for x in sharding.propagate_labels(links, 4, even, rounds).collect()}
+    mesh = spark.createDataFrame([(i, r.randrange(60)) for i in range(60) for _ in range(3)], "a long, b long")
+    seeds = read(mesh, 1000.0, 0)
+    assert read(mesh, 1000.0, 3) != seeds and read(mesh, 0.0, 3) == seeds
+    # links of the query: every star begins with one label, whatever the quota, and no row moves
+    stars = spark.createDataFrame([(i, i // 10 * 10) for i in range(60) if i % 10], "a long, b long")
+    seeds = read(stars, 1000.0, 0)
+    assert read(stars, 1000.0, 3) == read(stars, 0.0, 3) == seeds and all(seeds[i] == seeds[i // 10 * 10] for i in range(60))
+
+
 # -- URL filters -------------------------------------------------------------------------------
 
 
