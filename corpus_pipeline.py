@@ -58,7 +58,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the digest of what they decode to."""
-    found = bpe.bpe_decode(bpe.bpe_encode(docs, VOCABULARY), VOCABULARY)
+    found = bpe.bpe_round_trip(docs, VOCABULARY)
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

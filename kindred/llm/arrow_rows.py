@@ -25,6 +25,7 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 def _give_back() -> None:
     """Returns freed memory to the system: an idle worker otherwise keeps its peak."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # only glibc has it
         ctypes.CDLL(None).malloc_trim(0)
 

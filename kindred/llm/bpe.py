@@ -6,7 +6,9 @@ pair of the lowest rank. A merge replaces one symbol and updates three leaves, e
 log2(width) steps; encoding ends when the root is NONE.
 
 Words of up to BLOCK_WIDTH symbols are encoded together: one tree per row of an array, all
-trees merging their root at once. Longer ones get a tree of their own.
+trees merging their root at once. Longer ones get a tree of their own. A batch of texts is
+cut at white space into chunks; distinct chunks are encoded once and their ids are taken from
+flat arrays, which a worker keeps up to MEMORY_BYTES.
 
 Defined results: null text is an empty one; an empty text has no tokens and decodes to "".
 Repeated rows give repeated results; other columns of the input are not read.
@@ -16,9 +18,11 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,15 +32,23 @@ from kindred.llm.arrow_rows import map_batches
 
 NONE = np.iinfo(np.int64).max
 BLOCK_WIDTH = 64
-#: Words that a Python worker remembers between the batches of a task; emptied when full.
-REMEMBERED = 250_000
+#: What a Python worker remembers of chunks met, in bytes, about; emptied when full.
+MEMORY_BYTES = 24 << 20
+#: Chunks looked up at a time.
+GROUP_CHUNKS = 1 << 18
 #: A vocabulary file is sent to every executor; larger ones than this are refused.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: What str.split() also splits on although Unicode doesn't count it as white space.
-SEPARATORS = regex.compile("[\\x1c-\\x1f]")
+#: Bytes at which texts are cut into chunks, and all white space, at which chunks are cut once more.
+SPACES = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 WHITE = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
 
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from starts[i] on, counts[i] of them, for each i in turn."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -53,10 +65,11 @@ class WordBpe:
         vocab: dict[str, int] = model["vocab"]
         end = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.tokens = pa.array([tokens.get(i) for i in range(max(tokens) + 1)], pa.string())
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.library = Tokenizer.from_str(raw.decode())
+        self.raw = raw
         symbols = byte_symbols()
         self.byte_of = {c: b for b, c in enumerate(symbols)}
         self.inner = np.array([vocab[c] for c in symbols], np.int64)
@@ -69,8 +82,17 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.rank_of = dict(zip(keys.tolist(), range(len(keys)), strict=True))
-        self.known: dict[str, list[int]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties what is remembered of chunks: their entries, and the ids of each in flat arrays."""
+        self.entries: dict[bytes, int] = {}
+        self.starts, self.counts, self.flat, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), 0
+
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's own tokenizer; only its normaliser and pre-tokeniser are used."""
+        return Tokenizer.from_str(self.raw.decode())
 
     # -- pair ranks ------------------------------------------------------------------
 
@@ -128,8 +150,11 @@ class WordBpe:
 
     # -- many words ------------------------------------------------------------------
 
-    def merge_block(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> list[list[int]]:
-        """Encodes words of at most `width` symbols together; width is a power of two."""
+    def merge_block(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes words of at most `width` symbols together; width is a power of two.
+
+        Returns all ids, and how many belong to each word.
+        """
         n = len(starts)
         inside = np.arange(width) < lengths[:, None]
         sym = np.zeros((n, width + 1), np.int64)
@@ -181,31 +206,39 @@ class WordBpe:
             at[left] = after[left, at[left]]
             left = left[at[left] < width]
             alive[left, at[left]] = True
-        flat, counts = sym[alive].tolist(), alive.sum(1)
-        ends = np.cumsum(counts).tolist()
-        return [flat[e - c : e] for e, c in zip(ends, counts.tolist(), strict=True)]
+        return sym[alive], alive.sum(1)
 
-    def merge_all(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of words given as bytes, in their order."""
-        out: list[list[int]] = [[]] * len(words)
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words given as bytes, in their order, and how many belong to each word."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
         symbols, ends = self.inner[raw], np.cumsum(lengths)
         final = ends[lengths > 0] - 1
         symbols[final] = self.last[raw[final]]
         starts = ends - lengths
+        members, counts, flat = [], [], []
         low = 0
         while low < BLOCK_WIDTH:
             width = max(2, 2 * low)
-            members = np.flatnonzero((lengths > low) & (lengths <= width))
-            for lo in range(0, len(members), 8192):
-                part = members[lo : lo + 8192]
-                for i, ids in zip(part.tolist(), self.merge_block(symbols, starts[part], lengths[part], width), strict=True):
-                    out[i] = ids
+            chosen = np.flatnonzero((lengths > low) & (lengths <= width))
+            for lo in range(0, len(chosen), 8192):
+                part = chosen[lo : lo + 8192]
+                ids, n = self.merge_block(symbols, starts[part], lengths[part], width)
+                members.append(part)
+                counts.append(n)
+                flat.append(ids)
             low = width
         for i in np.flatnonzero(lengths > BLOCK_WIDTH).tolist():
-            out[i] = self.merge_one(symbols[starts[i] : ends[i]].tolist())
-        return out
+            ids = self.merge_one(symbols[starts[i] : ends[i]].tolist())
+            members.append([i])
+            counts.append([len(ids)])
+            flat.append(ids)
+        if not members:
+            return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
+        members, counts = np.concatenate(members), np.concatenate(counts).astype(np.int64)
+        begin, total = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        begin[members], total[members] = np.cumsum(counts) - counts, counts
+        return np.concatenate(flat).astype(np.int32)[spread(begin, total)], total
 
     # -- texts -----------------------------------------------------------------------
 
@@ -228,27 +261,82 @@ class WordBpe:
                 out += [bytes(map(self.byte_of.__getitem__, p)).decode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
         return out
 
-    def encode_texts(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each whole text."""
-        chunks = [t.split() if not SEPARATORS.search(t) else [c for c in WHITE.split(t) if c] for t in texts]
-        known, words = self.known, self.words
-        missing = [c for c in {c for cs in chunks for c in cs} if c not in known]
-        if missing:
-            parts = [self._parts(c) for c in missing]
-            new = [w for w in {w for p in parts for w in p} if w not in words and isinstance(w, str)]
-            if len(words) + len(new) > REMEMBERED:
-                words.clear()
-                new = list({w for p in parts for w in p if isinstance(w, str)})
-            words.update(zip(new, self.merge_all([w.encode() for w in new]), strict=True))
-            if len(known) + len(missing) > REMEMBERED:
-                self.known = known = {c: known[c] for cs in chunks for c in cs if c in known}
-            for c, p in zip(missing, parts, strict=True):
-                known[c] = words[p[0]] if len(p) == 1 and isinstance(p[0], str) else [x for q in p for x in (words[q] if isinstance(q, str) else (q,))]
-        return [[x for c in cs for x in known[c]] for cs in chunks]
-
-    def decode(self, ids: list[int]) -> str:
-        """Tokens joined by spaces, as a vocabulary without decoder gives them; unknown ids are left out."""
-        return " ".join([t for t in map(self.tokens.get, ids) if t is not None])
+    def _encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of chunks without ASCII white space, and how many belong to each chunk."""
+        order: dict[int | str, int] = {}
+        pieces, lengths = [], []
+        for chunk in chunks:
+            text = chunk.decode()
+            found = self._parts(text) if text.isascii() else [p for w in WHITE.split(text) if w for p in self._parts(w)]
+            pieces += [order.setdefault(p, len(order)) for p in found]
+            lengths.append(len(found))
+        words = {i: p for p, i in order.items() if isinstance(p, str)}
+        flat, n = self.merge_all([w.encode() for w in words.values()])
+        begin, total = np.zeros(len(order), np.int64), np.ones(len(order), np.int64)
+        begin[list(words)], total[list(words)] = np.cumsum(n) - n, n
+        special = [p for p in order if not isinstance(p, str)]
+        begin[[order[p] for p in special]] = len(flat) + np.arange(len(special))
+        flat = np.concatenate([flat, np.array(special, np.int32)])
+        at = np.array(pieces, np.int64)
+        owner = np.repeat(np.arange(len(chunks)), lengths)
+        counts = np.bincount(owner, total[at], len(chunks)).astype(np.int64)
+        return flat[spread(begin[at], total[at])], counts
+
+    def _entries_of(self, chunks: list[bytes]) -> np.ndarray:
+        """Where the ids of distinct chunks are remembered; new ones are encoded first."""
+        new = [c for c in chunks if c not in self.entries]
+        if self.held + sum(map(len, new)) + 120 * len(new) > MEMORY_BYTES:
+            self.forget()
+            new = chunks
+        if new:
+            flat, counts = self._encode_chunks(new)
+            self.entries.update(zip(new, range(len(self.starts), len(self.starts) + len(new)), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
+            self.counts, self.flat = np.concatenate([self.counts, counts]), np.concatenate([self.flat, flat])
+            self.held += sum(map(len, new)) + 120 * len(new) + flat.nbytes
+        return np.fromiter(map(self.entries.__getitem__, chunks), np.int64, len(chunks))
+
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of each whole text of a string array; nulls are empty texts."""
+        texts = pc.fill_null(texts, "")
+        n = len(texts)
+        ends = np.frombuffer(texts.buffers()[1], np.int32, n + 1, 4 * texts.offset).astype(np.int64) if n else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+        ends -= ends[0]
+        word = ~SPACES[data]
+        first, last = word.copy(), word.copy()
+        first[1:] &= ~word[:-1]
+        last[:-1] &= ~word[1:]
+        border = ends[(ends > 0) & (ends < len(data))]  # chunks end with their text
+        first[border], last[border - 1] = word[border], word[border - 1]
+        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        ids, counts = [np.zeros(0, np.int32)], np.zeros(len(start), np.int64)
+        for lo in range(0, len(start), GROUP_CHUNKS):
+            hi = min(len(start), lo + GROUP_CHUNKS)
+            a, z = start[lo], end[hi - 1]
+            offsets = np.concatenate([[0], np.cumsum(end[lo:hi] - start[lo:hi])]).astype(np.int32)
+            buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data[a:z][word[a:z]])]
+            chunks = pa.Array.from_buffers(pa.binary(), hi - lo, buffers).dictionary_encode()
+            at = self._entries_of(chunks.dictionary.to_pylist())[chunks.indices.to_numpy()]
+            counts[lo:hi] = self.counts[at]
+            ids.append(self.flat[spread(self.starts[at], counts[lo:hi])])
+        before = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(start, ends)]
+        return pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(np.concatenate(ids)))
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """Tokens of each list joined by spaces, as a vocabulary without decoder gives them.
+
+        Null lists are empty texts; unknown and null ids are left out.
+        """
+        flat, ends = ids.flatten(), pc.fill_null(pc.list_value_length(ids), 0).to_numpy().cumsum()
+        bad = pc.fill_null(pc.or_(pc.less(flat, 0), pc.greater_equal(flat, len(self.tokens))), True)
+        tokens = self.tokens.take(pc.if_else(bad, pa.scalar(None, flat.type), flat))
+        if tokens.null_count:
+            known = tokens.is_valid().to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(known)])[ends]
+            tokens = tokens.drop_null()
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), tokens)
+        return pc.binary_join(lists, " ")
 
 
 _loaded: dict[str, WordBpe] = {}
@@ -274,12 +362,6 @@ class _Held:
         return self.broadcast.value
 
 
-def _forget() -> None:
-    """Drops what the worker remembers, at the end of a task; the vocabulary stays."""
-    for model in _loaded.values():
-        model.known, model.words = {}, {}
-
-
 def read_vocabulary(spark, path: str) -> _Held:
     """Reads the vocabulary file on the driver and broadcasts it; its size is checked."""
     import hashlib
@@ -296,15 +378,10 @@ def bpe_encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     held = read_vocabulary(df.sparkSession, vocabulary)
 
     def encode(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t or "" for t in b.column(1).to_pylist()]
-        ids = _model(held).encode_texts(texts)
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        flat = np.fromiter((x for i in ids for x in i), np.int32, int(ends[-1]))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[id_col, "ids"])
+        return pa.RecordBatch.from_arrays([b.column(0), _model(held).encode(b.column(1))], names=[id_col, "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_batches(df.select(id_col, F.col(text_col).cast("string")), encode, f"`{id_col}` {kind}, ids array<int>", _forget)
+    return map_batches(df.select(id_col, F.col(text_col).cast("string")), encode, f"`{id_col}` {kind}, ids array<int>")
 
 
 def bpe_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -312,9 +389,19 @@ def bpe_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
     held = read_vocabulary(df.sparkSession, vocabulary)
 
     def decode(b: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = _model(held)
-        out = [bpe.decode(i or []) for i in b.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=[id_col, "ids", "decoded"])
+        return pa.RecordBatch.from_arrays([*b.columns, _model(held).decode(b.column(1))], names=[id_col, "ids", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return map_batches(df.select(id_col, F.col(ids_col).alias("ids")), decode, f"`{id_col}` {kind}, ids array<int>, decoded string")
+
+
+def bpe_round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """bpe_decode of bpe_encode in one pass: id_col, ids and `decoded string` of every whole text."""
+    held = read_vocabulary(df.sparkSession, vocabulary)
+
+    def both(b: pa.RecordBatch) -> pa.RecordBatch:
+        ids = _model(held).encode(b.column(1))
+        return pa.RecordBatch.from_arrays([b.column(0), ids, _model(held).decode(ids)], names=[id_col, "ids", "decoded"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return map_batches(df.select(id_col, F.col(text_col).cast("string")), both, f"`{id_col}` {kind}, ids array<int>, decoded string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from kindred.llm import archives, bpe, decontamination, media, near_duplicates,
 from kindred.plans.stored import stored
 
 #: Vocabulary of the word-end BPE; a file of the environment, never copied here.
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Documents that score as much or more are toxic.
 TOXIC_SCORE = 0.3
 
@@ -39,7 +40,7 @@ def op8_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bpe.bpe_decode(bpe.bpe_encode(table(spark, sf_dir, "documents"), VOCABULARY), VOCABULARY)
+    found = bpe.bpe_round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

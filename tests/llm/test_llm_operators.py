@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,15 +40,35 @@ def test_bpe_matches_library(spark):
     r = random.Random(4)
     texts = [*ODD, "it's <|endoftext|>we'LL <|startoftext|><|ENDOFTEXT|>!!", "é e" + "́" * 3, "".join(chr(r.randrange(32, 0x2FFF)) for _ in range(3000)), "ab" * 2000, prose(r, 50)]
     rows = {x.doc_id: x for x in bpe.bpe_decode(bpe.bpe_encode(docs(spark, texts), registry.VOCABULARY), registry.VOCABULARY).collect()}
+    once = {x.doc_id: x for x in bpe.bpe_round_trip(docs(spark, texts), registry.VOCABULARY).collect()}
     for i, text in enumerate(texts):
         want = t.encode(text or "", add_special_tokens=False).ids
-        assert rows[i].ids == want, i
-        assert rows[i].decoded == t.decode(want, skip_special_tokens=False)
+        assert rows[i].ids == want and once[i].ids == want, i
+        assert rows[i].decoded == once[i].decoded == t.decode(want, skip_special_tokens=False)
     model = bpe.WordBpe(open(registry.VOCABULARY, "rb").read())
     words = [w.encode() for w in {prose(r, 1) + "abcdefghij"[: r.randrange(10)] for _ in range(300)}]
     alone = [model.merge_one([int(model.inner[b]) for b in w[:-1]] + [int(model.last[w[-1]])]) for w in words]
-    assert model.merge_all(words) == alone
+    flat, counts = model.merge_all(words)
+    assert flat.tolist() == [i for ids in alone for i in ids] and counts.tolist() == list(map(len, alone))
     assert bpe.bpe_encode(docs(spark, []), registry.VOCABULARY).count() == 0
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [320, None, -1, 10**9, 320])], "doc_id long, ids array<int>")
+    token = t.id_to_token(320)
+    assert {x.doc_id: x.decoded for x in bpe.bpe_decode(odd, registry.VOCABULARY).collect()} == {1: "", 2: "", 3: f"{token} {token}"}
+
+
+def test_bpe_forgets_within_bounds(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(registry.VOCABULARY)
+    monkeypatch.setattr(bpe, "MEMORY_BYTES", 4000)
+    monkeypatch.setattr(bpe, "GROUP_CHUNKS", 17)
+    r = random.Random(14)
+    model = bpe.WordBpe(open(registry.VOCABULARY, "rb").read())
+    texts = ["", *[prose(r, r.randrange(40), 10**4) + r.choice(["", " ", "\u00a0x\u2003y", "\u3000"]) for _ in range(200)], None]
+    column = pa.array(["skipped", *texts]).slice(1)
+    got = model.encode(column)
+    assert got.to_pylist() == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert model.decode(got).to_pylist() == [t.decode(i, skip_special_tokens=False) for i in got.to_pylist()]
+    assert len(model.entries) <= 40
 
 
 # -- media -------------------------------------------------------------------------------------
