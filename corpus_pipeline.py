@@ -22,9 +22,13 @@ BROADCAST_IDS = 500_000
 ORACLE_SQL = None
 
 
+#: Columns that stages add while they work.
+GONE, SPANS = "id to remove", "spans to redact"
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in ids (column gone); rows without id stay."""
-    return docs.join(broadcast_if_small(ids, BROADCAST_IDS), F.col("doc_id") == F.col("gone"), "left_anti")
+    """docs without the rows whose doc_id is in ids (column GONE); rows without id stay."""
+    return docs.join(broadcast_if_small(ids, BROADCAST_IDS), F.col("doc_id") == F.col(f"`{GONE}`"), "left_anti")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,23 +40,24 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates (5 words, similarity 0.8)."""
     found = stored(near_duplicates.near_duplicate_components(docs, near_duplicates.NearDuplicates(shingle=5, percent=80)), "groups")
-    out = _without(docs, found.where("not kept").select(F.col("doc_id").alias("gone")).distinct())
-    twice = stored(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("gone")), "repeated")
+    out = _without(docs, found.where("not kept").select(F.col("doc_id").alias(GONE)).distinct())
+    twice = stored(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(GONE)), "repeated")
     if not twice.isEmpty():  # rows that are repeated as a whole
-        out = _without(out, twice).unionByName(out.join(twice, F.col("doc_id") == F.col("gone"), "left_semi").dropDuplicates())
+        out = _without(out, twice).unionByName(out.join(twice, F.col("doc_id") == F.col(f"`{GONE}`"), "left_semi").dropDuplicates())
     return out
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     found = stored(decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark")), "contamination")
-    return _without(docs, found.where("n_hit > 0").select(F.col("doc_id").alias("gone")).distinct())
+    return _without(docs, found.where("n_hit > 0").select(F.col("doc_id").alias(GONE)).distinct())
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every span of personal data replaced by its kind; n_chars follows."""
-    labelled = personal_data.label_spans(docs, personal_data.fit_spans(docs))
-    out = labelled.withColumn("text", F.when(F.col("text").isNotNull(), personal_data.redacted()))
+    found = stored(personal_data.candidate_spans(docs), "candidates")
+    labelled = personal_data.label_spans(found, personal_data.fit_spans(found), out=SPANS)
+    out = labelled.withColumn("text", F.when(F.col("text").isNotNull(), personal_data.redacted(spans=SPANS)))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -21,15 +21,18 @@ from pyspark.sql import functions as F
 # non-overlapping") but never try a second start within a run and never backtrack.
 _LOCAL = r"[A-Za-z0-9._%+-]"
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+# Prefixes of well-known keys; other keys are long hexadecimal numbers.
+_PREFIXES = "(?:AKIA|ASIA|ghp_|gho_|sk_live_|sk_test_|sk-|xox[bp]-)"
+# Groups that repeat without bound are possessive: others recurse once for each repetition.
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "email_written": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._-]{1,63}+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{2,63}+)+",
+    "email_written": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._-]{1,63}+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{2,63}+)++",
     "phone_local": r"(?<![+0-9()-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "secret": r"(?<![A-Za-z0-9_-])(?:AKIA|ASIA|ghp_|gho_|sk_live_|sk_test_|sk-|xox[bp]-)[A-Za-z0-9_-]{12,}+",
+    "secret": rf"(?<![A-Za-z0-9_-])(?:{_PREFIXES}[A-Za-z0-9_-]{{12,}}+|[0-9A-Fa-f]{{32,}}+(?![A-Za-z0-9_-]))",
 }
 BASE = ("email", "ip", "card", "phone")
 #: A sign that any span of the kind holds; texts without it are not searched.
@@ -42,7 +45,7 @@ _STRICT = {
     "email_written": r"m rlike '[A-Za-z]{2,12}$'",
     "phone_local": "m rlike '^[(]?[2-9][0-9]{2}[)]? ?[ .-]?[2-9]'",
     "national_id": "not m rlike '^(?:000|666|9)' and not m rlike '-00-' and not m rlike '-0000$'",
-    "secret": "m rlike '[0-9]' and m rlike '[A-Za-z]{4}'",
+    "secret": "m rlike '[0-9]' and m rlike '[A-Za-z]'",
 }
 _KNOWN = {
     "email": r"lower(m) rlike '[.](?:com|org|net|edu|gov|info|io|example|test|de|fr|es|uk|eu|us)$'",
@@ -52,7 +55,7 @@ _KNOWN = {
     "email_written": r"lower(m) rlike '(?:com|org|net|edu|gov|info|io|example|test|de|fr|es|uk|eu|us)$'",
     "phone_local": "not m rlike '^[(]?(?:[0-9])11'",
     "national_id": "not m in ('123-45-6789', '078-05-1120')",
-    "secret": "true",
+    "secret": f"m rlike '^{_PREFIXES}' or length(m) in (32, 40, 48, 64, 96, 128)",
 }
 _CONTEXT = {
     "email": "mail|contact|write to|kontakt|correo|courriel",
@@ -64,6 +67,10 @@ _CONTEXT = {
     "national_id": "ssn|social|id|number|security",
     "secret": "key|token|secret|password|auth",
 }
+#: Matches of a text that are put together at a time.
+BLOCK = 128
+#: Column of the candidates.
+CANDIDATES = "personal data candidates"
 VOTES = ("regex", "gazetteer", "context", "edges")
 _SPAN = "struct<s:int,e:int,m:string,before:string,after:string>"
 
@@ -73,41 +80,45 @@ def _quoted(s: str) -> str:
 
 
 def _matches(kind: str) -> str:
-    """SQL for all matches of a kind in column t, as an array of _SPAN; offsets in code points.
+    """SQL for all matches of a kind in the text t, as an array of _SPAN; offsets in code points.
 
     Offsets are sums of the lengths of the pieces between matches and of the matches.
     """
-    pattern = _quoted(PATTERNS[kind])
-    loop = (
-        "aggregate(sequence(0, size(x.ms) - 1), "
-        f"named_struct('at', 0, 'out', cast(array() as array<{_SPAN}>)), "
-        "(a, i) -> named_struct('at', a.at + length(x.ps[i]) + length(x.ms[i]), 'out', concat(a.out, array(named_struct("
-        "'s', a.at + length(x.ps[i]), 'e', a.at + length(x.ps[i]) + length(x.ms[i]), 'm', x.ms[i], 'before', right(x.ps[i], 40), 'after', left(x.ps[i + 1], 1))))), a -> a.out)"
+    pattern, none = _quoted(PATTERNS[kind]), f"cast(array() as array<{_SPAN}>)"
+    block = f"sequence(b * {BLOCK}, least(b * {BLOCK} + {BLOCK - 1}, size(ms) - 1))"
+    # a growing array is copied with each element: offsets are summed up by blocks, spans collected within them
+    starts = (
+        f"aggregate(sequence(0, (size(ms) - 1) div {BLOCK}), named_struct('at', 0, 'out', cast(array() as array<int>)), (a, b) -> named_struct("
+        f"'at', a.at + aggregate({block}, 0, (n, i) -> n + length(ps[i]) + length(ms[i])), 'out', concat(a.out, array(a.at))), a -> a.out)"
     )
-    both = f"transform(array(named_struct('ms', regexp_extract_all(t, {pattern}, 0), 'ps', split(t, {pattern}, -1))), x -> if(size(x.ms) = 0, cast(array() as array<{_SPAN}>), {loop}))[0]"
+    spans = (
+        f"aggregate({block}, named_struct('at', at, 'out', {none}), "
+        "(a, i) -> named_struct('at', a.at + length(ps[i]) + length(ms[i]), 'out', concat(a.out, array(named_struct("
+        "'s', a.at + length(ps[i]), 'e', a.at + length(ps[i]) + length(ms[i]), 'm', ms[i], 'before', right(ps[i], 40), 'after', left(ps[i + 1], 1))))), a -> a.out)"
+    )
+    pieces = f"transform(array(split(t, {pattern}, -1)), ps -> flatten(transform({starts}, (at, b) -> {spans})))[0]"
     need = _NEEDS[kind]
     guard = f"instr(t, '{need}') > 0" if need else "t rlike '[0-9]'"
-    return f"if({guard} and t rlike {pattern}, {both}, cast(array() as array<{_SPAN}>))"
+    return f"if({guard}, transform(array(regexp_extract_all(t, {pattern}, 0)), ms -> if(size(ms) = 0, {none}, {pieces}))[0], {none})"
 
 
 def _voted(kind: str) -> str:
-    """SQL that turns a kind's matches (column kind) into candidates with votes."""
-    strict, known, context = (x[kind].replace("m ", "c.m ").replace("(m", "(c.m") for x in (_STRICT, _KNOWN, _CONTEXT))
-    context = _CONTEXT[kind]
+    """SQL that turns a kind's matches in the text t into candidates with votes. In rules, m is the match."""
+    votes = f"'regex', if({_STRICT[kind]}, 1, -1), 'gazetteer', if({_KNOWN[kind]}, 1, -1), 'context', if(lower(c.before) rlike {_quoted(_CONTEXT[kind])}, 1, 0)"
     return (
-        f"transform(`{kind}`, c -> named_struct('kind', '{kind}', 's', c.s, 'e', c.e, "
-        f"'regex', if({strict}, 1, -1), 'gazetteer', if({known}, 1, -1), 'context', if(lower(c.before) rlike {_quoted(context)}, 1, 0), "
+        f"transform({_matches(kind)}, c -> transform(array(c.m), m -> named_struct('kind', '{kind}', 's', c.s, 'e', c.e, {votes}, "
         "'edges', if((c.before = '' or c.before rlike '[^A-Za-z0-9]$') and (c.after = '' or c.after rlike '[^A-Za-z0-9]'), 1, -1), "
-        "'size', cast(least(7, (c.e - c.s) div 6) as int), 'marks', if(c.m rlike '[ ()-]', 1, 0)))"
+        "'size', cast(least(7, (c.e - c.s) div 6) as int), 'marks', if(m rlike '[ ()-]', 1, 0)))[0])"
     )
 
 
-def candidate_spans(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """documents with `cands`: candidates of every kind with their votes and shape."""
-    out = documents.withColumn("t", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    for kind in PATTERNS:
-        out = out.withColumn(kind, F.expr(_matches(kind)))
-    return out.withColumn("cands", F.expr("concat(" + ", ".join(map(_voted, PATTERNS)) + ")")).drop("t", *PATTERNS)
+def candidate_spans(documents: DataFrame, text_col: str = "text", out: str = CANDIDATES) -> DataFrame:
+    """documents with a column `out`: candidates of every kind with their votes and shape.
+
+    Null and empty texts have none. Other columns stay as they are; one of the name `out` is replaced.
+    """
+    every = "concat(" + ", ".join(map(_voted, PATTERNS)) + ")"
+    return documents.withColumn(out, F.expr(f"transform(array(coalesce(cast(`{text_col}` as string), '')), t -> {every})[0]"))
 
 
 @dataclass(frozen=True)
@@ -172,36 +183,37 @@ def estimate(counts: list[tuple], rounds: int = 40) -> SpanModel:
     return SpanModel(prior, weights, reliability)
 
 
-def fit_spans(documents: DataFrame, text_col: str = "text") -> SpanModel:
-    """Counts the vote patterns of all candidates of all documents and fits the model on them."""
-    found = candidate_spans(documents.select(text_col), text_col).select(F.explode("cands").alias("c")).select("c.*")
+def fit_spans(found: DataFrame, candidates: str = CANDIDATES) -> SpanModel:
+    """Counts the vote patterns of all candidates of all documents and fits the model on them.
+
+    found: what candidate_spans returns, stored, so that patterns are searched once.
+    """
+    rows = found.select(F.explode(F.col(f"`{candidates}`")).alias("c")).select("c.*")
     keys = ["kind", *VOTES, "size", "marks"]
-    return estimate([tuple(r) for r in found.groupBy(*keys).count().orderBy(*keys).collect()])
+    return estimate([tuple(r) for r in rows.groupBy(*keys).count().orderBy(*keys).collect()])
 
 
-def label_spans(documents: DataFrame, model: SpanModel, text_col: str = "text") -> DataFrame:
-    """documents with `spans`: array of (kind, s, e), by kind as in PATTERNS, then by start.
+def label_spans(found: DataFrame, model: SpanModel, candidates: str = CANDIDATES, out: str = "spans") -> DataFrame:
+    """found without candidates and with `out`: array of (kind, s, e), by kind as in PATTERNS, then by start.
 
     Offsets are code points, ends exclusive. Base kinds with a valid format are spans
     whatever the classifier says; other candidates are if it accepts them. Null and empty
-    texts have none. A column named spans or cands of the input is replaced.
+    texts have none. A column named `out` of the input is replaced, others stay.
     """
     base = "c.kind in (" + ", ".join(f"'{k}'" for k in BASE) + ")"
     keep = f"if({base}, c.regex = 1, {model.accepted()})"
-    found = candidate_spans(documents, text_col)
-    return found.withColumn("spans", F.expr(f"transform(filter(cands, c -> {keep}), c -> named_struct('kind', c.kind, 's', c.s, 'e', c.e))")).drop("cands")
+    spans = F.expr(f"transform(filter(`{candidates}`, c -> {keep}), c -> named_struct('kind', c.kind, 's', c.s, 'e', c.e))")
+    return found.withColumn(out, spans).drop(candidates)
 
 
 def span_text(spans: str = "spans", kinds: tuple[str, ...] | None = None) -> Column:
     """kind:start:end of spans, joined by commas; kinds: only these."""
-    chosen = f"filter({spans}, c -> c.kind in ({', '.join(map(repr, kinds))}))" if kinds else spans
+    chosen = f"filter(`{spans}`, c -> c.kind in ({', '.join(map(repr, kinds))}))" if kinds else f"`{spans}`"
     return F.expr(f"array_join(transform({chosen}, c -> concat(c.kind, ':', c.s, ':', c.e)), ',')")
 
 
 def redacted(text_col: str = "text", spans: str = "spans") -> Column:
     """The text with every span replaced by its kind in angle brackets; overlapping spans merge."""
-    order = f"array_sort(transform({spans}, c -> named_struct('s', c.s, 'e', c.e, 'kind', c.kind)))"
-    step = (
-        f"(a, c) -> named_struct('out', concat(a.out, if(c.s >= a.at, concat(substring({text_col}, a.at + 1, c.s - a.at), '<', c.kind, '>'), '')), 'at', greatest(a.at, c.e))"
-    )
-    return F.expr(f"if(size({spans}) = 0, {text_col}, aggregate({order}, named_struct('out', '', 'at', 0), {step}, a -> concat(a.out, substring({text_col}, a.at + 1))))")
+    order = f"array_sort(transform(`{spans}`, c -> named_struct('s', c.s, 'e', c.e, 'kind', c.kind)))"
+    step = f"(a, c) -> named_struct('out', concat(a.out, if(c.s >= a.at, concat(substring(`{text_col}`, a.at + 1, c.s - a.at), '<', c.kind, '>'), '')), 'at', greatest(a.at, c.e))"
+    return F.expr(f"if(size(`{spans}`) = 0, `{text_col}`, aggregate({order}, named_struct('out', '', 'at', 0), {step}, a -> concat(a.out, substring(`{text_col}`, a.at + 1))))")

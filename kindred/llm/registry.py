@@ -46,10 +46,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = personal_data.label_spans(docs, personal_data.fit_spans(docs)).select("doc_id", "spans")
-    counts = [F.expr(f"cast(size(filter(spans, c -> c.kind = '{k}')) as long)").alias(f"n_{k}") for k in personal_data.BASE]
-    return found.select("doc_id", *counts, F.sha2(personal_data.span_text(kinds=personal_data.BASE).cast("binary"), 256).alias("base_sha256"), personal_data.span_text().alias("spans"))
+    candidates = stored(personal_data.candidate_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "candidates")
+    found = personal_data.label_spans(candidates, personal_data.fit_spans(candidates))
+    count = lambda k: F.expr(f"cast(size(filter(spans, c -> c.kind = '{k}')) as long)").alias(f"n_{k}")
+    base, added = [count(k) for k in personal_data.BASE], [count(k) for k in personal_data.PATTERNS if k not in personal_data.BASE]
+    digest = F.sha2(personal_data.span_text(kinds=personal_data.BASE).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *base, digest, personal_data.span_text().alias("spans"), F.size("spans").cast("long").alias("n_spans"), *added)
 
 
 def op3_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

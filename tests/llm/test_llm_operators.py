@@ -292,9 +292,9 @@ def test_personal_data(spark):
     r = random.Random(6)
     texts = [*ODD, "a@b.c%d@e.f x@y@z.com _x@y.org a@b.com_x@y.org", "1.2.3.4.5.6.7.8 001.02.3.255 1.2.3.256 1.2.3", "+1 (456) 555-2186 and +123 +12", "4111 1111 1111 1111 x 4111-1111-1111-1112", "é😀 4111111111111111, me@ex.org", "call 212 555-0187 or jo (at) ex (dot) com", "1 " * 4000, "a" * 20000 + "@", "9." * 3000, "sk_live_abcdEFGH12345678"]
     texts += ["".join(r.choice("ab1.2@-+ ()%é") for _ in range(200)) for _ in range(150)]
-    d = docs(spark, texts)
-    model = personal_data.fit_spans(d)
-    got = {x.doc_id: x for x in personal_data.label_spans(d, model).withColumn("red", personal_data.redacted()).collect()}
+    found = personal_data.candidate_spans(docs(spark, texts))
+    model = personal_data.fit_spans(found)
+    got = {x.doc_id: x for x in personal_data.label_spans(found, model).withColumn("red", personal_data.redacted()).collect()}
     for i, t in enumerate(texts):
         want = brute_spans(t or "")
         mine = defaultdict(list)
@@ -304,7 +304,34 @@ def test_personal_data(spark):
         order = [list(personal_data.PATTERNS).index(s.kind) for s in got[i].spans]
         assert order == sorted(order)
     assert got[len(ODD) + 4].red == "é😀 <card>, <email>" and got[0].red is None
-    assert personal_data.label_spans(docs(spark, []), personal_data.fit_spans(docs(spark, []))).count() == 0
+    empty = personal_data.candidate_spans(docs(spark, []))
+    assert personal_data.label_spans(empty, personal_data.fit_spans(empty)).count() == 0
+
+
+def test_personal_data_of_very_long_texts(spark):
+    # groups that recurse once for each repetition would end the JVM here
+    texts = ["jo (at) " + "ab." * 40_000 + "com", "a@" + "b." * 60_000 + "c", "1." * 60_000, "+1" + " 2" * 60_000, "1-" * 60_000]
+    found = personal_data.candidate_spans(docs(spark, texts))
+    rows = {x.doc_id: [tuple(s) for s in x.spans] for x in personal_data.label_spans(found, personal_data.fit_spans(found)).collect()}
+    assert rows[0] == [("email_written", 0, len(texts[0]))] and rows[1] == [("email", 0, len(texts[1]))] and rows[3] == rows[4] == []
+    assert rows[2] == [("ip", 8 * i, 8 * i + 7) for i in range(15_000)]
+
+
+def test_personal_data_leaves_other_columns(spark):
+    rows = spark.createDataFrame([(1, "me@ex.org", "theirs", "kept", "old", 5)], "doc_id long, text string, email string, t string, spans string, cands int")
+    found = personal_data.candidate_spans(rows)
+    got = personal_data.label_spans(found, personal_data.fit_spans(found)).first()
+    assert (got.email, got.t, got.cands) == ("theirs", "kept", 5) and [(x.kind, x.s, x.e) for x in got.spans] == [("email", 0, 9)]
+
+
+def test_added_kinds_are_found(spark):
+    r = random.Random(15)
+    hexed = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    spot = {"secret": lambda: f'token = "{hexed(40)}"', "phone_local": lambda: f"call {r.randrange(212, 999)} 555-{r.randrange(1000, 9999)}", "email_written": lambda: f"mail j{r.randrange(99)} (at) ex (dot) com", "national_id": lambda: f"ssn {r.randrange(100, 600)}-12-{r.randrange(1000, 9999)}"}
+    kinds = [k for k in spot for _ in range(60)] + [None] * 60
+    found = personal_data.candidate_spans(docs(spark, [f"{prose(r, 9)} {spot[k]() if k else hexed(31)} {prose(r, 9)}" for k in kinds]))
+    for x in personal_data.label_spans(found, personal_data.fit_spans(found)).collect():
+        assert [s.kind for s in x.spans] == ([kinds[x.doc_id]] if kinds[x.doc_id] else []), x.text
 
 
 def test_long_secrets_are_redacted_whole(spark):
@@ -312,7 +339,8 @@ def test_long_secrets_are_redacted_whole(spark):
     key = lambda n: "".join(r.choice("abcdEFGH0123_-") for _ in range(n))
     keys = ["sk_live_Abcd1" + key(n) for n in (20, 195, 200, 500, 100_000)]
     d = docs(spark, [f"token: {k} end" for k in keys])
-    for x in personal_data.label_spans(d, personal_data.fit_spans(d)).withColumn("red", personal_data.redacted()).collect():
+    found = personal_data.candidate_spans(d)
+    for x in personal_data.label_spans(found, personal_data.fit_spans(found)).withColumn("red", personal_data.redacted()).collect():
         spans = [(s.s, s.e) for s in x.spans if s.kind == "secret"]
         assert spans == [(7, 7 + len(keys[x.doc_id]))] and x.red == "token: <secret> end"
 
