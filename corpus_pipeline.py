@@ -49,7 +49,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = stored(decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark")), "contamination")
+    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
     return _without(docs, found.where("n_hit > 0").select(F.col("doc_id").alias(GONE)).distinct())
 
 

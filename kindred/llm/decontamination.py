@@ -1,12 +1,20 @@
 """Benchmark decontamination: prefix-filtered containment join of item windows and documents.
 
 A window is `window` consecutive words of an item (an item of fewer words, but not none, is
-one window). A document can only contain a window if it contains every one of its tokens, so
-one necessary token suffices to find candidates: the window's rarest in the corpus (prefix
-length 1 for containment of all tokens). Windows with a token that no document has are
-dropped. A candidate carries the document position that its token's offset in the window
-implies; starts before the first word or ends after the last are ruled out, and the rest is
-verified word by word at that position.
+one window). It is taken as the set of its shingles: SHINGLE consecutive words, or all words
+of a shorter window. A document contains a window only if it contains all of its shingles, so
+the necessary prefix of a window, in the order of rarity in the documents, is one shingle: the
+rarest. Windows with a shingle that no document has are dropped.
+
+ 1. Words of the documents are stored once, joined by single spaces.
+ 2. Shingles that occur in windows are counted over all documents.
+ 3. Each window's rarest shingle meets the documents' shingles. The window's offset and length
+    bound the place: starts before the first word and ends after the last are ruled out.
+ 4. The words at that place are compared with whole windows.
+
+Shingles meet as hashes, so counts and candidates may be too many, never too few; what decides
+is the comparison of words. Both joins broadcast blocks of BLOCK_WINDOWS windows at most, one
+block after the other if there are more. No text is shuffled.
 
 All steps are DataFrame and SQL functions.
 """
@@ -16,14 +24,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.plans.sizes import broadcast_if_small
 from kindred.plans.stored import drop, stored
 
-#: Consecutive item words that make a window.
-WINDOW = 10
-#: Windows whose tokens are broadcast (about 200 bytes each); more of them go into a shuffled join.
-BROADCAST_WINDOWS = 100_000
+#: Consecutive item words that make a window, and words of a shingle.
+WINDOW, SHINGLE = 10, 3
+#: Windows that are broadcast at once (about 500 bytes each, with their shingles).
+BLOCK_WINDOWS = 100_000
+#: Documents with hits, or owners of windows, that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_NONE = "cast(array() as array<bigint>)"
 
 
 def words_of(text: str) -> Column:
@@ -32,6 +44,12 @@ def words_of(text: str) -> Column:
     return F.array_remove(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
+def shingles_of(words: str, size: int) -> str:
+    """SQL for the hashes of all shingles of so many words, in their order."""
+    at = ", ".join(f"{words}[i + {k}]" if k else f"{words}[i]" for k in range(size))
+    return f"if(size({words}) < {size}, {_NONE}, transform(sequence(0, size({words}) - {size}), i -> xxhash64({at})))"
+
+
 def item_windows(benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item and words (array) of every window; repeated windows of an item count once."""
     items = benchmark.select(F.col(item_col).alias("item"), words_of(text_col).alias("words")).where("size(words) > 0")
@@ -39,22 +57,37 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, item_col: str = "it
     return items.select("item", F.explode(cut).alias("words")).distinct()
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _shingles(rows: DataFrame, size: int, *columns: str) -> DataFrame:
+    """pos and g of every shingle of the documents in rows, with columns of the document."""
+    return rows.where("n > 0").select("rid", F.split("words", " ", -1).alias("words")).select(*columns, F.posexplode(F.expr(shingles_of("words", size))).alias("pos", "g"))
 
 
-def _prefixes(positions: DataFrame, windows: DataFrame) -> DataFrame:
-    """window, len, token and its offset for each window that the corpus may hold.
+def _prefixes(rows: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """g, size, off and len of the prefixes of a block of windows that the documents may hold.
 
-    windows: window (its words joined by spaces), words. positions: id, pos, word.
+    windows: window, words, size (words of its shingles).
     """
-    tokens = windows.select("window", "words", F.posexplode("words").alias("off", "token"))
-    vocabulary = tokens.select("token").distinct()
-    counts = positions.join(_small(vocabulary, BROADCAST_WINDOWS), F.col("word") == F.col("token")).groupBy("token").agg(F.count("*").alias("found"))
-    ranked = tokens.join(counts, "token", "left").groupBy("window").agg(
-        F.count("*").alias("len"), F.count("found").alias("present"), F.min(F.struct("found", "token", "off")).alias("rarest"), F.min(F.coalesce("found", F.lit(0))).alias("least"))
-    return ranked.where("least > 0").select("window", F.col("len").cast("int").alias("len"), F.col("rarest.token").alias("token"), F.col("rarest.off").alias("off"))
+    cases = " ".join(f"when {k} then {shingles_of('words', k)}" for k in sizes)
+    parts = windows.select("window", "size", F.size("words").alias("len"), F.posexplode(F.expr(f"case size {cases} end")).alias("off", "g"))
+    counts = None
+    for k in sizes:
+        wanted = F.broadcast(parts.where(F.col("size") == k).select("g").distinct())
+        met = _shingles(rows, k, "rid").join(wanted, "g").groupBy("g").agg(F.count("*").alias("found")).select(F.lit(k).alias("size"), "g", "found")
+        counts = met if counts is None else counts.unionByName(met)
+    ranked = parts.join(counts, ["size", "g"], "left").groupBy("window", "size", "len")
+    rarest = ranked.agg(F.min(F.coalesce("found", F.lit(0))).alias("least"), F.min(F.struct("found", "g", "off")).alias("top"))
+    return rarest.where("least > 0").select("size", "top.g", "top.off", "len").distinct()
+
+
+def _hits(rows: DataFrame, windows: DataFrame, prefixes: DataFrame, sizes: list[int]) -> DataFrame:
+    """rid, start, len and window (its number) of every occurrence of a block's windows."""
+    out = None
+    for k in sizes:
+        met = _shingles(rows, k, "rid", "words").join(F.broadcast(prefixes.where(F.col("size") == k).drop("size")), "g")
+        met = met.withColumn("start", F.col("pos") - F.col("off")).where("start >= 0 and start + len <= size(words)")
+        met = met.select("rid", "start", "len", F.concat_ws(" ", F.slice("words", F.col("start") + 1, F.col("len"))).alias("text"))
+        out = met if out is None else out.unionByName(met)
+    return out.join(F.broadcast(windows.select("window", "text")), "text").select("rid", "start", "len", "window")
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -63,23 +96,37 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     n_hit: words inside an occurrence of any window. Null and empty texts have no words.
     Every row is judged by its own text, with repeated or null ids too; items without id
     count for n_hit and are not listed. An empty benchmark hits nothing. Texts are read
-    whole; other columns are not read.
+    whole; other columns are not read. What one document gathers is bounded by its own words
+    (starts of windows) and by its result (items).
     """
-    held = stored(item_windows(benchmark, window, item_col, item_text_col).withColumn("window", F.concat_ws(" ", "words")), "windows")
-    docs = documents.select(F.col(id_col).alias("id"), words_of(text_col).alias("words"))
-    positions = docs.select("id", F.size("words").alias("n"), F.posexplode("words").alias("pos", "word"))
-    prefixes = stored(_prefixes(positions, held.select("window", "words").distinct()), "prefixes")
-    found = positions.join(_small(prefixes, BROADCAST_WINDOWS), F.col("word") == F.col("token"))
-    # length and position: the window must lie within the document
-    found = found.withColumn("start", F.col("pos") - F.col("off")).where("start >= 0 and start + len <= n")
-    candidates = found.groupBy("id").agg(F.collect_set(F.struct("start", "len", "window")).alias("cands"))
-    met = docs.withColumn("rid", F.monotonically_increasing_id()).join(candidates.withColumnRenamed("id", "cid"), F.col("id").eqNullSafe(F.col("cid")), "left")
-    true = F.expr("filter(cands, c -> concat_ws(' ', slice(words, c.start + 1, c.len)) = c.window)")
-    met = met.select("rid", "id", F.size("words").cast("long").alias("n_words"), F.when(F.col("cands").isNotNull(), true).alias("hits"))
-    covered = F.expr("size(array_distinct(flatten(transform(hits, c -> sequence(c.start, c.start + c.len - 1)))))")
-    told = stored(met.select("rid", "id", "n_words", F.coalesce(F.when(F.col("hits").isNotNull(), covered), F.lit(0)).cast("long").alias("n_hit"), F.expr("array_distinct(transform(hits, c -> c.window))").alias("windows")), "hits")
-    owners = held.where("item is not null").select("window", F.col("item").cast("string").alias("item"))
-    items = told.where("n_hit > 0").select("rid", F.explode("windows").alias("window")).join(_small(owners, BROADCAST_WINDOWS), "window").groupBy("rid").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    out = told.join(items, "rid", "left")
-    drop(prefixes)
-    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+    owned = stored(item_windows(benchmark, window, item_col, item_text_col).withColumn("text", F.concat_ws(" ", "words")), "owners")
+    distinct = owned.select("text", "words").distinct().select(F.monotonically_increasing_id().alias("window"), "text", "words", F.least(F.size("words"), F.lit(SHINGLE)).alias("size"))
+    windows = stored(distinct, "windows")
+    n = windows.count()
+    words = documents.select(F.col(id_col).alias("id"), words_of(text_col).alias("words"))
+    rows = stored(words.select(F.monotonically_increasing_id().alias("rid"), F.array_join("words", " ").alias("words"), "id", F.size("words").cast("long").alias("n")), "words")
+    found, blocks, held = [], -(-n // BLOCK_WINDOWS), []
+    for b in range(blocks):
+        block = windows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else windows
+        sizes = [r[0] for r in block.select("size").distinct().orderBy("size").collect()]  # SHINGLE rows at most
+        if sizes:
+            prefixes = stored(_prefixes(rows, block, sizes), "prefixes")
+            held.append(prefixes)
+            found.append(stored(_hits(rows, block, prefixes, sizes), "hits"))
+    empty = documents.sparkSession.createDataFrame([], "rid long, start int, len int, window long")
+    hits = empty
+    for f in found:
+        hits = hits.unionByName(f)
+    # covered words: the sum of what each occurrence adds to those that start before it
+    step = "(a, c) -> named_struct('sum', a.sum + greatest(0, c.end - greatest(c.start, a.at)), 'at', greatest(a.at, c.end))"
+    spans = hits.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end")))).alias("spans"))
+    covered = spans.select("rid", F.expr(f"aggregate(spans, named_struct('sum', 0, 'at', 0), {step}, a -> cast(a.sum as bigint))").alias("n_hit"))
+    owners = owned.where("item is not null").join(windows.select("text", "window"), "text").select("window", F.col("item").cast("string").alias("item"))
+    owners = stored(owners, "owners")
+    items = hits.select("rid", "window").distinct().join(broadcast_if_small(owners, BROADCAST_ROWS), "window").groupBy("rid").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    told = stored(covered.join(items, "rid", "left"), "told")
+    out = rows.select("rid", "id", "n").join(broadcast_if_small(told, BROADCAST_ROWS), "rid", "left")
+    none = F.expr("cast(array() as array<string>)")
+    result = stored(out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items")), "contamination")
+    drop(owned, windows, rows, owners, told, *held, *found)
+    return result

@@ -238,13 +238,14 @@ def test_repeats_with_shared_ids(spark):
 # -- decontamination ---------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("small", [100_000, 0])
+@pytest.mark.parametrize("small", [100_000, 9])
 def test_decontamination(spark, monkeypatch, small):
-    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", small)
+    monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", small)
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", small)
     r = random.Random(5)
-    items = [prose(r, n, 60) for n in (3, 9, 10, 11, 30)] + [None, "", "!!", "Zwölf Äpfel"]
+    items = [prose(r, n, 60) for n in (3, 9, 10, 11, 30)] + [None, "", "!!", "Zwölf Äpfel", "solo", "a b " * 7]
     items += [items[4], items[2] + " " + items[4]]
-    texts = [*ODD, "zwölf Äpfel", "zwölf äpfel", *[prose(r, 50, 60) for _ in range(20)]]
+    texts = [*ODD, "zwölf Äpfel", "zwölf äpfel", "Solo!", "a b " * 40, "solo a b " * 9, *[prose(r, 50, 60) for _ in range(20)]]
     for _ in range(20):
         it = r.choice(items[:5]).split()
         texts.append(prose(r, 5, 60) + " " + ", ".join(it[r.randrange(len(it)) :]).upper() + " -- " + r.choice(items[:5]))
@@ -267,6 +268,10 @@ def test_decontamination(spark, monkeypatch, small):
         assert (got[i].n_words, got[i].n_hit, got[i].items) == (len(w), len(hit), sorted(found)), i
     assert decontamination.find_contamination(docs(spark, texts), bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontamination.find_contamination(docs(spark, []), bench).count() == 0
+    # rows without id are judged by their own texts, items without id are not listed
+    none = spark.createDataFrame([(None, t) for t in ("solo", "nothing", None)], "doc_id long, text string")
+    got = sorted((x.n_words, x.n_hit, x.items) for x in decontamination.find_contamination(none, bench.unionByName(spark.createDataFrame([(None, "solo")], bench.schema))).collect())
+    assert got == [(0, 0, []), (1, 0, []), (1, 1, [str(items.index("solo"))])]
 
 
 # -- personal data -----------------------------------------------------------------------------
