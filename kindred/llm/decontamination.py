@@ -58,8 +58,12 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, item_col: str = "it
 
 
 def _shingles(rows: DataFrame, size: int, *columns: str) -> DataFrame:
-    """pos and g of every shingle of the documents in rows, with columns of the document."""
-    return rows.where("n > 0").select("rid", F.split("words", " ", -1).alias("words")).select(*columns, F.posexplode(F.expr(shingles_of("words", size))).alias("pos", "g"))
+    """pos and g of every shingle of the documents in rows, with columns of the document; nulls for none."""
+    words = rows.where("n > 0").select("rid", F.split("words", " ", -1).alias("words"))
+    # hashes are a column of their own, so that code is generated from the generator to the join:
+    # it then takes the words by reference, and does not copy them for each position. The outer
+    # form keeps the optimiser from inferring a filter that computes all hashes once more
+    return words.withColumn("gs", F.expr(shingles_of("words", size))).select(*columns, F.posexplode_outer("gs").alias("pos", "g"))
 
 
 def _prefixes(rows: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
