@@ -39,7 +39,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates (5 words, similarity 0.8)."""
-    found = stored(near_duplicates.near_duplicate_components(docs, near_duplicates.NearDuplicates(shingle=5, percent=80)), "groups")
+    found = near_duplicates.near_duplicate_components(docs, near_duplicates.NearDuplicates(shingle=5, percent=80))
     out = _without(docs, found.where("not kept").select(F.col("doc_id").alias(GONE)).distinct())
     twice = stored(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(GONE)), "repeated")
     if not twice.isEmpty():  # rows that are repeated as a whole

@@ -6,14 +6,16 @@ and rounds from the number of bins on put all shingles in one given bin each, so
 coordinate fills. Equal coordinates estimate the Jaccard similarity with concentration.
 Bands of ROWS coordinates are buckets; what meets in a bucket is verified on full sets.
 
-Copies of one shingle set form a class first (one group-by); only the class with the
-smallest id goes on. In each bucket everyone is compared with the bucket's smallest member
-(stars), the links that hold are merged to components, and only pairs of one bucket that
-still lie in different components are compared after that. So big groups of near copies
-cost about their size, and a link that banding finds is never skipped unless its two ends
-are joined already. Of such pairs an odd sketch rules out those that can't be similar: it has the
-parity of the shingles hashed to each of ODD_BITS bits, so two sketches differ in at most as
-many bits as the sets differ in shingles.
+Copies of one shingle set form a class first (one group-by); only the row with the smallest
+id goes on. In each bucket everyone is compared with the bucket's smallest member (stars), and
+the links that hold are merged to components. Buckets that still hold several components go
+through rounds: some members outside the bucket's largest component are centres, these are
+compared with all members of other components and leave the bucket, components are merged
+again. Their number grows from round to round, so every pair of different components of a
+bucket is compared in the end, and no pair of one component ever is: a bucket of n joined
+members and k strangers costs k * n comparisons. Of the pairs an odd sketch rules out those
+that can't be similar: it has the parity of the shingles hashed to each of ODD_BITS bits, so
+two sketches differ in at most as many bits as the sets differ in shingles.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.arrow_rows import map_batches
 from kindred.operators.graph import connected_components
+from kindred.plans.sizes import broadcast_if_small
 from kindred.plans.stored import drop, stored
 
 
@@ -47,6 +50,10 @@ class NearDuplicates:
 
 #: Bits of the odd sketch; a multiple of 64.
 ODD_BITS = 1024
+#: Centres of a bucket in the first round, about, and how many times more there are in the next one.
+CENTRES, GROWTH = 8, 8
+#: Rows of classes, components or centres (at most 250 bytes each) that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 _MULTIPLIERS = (np.random.RandomState(11).randint(0, 2**62, 64, np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -139,14 +146,53 @@ def _near(x: str, y: str, nx: str, ny: str, p: NearDuplicates):
     return F.lit(100 + p.percent) * bits <= F.lit(100 - p.percent) * (F.col(nx) + F.col(ny))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFrame:
-    """Of pairs (x, y) those whose full sets are similar enough. The side with few, much-used
-    sets comes last: its join is on y, where adaptive execution may split the other side."""
+def _links(pairs: DataFrame, sets: DataFrame, p: NearDuplicates, *more: str) -> DataFrame:
+    """Of pairs (x, y, and more columns) those whose full sets are similar enough. The side with few,
+    much-used sets comes last: its join is on y, where adaptive execution may split the other side."""
     left = sets.select(F.col("id").alias("x"), F.col("members").alias("mx"))
     right = sets.select(F.col("id").alias("y"), F.col("members").alias("my"))
     both = pairs.join(left, "x").join(right, "y")
     common = F.size(F.array_intersect("mx", "my"))
-    return both.where(F.lit(100) * common >= F.lit(p.percent) * (F.size("mx") + F.size("my") - common)).select("x", "y")
+    return both.where(F.lit(100) * common >= F.lit(p.percent) * (F.size("mx") + F.size("my") - common)).select("x", "y", *more)
+
+
+def mixed_buckets(placed: DataFrame) -> DataFrame:
+    """Members (band, component, ...) of the buckets with several components, with the bucket's
+    largest component as `main` and the number of members outside it."""
+    sizes = placed.groupBy("band", "component").agg(F.count("*").alias("m"))
+    bands = sizes.groupBy("band").agg(F.max(F.struct("m", "component")).alias("top"), (F.sum("m") - F.max("m")).alias("outside")).where("outside > 0")
+    bands = stored(bands.select("band", F.col("top.component").alias("main"), "outside"), "mixed")
+    return placed.join(broadcast_if_small(bands, BROADCAST_ROWS), "band")
+
+
+def centres_of(rest: DataFrame, round_: int) -> DataFrame:
+    """The members of mixed buckets that are compared with all others in this round.
+
+    They are drawn by a hash from the members outside the largest component, about
+    CENTRES * GROWTH ** round_ in each bucket, or all if there are no more.
+    """
+    luck = F.pmod(F.xxhash64("id", F.lit(round_)), F.lit(1 << 30)) / float(1 << 30)
+    return rest.where((F.col("component") != F.col("main")) & (luck * F.col("outside") < float(CENTRES * GROWTH**round_)))
+
+
+def pairs_of(rest: DataFrame, centres: DataFrame, p: NearDuplicates) -> DataFrame:
+    """Pairs (x, y) of a centre y and a member x of another component in one of its buckets, with
+    their components cx and cy, that sizes and odd sketches don't rule out."""
+    one = rest.select("band", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("odd").alias("ox"))
+    two = centres.select("band", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("odd").alias("oy"))
+    apart = (F.col("cx") != F.col("cy")) & _possible("nx", "ny", p) & _near("ox", "oy", "nx", "ny", p)
+    return one.join(broadcast_if_small(two, BROADCAST_ROWS), "band").where(apart).select("x", "y", "cx", "cy").distinct()
+
+
+def _joined(merged: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and component after components were linked by edges (cx, cy)."""
+    found = connected_components(edges, "cx", "cy").select(F.col("node").alias("old"), F.col("component").alias("new"))
+    found = stored(found, "contracted")
+    moved = merged.join(broadcast_if_small(found, BROADCAST_ROWS), merged.component == found.old, "left").select("node", F.coalesce("new", "component").alias("component"))
+    single = found.join(merged, found.old == merged.node, "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+    out = stored(moved.union(single), "components")
+    drop(found)
+    return out
 
 
 def near_duplicate_components(documents: DataFrame, p: NearDuplicates = NearDuplicates(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,8 +206,10 @@ def near_duplicate_components(documents: DataFrame, p: NearDuplicates = NearDupl
     kind = documents.schema[id_col].dataType.simpleString()
     source = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     told = stored(map_batches(source, lambda b: _describe(b, p), f"id {kind}, n long, set_key binary, bands array<long>, odd array<long>"), "sketches")
-    classes = told.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("class_id"))
-    first = told.join(classes, ["set_key"]).where("id = class_id")
+    keyed = told.where("set_key is not null and id is not null")
+    # classes of one row are not joined with anything
+    classes = stored(keyed.groupBy("set_key").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")).where("copies > 1").select("set_key", "class_id"), "classes")
+    first = keyed.join(broadcast_if_small(classes, BROADCAST_ROWS), "set_key", "left").where("class_id is null or id = class_id").select("id", "n", "bands", "odd")
     banded = first.select("id", "n", F.explode("bands").alias("band")).dropDuplicates(["band", "id"])
     # stored, so that its join has a shuffle on both sides and large buckets can be split
     centres = stored(banded.groupBy("band").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1").select("band", "centre"), "centres")
@@ -171,26 +219,33 @@ def near_duplicate_components(documents: DataFrame, p: NearDuplicates = NearDupl
 
     centre_sizes = buckets.where("id = centre").select("band", F.col("n").alias("centre_n"))
     stars = buckets.where("id <> centre").join(centre_sizes, "band").where(_possible("n", "centre_n", p)).select(F.col("id").alias("x"), F.col("centre").alias("y")).distinct()
+    stars = stored(stars, "stars")
     links = stored(_links(stars, sets, p), "links")
     merged = stored(connected_components(links, "x", "y"), "components")
 
-    placed = buckets.join(merged, buckets.id == merged.node, "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    mixed = stored(mixed, "mixed")
     odd = first.select("id", "odd").dropDuplicates(["id"])
-    rest = stored(placed.join(mixed, "band", "left_semi").join(odd, "id").select("band", "id", "n", "component", "odd"), "rest")
-    one, two = rest.toDF("band", "x", "nx", "cx", "ox"), rest.toDF("band", "y", "ny", "cy", "oy")
-    apart = (F.col("cx") != F.col("cy")) & (F.col("x") > F.col("y")) & _possible("nx", "ny", p) & _near("ox", "oy", "nx", "ny", p)
-    pairs = one.join(two, "band").where(apart).select("x", "y").distinct()
-    more = stored(_links(pairs.join(stars, ["x", "y"], "left_anti"), sets, p), "links")
-    if more.isEmpty():
-        final = merged
-    else:
-        # the components found so far are contracted: an edge from each member to its smallest
-        final = connected_components(more.union(merged.where("node <> component").select("node", "component")), "x", "y")
-    final = stored(final, "components")
-    drop(centres, buckets, sets, links, merged, mixed, rest, more)
-    of_class = classes.join(final, classes.class_id == final.node, "left").select("set_key", F.coalesce("component", "class_id").alias("component"))
-    out = told.select("id", "n", "set_key").join(of_class, "set_key", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    placed = buckets.join(merged, buckets.id == merged.node, "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
+    rest = stored(mixed_buckets(placed).join(odd, "id"), "rest")
+    round_ = 0
+    while not rest.isEmpty():
+        chosen = stored(centres_of(rest, round_), "chosen")
+        pairs = pairs_of(rest, chosen, p).join(stars, ["x", "y"], "left_anti")
+        more = stored(_links(pairs, sets, p, "cx", "cy").select("cx", "cy").distinct(), "links")
+        left = rest.join(broadcast_if_small(chosen.select("band", "id"), BROADCAST_ROWS), ["band", "id"], "left_anti")
+        if not more.isEmpty():
+            after = _joined(merged, more)
+            left = left.join(after.withColumnRenamed("component", "now"), F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("now", "component"))
+            drop(merged)
+            merged = after
+        step = stored(mixed_buckets(left.select("band", "id", "n", "component", "odd")), "rest")
+        drop(rest, chosen, more)
+        rest, round_ = step, round_ + 1
+    drop(centres, buckets, sets, stars, links, rest)
+    of_class = stored(classes.join(merged, classes.class_id == merged.node, "left").select("set_key", F.coalesce("component", "class_id").alias("of_class")), "classes")
+    out = told.select("id", "n", "set_key").join(broadcast_if_small(of_class, BROADCAST_ROWS), "set_key", "left")
+    out = out.join(broadcast_if_small(merged, BROADCAST_ROWS), (out.id == merged.node) & out.of_class.isNull(), "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("of_class", F.when(F.col("set_key").isNotNull(), F.col("component")), "id"))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    result = stored(out, "near-duplicates")
+    drop(told, classes, merged, of_class)
+    return result
