@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred import fixtures as fx
+from kindred import schema
 from kindred.functions import arrays, text
 from kindred.operators import catalogs, decisions, embedding, exact, pairs, reports, vectors, verify
+from kindred.plans import audit, sinks
+from kindred.plans.stored import new_path, stored
 from kindred.schema import KEYS
+from kindred.sources import tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -119,9 +123,10 @@ def removed_all(spark: SparkSession, sf: str) -> DataFrame:
     return exact.removed_all(fx.duplicates(spark, sf), errors, s).select("remove_reason", "resolved_path", "kept_resolved_path", "error")
 
 
-@query("select dataset, subject_id, session_id, candidate, candidate as resolved_path, sha256(candidate) as scan_uid from scans where candidate not in (select d.candidate from dups d join firsts f using (group_id) where d.candidate <> f.candidate)", SCANS)
+@query("select dataset, subject_id, session_id, candidate, candidate as resolved_path, raw_hash as scan_uid from scans where candidate not in (select d.candidate from dups d join firsts f using (group_id) where d.candidate <> f.candidate)", SCANS)
 def near_input(spark: SparkSession, sf: str) -> DataFrame:
-    return exact.near_input(fx.scans(spark, sf), exact.removed_exact(fx.duplicates(spark, sf)))
+    scans = fx.scans(spark, sf)
+    return exact.near_input(scans, exact.removed_exact(fx.duplicates(spark, sf)), scans)
 
 
 @query("select candidate as resolved_path, raw_hash from scans where doc_id % 3 <> 0", SCANS)
@@ -174,7 +179,7 @@ MEMBERS = "members as (select group_id, resolved_path, n_bytes, can_hash, case w
 @query(
     """select i.group_id, i.resolved_path as resolved_path_i, j.resolved_path as resolved_path_j,
   case when i.raw_hash is null or j.raw_hash is null then 'MISSING' when i.n_bytes <> j.n_bytes then 'DIFF_SIZE' when i.raw_hash <> j.raw_hash then 'DIFF_CONTENT' else 'OK' end as raw_reason,
-  case when i.raw_hash = j.raw_hash and i.n_bytes = j.n_bytes then 'SAME_BYTES' else 'CAN_EQUAL_OTHER' end as category
+  case when i.raw_hash = j.raw_hash and i.n_bytes = j.n_bytes then 'SAME_BYTES' else 'CAN_EQUAL_COMPRESSION_GZ' end as category
 from members j join (select * from members qualify row_number() over (partition by group_id order by resolved_path) = 1) i on i.group_id = j.group_id and i.resolved_path <> j.resolved_path""",
     SCANS + MEMBERS,
 )
@@ -190,6 +195,54 @@ def verify_groups(spark: SparkSession, sf: str) -> DataFrame:
     return verify.group_checks(_members(spark, sf)).select("group_id", "n", "byte_identical_all", "canonical_identical_all")
 
 
+def _facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts of the files of _members, with the times of day 1; missing files have none."""
+    m = _members(spark, sf).withColumn("there", F.col("raw_hash").isNotNull())
+    when = F.lit("2024-01-01 00:00:00")
+    return m.select("resolved_path", *[F.when(F.col("there"), c).alias(n) for n, c in (("n_bytes", F.col("n_bytes")), ("mtime", when), ("ctime", when), ("raw_hash", F.col("raw_hash")), ("can_hash", F.col("can_hash")))], F.when(~F.col("there"), "MISSING").alias("raw_error"))
+
+
+FOUND = """
+sets as (select 'within_sessions' as pair_kind, concat_ws('~', group_id, dataset, subject_id, session_id) as k, * from ({within_sessions}) union all by name
+  select 'within_subjects' as pair_kind, concat_ws('~', group_id, dataset, subject_id) as k, * from ({within_subjects}) union all by name
+  select 'within_datasets' as pair_kind, concat_ws('~', group_id, dataset) as k, * from ({within_datasets}) union all by name
+  select 'across_datasets' as pair_kind, group_id as k, * from ({across_datasets})),
+found as (select sets.pair_kind, sets.k, sets.slot, sets.group_id, sets.resolved_path, m.raw_hash, m.n_bytes from sets join members m on m.resolved_path = sets.resolved_path where m.raw_hash is not null),
+state as (select pair_kind, k, case when count(*) < 2 then 'UNKNOWN' when min(raw_hash) = max(raw_hash) then 'TRUE' else 'FALSE' end as raw, case when count(*) < 2 then 'UNKNOWN' else 'TRUE' end as can from found group by 1, 2),
+"""
+
+
+def _verified(spark: SparkSession, sf: str, part: int) -> DataFrame:
+    rows, facts = reports.base_rows(fx.duplicates(spark, sf)), _facts(spark, sf)
+    out = None
+    for name in verify.SETS:
+        found = verify.verified(reports.CATEGORY[name](rows), facts, name)[part].withColumn("pair_kind", F.lit(name))
+        found = found.select("pair_kind", "group_id", "slot", "resolved_path", "byte_identical_all", "canonical_identical_all", "mtime", *verify.FLAGS) if part == 0 else found
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _register_verified() -> None:
+    found = FOUND.format(**DETAIL)
+    no_flags = ", ".join(f"false as {f}" for f in verify.FLAGS)
+    query(
+        f"select sets.pair_kind, sets.group_id, sets.slot, sets.resolved_path, coalesce(raw, 'UNKNOWN') as byte_identical_all, coalesce(can, 'UNKNOWN') as canonical_identical_all, case when f.resolved_path is not null then '2024-01-01 00:00:00' end as mtime, {no_flags} from sets left join state using (pair_kind, k) left join (select distinct resolved_path from found) f on f.resolved_path = sets.resolved_path",
+        SCANS + MEMBERS + BASE + found,
+    )(verified_categories)
+    query(
+        "select i.pair_kind, i.group_id, i.resolved_path as resolved_path_i, j.resolved_path as resolved_path_j, case when i.n_bytes <> j.n_bytes then 'DIFF_SIZE' else 'DIFF_CONTENT' end as raw_reason, 'CAN_EQUAL_COMPRESSION_GZ' as category, true as canonical_equal, 'OK' as canonical_reason from found j join (select * from found qualify row_number() over (partition by pair_kind, k order by slot) = 1) i on i.pair_kind = j.pair_kind and i.k = j.k and i.slot <> j.slot where i.raw_hash <> j.raw_hash or i.n_bytes <> j.n_bytes",
+        SCANS + MEMBERS + BASE + found,
+    )(verified_issues)
+
+
+def verified_categories(spark: SparkSession, sf: str) -> DataFrame:
+    return _verified(spark, sf, 0)
+
+
+def verified_issues(spark: SparkSession, sf: str) -> DataFrame:
+    return _verified(spark, sf, 1).select("pair_kind", "group_id", "resolved_path_i", "resolved_path_j", "raw_reason", "category", "canonical_equal", "canonical_reason")
+
+
 # -- exact reports -----------------------------------------------------------------------------
 
 BASE = "b as (select distinct group_id, dataset, subject_id, session_id, candidate, resolved_path from dups),"
@@ -217,6 +270,9 @@ for _name in DETAIL:
     _category(_name)
 
 
+_register_verified()
+
+
 @query("select set_key, count(distinct resolved_path) as n_images from b join (select group_id, array_to_string(list_sort(list(distinct dataset)), '|') as set_key from b group by 1 having count(distinct dataset) >= 2) using (group_id) group by 1", SCANS + BASE)
 def across_set_stats(spark: SparkSession, sf: str) -> DataFrame:
     return reports.across_set_stats(reports.base_rows(fx.duplicates(spark, sf)))
@@ -461,6 +517,134 @@ def failures_merge(spark: SparkSession, sf: str) -> DataFrame:
     return embedding.merge_failures(rows(2, "preprocessing", "old"), rows(6, "inference", "new"), v.where("vec_id % 5 = 0"))
 
 
+# -- files, requests and exports ---------------------------------------------------------------
+
+
+def _csv(df: DataFrame, *order: str) -> str:
+    """The table as a CSV file in the shared folder, which goes with the session."""
+    spark = df.sparkSession
+    return sinks.write_csv(df, new_path(spark, "export") + ".csv", order)
+
+
+@query("select distinct dataset, subject_id, session_id, candidate from scans", SCANS)
+def candidates_from_csv(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.scans(spark, sf).select(*schema.CANDIDATES.fieldNames())
+    return tables.read_candidates(spark, _csv(rows.unionByName(rows.limit(20)).unionByName(rows.limit(1).withColumn("candidate", F.lit(""))), "candidate"))
+
+
+@query("select distinct candidate as resolved_path from scans", SCANS)
+def valid_paths_from_csv(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.read_valid_paths(spark, _csv(fx.scans(spark, sf).select(*KEYS), "candidate"))
+
+
+@query("select candidate from scans where doc_id % 2 = 0", SCANS)
+def path_list(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_path(spark, "export")
+    s = fx.scans(spark, sf).select(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("  "), "candidate")).when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("# "), "candidate")).alias("value"))
+    s.write.text(path)
+    return tables.read_path_list(spark, path)
+
+
+@query("select distinct group_id, can_hash, modality, dataset, subject_id, session_id, candidate, resolved_path from dups", SCANS)
+def duplicates_from_csv(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.read_duplicates(spark, _csv(fx.duplicates(spark, sf).select(*schema.DUPLICATES.fieldNames()), "group_id", "candidate"), "T1w")
+
+
+@query("select dataset, subject_id, session_id, candidate, candidate as resolved_path, raw_hash as scan_uid from scans where doc_id in (select min(doc_id) from scans group by raw_hash)", SCANS)
+def embedding_input_from_csv(spark: SparkSession, sf: str) -> DataFrame:
+    s = fx.scans(spark, sf)
+    first = s.groupBy("raw_hash").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    rows = s.join(first, "doc_id").select(*KEYS, F.col("raw_hash").alias("scan_uid")).withColumn("session_id", F.when(F.col("session_id") == "", "nan").otherwise(F.col("session_id")))
+    return tables.read_embedding_input(spark, _csv(rows, "scan_uid"))
+
+
+@query("select uid as scan_uid, row_number() over (order by uid) - 1 as emb_row, len(e) as n from v where vec_id % 7 <> 0", VECTORS)
+def manifest_from_csv(spark: SparkSession, sf: str) -> DataFrame:
+    v = fx.vector_scans(spark, sf).withColumn("candidate", F.col("resolved_path")).withColumn("session_id", F.lit(""))
+    numbered = stored(embedding.manifest(v, v.where("vec_id % 7 <> 0")), "manifest")
+    known = tables.read_manifest(spark, _csv(numbered.select(*schema.MANIFEST.fieldNames()), "emb_row"))
+    matrix = tables.read_embeddings(spark, sinks.write_table(numbered.select("scan_uid", "embedding"), new_path(spark, "matrix")), known)
+    return known.join(matrix, "scan_uid").select("scan_uid", "emb_row", F.size("embedding").alias("n"))
+
+
+@query("select q as query_scan_uid, c as cand_scan_uid, rank, similarity from near", VECTORS)
+def neighbours_from_csv(spark: SparkSession, sf: str) -> DataFrame:
+    n = fx.neighbours(spark, sf)
+    return tables.read_neighbours(spark, _csv(n.select(*schema.NEIGHBOURS.fieldNames()))).select("query_scan_uid", "cand_scan_uid", "rank", "similarity")
+
+
+@query(f"select {PAIR_OUT} from pairs", VECTORS)
+def pairs_from_csv(spark: SparkSession, sf: str) -> DataFrame:
+    found = pairs.scan_pairs(fx.neighbours(spark, sf), 0.40)
+    renamed = found.withColumnsRenamed({"resolved_path_a": "src_path_a", "resolved_path_b": "path_b"})
+    back = tables.read_pairs(spark, _csv(renamed))
+    return back.select(*[f"{c}_{s}" for s in ("a", "b") for c in ("scan_uid", "dataset", "subject_id", "resolved_path")], "similarity", "best_rank", "n_directions")
+
+
+def _export(spark: SparkSession, sf: str) -> str:
+    return _csv(decisions.exported(decisions.latest(fx.decision_log(spark, sf))), "path_1", "path_2")
+
+
+@query("select d1 as dataset_1, s1 as subject_id_1, path_1, d2 as dataset_2, s2 as subject_id_2, path_2, qa as qa_status from lastd", VECTORS)
+def decisions_export(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.read_decisions(spark, _export(spark, sf)).select("dataset_1", "subject_id_1", "path_1", "dataset_2", "subject_id_2", "path_2", "qa_status")
+
+
+@query("select * from groups", VECTORS + GROUPS)
+def finalise_from_csv(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.finalise(spark, tables.read_decisions(spark, _export(spark, sf)), new_path(spark, "final"))["groups"]
+
+
+@query("select ka as subject_key_a, kb as subject_key_b, n as n_yes_scan_pairs from edges", VECTORS)
+def edges_from_csv(spark: SparkSession, sf: str) -> DataFrame:
+    edges = decisions.subject_edges(decisions.latest(fx.decision_log(spark, sf)))
+    return tables.read_edges(spark, _csv(edges)).select("subject_key_a", "subject_key_b", "n_yes_scan_pairs")
+
+
+@query("select * from groups", VECTORS + GROUPS)
+def groups_from_csv(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.read_groups(spark, _csv(_groups(spark, sf)))
+
+
+def _requests(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Requests of the review list, and a manifest that lacks every seventh scan and knows every fifth elsewhere."""
+    requests = pairs.scan_requests(pairs.review_long(pairs.review_wide(_listed(spark, sf))))
+    v = fx.vector_scans(spark, sf).where("vec_id % 7 <> 0")
+    moved = F.when(F.col("vec_id") % 5 == 0, F.concat(F.lit("/moved"), "resolved_path")).otherwise(F.col("resolved_path"))
+    return requests, v.select("scan_uid", "dataset", "subject_id", F.lit("").alias("session_id"), moved.alias("resolved_path"))
+
+
+@query("select distinct q as scan_uid, case when cast(substr(qp, 4) as bigint) % 7 = 0 then 'not in manifest' else 'src_path differs' end as problem from listed where cast(substr(qp, 4) as bigint) % 7 = 0 or cast(substr(qp, 4) as bigint) % 5 = 0", VECTORS)
+def manifest_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.request_mismatches(*_requests(spark, sf))
+
+
+@query("select ua as scan_uid_a, ub as scan_uid_b, ua || '__' || ub as pair_key from pairs", VECTORS)
+def pair_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.pair_requests(pairs.review_long(pairs.review_wide(_listed(spark, sf))))
+
+
+@query("select count(*) as total, count(*) filter (n % 3 <> 0) as pending, count(*) filter (n % 3 = 0) as skipped from (select distinct q, cast(substr(qp, 4) as bigint) as n from listed)", VECTORS)
+def asset_totals(spark: SparkSession, sf: str) -> DataFrame:
+    requests, _ = _requests(spark, sf)
+    return pairs.plan_totals(pairs.asset_plan(requests, fx.vector_scans(spark, sf).where("vec_id % 3 = 0")))
+
+
+@query("select dataset, count(*) filter (done) as done_subjects, count(*) as total_subjects, sum(n_total) as pairs from prog group by 1", VECTORS + ITEMS)
+def dataset_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    items = _items(spark, sf).withColumn("query_scan_uid", F.col("path_1"))
+    out = decisions.dataset_payload(items)
+    total = F.aggregate(F.from_json("subjects", "array<struct<total_pairs:long>>"), F.lit(0).cast("long"), lambda a, x: a + x["total_pairs"])
+    return out.select("dataset", "done_subjects", "total_subjects", total.alias("pairs"))
+
+
+@query("select dataset, candidate, raw_hash from scans", SCANS)
+def mapping_with_meta(spark: SparkSession, sf: str) -> DataFrame:
+    s = fx.scans(spark, sf)
+    mapping = s.select("candidate", "raw_hash")
+    return tables.left_with_meta(mapping.unionByName(mapping.limit(5)), s.select("candidate", "dataset")).select("dataset", "candidate", "raw_hash")
+
+
 # -- kernels and functions ---------------------------------------------------------------------
 
 
@@ -479,10 +663,12 @@ def center_index(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("vec_id", arrays.centre_index("w").alias("centre"))
 
 
-@query("select vec_id, list_transform(range(0, 4), lambda j: cast(greatest(0, least(63, centre + (j - 1) * 2)) as int)) as slices from cc", VECTORS + SPARSE)
+@query("select vec_id, list_transform(range(0, 4), lambda j: cast(greatest(0, least(63, centre + (j - 1) * 2)) as int)) as slices, list_transform(range(0, least(5, 1 + vec_id % 7)), lambda j: cast(greatest(0, least(vec_id % 7, vec_id % 3 + j - (case when least(5, 1 + vec_id % 7) % 2 = 0 then least(5, 1 + vec_id % 7) // 2 - 1 else least(5, 1 + vec_id % 7) // 2 end))) as int)) as short from cc", VECTORS + SPARSE)
 def slice_stack(spark: SparkSession, sf: str) -> DataFrame:
     v = fx.table(spark, sf, "embeddings").withColumn("w", F.transform("embedding", lambda x: F.when(x.cast("double") > 0.1, x).otherwise(0.0)))
-    return v.select("vec_id", arrays.slice_positions(F.size("w"), arrays.centre_index("w"), 4, 2).alias("slices"))
+    # volumes of 1 to 7 slices, of which 5 are wanted
+    depth, centre = (F.col("vec_id") % 7 + 1).cast("int"), (F.col("vec_id") % 3).cast("int")
+    return v.select("vec_id", arrays.slice_positions(F.size("w"), arrays.centre_index("w"), 4, 2).alias("slices"), arrays.slice_positions(depth, centre, 5).alias("short"))
 
 
 @query("select event_id, case when lower(trim(t)) in ('nan', 'none', 'null', 'na', 'n/a') then '' else trim(t) end as cleaned from (select event_id, case event_id % 6 when 0 then ' NaN ' when 1 then 'None' when 2 then 'n/a' when 3 then '' else ' ' || event_type || ' ' end as t from events)")

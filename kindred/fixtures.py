@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.operators import exact, pairs, vectors
+from kindred.plans.stored import stored
 
 MODALITY = "T1w"
 
@@ -57,13 +58,22 @@ def vectors_of(scans_: DataFrame) -> DataFrame:
     return scans_.select(F.col("scan_uid").alias("uid"), F.concat_ws("|", "dataset", "subject_id").alias("owner"), "embedding")
 
 
+_neighbours: dict[tuple, DataFrame] = {}
+
+
 def neighbours(spark: SparkSession, sf_dir: str, topk: int = 10) -> DataFrame:
-    """Neighbour rows with the keys of both sides; similarities rounded to 6 digits."""
-    v = vector_scans(spark, sf_dir)
-    found = vectors.nearest(vectors_of(v), topk, "pre")
-    side = lambda s: v.select(*[F.col(c).alias(f"{s}_{c}") for c in pairs.META])
-    both = found.join(side("query"), F.col("query") == F.col("query_scan_uid")).join(side("cand"), F.col("cand") == F.col("cand_scan_uid"))
-    return both.drop("query", "cand").withColumn("similarity", F.round("similarity", 6))
+    """Neighbour rows with the keys of both sides; similarities rounded to 6 digits.
+
+    A session computes them once per folder and stores them, as the near stage does.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, topk)
+    if key not in _neighbours:
+        v = vector_scans(spark, sf_dir)
+        found = vectors.nearest(vectors_of(v), topk, "pre")
+        side = lambda s: v.select(*[F.col(c).alias(f"{s}_{c}") for c in pairs.META])
+        both = found.join(side("query"), F.col("query") == F.col("query_scan_uid")).join(side("cand"), F.col("cand") == F.col("cand_scan_uid"))
+        _neighbours[key] = stored(both.drop("query", "cand").withColumn("similarity", F.round("similarity", 6)), "neighbours")
+    return _neighbours[key]
 
 
 def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 FRACTIONS = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
 
@@ -15,11 +13,12 @@ def winsorised_minmax(volume: np.ndarray, mask: np.ndarray, low: float = 1.0, hi
     """Values inside the mask clipped to two percentiles and scaled to 0..1; 0 outside.
 
     A degenerate percentile range falls back to minimum and maximum, a constant one gives 0.
+    An empty mask leaves the volume as it is.
     """
     inside = mask.astype(bool)
     out = np.zeros(volume.shape, np.float32)
     if not inside.any():
-        return out
+        return volume.astype(np.float32)
     x = np.nan_to_num(volume[inside].astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0)
     a, b = np.percentile(x, [low, high])
     if b - a <= eps:
@@ -65,14 +64,18 @@ def centre_index(values: str) -> Column:
 
 
 def slice_positions(length: Column, centre: Column, k: int, stride: int = 1) -> Column:
-    """k positions around a centre, stride apart, clipped to 0..length-1; an even k has one less to the left."""
-    left = k // 2 - 1 if k % 2 == 0 else k // 2
-    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.greatest(F.lit(0), F.least(length - 1, centre + (j - left) * stride)).cast("int"))
+    """k positions around a centre, stride apart, clipped to 0..length-1; an even k has one less to the
+    left. There are never more positions than the length; without any there are none."""
+    n = F.least(F.lit(k), length)
+    left = F.when(n % 2 == 0, F.floor(n / 2) - 1).otherwise(F.floor(n / 2))
+    at = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.greatest(F.lit(0), F.least(length - 1, centre + (j - left) * stride)).cast("int"))
+    return F.when(length > 0, at).otherwise(F.expr("cast(array() as array<int>)"))
 
 
 def slice_stack(volume: np.ndarray, k: int, axis: int = 2, stride: int = 1, centre: int | None = None) -> np.ndarray:
-    """k slices of a volume around a centre (by default the median non-zero slice), first axis first."""
+    """k slices (at most all) of a volume around a centre (by default the median non-zero slice), first axis first."""
     n = volume.shape[axis]
+    k = min(k, n)
     if centre is None:
         used = np.nonzero(volume)[axis]
         centre = int(np.median(used)) if len(used) else n // 2
@@ -94,24 +97,41 @@ def crop_or_pad(volume: np.ndarray, target: tuple[int, ...]) -> np.ndarray:
 
 
 def to_uint8(image: np.ndarray) -> np.ndarray:
-    """An image scaled from its minimum and maximum to 0..255; constant ones are 0."""
-    x = np.nan_to_num(np.asarray(image, np.float64))
-    lo, hi = (x.min(), x.max()) if x.size else (0.0, 0.0)
-    return np.zeros(x.shape, np.uint8) if hi <= lo else ((x - lo) / (hi - lo) * 255).round().astype(np.uint8)
+    """An image as RGB bytes: values within 0..1 times 255, others scaled from minimum and maximum.
+
+    Bytes stay as they are; grey becomes three channels, a fourth channel goes.
+    """
+    x = np.asarray(image)
+    if x.dtype != np.uint8:
+        x = np.nan_to_num(x.astype(np.float32))
+        lo, hi = (float(x.min()), float(x.max())) if x.size else (0.0, 1.0)
+        x = x * 255 if lo >= 0 and hi <= 1 else (x - lo) / (hi - lo + 1e-6) * 255
+        x = np.clip(x, 0, 255).astype(np.uint8)
+    if x.ndim == 2 or x.shape[-1] == 1:
+        return np.repeat(x.reshape(*x.shape[:2], 1), 3, axis=-1)
+    return x[..., :3]
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two images as RGB bytes, both cut to what they have in common from the top left corner."""
+    x, y = to_uint8(a), to_uint8(b)
+    rows, columns = np.minimum(x.shape[:2], y.shape[:2])
+    return x[:rows, :columns], y[:rows, :columns]
 
 
 def difference_tile(a: np.ndarray, b: np.ndarray, limit: float = 64.0) -> np.ndarray:
-    """Signed difference as RGB on white: red where a is brighter, blue where b is."""
-    d = np.clip((a.astype(np.float64) - b) / limit, -1, 1)
-    fade = ((1 - np.abs(d)) * 255).round().astype(np.uint8)
-    full = np.full(d.shape, 255, np.uint8)
-    return np.stack([np.where(d >= 0, full, fade), fade, np.where(d <= 0, full, fade)], axis=-1)
+    """Signed difference of the first channels as RGB on white: red where a is brighter, blue where b is."""
+    x, y = _overlap(a, b)
+    d = np.clip((x[..., 0].astype(np.float32) - y[..., 0]) / np.float32(limit), -1, 1)
+    fade, full = (255 * (1 - np.abs(d))).astype(np.uint8), np.full(d.shape, 255, np.uint8)
+    return np.stack([np.where(d >= 0, full, fade), fade, np.where(d < 0, full, fade)], axis=-1)
 
 
 def checkerboard_tile(a: np.ndarray, b: np.ndarray, tile: int = 16) -> np.ndarray:
     """Squares of two images in turn."""
-    rows, columns = np.indices(a.shape[:2]) // tile
-    return np.where(((rows + columns) % 2 == 0).reshape(a.shape[:2] + (1,) * (a.ndim - 2)), a, b)
+    x, y = _overlap(a, b)
+    rows, columns = np.indices(x.shape[:2]) // tile
+    return np.where(((rows + columns) % 2 == 0)[..., None], x, y)
 
 
 def fraction_index(fraction, length) -> Column:
@@ -119,23 +139,20 @@ def fraction_index(fraction, length) -> Column:
     return F.greatest(F.lit(0), F.least(length - 1, F.bround(fraction * (length - 1)))).cast("int")
 
 
-def mosaic_columns(image: np.ndarray, parts: int = 3) -> list[np.ndarray]:
-    """A mosaic divided into equal columns; the last one takes the rest."""
-    width = image.shape[1] // parts
-    return [image[:, i * width : (i + 1) * width if i < parts - 1 else None] for i in range(parts)]
+def mosaic_tiles(image: np.ndarray, parts: int = 3) -> list[np.ndarray]:
+    """A mosaic divided into equal tiles along its longer side (what remains goes), as RGB bytes."""
+    x = to_uint8(image)
+    axis = 1 if x.shape[1] >= x.shape[0] else 0
+    size = x.shape[axis] // parts
+    return [np.take(x, range(i * size, (i + 1) * size), axis) for i in range(parts)]
+
+
+def mosaic_column(image: np.ndarray) -> np.ndarray:
+    """The tiles of a mosaic below each other."""
+    return np.concatenate(mosaic_tiles(image), axis=0)
 
 
 def side_by_side(images: list[np.ndarray], fill: int = 0) -> np.ndarray:
     """Images in a row, padded at the bottom to the tallest."""
     tall = max(i.shape[0] for i in images)
     return np.concatenate([np.pad(i, [(0, tall - i.shape[0])] + [(0, 0)] * (i.ndim - 1), constant_values=fill) for i in images], axis=1)
-
-
-def kernel_udf(f, shape_out: str = "array<float>"):
-    """A pandas UDF over (flat values, shape) columns from a function of a volume."""
-
-    @F.pandas_udf(T._parse_datatype_string(shape_out))
-    def run(values: pd.Series, shape: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(f(np.asarray(v, np.float32).reshape([int(s) for s in n])), np.float32).ravel() for v, n in zip(values, shape, strict=True)])
-
-    return run

@@ -16,10 +16,14 @@ SIDES = ("dataset", "subject_id", "session_id")
 def keyed(log: DataFrame) -> DataFrame:
     """Decisions with their two sides in the order of their path keys.
 
-    log: *_1 and *_2 of SIDES and path, qa_status, reason, date, seq. Rows without a path on
-    both sides, with equal paths or with an unknown status are invalid; `invalid` lists them.
+    log: *_1 and *_2 of SIDES and path, qa_status, reason, date, seq. Without seq (an exported
+    file has none) the date orders the decisions on a pair. Rows without a path on both sides,
+    with equal paths or with an unknown status are invalid; `invalid` lists them.
     """
-    require_columns(log, [f"{c}_{s}" for s in (1, 2) for c in (*SIDES, "path")] + ["qa_status", "seq"])
+    require_columns(log, [f"{c}_{s}" for s in (1, 2) for c in (*SIDES, "path")] + ["qa_status"])
+    if "seq" not in log.columns:
+        require_columns(log, ["date"])
+        log = log.withColumn("seq", F.col("date"))
     p1, p2 = path_key("path_1"), path_key("path_2")
     keep = p1 <= p2
     sides = [F.when(keep, F.col(f"{c}_{s}")).otherwise(F.col(f"{c}_{3 - s}")).alias(f"{c}_{s}") for s in (1, 2) for c in SIDES]
@@ -79,6 +83,30 @@ def subject_navigation(subjects: DataFrame) -> DataFrame:
     return subjects.select("dataset", "subject_id").distinct().select("dataset", "subject_id", F.lag("subject_id").over(w).alias("prev_subject"), F.lead("subject_id").over(w).alias("next_subject"))
 
 
+def exported(current: DataFrame) -> DataFrame:
+    """Current decisions in the columns of an exported file; sort it by path_1 and path_2.
+
+    ValueError if a decision lacks a path.
+    """
+    if not current.where("coalesce(path_1, '') = '' or coalesce(path_2, '') = ''").isEmpty():
+        raise ValueError("a decision without a path can't be exported")
+    blanks = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("reason", "date")]
+    return current.select(*[f"{c}_{s}" for s in (1, 2) for c in (*SIDES, "path")], F.col("qa_status").alias("QA_status"), *blanks)
+
+
+def dataset_payload(items: DataFrame) -> DataFrame:
+    """Per dataset its finished and all subjects and the JSON of each with counts and neighbours.
+
+    items: dataset, subject_id, query_scan_uid and is_decided of every candidate. A dataset's
+    subjects are gathered in one row: that is what a page shows.
+    """
+    rows = items.groupBy("dataset", "subject_id").agg(F.count_if("is_decided").alias("done_pairs"), F.count("*").alias("total_pairs"), F.count_distinct("query_scan_uid").alias("query_count"))
+    rows = rows.withColumn("is_done", F.col("done_pairs") == F.col("total_pairs")).join(subject_navigation(rows), ["dataset", "subject_id"])
+    subject = F.struct("subject_id", "done_pairs", "total_pairs", "query_count", "is_done", "prev_subject", "next_subject")
+    out = rows.groupBy("dataset").agg(F.count_if("is_done").alias("done_subjects"), F.count("*").alias("total_subjects"), F.sort_array(F.collect_list(subject)).alias("s"))
+    return out.select("dataset", "done_subjects", "total_subjects", F.to_json("s").alias("subjects"))
+
+
 def subject_payload(items: DataFrame) -> DataFrame:
     """Per dataset, subject and query the JSON of its candidates with their decisions."""
     entry = F.struct("slot", "cand_scan_uid", "cand_src_path", "cand_similarity", "qa_status", "is_decided")

@@ -103,7 +103,11 @@ def removed_all(duplicates: DataFrame, errors: DataFrame, catalog: DataFrame) ->
     return both.withColumn("_r", first).where("_r = 1").drop("_r")
 
 
-def near_input(catalog: DataFrame, removed: DataFrame, uid: F.Column | None = None) -> DataFrame:
-    """Catalog rows that were not removed, with scan_uid (by default the hash of the path)."""
-    uid = F.sha2("resolved_path", 256) if uid is None else uid
-    return catalog.join(removed.select("resolved_path").distinct(), "resolved_path", "left_anti").select(*KEYS, uid.alias("scan_uid"))
+def near_input(catalog: DataFrame, removed: DataFrame, contents: DataFrame) -> DataFrame:
+    """Catalog rows that were not removed, with scan_uid: the SHA-256 of the file's bytes.
+
+    contents: resolved_path and raw_hash. A file keeps its uid where it is moved. Rows whose
+    file was never read have no uid and are left out.
+    """
+    uid = contents.where("raw_hash is not null").groupBy("resolved_path").agg(F.min("raw_hash").alias("scan_uid"))
+    return catalog.select(*KEYS).join(removed.select("resolved_path").distinct(), "resolved_path", "left_anti").join(uid, "resolved_path").select(*KEYS, "scan_uid")

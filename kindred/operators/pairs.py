@@ -94,6 +94,46 @@ def scan_requests(long: DataFrame) -> DataFrame:
     return out
 
 
+def request_mismatches(requests: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Requested scans that the manifest lacks or knows with other data: scan_uid and problem.
+
+    requests: scan_uid, dataset, subject_id, session_id, src_path; manifest: KEYS and scan_uid.
+    A request without path agrees with any.
+    """
+    known = manifest.select("scan_uid", *[F.col(c).alias(f"known_{c}") for c in ("dataset", "subject_id", "session_id", "resolved_path")])
+    both = requests.join(known, "scan_uid", "left")
+    other = lambda c, k: ~F.col(c).eqNullSafe(F.col(f"known_{k}"))
+    problem = F.when(F.col("known_resolved_path").isNull(), "not in manifest")
+    for c in ("dataset", "subject_id", "session_id"):
+        problem = problem.when(other(c, c), f"{c} differs")
+    problem = problem.when((F.coalesce("src_path", F.lit("")) != "") & other("src_path", "resolved_path"), "src_path differs")
+    return both.select("scan_uid", problem.alias("problem")).where("problem is not null")
+
+
+def checked_requests(requests: DataFrame, manifest: DataFrame) -> DataFrame:
+    """requests with the manifest's resolved_path; ValueError naming some scans that don't agree."""
+    odd = request_mismatches(requests, manifest).orderBy("scan_uid").limit(10).collect()
+    if odd:
+        raise ValueError("requests and manifest differ: " + ", ".join(f"{r.scan_uid} {r.problem}" for r in odd))
+    return requests.join(manifest.select("scan_uid", "resolved_path").dropDuplicates(["scan_uid"]), "scan_uid")
+
+
+def pair_requests(long: DataFrame) -> DataFrame:
+    """Distinct pairs of scans of a review list: scan_uid_a < scan_uid_b and pair_key.
+
+    ValueError if a candidate has no uid.
+    """
+    if not long.where("query_scan_uid <> '' and coalesce(cand_scan_uid, '') = ''").isEmpty():
+        raise ValueError("a candidate has no scan_uid")
+    rows = long.where("query_scan_uid <> ''").select(F.least("query_scan_uid", "cand_scan_uid").alias("scan_uid_a"), F.greatest("query_scan_uid", "cand_scan_uid").alias("scan_uid_b")).distinct()
+    return rows.withColumn("pair_key", F.concat_ws("__", "scan_uid_a", "scan_uid_b"))
+
+
+def plan_totals(plan: DataFrame) -> DataFrame:
+    """One row: total, pending and skipped (existing) assets of an asset_plan."""
+    return plan.agg(F.count("*").alias("total"), F.count_if("pending").alias("pending"), F.count_if(~F.col("pending")).alias("skipped"))
+
+
 def asset_plan(requests: DataFrame, existing: DataFrame, key: str = "scan_uid") -> DataFrame:
     """Requests with pending = true where no asset exists yet."""
     return requests.join(existing.select(key).distinct().withColumn("_e", F.lit(True)), key, "left").withColumn("pending", F.col("_e").isNull()).drop("_e")

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kindred.functions.text import blank, natural_number
-from kindred.plans.numbering import row_numbers
+from kindred.plans.numbering import group_numbers, row_numbers
+from kindred.plans.sizes import broadcast_if_small
 from kindred.schema import KEYS
 
+#: Datasets with their weight that are broadcast; more are joined by shuffle.
+BROADCAST_DATASETS = 100_000
 EXACT_CATEGORIES = ("within_sessions", "within_subjects", "within_datasets", "across_datasets")
 
 
@@ -23,7 +26,7 @@ def base_rows(duplicates: DataFrame, modality: str | None = None) -> DataFrame:
 
 
 def _slots(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    return rows.withColumn("slot", F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
+    return group_numbers(rows, group, order, "slot")
 
 
 def within_sessions(rows: DataFrame) -> DataFrame:
@@ -122,7 +125,7 @@ def exact_axis(rows: DataFrame) -> DataFrame:
     and sessions by the number in their name, then by name; then candidate and path.
     """
     weight = rows.groupBy("dataset", "group_id").agg(F.count_distinct("candidate").alias("c")).groupBy("dataset").agg(F.sum("c").alias("weight"))
-    files = rows.select(*KEYS).distinct().join(F.broadcast(weight), "dataset")
+    files = rows.select(*KEYS).distinct().join(broadcast_if_small(weight, BROADCAST_DATASETS), "dataset")
     order = ["weight", F.lower("dataset"), "dataset", natural_number("subject_id"), "subject_id", natural_number("session_id"), "session_id", "candidate", "resolved_path"]
     return row_numbers(files, order, "idx").withColumn("idx", F.col("idx") - 1).select("idx", *KEYS)
 
@@ -130,7 +133,7 @@ def exact_axis(rows: DataFrame) -> DataFrame:
 def near_axis(groups: DataFrame) -> DataFrame:
     """Subjects of near groups with their axis position 0..n-1."""
     weight = groups.groupBy("dataset").agg(F.count_distinct("subject_key").alias("weight"))
-    subjects = groups.select("dataset", "subject_id", "subject_key").distinct().join(F.broadcast(weight), "dataset")
+    subjects = groups.select("dataset", "subject_id", "subject_key").distinct().join(broadcast_if_small(weight, BROADCAST_DATASETS), "dataset")
     order = ["weight", F.lower("dataset"), "dataset", natural_number("subject_id"), "subject_id"]
     return row_numbers(subjects, order, "idx").withColumn("idx", F.col("idx") - 1).select("idx", "dataset", "subject_id", "subject_key")
 

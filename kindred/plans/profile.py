@@ -41,6 +41,8 @@ class Profiler:
         self.started = datetime.now(timezone.utc).isoformat(timespec="seconds")
         self.records: list[Record] = []
         self._open: list[Record] = []
+        #: One entry per embedding run: numbers by name.
+        self.embedding_detail: list[dict] = []
 
     @contextmanager
     def stage(self, name: str, n_input: int | None = None, n_output: int | None = None, **notes):
@@ -75,8 +77,18 @@ class Profiler:
         row = (self.run_id, self.started, sum(r.wall_time_s for r in top), sum(r.cpu_total_s for r in top), gpu, all(r.status == "ok" for r in self.records))
         return spark.createDataFrame([row], "run_id string, started string, wall_time_s double, cpu_total_s double, gpu_time_s double, ok boolean")
 
+    def details(self, spark: SparkSession) -> DataFrame | None:
+        """The embedding runs; columns in the order in which they first occur. None without any."""
+        names = list(dict.fromkeys(k for row in self.embedding_detail for k in row))
+        if not names:
+            return None
+        rows = [(self.run_id, i, *[None if row.get(k) is None else str(row[k]) for k in names]) for i, row in enumerate(self.embedding_detail)]
+        return spark.createDataFrame(rows, ", ".join(["run_id string", "run_order int", *[f"`{k}` string" for k in names]]))
+
     def save(self, spark: SparkSession, out_dir: str) -> None:
         from kindred.plans.sinks import write_csv
 
         write_csv(self.stages(spark), f"{out_dir}/perf_stage_breakdown.csv", ("stage_order",))
         write_csv(self.summary(spark), f"{out_dir}/perf_run_summary.csv")
+        if (details := self.details(spark)) is not None:
+            write_csv(details, f"{out_dir}/perf_near_embedding_detail.csv", ("run_order",))

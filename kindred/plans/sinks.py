@@ -47,7 +47,7 @@ def write_csv(df: DataFrame, path: str, order: tuple[str, ...] = ()) -> str:
 
 def write_by_dataset(df: DataFrame, path: str) -> str:
     """One folder per dataset; rows are gathered by dataset and split where it is large."""
-    return write_table(df.repartition("dataset"), path, ("dataset",))
+    return write_table(df.hint("rebalance", "dataset"), path, ("dataset",))
 
 
 def write_by_status(df: DataFrame, path: str) -> str:

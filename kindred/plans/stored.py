@@ -34,10 +34,14 @@ def stored(df: DataFrame, label: str = "cut") -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back.
 
     Later jobs reread the files, so a lost executor costs no more than its own tasks,
-    and every job sees the same rows. `_stored_path` keeps the place for `drop`.
+    and every job sees the same rows. `_stored_path` keeps the place for `drop`; tables
+    that are still there when the driver ends are deleted then.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    # what `drop` has not deleted goes when the driver ends
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(p)
     df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path

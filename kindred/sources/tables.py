@@ -37,19 +37,14 @@ def discover(spark: SparkSession, root: str, modality: str, exclude: tuple[str,
     return found.where(keep).select("candidate").distinct()
 
 
-def binary_contents(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """resolved_path, n_bytes and content of files, for hashing."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    return files.select(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/").alias("resolved_path"), F.col("length").alias("n_bytes"), "content")
-
-
-def read_csv(spark: SparkSession, path: str, columns: T.StructType, aliases: dict[str, tuple[str, ...]] | None = None, fill: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: T.StructType, aliases: dict[str, tuple[str, ...]] | None = None, fill: bool = True, multi_line: bool = False) -> DataFrame:
     """A CSV with header in the columns of a schema; other columns go.
 
     Header names are trimmed. aliases: other names under which a column may come. Values are
-    read as text and cast (a bad number is an error). fill: missing text is "".
+    read as text and cast (a bad number is an error). fill: missing text is "". multi_line:
+    values may hold line ends; a file is then one task.
     """
-    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
     raw = raw.toDF(*[c.strip() for c in raw.columns])
     for name, others in (aliases or {}).items():
         if name not in raw.columns:
@@ -106,7 +101,7 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
-    out = read_csv(spark, path, schema.DECISIONS, aliases={"qa_status": ("QA_status",)})
+    out = read_csv(spark, path, schema.DECISIONS, aliases={"qa_status": ("QA_status",)}, multi_line=True)
     return out.select(*[F.trim(c).alias(c) for c in out.columns])
 
 
@@ -126,6 +121,11 @@ def read_duplicates(spark: SparkSession, path: str, modality: str | None = None)
     return rows if modality is None else rows.where(F.col("modality") == modality)
 
 
+def read_failures(spark: SparkSession, path: str) -> DataFrame:
+    """Failures of an earlier embedding run: scan_uid, stage and error; none if there is no file."""
+    return read_csv_or_empty(spark, path, schema.FAILURES).select("scan_uid", "stage", "error").where("scan_uid <> ''").distinct()
+
+
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
     rows = read_csv(spark, path, schema.GROUPS)
     return rows.select("group_id", "group_size", *[F.trim(c).alias(c) for c in ("dataset", "subject_id", "subject_key")]).distinct()

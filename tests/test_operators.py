@@ -1,5 +1,7 @@
 """Small hand-made cases."""
 
+import gzip
+import hashlib
 import random
 
 import numpy as np
@@ -7,11 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred import schema
-from kindred.functions import arrays, text
-from kindred.operators import catalogs, decisions, embedding, exact, pairs, reports, vectors, verify
+from kindred.functions import arrays, nifti, text
+from kindred.operators import catalogs, decisions, embedding, exact, files, pairs, reports, vectors, verify
 from kindred.operators.graph import connected_components
 from kindred.plans import audit, sinks
-from kindred.plans.numbering import rank_by_hash, row_numbers
+from kindred.plans.numbering import group_numbers, rank_by_hash, row_numbers
 from kindred.plans.profile import Profiler
 from kindred.sources import tables
 from kindred.sources.config import read_config, resolve_stages
@@ -130,13 +132,62 @@ def test_classify_real_files(spark, tmp_path):
 
 
 def test_verify_flags(spark):
-    rows = [("g", "a", 3, "h1", "c", [1.0, 2.0], "x"), ("g", "b.gz", 4, "h2", "c", [1.0, 2.00001], "x"), ("g", "c", 3, "h3", "z", [1.0, 9.0], "y")]
-    m = spark.createDataFrame(rows, "group_id string, resolved_path string, n_bytes long, raw_hash string, can_hash string, affine array<double>, header_hash string")
+    rows = [("g", "a", 3, "h1", "c", [1.0, 2.0], "x"), ("g", "b.gz", 4, "h2", "c", [1.0, 2.00001], "x"), ("g", "c", 3, "h3", "z", [1.0, 9.0], "y"), ("g", "d", 3, "h4", "c", [1.0, 9.0], "y"), ("g", "e", 3, None, None, None, None)]
+    m = spark.createDataFrame(rows, "group_id string, resolved_path string, n_bytes long, raw_hash string, can_hash string, qform array<double>, header_hash string")
+    m = m.withColumn("sform", F.lit(None).cast("array<double>")).withColumn("raw_error", F.when(F.col("raw_hash").isNull(), "PERMISSION"))
     got = {r.resolved_path_j: r for r in verify.compared(verify.anchor_pairs(m)).collect()}
-    assert (got["b.gz"].category, got["b.gz"].affine, got["c"].category, got["c"].affine) == ("CAN_EQUAL_COMPRESSION_GZ", False, "DIFF_BYTES_AND_CAN_MISMATCH", True)
-    g = verify.group_checks(m).first()
+    assert {p: (r.raw_reason, r.category, r.flag_affine_meta_diff, r.flag_header_other_diff) for p, r in got.items()} == {
+        "b.gz": ("DIFF_SIZE", "CAN_EQUAL_COMPRESSION_GZ", False, False), "c": ("DIFF_CONTENT", "DIFF_BYTES_AND_CAN_MISMATCH", False, False),
+        "d": ("DIFF_CONTENT", "CAN_EQUAL_HEADER", True, False), "e": ("PERMISSION", "ERROR_LOADING", False, False),
+    }
+    g = verify.group_checks(m.where("raw_hash is not null")).first()
     assert (g.byte_identical_all, g.canonical_identical_all, g.witness) == (False, False, "b.gz")
-    assert verify.row_flags(verify.compared(verify.anchor_pairs(m))).first().header_other
+    flags = verify.row_flags(verify.compared(verify.anchor_pairs(m))).first()
+    assert flags.n_issues == 4 and flags.flag_affine_meta_diff and not flags.flag_orient_diff
+
+
+def test_nifti(tmp_path):
+    r = np.random.RandomState(1)
+    v = r.randint(-50, 50, (3, 4, 5)).astype(np.int16)
+    ras = np.diag([2.0, 2.0, 2.0, 1.0])
+    one = nifti.inspect(nifti.build(v, ras, (2.0, 2.0, 2.0)))
+    assert (one["shape"], one["dtype"], one["axcodes_original"], one["axcodes_canonical"], one["sform_code"], one["qform"]) == ([3, 4, 5], "int16", "RAS", "RAS", 1, None)
+    assert one["can_hash"] == hashlib.sha256(v.astype("<f4").tobytes()).hexdigest()
+    # the same voxels stored from left to right and with x and z exchanged
+    turned = np.array([[0, 0, 2.0, 0], [0, 2.0, 0, 0], [-2.0, 0, 0, 8.0], [0, 0, 0, 1]])
+    other = nifti.inspect(gzip.compress(nifti.build(np.ascontiguousarray(v[:, :, ::-1].transpose(2, 1, 0)), turned, (2.0, 2.0, 2.0))))
+    assert other["can_hash"] == one["can_hash"] and other["value_hash"] == one["value_hash"] and (other["axcodes_original"], other["axcodes_canonical"]) == ("IAR", "RAS")
+    # one volume of four dimensions, another type, NaN
+    f = v.astype(np.float64)
+    f[0, 0, 0] = np.nan
+    four, three = nifti.inspect(nifti.build(f[..., None], ras)), nifti.inspect(nifti.build(f.astype(np.float32), ras))
+    assert four["value_hash"] == three["value_hash"] != one["value_hash"] and four["can_hash"] == three["can_hash"]
+    assert nifti.inspect(nifti.build(v.astype(np.int32), ras))["value_hash"] == one["value_hash"]
+    two = nifti.inspect(nifti.build(np.stack([v, v + 1], -1), ras))
+    assert two["can_hash"] == hashlib.sha256(v.astype("<f4").tobytes() + (v + 1).astype("<f4").tobytes()).hexdigest()
+    scaled = nifti.inspect(nifti.build(v, ras, slope=2.0, inter=1.0))
+    assert (scaled["slope"], scaled["inter"], scaled["dtype"]) == (2.0, 1.0, "float64") and scaled["value_hash"] == nifti.value_hash(v * 2.0 + 1)
+    noted = nifti.inspect(nifti.build(v, ras, extensions=((6, b"note"), (4, b"x" * 20))))
+    assert noted["extensions"] == "6:16,4:32" and noted["value_hash"] == one["value_hash"]
+    for bad in (b"", b"x" * 400, nifti.build(v, ras)[:-1]):
+        with pytest.raises(ValueError):
+            nifti.inspect(bad)
+    turn = nifti._rotation(0.0, 0.0, 1.0)
+    assert np.allclose(turn, np.diag([-1, -1, 1])) and nifti.axis_codes(np.block([[turn, np.zeros((3, 1))], [np.zeros((1, 3)), np.ones((1, 1))]])) == "LPS"
+
+
+def test_facts_of_files(spark, tmp_path):
+    v = np.arange(24, dtype=np.int16).reshape(2, 3, 4)
+    (tmp_path / "a.nii").write_bytes(nifti.build(v, np.eye(4)))
+    (tmp_path / "b.nii").write_bytes(b"broken")
+    paths = spark.createDataFrame([(str(tmp_path / n),) for n in ("a.nii", "b.nii", "none.nii")], "resolved_path string")
+    got = {r.resolved_path[-5:]: r for r in files.file_facts(paths, nifti.inspect).collect()}
+    raw = hashlib.sha256(nifti.build(v, np.eye(4))).hexdigest()
+    assert (got["a.nii"].raw_hash, got["a.nii"].error, got["a.nii"].shape) == (raw, None, [2, 3, 4])
+    assert got["b.nii"].error.startswith("ValueError") and got["b.nii"].raw_hash and got["b.nii"].can_hash is None
+    assert (got["e.nii"].raw_error, got["e.nii"].n_bytes) == ("MISSING", None)
+    plain = {r.resolved_path[-5:]: r for r in files.file_facts(paths).collect()}
+    assert plain["a.nii"].can_hash == plain["a.nii"].raw_hash == raw and plain["b.nii"].error is None
 
 
 def neighbours(spark, rows):
@@ -187,12 +238,18 @@ def test_kernels():
     vol = r.rand(4, 5, 6)
     out = arrays.winsorised_minmax(vol, vol > 0.2)
     assert out.min() == 0 and out.max() == 1 and (out[vol <= 0.2] == 0).all()
-    assert (arrays.winsorised_minmax(np.ones((2, 2)), np.ones((2, 2))) == 0).all() and (arrays.winsorised_minmax(vol, np.zeros(vol.shape)) == 0).all()
+    assert (arrays.winsorised_minmax(np.ones((2, 2)), np.ones((2, 2))) == 0).all() and (arrays.winsorised_minmax(vol, np.zeros(vol.shape)) == vol.astype(np.float32)).all()
     assert arrays.crop_or_pad(vol, (6, 3, 6)).shape == (6, 3, 6)
-    assert arrays.slice_stack(vol, 4, 2, 2, centre=0).shape[0] == 4 and (arrays.slice_stack(vol, 9, 0)[0] == vol[0]).all()
-    assert arrays.difference_tile(np.full((2, 2), 200.0), np.zeros((2, 2)))[0, 0].tolist() == [255, 0, 0]
-    assert arrays.checkerboard_tile(np.zeros((32, 32)), np.ones((32, 32)))[0, 16] == 1
-    assert arrays.to_uint8(np.array([0.0, 1.0])).tolist() == [0, 255] and [m.shape[1] for m in arrays.mosaic_columns(np.zeros((2, 7)))] == [2, 2, 3]
+    assert arrays.slice_stack(vol, 4, 2, 2, centre=0).shape[0] == 4 and arrays.slice_stack(vol, 9, 0).shape[0] == 4
+    assert (arrays.slice_stack(vol[:3], 5, 0, centre=1) == vol[:3]).all()
+    grey = lambda n, *shape: np.full(shape, n, np.uint8)
+    assert arrays.difference_tile(grey(200, 2, 3), grey(0, 3, 2)).tolist() == [[[255, 0, 0]] * 2] * 2
+    assert arrays.difference_tile(grey(0, 1, 1), grey(32, 1, 1))[0, 0].tolist() == [127, 127, 255] and arrays.difference_tile(grey(9, 1, 1), grey(9, 1, 1))[0, 0].tolist() == [255] * 3
+    board = arrays.checkerboard_tile(grey(0, 32, 40), grey(1, 40, 32))
+    assert board.shape == (32, 32, 3) and board[0, 16].tolist() == [1] * 3 and board[16, 16].tolist() == [0] * 3
+    assert arrays.to_uint8(np.array([[0.0, 1.0]]))[..., 0].tolist() == [[0, 255]] and arrays.to_uint8(np.array([[-5.0, 5.0]]))[..., 0].tolist() == [[0, 254]]
+    assert arrays.to_uint8(np.zeros((2, 2, 4), np.uint8)).shape == (2, 2, 3)
+    assert [m.shape[:2] for m in arrays.mosaic_tiles(np.zeros((2, 7)))] == [(2, 2)] * 3 and arrays.mosaic_column(np.zeros((7, 2))).shape == (6, 2, 3)
     assert arrays.side_by_side([np.zeros((2, 1)), np.zeros((3, 2))]).shape == (3, 3)
 
 
@@ -213,6 +270,62 @@ def test_encoder_failures(spark):
     assert got["u1"].embedding == pytest.approx([0.6, 0.8]) and got["u2"].stage == "preprocessing" and got["u3"].stage == "inference"
     assert embedding.pending(items, items.where("scan_uid = 'u1'")).count() == 2
 
+    def load(path):
+        if path == "odd":
+            raise ValueError("empty")
+        return path
+
+    vectors_ = {"ok": [3.0, 4.0], "nan": [float("nan"), 1.0], "long": [1.0, 2.0, 3.0]}
+    more = items.unionByName(spark.createDataFrame([("u4", "nan"), ("u5", "long")], items.schema))
+    got = {r.scan_uid: r.stage for r in embedding.encode(more, pre, lambda batch: [vectors_[p] for p in batch], load=load, length=2).collect()}
+    assert got == {"u1": None, "u2": "preprocessing", "u3": "preprocessed_tensor_load", "u4": "embedding_persist", "u5": "embedding_persist"}
+    with pytest.raises(Exception, match="(preprocessing of u2|inference of u3) failed"):
+        embedding.encode(items, pre, enc, fail_fast=True).collect()
+
+
+def test_embedding_resumes(spark, tmp_path):
+    items = spark.createDataFrame([("d", "s", "", n, n, f"u{n}") for n in "abc"], schema.NEAR_INPUT)
+    out, profiler = str(tmp_path / "emb"), Profiler()
+
+    def encoder(batch):
+        if "c" in batch:
+            raise ValueError("no c yet")
+        return [[1.0, 0.0]] * len(batch)
+
+    assert audit.run_embedding(spark, items, out, str, encoder, profiler).count() == 2
+    assert [tuple(r) for r in spark.read.parquet(f"{out}/failures").collect()] == [("uc", "inference", "ValueError: no c yet")]
+    odd = spark.createDataFrame([("ua", [1.0], None, None), ("ub", [float("nan"), 1.0], None, None)], "scan_uid string, embedding array<float>, stage string, error string")
+    sinks.append_table(odd, f"{out}/parts")  # rows of no use
+    (tmp_path / "emb" / "parts" / "part-broken.parquet").write_bytes(b"PAR1 cut off")
+    found = audit.run_embedding(spark, items, out, str, lambda batch: [[0.0, 1.0]] * len(batch), profiler)
+    assert sorted((r.scan_uid, r.emb_row) for r in found.collect()) == [("ua", 0), ("ub", 1), ("uc", 2)]
+    assert spark.read.parquet(f"{out}/failures").count() == 0
+    assert [(r.n_pending, r.n_embedded, r.n_failed) for r in profiler.details(spark).collect()] == [("3", "2", "1"), ("1", "3", "0")]
+    assert tables.read_failures(spark, str(tmp_path / "none.csv")).count() == 0
+
+
+def test_requests_must_agree(spark):
+    n = neighbours(spark, [(1, 2, 1, 0.9)])
+    listed = pairs.review_long(pairs.review_wide(pairs.review_list(pairs.scan_pairs(n, 0.5))))
+    requests = pairs.scan_requests(listed)
+    manifest = n.select(*[F.col(f"query_{c}").alias(c) for c in pairs.META]).unionByName(n.select(*[F.col(f"cand_{c}").alias(c) for c in pairs.META]))
+    assert pairs.checked_requests(requests, manifest).count() == 2
+    with pytest.raises(ValueError, match="u2 not in manifest"):
+        pairs.checked_requests(requests, manifest.where("scan_uid = 'u1'"))
+    with pytest.raises(ValueError, match="dataset differs"):
+        pairs.checked_requests(requests, manifest.withColumn("dataset", F.lit("q")))
+    assert [tuple(r) for r in pairs.pair_requests(listed).collect()] == [("u1", "u2", "u1__u2")]
+    assert tuple(pairs.plan_totals(pairs.asset_plan(requests, manifest.limit(1))).first()) == (2, 1, 1)
+
+
+def test_large_groups_are_numbered_by_range(spark, monkeypatch):
+    rows = [("big", f"{i * 7919 % 1000:04d}", None if i % 2 else "x") for i in range(300)] + [(None, f"{i}", "") for i in range(30)] + [("small", "b", ""), ("small", "a", "")]
+    df = spark.createDataFrame(rows, "g string, o string, p string")
+    monkeypatch.setattr("kindred.plans.numbering.SMALL_ROWS", 20)
+    got = {(r.g, r.o): r.n for r in group_numbers(df, ["g"], ["o"], "n").collect()}
+    want = {(g, o): i + 1 for g in {r[0] for r in rows} for i, o in enumerate(sorted(r[1] for r in rows if r[0] == g))}
+    assert got == want
+
 
 def test_csv_round_trip(spark, tmp_path):
     d = schema.empty(spark, schema.VALID)
@@ -236,12 +349,18 @@ def test_pipeline_end_to_end(spark, tmp_path):
         f.parent.mkdir(parents=True)
         f.write_bytes(data)
     cfg = tmp_path / "c.toml"
-    cfg.write_text(f'[run]\nout_dir = "{tmp_path}/out"\nstages = ["near", "exact"]\n[exact]\nroot = "{tmp_path}/in"\n[near]\nmin_similarity = 0.5\ntopk = 2\nuse_ivf = false\n')
+    cfg.write_text(f'[run]\nout_dir = "{tmp_path}/out"\nstages = ["near", "exact"]\n[exact]\nroot = "{tmp_path}/in"\nverify = true\n[near]\nmin_similarity = 0.5\ntopk = 2\nuse_ivf = false\n')
     embed = lambda items: items.select("scan_uid", F.array(F.lit(1.0), F.lit(0.5)).cast("array<float>").alias("embedding"))
     profiler = audit.run_pipeline(spark, str(cfg), embed)
     assert [r.status for r in profiler.records] == ["ok"] * len(profiler.records)
     assert spark.read.parquet(f"{tmp_path}/out/exact/duplicates").count() == 2
     assert spark.read.parquet(f"{tmp_path}/out/near/pairs").count() == 1
+    assert {r.scan_uid for r in spark.read.parquet(f"{tmp_path}/out/near/input").collect()} == {hashlib.sha256(b).hexdigest() for b in (b"one", b"two")}
+    checks = spark.read.parquet(f"{tmp_path}/out/exact/verified/within_datasets_with_checks").collect()
+    assert [(r.byte_identical_all, r.canonical_identical_all, r.flag_orient_diff) for r in checks] == [("TRUE", "TRUE", False)] * 2 and all(r.mtime for r in checks)
+    assert spark.read.parquet(f"{tmp_path}/out/near/scan_requests").count() == 2 and spark.read.parquet(f"{tmp_path}/out/near/pair_requests").count() == 1
+    assert (tmp_path / "out" / "near" / "review_candidates.csv").read_text().startswith("query_dataset")
+    assert next(r for r in profiler.records if r.stage_name == "exact_hash_group").n_output == 2
     audit.run_pipeline(spark, str(cfg), embed)  # resumes: nothing is hashed again
     assert spark.read.parquet(f"{tmp_path}/out/exact/hashes").count() == 3
     assert resolve_stages(["near", "exact", "near"]) == ("exact", "near")
@@ -257,6 +376,13 @@ def test_finalise_and_profile(spark, tmp_path):
     log = spark.createDataFrame([("d", "s1", "", "a", "d", "s2", "", "b", "yes", "", "", 1)], cols)
     got = audit.finalise(spark, log, str(tmp_path / "f"))
     assert got["groups"].count() == 2 and spark.read.parquet(f"{tmp_path}/f/within_datasets").count() == 2
+    assert spark.read.parquet(f"{tmp_path}/f/within_datasets_stats").first().n_subjects == 2 and spark.read.parquet(f"{tmp_path}/f/pair_points").count() == 1
+    # an exported file leads to the same groups
+    export = decisions.exported(decisions.latest(log))
+    assert export.columns == [*[f"{c}_{i}" for i in (1, 2) for c in ("dataset", "subject_id", "session_id", "path")], "QA_status", "reason", "date"]
+    sinks.write_csv(export, str(tmp_path / "review_decisions.csv"), ("path_1", "path_2"))
+    again = audit.finalise(spark, tables.read_decisions(spark, str(tmp_path / "review_decisions.csv")), str(tmp_path / "g"))
+    assert sorted(map(tuple, again["groups"].collect())) == sorted(map(tuple, got["groups"].collect()))
     p = Profiler()
     with pytest.raises(RuntimeError), p.stage("total_pipeline"), p.stage("inner"):
         raise RuntimeError("x")
