@@ -1,26 +1,33 @@
 """Removal of every byte covered by a long string that also starts anywhere else.
 
-A string of LENGTH bytes is judged by a sparse suffix index. Each of its starts belongs to an
-anchor: the GRAM-byte substring of smallest hash inside the string. Equal strings have equal
+A text is a sequence of symbols: its bytes in UTF-8 for the strings of LENGTH bytes that are
+removed, its words for the passages of PASSAGE words that are reported. Both go the same way.
+
+A string is judged by a sparse suffix index. Each of its starts belongs to an anchor: the gram
+(GRAM bytes, PASSAGE_GRAM words) of smallest hash inside the string. Equal strings have equal
 anchors at equal places, so only occurrences of one anchor need comparing. For every anchor a
-document holds a run of string starts; runs with equal bytes around them are one signature.
+document holds a run of string starts; runs with equal symbols around them are one signature.
 
  1. Anchors that occur once in the corpus are dropped.
- 2. A signature that occurs twice repeats in full.
- 3. Where an anchor has several signatures, one occurrence of each gives the bytes of its
+ 2. A signature that occurs twice (two hashes of 64 bits, of gram and run) repeats in full.
+ 3. Where an anchor has several signatures, one occurrence of each gives the symbols of its
     run. They go to the logarithmic index family of the anchor's partition: new batches get
-    suffix arrays, are merge-scanned against the existing levels for matches of LENGTH bytes,
-    and levels of equal size merge. Anchors with more than HOT signatures don't go to one
-    task: their strings are counted by hash over all tasks instead, with the same result.
+    suffix arrays, are merge-scanned against the existing levels for matches of full length,
+    and levels of equal size merge.
  4. What repeats is carried back to every occurrence, and documents drop the bytes covered.
 
+An anchor with more than CROWD signatures would be too much for one task. Its runs are dealt
+further before they are indexed: each is cut at the middle of the possible offsets. What all
+strings of a half have in common (its core) is longer than the anchor and takes its place as
+the key; halves whose core no other run has are dropped, equal halves become one signature
+again, and halves that are still crowded are cut once more. After log2(LENGTH) cuts a core is a
+whole string, so every crowd ends.
+
 Offsets and lengths are bytes of the text in UTF-8. Matches never cross documents.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,17 +35,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.arrow_rows import bounded_batches, map_batches
+from kindred.plans.sizes import broadcast_if_small
 from kindred.plans.stored import drop, stored
 
 #: Bytes of a string that is removed where it repeats, and of the anchors.
 LENGTH, GRAM = 400, 128
+#: Words of a passage that is reported where it repeats, and of the anchors.
+PASSAGE, PASSAGE_GRAM = 51, 16
 #: Text positions handled at once within a document; bounds memory on very long texts.
 SEGMENT = 1 << 18
 #: Signatures of one anchor that one task takes; and strings that a task's index holds, about.
-HOT = 2000
+CROWD = 2000
 TASK_STRINGS = 100_000
 #: Strings of a new batch of the index.
 BATCH_STRINGS = 8192
+#: Anchors, or signatures with their result, that are broadcast (some 50 bytes each); more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -63,23 +75,44 @@ def _mixed(x):
 
 
 class _Hashes:
-    """Hashes of all substrings of some bytes, from sums over prefixes."""
+    """Hashes of all substrings of some symbols (odd 64-bit values), from sums over prefixes."""
 
-    def __init__(self, data: np.ndarray):
-        power, self.inverse = _power(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTES[data] * power[: len(data)], out=self.sums[1:])
+    def __init__(self, symbols: np.ndarray):
+        power, self.inverse = _power(len(symbols) + 1)
+        self.sums = np.zeros(len(symbols) + 1, np.uint64)
+        np.cumsum(symbols * power[: len(symbols)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, length) -> np.ndarray:
         return _mixed((self.sums[start + length] - self.sums[start]) * self.inverse[start] + np.asarray(length).astype(np.uint64))
 
 
-def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> list[np.ndarray]:
+class Kind:
+    """Bytes or words as the symbols of texts; a run is kept as bytes, `width` of them a symbol."""
+
+    def __init__(self, number: int, length: int, gram: int):
+        self.number, self.length, self.gram, self.width = number, length, gram, 1 if number == 0 else 8
+
+    def raw(self, data: bytes) -> np.ndarray:
+        """The symbols of a text, as an array whose bytes are compared."""
+        if self.number == 0:
+            return np.frombuffer(data, np.uint8)
+        words = data.split()
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).astype(">u8")
+
+    def values(self, raw: np.ndarray) -> np.ndarray:
+        return _BYTES[raw] if self.number == 0 else raw.astype(np.uint64) | np.uint64(1)
+
+    def of_run(self, run: bytes) -> np.ndarray:
+        return np.frombuffer(run, np.uint8 if self.number == 0 else ">u8")
+
+
+def anchors(raw: np.ndarray, kind: Kind) -> list[np.ndarray]:
     """Per anchor: hash of its gram, signature, its position, first and last start of its run of strings."""
-    raw, span = np.frombuffer(data, np.uint8), length - gram + 1
+    length, gram = kind.length, kind.gram
+    span = length - gram + 1
     found: list[list[np.ndarray]] = []
     for base in range(0, len(raw) - length + 1, SEGMENT):
-        part = raw[base : base + SEGMENT + length - 1]
+        part = kind.values(raw[base : base + SEGMENT + length - 1])
         n = len(part) - length + 1
         h = _Hashes(part)
         grams = h.of(np.arange(len(part) - gram + 1), gram)
@@ -95,221 +128,284 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> list[np.ndar
         hi = np.concatenate([lo[1:] - 1, [n - 1]])
         at = at[lo]
         signature = _mixed(h.of(lo, hi - lo + length) ^ _mixed((at - lo).astype(np.uint64)))
-        found.append([grams[at], signature, at + base, lo + base, hi + base])
+        found.append([_mixed(grams[at] + np.uint64(kind.number)), signature, at + base, lo + base, hi + base])
     return [np.concatenate(x) for x in zip(*found, strict=True)] if found else []
 
 
 class LogSuffixIndex:
     """Suffix arrays of batches in levels of doubling size.
 
-    Entries are the strings that start at given positions; a level holds those of its batches
-    in sorted order. Adding a batch finds which of its strings occur in any level or twice in
-    the batch, and which entries of the levels occur in the batch.
+    A level holds text and, in the order of the strings that start there, offsets into it with
+    their names; strings are cut out of the text only while they are compared. Adding a batch
+    finds which of its strings occur in any level or twice in the batch, and which entries of
+    the levels occur in the batch.
     """
 
-    def __init__(self, length: int = LENGTH):
+    def __init__(self, length: int):
         self.length = length
-        self.levels: list[tuple[np.ndarray, np.ndarray] | None] = []
-
-    def add(self, strings: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-        """strings: rows of `length` bytes; numbers: their names. Returns the names that now have a match."""
-        kind = f"V{self.length}"
-        rows = np.ascontiguousarray(strings).view(f"S{self.length}").ravel()
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = []
+
+    def _strings(self, text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The strings at some offsets, as values that compare byte by byte."""
+        rows = np.lib.stride_tricks.sliding_window_view(text, self.length)[offsets] if len(offsets) else np.zeros((0, self.length), np.uint8)
+        return np.ascontiguousarray(rows).view(f"S{self.length}").ravel()
+
+    def add(self, text: np.ndarray, offsets: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """text: bytes; offsets: where strings start; names: theirs. Returns the names that now have a match."""
+        if not len(offsets):
+            return np.zeros(0, np.int64)
+        rows = self._strings(text, offsets)
         order = np.argsort(rows, kind="stable")
-        rows, numbers = rows[order], numbers[order]
-        same = rows[1:].view(kind) == rows[:-1].view(kind) if len(rows) > 1 else np.zeros(0, bool)
-        matched = [numbers[np.concatenate([same, [False]]) | np.concatenate([[False], same])]]
+        rows, offsets, names = rows[order], offsets[order], names[order]
+        same = rows[1:].view(f"V{self.length}") == rows[:-1].view(f"V{self.length}")
+        matched = [names[np.concatenate([same, [False]]) | np.concatenate([[False], same])]]
         for level in self.levels:
             if level is not None:
-                keys, names = level
+                keys = self._strings(level[0], level[1])
                 left, right = np.searchsorted(keys, rows, "left"), np.searchsorted(keys, rows, "right")
                 hit = right > left
-                matched.append(numbers[hit])
+                matched.append(names[hit])
                 cover = np.zeros(len(keys) + 1, np.int64)
                 np.add.at(cover, left[hit], 1)
                 np.add.at(cover, right[hit], -1)
-                matched.append(names[np.cumsum(cover)[:-1] > 0])
-        k = 0
+                matched.append(level[2][np.cumsum(cover)[:-1] > 0])
+        held, k = (text, offsets, names, rows), 0
         while k < len(self.levels) and self.levels[k] is not None:
-            keys, names = self.levels[k]
-            to = np.searchsorted(keys, rows, "right") + np.arange(len(rows))
-            both, both_names = np.empty(len(keys) + len(rows), rows.dtype), np.empty(len(keys) + len(rows), np.int64)
-            rest = np.ones(len(both), bool)
-            rest[to] = False
-            both[to], both_names[to], both[rest], both_names[rest] = rows, numbers, keys, names
-            rows, numbers = both, both_names
+            held = self._merged(self.levels[k], held)
             self.levels[k] = None
             k += 1
         if k == len(self.levels):
             self.levels.append(None)
-        self.levels[k] = (rows, numbers)
+        self.levels[k] = held[:3]
         return np.unique(np.concatenate(matched))
 
+    def _merged(self, level, held):
+        """A level and a batch as one: their texts one after the other, their offsets in one order."""
+        text, offsets, names = level
+        keys, rows = self._strings(text, offsets), held[3]
+        to = np.searchsorted(keys, rows, "right") + np.arange(len(rows))
+        rest = np.ones(len(keys) + len(rows), bool)
+        rest[to] = False
+        out = [np.empty(len(rest), held[1].dtype), np.empty(len(rest), np.int64), np.empty(len(rest), rows.dtype)]
+        for x, new, old in zip(out, (held[1] + len(text), held[2], rows), (offsets, names, keys), strict=True):
+            x[to], x[rest] = new, old
+        return np.concatenate([text, held[0]]), *out
+
 
-_ANCHORS = "id {0}, h long, g long, sig long, at long, lo long, hi long"
+_ANCHORS = "id {0}, h long, kind int, g long, sig long, at long, lo long, hi long"
+_RUN = "g long, sig long, kind int, base long, run binary"
 
 
-def _anchor_rows(b: pa.RecordBatch, length: int, gram: int) -> pa.RecordBatch:
-    keys, hashes, parts = [], [], []
+def _anchor_rows(b: pa.RecordBatch, kinds: list[Kind]) -> pa.RecordBatch:
+    rows, numbers, parts = [], [], []
     for i, text in enumerate(b.column(1).to_pylist()):
         data = (text or "").encode()
-        if len(data) >= length:
-            found = anchors(data, length, gram)
-            parts.append(found)
-            keys.append(np.full(len(found[0]), i))
-            hashes.append(np.full(len(found[0]), _text_key(data)))
+        for kind in kinds:
+            if len(data) >= (kind.length if kind.width == 1 else 2 * kind.length - 1):
+                found = anchors(kind.raw(data), kind)
+                if found:
+                    parts.append(found)
+                    rows.append(np.full(len(found[0]), i))
+                    numbers.append(np.full(len(found[0]), kind.number, np.int32))
     columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
-    which = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
-    arrays = [b.column(0).take(pa.array(which)), pa.array(h), *(pa.array(c.view(np.int64)) for c in columns)]
-    return pa.RecordBatch.from_arrays(arrays, names=["id", "h", "g", "sig", "at", "lo", "hi"])
+    which = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+    number = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
+    arrays = [b.column(0).take(which), b.column(2).take(which), pa.array(number), *(pa.array(c.view(np.int64)) for c in columns)]
+    return pa.RecordBatch.from_arrays(arrays, names=["id", "h", "kind", "g", "sig", "at", "lo", "hi"])
 
 
-def _text_key(data: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+def _run_batch(g, sig, kind, base, run) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(sig, pa.int64()), pa.array(kind, pa.int32()), pa.array(base, pa.int64()), pa.array(run, pa.binary())], names=["g", "sig", "kind", "base", "run"])
 
 
-def _context_rows(b: pa.RecordBatch, length: int) -> pa.RecordBatch:
-    """(g, sig, base, run): the bytes of each wanted run; base: its first start relative to the anchor."""
-    g, sig, base, run = [], [], [], []
+def _context_rows(b: pa.RecordBatch, kinds: list[Kind]) -> pa.RecordBatch:
+    """The symbols of each wanted run; base: its first start relative to the anchor."""
+    out: list[list] = [[], [], [], [], []]
     for text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-        data = (text or "").encode()
+        data, raw = (text or "").encode(), {}
         for w in wanted:
-            g.append(w["g"])
-            sig.append(w["sig"])
-            base.append(w["lo"] - w["at"])
-            run.append(data[w["lo"] : w["hi"] + length])
-    return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(sig, pa.int64()), pa.array(base, pa.int64()), pa.array(run, pa.binary())], names=["g", "sig", "base", "run"])
-
-
-def _string_rows(b: pa.RecordBatch, length: int) -> pa.RecordBatch:
-    """(g, sig, off, string hash) of every string of the runs of much-used anchors."""
-    out: list[list[np.ndarray]] = [[], [], [], []]
-    for g, sig, base, run in zip(*(c.to_pylist() for c in b.columns), strict=True):
-        n = len(run) - length + 1
-        h = _Hashes(np.frombuffer(run, np.uint8)).of(np.arange(n), length)
-        for o, v in zip(out, (np.full(n, g), np.full(n, sig), base + np.arange(n), h.view(np.int64)), strict=True):
-            o.append(v)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["g", "sig", "off", "string"])
-
-
-def _indexed(batches, length: int):
-    """Adds runs to an index, batch by batch, and yields (g, sig, offs) of strings that repeat."""
-    index = LogSuffixIndex(length)
-    owners: list[tuple[int, int, int, int]] = []
+            kind = kinds[w["kind"]]
+            if kind.number not in raw:
+                raw[kind.number] = kind.raw(data)
+            run = raw[kind.number][w["lo"] : w["hi"] + kind.length].tobytes()
+            for o, v in zip(out, (w["g"], w["sig"], kind.number, w["lo"] - w["at"], run), strict=True):
+                o.append(v)
+    return _run_batch(*out)
+
+
+_HALF = "pg long, psig long, " + _RUN + ", first long, last long"
+
+
+def _halves(b: pa.RecordBatch, kinds: list[Kind]) -> pa.RecordBatch:
+    """Runs whose strings start at offsets from first to last, cut at the middle offset.
+
+    A half's key is the hash of its core: the symbols that every string which starts at any of
+    its offsets has. Each run that has a string in the half has the whole core.
+    """
+    out: list[list] = [[] for _ in range(9)]
+    for g, sig, number, base, run, first, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        kind, middle = kinds[number], (first + last) // 2
+        raw = kind.of_run(run)
+        n, h = len(raw) - kind.length + 1, _Hashes(kind.values(raw))
+        for a, z in ((first, middle), (middle + 1, last)):
+            lo, hi = max(a, base), min(z, base + n - 1)
+            if lo <= hi:
+                core = int(h.of(np.array([z - base]), a + kind.length - z)[0])
+                part = raw[lo - base : hi - base + kind.length].tobytes()
+                key = xxhash.xxh3_64_intdigest(f"{g} {core} {a} {z}") - (1 << 63)
+                of = xxhash.xxh3_64_intdigest(part, lo & 0xFFFFFFFF) - (1 << 63)
+                for o, v in zip(out, (g, sig, key, of, number, lo, part, a, z), strict=True):
+                    o.append(v)
+    kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds_, strict=True)], names=["pg", "psig", "g", "sig", "kind", "base", "run", "first", "last"])
+
+
+def _indexed(batches, kinds: list[Kind]):
+    """Adds runs to the index of their kind, batch by batch, and yields (g, sig, offs) of strings that repeat."""
+    indexes = [LogSuffixIndex(k.length * k.width) for k in kinds]
+    owners: list[tuple[int, int, int]] = []
     starts: list[int] = []
     hits: list[np.ndarray] = []
-    held, size, total = [], 0, 0
-
-    def flush():
-        nonlocal held, size
-        if held:
-            hits.append(index.add(np.concatenate([h for h, _ in held]), np.concatenate([n for _, n in held])))
-        held, size = [], 0
+    held: list[list] = [[] for _ in kinds]
+    size, total = [0] * len(kinds), 0
+
+    def flush(k: int) -> None:
+        if held[k]:
+            width = kinds[k].width
+            text = np.frombuffer(b"".join(run for run, _, _ in held[k]), np.uint8)
+            before = np.cumsum([0, *(len(run) for run, _, _ in held[k])])
+            offsets = np.concatenate([at + width * np.arange(n) for (_, _, n), at in zip(held[k], before, strict=False)])
+            hits.append(indexes[k].add(text, offsets, np.concatenate([first + np.arange(n) for _, first, n in held[k]])))
+        held[k], size[k] = [], 0
 
     for b in batches:
-        for g, sig, base, run in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            n = len(run) - length + 1
-            held.append((np.lib.stride_tricks.sliding_window_view(np.frombuffer(run, np.uint8), length), np.arange(total, total + n)))
-            owners.append((g, sig, base, n))
+        for g, sig, k, base, run in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            n = len(run) // kinds[k].width - kinds[k].length + 1
+            held[k].append((run, total, n))
+            owners.append((g, sig, base))
             starts.append(total)
             total += n
-            size += n
-            if size >= BATCH_STRINGS:
-                flush()
-    flush()
-    if not hits:
+            size[k] += n
+            if size[k] >= BATCH_STRINGS:
+                flush(k)
+    for k in range(len(kinds)):
+        flush(k)
+    names = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
+    if not len(names):
         return
-    names = np.unique(np.concatenate(hits))
     owner = np.searchsorted(np.array(starts), names, "right") - 1
     offs = names - np.array(starts)[owner]
-    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     rows = [(owners[owner[i]][0], owners[owner[i]][1], (owners[owner[i]][2] + offs[i:j]).tolist()) for i, j in zip(first, [*first[1:], len(owner)], strict=True)]
-    columns = list(zip(*rows, strict=True)) or [(), (), ()]
+    columns = list(zip(*rows, strict=True))
     yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int64()))], names=["g", "sig", "offs"])
 
 
-def _kept_rows(b: pa.RecordBatch, length: int, names: list[str]) -> pa.RecordBatch:
-    n_bytes, removed, spans, kept, digests = [], [], [], [], []
+def _merged_runs(runs, length: int) -> list[list[int]]:
+    """Ends of the stretches that strings starting from lo to hi cover, in order."""
+    out: list[list[int]] = []
+    for lo, hi in sorted(runs):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi + length)
+        else:
+            out.append([lo, hi + length])
+    return out
+
+
+def _kept_rows(b: pa.RecordBatch, kinds: list[Kind], names: list[str]) -> pa.RecordBatch:
+    n_bytes, removed, spans, kept, passages = [], [], [], [], []
     for text, runs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
         data = (text or "").encode()
-        out, end, gone = [], 0, []
-        for lo, hi in sorted((r["lo"], r["hi"] + length) for r in runs or []):
-            if gone and lo <= gone[-1][1]:
-                gone[-1][1] = max(gone[-1][1], hi)
-            else:
-                gone.append([lo, hi])
-        for lo, hi in gone:
-            out.append(data[end:lo])
-            end = hi
-        rest = b"".join([*out, data[end:]])
+        gone, said = (_merged_runs([(r["lo"], r["hi"]) for r in runs or [] if r["kind"] == k.number], k.length) for k in kinds)
+        ends = [0, *(x for span in gone for x in span), len(data)]
+        rest = b"".join(data[lo:hi] for lo, hi in zip(ends[::2], ends[1::2], strict=True))
         n_bytes.append(len(data))
         removed.append(len(data) - len(rest))
         spans.append([{"start": a, "end": z} for a, z in gone])
         kept.append(rest)
-        digests.append(hashlib.sha256(rest).hexdigest())
+        passages.append([{"start": a, "end": z} for a, z in said])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=names)
-
-
-def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """id_col, n_bytes, n_removed, spans (removed runs: array of (start, end)) and kept (the remaining bytes).
-
-    Null texts are empty; texts shorter than `length` lose nothing. Rows with equal texts
-    repeat each other and lose everything if they are long enough, rows with equal or null
-    ids too: every row is judged by its own text. Other columns are not read.
-    """
-    spark = documents.sparkSession
-    kind = documents.schema[id_col].dataType.simpleString()
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    every = stored(map_batches(docs, lambda b: _anchor_rows(b, length, gram), _ANCHORS.format(kind)), "anchors")
-    twice = every.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    held = stored(every.join(twice, "g", "left_semi"), "anchors")
-    drop(every)
-    signs = stored(held.groupBy("g", "sig").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "at", "lo", "hi")).alias("one")), "signatures")
-    several = signs.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
-    wanted = signs.join(several, "g").select("g", "sig", "m", "one.*")
-    wanted = stored(wanted, "wanted")
-    strings = wanted.where(F.col("m") <= HOT).agg(F.sum(F.col("hi") - F.col("lo") + 1)).first()[0] or 0
-    lists = wanted.groupBy(F.col("id").alias("wid"), F.col("h").alias("wh")).agg(F.collect_list(F.struct("g", "sig", "at", "lo", "hi")).alias("wanted"))
-    found = docs.join(lists, F.col("id").eqNullSafe(F.col("wid")))
-    runs = map_batches(found.select("text", "wanted", "wh"), lambda b: _context_rows(_own(b), length), "g long, sig long, base long, run binary")
-    runs = stored(runs.join(several, "g"), "runs")
-    parts = max(spark.sparkContext.defaultParallelism, -(-int(strings) // TASK_STRINGS))
-    cold = bounded_batches(runs.where(F.col("m") <= HOT).select("g", "sig", "base", "run").repartition(parts, "g")).mapInArrow(lambda it: _indexed(it, length), "g long, sig long, offs array<long>")
-    hot = stored(map_batches(runs.where(F.col("m") > HOT).select("g", "sig", "base", "run"), lambda b: _string_rows(b, length), "g long, sig long, off long, string long"), "strings")
-    again = hot.groupBy("g", "off", "string").agg(F.count("*").alias("c")).where("c > 1").select("g", "off", "string")
-    hot_offs = hot.join(again, ["g", "off", "string"], "left_semi").groupBy("g", "sig").agg(F.array_sort(F.collect_set("off")).alias("offs"))
-    partial = cold.unionByName(hot_offs).select("g", "sig", F.expr(_RUNS).alias("runs"))
-    told = stored(signs.select("g", "sig", (F.col("n") > 1).alias("full")).join(partial, ["g", "sig"], "left").where("full or runs is not null"), "repeats")
-    own = F.expr("if(full, array(named_struct('lo', lo, 'hi', hi)), transform(runs, r -> named_struct('lo', at + r.lo, 'hi', at + r.hi)))")
-    spread = held.join(told, ["g", "sig"]).select("id", "h", F.explode(own).alias("r")).groupBy("id", "h", "r.lo").agg(F.max("r.hi").alias("hi"))
-    gone = stored(spread.groupBy(F.col("id").alias("wid"), F.col("h").alias("wh")).agg(F.collect_list(F.struct("lo", "hi")).alias("gone")), "gone")
-    drop(held, signs, wanted, runs, hot, told)
-    return _carried(docs, gone, id_col, kind, length)
+    return pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(passages, kind)], names=names)
 
 
 #: Runs of consecutive numbers in the sorted array offs.
-_RUNS = (
+_CONSECUTIVE = (
     "aggregate(offs, cast(array() as array<struct<lo:bigint,hi:bigint>>), (a, o) -> if(size(a) > 0 and a[size(a) - 1].hi + 1 = o, "
     "concat(slice(a, 1, size(a) - 1), array(named_struct('lo', a[size(a) - 1].lo, 'hi', o))), concat(a, array(named_struct('lo', o, 'hi', o)))))"
 )
 
 
-def _own(b: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows whose wanted list belongs to their text, not to another text of the same id."""
-    keep = [_text_key((t or "").encode()) == h for t, h in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
-    return b.filter(pa.array(keep, pa.bool_())).select(["text", "wanted"])
-
-
-def _carried(docs: DataFrame, gone: DataFrame, id_col: str, kind: str, length: int) -> DataFrame:
-    """Documents with their removed runs; the text key is computed where it is compared."""
-    keyed = map_batches(docs, lambda b: _with_key(b), f"id {kind}, text string, h long")
-    both = keyed.join(gone, F.col("id").eqNullSafe(F.col("wid")) & (F.col("h") == F.col("wh")), "left").select("id", "text", "gone")
-    names = [id_col, "n_bytes", "n_removed", "spans", "kept"]
-    return map_batches(both, lambda b: _kept_rows(b, length, names), f"`{id_col}` {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+def _decided(runs: DataFrame, kinds: list[Kind]) -> DataFrame:
+    """g, sig and runs: the offsets (from lo to hi, relative to the anchor) of strings that repeat.
 
+    runs: one row for each signature of anchors that have several: _RUN, first and last.
+    """
+    spark = runs.sparkSession
+    crowded = stored(runs.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > CROWD).select("g"), "crowded")
+    crowds = broadcast_if_small(crowded, BROADCAST_ROWS)
+    few = runs.join(crowds, "g", "left_anti")
+    strings = few.agg(F.sum(F.expr(_strings_of(kinds)))).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-int(strings) // TASK_STRINGS))
+    dealt = bounded_batches(few.select("g", "sig", "kind", "base", "run").repartition(parts, "g"))
+    found = dealt.mapInArrow(lambda it: _indexed(it, kinds), "g long, sig long, offs array<long>").select("g", "sig", F.expr(_CONSECUTIVE).alias("runs"))
+    if crowded.isEmpty():
+        return found
+    found = stored(found, "indexed")
+    rows = runs.join(crowds, "g", "left_semi").select("g", "sig", "kind", "base", "run", "first", "last")
+    halves = stored(map_batches(rows, lambda b: _halves(b, kinds), _HALF), "halves")
+    cores = stored(halves.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "cores")
+    halves_ = stored(halves.join(broadcast_if_small(cores, BROADCAST_ROWS), "g", "left_semi"), "halves")
+    drop(halves, cores)
+    signs = stored(halves_.groupBy("g", "sig").agg(F.count("*").alias("n")), "signatures")
+    twice = signs.where("n > 1").select("g", "sig").withColumn("full", F.lit(True))
+    several = stored(signs.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g"), "several")
+    again = stored(halves_.join(broadcast_if_small(several, BROADCAST_ROWS), "g", "left_semi").dropDuplicates(["g", "sig"]).select("g", "sig", "kind", "base", "run", "first", "last"), "runs")
+    below = stored(_decided(again, kinds), "decided")
+    told = twice.join(below, ["g", "sig"], "full")
+    whole = F.expr(f"array(named_struct('lo', base, 'hi', base + {_strings_of(kinds)} - 1))")
+    up = halves_.join(told, ["g", "sig"]).select(F.col("pg").alias("g"), F.col("psig").alias("sig"), F.when(F.col("full"), whole).otherwise(F.col("runs")).alias("runs"))
+    up = stored(up.groupBy("g", "sig").agg(F.flatten(F.collect_list("runs")).alias("runs")), "decided")  # two halves at most
+    drop(crowded, halves_, signs, several, again, below)
+    return found.unionByName(up)
+
+
+def _strings_of(kinds: list[Kind]) -> str:
+    """SQL for the number of strings of a run."""
+    return "(case kind " + " ".join(f"when {k.number} then octet_length(run) div {k.width} - {k.length - 1}" for k in kinds) + " end)"
+
+
+def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, passage: int = PASSAGE, passage_gram: int = PASSAGE_GRAM) -> DataFrame:
+    """id_col, n_bytes, n_removed, spans (removed runs: array of (start, end)), kept (the remaining
+    bytes) and passages (array of (start, end): words in passages of so many words that start
+    anywhere else too, whatever white space is between them; they are reported, not removed).
 
-def _with_key(b: pa.RecordBatch) -> pa.RecordBatch:
-    keys = [_text_key((t or "").encode()) for t in b.column(1).to_pylist()]
-    return pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], names=["id", "text", "h"])
+    Null texts are empty; texts shorter than `length` lose nothing. Rows with equal texts
+    repeat each other and lose everything if they are long enough, rows with equal or null
+    ids too: every row is judged by its own text. Other columns are not read.
+    """
+    kinds = [Kind(0, length, gram), Kind(1, passage, passage_gram)]
+    kind = documents.schema[id_col].dataType.simpleString()
+    text = F.col(text_col).cast("string")
+    docs = documents.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
+    every = stored(map_batches(docs, lambda b: _anchor_rows(b, kinds), _ANCHORS.format(kind)), "anchors")
+    # stored, so that its join has a shuffle on both sides and a much-used anchor can be split
+    twice = stored(every.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "twice")
+    held = stored(every.join(broadcast_if_small(twice, BROADCAST_ROWS), "g", "left_semi"), "anchors")
+    drop(every, twice)
+    signs = stored(held.groupBy("g", "sig").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "kind", "at", "lo", "hi")).alias("one")), "signatures")
+    several = stored(signs.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g"), "several")
+    wanted = signs.join(broadcast_if_small(several, BROADCAST_ROWS), "g").select("g", "sig", "one.*")
+    lists = wanted.groupBy(F.col("id").alias("wid"), F.col("h").alias("wh")).agg(F.collect_list(F.struct("g", "sig", "kind", "at", "lo", "hi")).alias("wanted"))
+    found = docs.join(lists, F.col("id").eqNullSafe(F.col("wid")) & (F.col("h") == F.col("wh")))
+    limits = [F.expr("case kind " + " ".join(f"when {k.number} then {v(k)}L" for k in kinds) + " end").alias(n) for n, v in (("first", lambda k: k.gram - k.length), ("last", lambda k: 0))]
+    runs = stored(map_batches(found.select("text", "wanted"), lambda b: _context_rows(b, kinds), _RUN).select("*", *limits), "runs")
+    told = signs.select("g", "sig", (F.col("n") > 1).alias("full")).join(_decided(runs, kinds), ["g", "sig"], "left").where("full or runs is not null")
+    told = stored(told, "repeats")
+    own = F.expr("if(full, array(named_struct('lo', lo, 'hi', hi)), transform(runs, r -> named_struct('lo', at + r.lo, 'hi', at + r.hi)))")
+    spread = held.join(broadcast_if_small(told, BROADCAST_ROWS // 4), ["g", "sig"]).select("id", "h", "kind", F.explode(own).alias("r")).groupBy("id", "h", "kind", "r.lo").agg(F.max("r.hi").alias("hi"))
+    gone = stored(spread.groupBy(F.col("id").alias("wid"), F.col("h").alias("wh")).agg(F.collect_list(F.struct("kind", "lo", "hi")).alias("gone")), "gone")
+    drop(held, signs, several, runs, told)
+    both = docs.join(gone, F.col("id").eqNullSafe(F.col("wid")) & (F.col("h") == F.col("wh")), "left").select("id", "text", "gone")
+    names = [id_col, "n_bytes", "n_removed", "spans", "kept", "passages"]
+    span = "array<struct<start:long,end:long>>"
+    return map_batches(both, lambda b: _kept_rows(b, kinds, names), f"`{id_col}` {kind}, n_bytes long, n_removed long, spans {span}, kept binary, passages {span}")
