@@ -25,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.arrow_rows import map_batches
+from kindred.llm.arrow_rows import bounded_batches, map_batches
+from kindred.plans.sizes import broadcast_if_small
 from kindred.plans.stored import drop, stored
 
 #: An archive value is closed once it holds so many bytes.
 ARCHIVE_BYTES = 4 << 20
+#: Records that revisit others (some 150 bytes each) that are broadcast; more are joined by shuffle.
+BROADCAST_REVISITS = 100_000
 
 # The field lists of ARC version blocks, and WARC profile names.
 ARC_FIELDS = {
@@ -37,7 +40,7 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-KEY_HEADER = "X-Archive-Key"
+KEY_HEADER, TARGET_HEADER = "X-Archive-Key", "X-Archive-Refers-To-Key"
 
 
 @dataclass(frozen=True)
@@ -112,22 +115,13 @@ def http_header(head: bytes, name: str) -> str | None:
 
 
 def record_id(key: int | None, url: str, date: str, content: bytes) -> str:
-    """A WARC identifier: of the key in its low 62 bits if there is one, else of what the record holds."""
-    if key is not None and 0 <= key < 1 << 62:
-        return f"urn:uuid:{uuid.UUID(int=(0x6B696E6472658000 << 64) | (2 << 62) | key)}"
-    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key} {url} {date} {sha1_base32(content)}')}"
+    """A WARC identifier: of the key if there is one, else of what the record holds."""
+    name = f"key {key}" if key is not None else f"{url} {date} {sha1_base32(content)}"
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}"
 
 
-def key_of(identifier: str | None) -> int | None:
-    """The key of an identifier that record_id made of one."""
-    if not identifier:
-        return None
-    whole = uuid.UUID(identifier.strip("<>").removeprefix("urn:uuid:")).int
-    return whole & ((1 << 62) - 1) if whole >> 64 == 0x6B696E6472658000 and whole >> 62 & 3 == 2 else None
-
-
-def warc_record(r: ArcRecord, identifier: str, refers_to: str | None) -> bytes:
-    """A WARC 1.1 record; with refers_to, a revisit without payload."""
+def warc_record(r: ArcRecord, identifier: str, refers_to: str | None, refers_to_key: int | None = None) -> bytes:
+    """A WARC 1.1 record; with refers_to, a revisit without payload, which also names the target's key."""
     head, body = split_http(r.content)
     kind = "revisit" if refers_to else "response" if re.match(r"https?:", r.url) or head else "resource"
     block = head if refers_to else r.content
@@ -145,6 +139,8 @@ def warc_record(r: ArcRecord, identifier: str, refers_to: str | None) -> bytes:
     }
     if refers_to:
         fields |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"<{refers_to}>"}
+        if refers_to_key is not None:
+            fields[TARGET_HEADER] = str(refers_to_key)
     return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in fields.items()), "\r\n"]).encode() + block + b"\r\n\r\n"
 
 
@@ -194,8 +190,6 @@ def legacy_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
         if held:
             yield _binary([write_arc(held, 1 + turn % 2)])
 
-    from kindred.llm.arrow_rows import bounded_batches
-
     return bounded_batches(pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))).mapInArrow(pack, "archive binary")
 
 
@@ -231,18 +225,20 @@ def convert_archives(archives: DataFrame, least_bytes: int = 0) -> DataFrame:
     a response and the others revisit it. Records that repeat a key and payload are marked
     alike; records without key revisit if a keyed record has the payload, else are responses.
     """
-    parsed = parsed_archives(archives)
+    parsed = stored(parsed_archives(archives), "parsed")
     length = "octet_length(content) - if(startswith(content, X'485454502F'), coalesce(nullif(instr(decode(content, 'ISO-8859-1'), '\\r\\n\\r\\n'), 0) + 3, 0), 0)"
     facts = stored(parsed.select("key", "record", "digest", F.expr(length).alias("bytes")).distinct(), "facts")
-    first = facts.where((F.col("bytes") >= least_bytes) & F.col("key").isNotNull()).groupBy("digest").agg(F.max(F.struct("key", "record")).alias("top"))
-    revisits = facts.join(first, "digest").where((F.col("bytes") >= least_bytes) & (F.col("record") != F.col("top.record"))).select("record", "digest", F.col("top.record").alias("refers_to"))
-    together = parsed.join(revisits, ["record", "digest"], "left").select("record", "refers_to", "version", "url", "ip", "date", "mime", "content")
+    first = stored(facts.where((F.col("bytes") >= least_bytes) & F.col("key").isNotNull()).groupBy("digest").agg(F.max(F.struct("key", "record")).alias("top")), "first")
+    later = facts.where(F.col("bytes") >= least_bytes).join(first, "digest").where(F.col("record") != F.col("top.record"))
+    revisits = stored(later.select("record", "digest", F.col("top.record").alias("refers_to"), F.col("top.key").alias("refers_to_key")), "revisits")
+    together = parsed.join(broadcast_if_small(revisits, BROADCAST_REVISITS), ["record", "digest"], "left")
+    together = together.select("record", "refers_to", "refers_to_key", "version", "url", "ip", "date", "mime", "content")
 
     def pack(batches):
         held, size = [], 0
         for b in batches:
-            for identifier, refers_to, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held.append(gzip_member(warc_record(ArcRecord(*rest), identifier, refers_to)))
+            for identifier, refers_to, target, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.append(gzip_member(warc_record(ArcRecord(*rest), identifier, refers_to, target)))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     yield _binary([b"".join(held)])
@@ -250,10 +246,8 @@ def convert_archives(archives: DataFrame, least_bytes: int = 0) -> DataFrame:
         if held:
             yield _binary([b"".join(held)])
 
-    from kindred.llm.arrow_rows import bounded_batches
-
     out = stored(bounded_batches(together).mapInArrow(pack, "archive binary"), "warc")
-    drop(facts)
+    drop(parsed, facts, first, revisits)
     return out
 
 
@@ -274,7 +268,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if f["warc-type"] != "revisit" and digest != sha1_base32(body):
                     raise ValueError(f"digest of {f['warc-record-id']} does not match")
                 mark = http_header(head, KEY_HEADER)
-                rows.append((int(mark) if mark else None, f["warc-record-id"].strip("<>"), f["warc-type"], f["warc-target-uri"], f["warc-date"], digest, size, key_of(f.get("warc-refers-to"))))
+                rows.append((int(mark) if mark else None, f["warc-record-id"].strip("<>"), f["warc-type"], f["warc-target-uri"], f["warc-date"], digest, size, int(f[TARGET_HEADER.lower()]) if TARGET_HEADER.lower() in f else None))
         columns = list(zip(*rows, strict=True)) or [()] * 8
         kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
         names = ["key", "record", "record_type", "url", "date", "payload_digest", "payload_bytes", "refers_to_key"]
