@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import archives, bpe, decontamination, media, near_duplicates, personal_data, repeated_passages, sharding, toxicity, url_filters
-from kindred.plans.stored import stored
+from kindred.plans.stored import drop, stored
 
 #: Vocabulary of the word-end BPE; a file of the environment, never copied here.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -92,6 +92,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = _capture_rows(spark, sf_dir)
     entries = stored(_list_entries(captures), "entries")
     found = url_filters.evaluate_captures(captures, entries)
+    drop(entries)
     return found.select("page_id", "host", "n_entries", F.concat_ws(",", "lists").alias("lists"), (F.col("n_entries") > 0).alias("blocked"))
 
 
@@ -142,7 +143,8 @@ def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages.remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    words = F.aggregate("passages", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.size("passages").cast("long").alias("n_passages"), words.alias("n_passage_words"))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

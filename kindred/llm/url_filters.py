@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kindred.plans.sizes import broadcast_if_small
+from kindred.plans.stored import drop, stored
 
 #: Intervals that are broadcast (some 100 bytes each); more are joined by shuffle.
 BROADCAST_INTERVALS = 200_000
@@ -71,13 +72,19 @@ def evaluate_captures(captures: DataFrame, entries: DataFrame, id_col: str = "pa
     Every capture has one row, repeated and null ids too. A null or malformed URL and a null
     time match nothing. An empty list table matches nothing. Other columns are not read.
     """
-    spans = validity_intervals(entries).withColumn("key", F.concat_ws(":", "kind", "value"))
+    intervals = validity_intervals(entries).withColumn("key", F.concat_ws(":", "kind", "value"))
+    spans = stored(intervals.select("kind", "value", "key", "list", "since", "until"), "intervals")
     depth = spans.agg(
         F.max(F.when(F.col("kind") == "domain", F.size(F.split("value", r"\.")))).alias("labels"), F.max(F.when(F.col("kind") == "prefix", F.size(F.split("value", "/")) - 1)).alias("segments")
     ).first()
-    rows = captures.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(time_col).alias("t"))
+    # numbers are stored before two branches meet by them: a stage that runs again can give others
+    numbered = captures.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(time_col).alias("t"))
+    rows = stored(numbered, "captures")
     keys = rows.where("t is not null").select("rid", "t", F.explode(capture_keys("url", depth.labels or 0, depth.segments or 0)).alias("key"))
     active = keys.join(broadcast_if_small(spans.select("key", "list", "since", "until"), BROADCAST_INTERVALS), "key").where("since <= t and (until is null or t < until)")
     met = active.groupBy("rid").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("list")).alias("lists"))
     out = rows.select("rid", "id", host_of("url").alias("host")).join(met, "rid", "left")
-    return out.select(F.col("id").alias(id_col), "host", F.coalesce("n", F.lit(0)).cast("long").alias("n_entries"), F.coalesce("lists", F.expr("cast(array() as array<string>)")).alias("lists"))
+    none = F.expr("cast(array() as array<string>)")
+    result = stored(out.select(F.col("id").alias(id_col), "host", F.coalesce("n", F.lit(0)).cast("long").alias("n_entries"), F.coalesce("lists", none).alias("lists")), "evaluated")
+    drop(spans, rows)
+    return result

@@ -191,27 +191,35 @@ def test_sketch_fills_and_estimates():
 # -- repeated passages -------------------------------------------------------------------------
 
 
-def brute_repeats(texts, length):
+def brute_repeats(texts, length, words):
     raw = [(t or "").encode() for t in texts]
-    count = defaultdict(int)
-    for b in raw:
+    split = [b.split() for b in raw]
+    count, said = defaultdict(int), defaultdict(int)
+    for b, w in zip(raw, split, strict=True):
         for i in range(len(b) - length + 1):
             count[b[i : i + length]] += 1
+        for i in range(len(w) - words + 1):
+            said[tuple(w[i : i + words])] += 1
     out = []
-    for b in raw:
-        m = bytearray(len(b))
+    for b, w in zip(raw, split, strict=True):
+        m, p = bytearray(len(b)), set()
         for i in range(len(b) - length + 1):
             if count[b[i : i + length]] > 1:
                 m[i : i + length] = b"\1" * length
-        out.append((len(b), sum(m), len(re.findall(b"\1+", bytes(m))), bytes(x for x, y in zip(b, m, strict=True) if not y)))
+        for i in range(len(w) - words + 1):
+            if said[tuple(w[i : i + words])] > 1:
+                p.update(range(i, i + words))
+        out.append((len(b), sum(m), len(re.findall(b"\1+", bytes(m))), bytes(x for x, y in zip(b, m, strict=True) if not y), len(p)))
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_repeated_passages(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeated_passages, "HOT", hot)
+@pytest.mark.parametrize("crowd", [2000, 1])
+def test_repeated_passages(spark, monkeypatch, crowd):
+    monkeypatch.setattr(repeated_passages, "CROWD", crowd)
     monkeypatch.setattr(repeated_passages, "BATCH_STRINGS", 256)
     monkeypatch.setattr(repeated_passages, "SEGMENT", 700)
+    if crowd == 1:
+        monkeypatch.setattr(repeated_passages, "BROADCAST_ROWS", 5)
     r = random.Random(9)
     shared = [prose(r, n) for n in (8, 20, 21, 40)]
     texts = list(ODD)
@@ -220,10 +228,22 @@ def test_repeated_passages(spark, monkeypatch, hot):
         for _ in range(r.randrange(3)):
             parts += [r.choice(shared)[r.randrange(30) :], prose(r, r.randrange(1, 30), 10**6)]
         texts.append(" ".join(parts))
-    texts += [texts[20], texts[20], "ab" * 300, "é" * 150]
-    got = {x.doc_id: x for x in repeated_passages.remove_repeats(docs(spark, texts), length=100, gram=32).collect()}
-    for i, want in enumerate(brute_repeats(texts, 100)):
-        assert (got[i].n_bytes, got[i].n_removed, len(got[i].spans), bytes(got[i].kept)) == want, i
+    texts += [texts[20], texts[20], "ab" * 300, "é" * 150, texts[30].replace(" ", "\n  ")]
+    got = {x.doc_id: x for x in repeated_passages.remove_repeats(docs(spark, texts), length=100, gram=32, passage=12, passage_gram=4).collect()}
+    for i, want in enumerate(brute_repeats(texts, 100, 12)):
+        x = got[i]
+        assert (x.n_bytes, x.n_removed, len(x.spans), bytes(x.kept), sum(p.end - p.start for p in x.passages)) == want, i
+
+
+def test_crowded_anchor_is_dealt(spark, monkeypatch):
+    """One passage in hundreds of surroundings, some of which agree in part."""
+    monkeypatch.setattr(repeated_passages, "CROWD", 30)
+    r = random.Random(16)
+    common = prose(r, 30, 10**6)
+    texts = [prose(r, 9, 10**6)[: r.randrange(60)] + r.choice("xyz") * r.randrange(9) + common[r.randrange(3) :] + r.choice(["", "a", "ab", "abc"]) + prose(r, 9, 10**6) for _ in range(300)]
+    got = {x.doc_id: x for x in repeated_passages.remove_repeats(docs(spark, texts), length=100, gram=32, passage=12, passage_gram=4).collect()}
+    for i, want in enumerate(brute_repeats(texts, 100, 12)):
+        assert (got[i].n_bytes, got[i].n_removed, len(got[i].spans), bytes(got[i].kept), sum(p.end - p.start for p in got[i].passages)) == want, i
 
 
 def test_suffix_levels():
@@ -233,20 +253,22 @@ def test_suffix_levels():
     data = r.randint(0, 3, (600, 5)).astype(np.uint8)
     for lo in range(0, 600, 37):
         n = np.arange(lo, min(600, lo + 37))
-        matched |= set(index.add(data[n], n).tolist())
+        matched |= set(index.add(data[n].ravel(), 5 * np.arange(len(n)), n).tolist())
         for i in n:
             seen[data[i].tobytes()].append(i)
         assert matched == {i for v in seen.values() if len(v) > 1 for i in v}
     assert sum(x is not None for x in index.levels) <= 5
-    assert repeated_passages.anchors(b"x" * 399) == []
+    assert all(x is None or (len(x[0]), len(x[1])) == (5 * len(x[2]), len(x[2])) for x in index.levels)  # text and offsets
+    kind = repeated_passages.Kind(0, 400, 128)
+    assert repeated_passages.anchors(kind.raw(b"x" * 399), kind) == []
 
 
 def test_repeats_with_shared_ids(spark):
     long = " ".join(f"q{i}" for i in range(200))
-    rows = spark.createDataFrame([(1, long), (1, "short"), (None, long), (None, None)], "doc_id long, text string")
+    rows = spark.createDataFrame([(1, long), (1, "short"), (None, long), (None, None), (None, "other"), (None, long)], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in repeated_passages.remove_repeats(rows).collect())
     n = len(long)
-    assert got == sorted([("1", n, n), ("1", 5, 0), ("None", n, n), ("None", 0, 0)])
+    assert got == sorted([("1", n, n), ("1", 5, 0), ("None", n, n), ("None", 0, 0), ("None", 5, 0), ("None", n, n)])
 
 
 # -- decontamination ---------------------------------------------------------------------------
@@ -465,6 +487,8 @@ def test_url_filters(spark):
     caps = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, fetched_at int, key string")
     got = sorted(((str(r.page_id), r.n_entries, ",".join(r.lists)) for r in url_filters.evaluate_captures(caps, entries).collect()))
     assert got == sorted([("1", 1, "l1"), ("2", 1, "l3"), ("3", 0, ""), ("4", 0, ""), ("5", 0, ""), ("6", 0, ""), ("7", 0, ""), ("7", 1, "l1"), ("None", 1, "l1"), ("8", 1, "l1")])
+    shuffled = caps.repartition(7, "url").repartition(3, "fetched_at")  # numbers of rows follow no order
+    assert sorted(((str(r.page_id), r.n_entries, ",".join(r.lists)) for r in url_filters.evaluate_captures(shuffled, entries).collect())) == got
     assert url_filters.evaluate_captures(caps, entries.limit(0)).where("n_entries > 0").count() == 0
 
 
@@ -485,6 +509,9 @@ def test_arc_to_warc(spark):
         want = (len(raw), digest, "response", None) if top[raw] == i else (len(raw), digest, "revisit", top[raw])
         assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to_key) == want, i
     assert got[None].record_type == "response"
+    odd = spark.createDataFrame([(-5, "http://h/", "same", "q"), (-3, "http://h/", "same", "q"), (2**62 + 7, "http://h/", "large", "q"), (2**62 + 9, "http://h/", "large", "q")], pages.schema)
+    found = archives.read_archives(archives.convert_archives(archives.legacy_archives(odd))).collect()
+    assert {r.key: (r.record_type, r.refers_to_key) for r in found} == {-5: ("revisit", -3), -3: ("response", None), 2**62 + 7: ("revisit", 2**62 + 9), 2**62 + 9: ("response", None)}
     assert archives.read_archives(archives.convert_archives(archives.legacy_archives(pages.limit(0)))).count() == 0
 
 
@@ -495,7 +522,7 @@ def test_arc_versions(version):
     assert (one.version, one.url, one.content, two.content) == (version, "http://a/", b"one\ntwo", b"")
     fields, block = next(archives.read_warc(archives.gzip_member(archives.warc_record(one, archives.record_id(None, one.url, one.date, one.content), None))))
     assert fields["warc-date"] == "2001-02-03T04:05:06Z" and block == b"one\ntwo"
-    assert archives.key_of(archives.record_id(77, "", "", b"")) == 77 and archives.key_of(archives.record_id(None, "u", "d", b"")) is None
+    assert archives.record_id(-5, "u", "d", b"x") == archives.record_id(-5, "", "", b"") != archives.record_id(None, "u", "d", b"x")
     with pytest.raises(ValueError):
         list(archives.read_arc(data[:-5]))
 
