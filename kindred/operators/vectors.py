@@ -8,8 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Vectors of a block; a task compares a block of queries with a block of candidates.
-BLOCK = 1024
+from kindred.plans.stored import stored
+
+#: Candidates of a block, and queries of one at least and at most: a task holds a block of queries
+#: while blocks of candidates pass by.
+BLOCK, LEAST_QUERIES, MOST_QUERIES = 1024, 128, 16_384
+#: Queries whose similarities to a block are computed at once.
+ROWS = 2048
+#: Digits that decide; beyond them the order of summation does.
+DIGITS = 12
 #: Inverted lists are used from max(LEAST_INDEXED, 10 * lists) vectors on.
 LEAST_INDEXED = 10_000
 EPSILON = 1e-12
@@ -24,35 +31,93 @@ def normalised(c, keep_zero: bool = False) -> Column:
 
 
 def _packed(vectors: DataFrame, key: list[Column], name: str) -> DataFrame:
-    """Blocks of vectors: key, uids, groups and one float64 binary per block."""
+    """Blocks of vectors by key, in the order of their uids."""
     row = F.struct("uid", "owner", "embedding")
     return vectors.groupBy(*key).agg(F.sort_array(F.collect_list(row)).alias(name))
 
 
-def _matrix(rows: list[dict]) -> np.ndarray:
-    x = np.array([r["embedding"] for r in rows], np.float64)
+class _Block:
+    """The vectors of a list of (uid, owner, embedding), at unit length."""
+
+    def __init__(self, rows: pa.Array):
+        self.uid, self.owner = (np.array(rows.field(i).to_pylist(), object) for i in (0, 1))
+        self.matrix = _unit(rows.field(2))
+
+
+def _unit(embeddings: pa.Array) -> np.ndarray:
+    """Arrays of one length as a matrix of unit vectors; ValueError if lengths differ."""
+    flat = embeddings.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    width = len(flat) // max(1, len(embeddings))
+    if embeddings.null_count or (np.diff(embeddings.offsets.to_numpy()) != width).any():
+        raise ValueError("vectors are null or of different lengths")
+    x = flat.reshape(len(embeddings), width)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), EPSILON)
 
 
+class _Top:
+    """The k + 1 best candidates of each query of a block; ties go to the candidate that came first."""
+
+    def __init__(self, queries: _Block, k: int, pre: bool):
+        self.queries, self.k, self.pre = queries, k + 1, pre
+        self.sims = np.full((len(queries.uid), 0), -np.inf)
+        self.at = np.zeros((len(queries.uid), 0), np.int64)
+        self.uid: list[np.ndarray] = []
+        self.owner: list[np.ndarray] = []
+        self.seen = 0
+
+    def add(self, cands: _Block) -> None:
+        """Compares a block of candidates in the order of their uids; pre: an owner's own rows don't count."""
+        n = min(self.k, self.sims.shape[1] + len(cands.uid))
+        sims, at = np.empty((len(self.queries.uid), n)), np.empty((len(self.queries.uid), n), np.int64)
+        for lo in range(0, len(sims), ROWS):
+            hi = min(len(sims), lo + ROWS)
+            new = np.round(self.queries.matrix[lo:hi] @ cands.matrix.T, DIGITS)
+            if self.pre:
+                new[self.queries.owner[lo:hi, None] == cands.owner] = -np.inf
+            both = np.concatenate([self.sims[lo:hi], new], axis=1)
+            where = np.concatenate([self.at[lo:hi], np.broadcast_to(self.seen + np.arange(len(cands.uid)), new.shape)], axis=1)
+            best = np.argsort(-both, axis=1, kind="stable")[:, :n]
+            sims[lo:hi], at[lo:hi] = np.take_along_axis(both, best, 1), np.take_along_axis(where, best, 1)
+        self.sims, self.at, self.seen = sims, at, self.seen + len(cands.uid)
+        self.uid.append(cands.uid)
+        self.owner.append(cands.owner)
+
+    def rows(self) -> pa.RecordBatch:
+        uid, owner = (np.concatenate(x) if x else np.zeros(0, object) for x in (self.uid, self.owner))
+        rows, cols = np.nonzero(np.isfinite(self.sims))
+        to = self.at[rows, cols]
+        columns = [self.queries.uid[rows], self.queries.owner[rows], uid[to], owner[to]]
+        return pa.RecordBatch.from_arrays([*(pa.array(c.tolist(), pa.string()) for c in columns), pa.array(self.sims[rows, cols], pa.float64())], names=["query", "query_owner", "cand", "cand_owner", "similarity"])
+
+
 def _best(batches, k: int, pre: bool):
-    """Top k of each query within a pair of blocks; pre: rows of the query's own owner don't count."""
+    """Top k of each query within a pair of blocks."""
+    for b in batches:
+        for queries, cands in zip(b.column(0), b.column(1), strict=True):
+            top = _Top(_Block(queries.values), k, pre)
+            top.add(_Block(cands.values))
+            yield top.rows()
+
+
+def _streamed(batches, k: int, pre: bool):
+    """Top k of each block of queries over the blocks of candidates that follow it.
+
+    Rows: block of queries, part (-1: the queries themselves, else candidates) and vectors,
+    in their order. A block without queries has no result.
+    """
+    top, of = None, None
     for b in batches:
-        for queries, cands in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            # fixed summation order: the same pair gets the same similarity in any block
-            sims = np.einsum("id,jd->ij", _matrix(queries), _matrix(cands), optimize=False)
-            q_uid, c_uid = [q["uid"] for q in queries], np.array([c["uid"] for c in cands])
-            if pre:
-                same = np.array([q["owner"] for q in queries])[:, None] == np.array([c["owner"] for c in cands])
-                sims[same] = -np.inf
-            order = np.argsort(c_uid, kind="stable")
-            top = order[np.argsort(-sims[:, order], axis=1, kind="stable")[:, : k + 1]]
-            rows, cols = np.repeat(np.arange(len(queries)), top.shape[1]), top.ravel()
-            keep = np.isfinite(sims[rows, cols])
-            rows, cols = rows[keep], cols[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([q_uid[i] for i in rows], pa.string()), pa.array([queries[i]["owner"] for i in rows], pa.string()), pa.array(c_uid[cols].tolist(), pa.string()), pa.array([cands[j]["owner"] for j in cols], pa.string()), pa.array(sims[rows, cols], pa.float64())],
-                names=["query", "query_owner", "cand", "cand_owner", "similarity"],
-            )
+        for qb, part, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            if qb != of:
+                if top is not None:
+                    yield top.rows()
+                top, of = None, qb
+            if part < 0:
+                top = _Top(_Block(rows.values), k, pre)
+            elif top is not None:
+                top.add(_Block(rows.values))
+    if top is not None:
+        yield top.rows()
 
 
 _FOUND = "query string, query_owner string, cand string, cand_owner string, similarity double"
@@ -73,27 +138,30 @@ def nearest(vectors: DataFrame, topk: int, filter_mode: str = "post", queries: D
 
     vectors: uid, owner (rows of one owner never match each other), embedding. filter_mode
     "post" takes the topk + 1 nearest and then drops the query itself and its owner's rows;
-    "pre" drops them first. Ties go by uid. Blocks of queries meet blocks of vectors, so no
-    task holds more than two blocks, and each pair of blocks passes on topk rows per query.
-    Vectors that are null or of another length than the rest are an error.
+    "pre" drops them first. Similarities are rounded to DIGITS, ties go by uid. A task holds
+    one block of queries and the names and best of what passed by; every vector is shuffled
+    once per block of queries, of which there are n / MOST_QUERIES at size. Vectors of another
+    length than the rest are an error; null ones and those of null are left out.
     """
-    v = vectors.where("embedding is not null")
-    n = v.count()
-    parts = max(1, -(-n // BLOCK))
-    block = F.pmod(F.xxhash64("uid"), F.lit(parts))
-    q = v if queries is None else queries.where("embedding is not null")
-    left = _packed(q, [block.alias("qb")], "queries")
-    right = _packed(v, [block.alias("cb")], "cands")
-    meet = left.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(right, "cb")
-    spread = meet.repartition(max(1, min(parts * parts, 4 * meet.sparkSession.sparkContext.defaultParallelism)), "qb", "cb").select("queries", "cands")
+    v = stored(vectors.where("embedding is not null").select("uid", "owner", F.col("embedding").cast("array<double>").alias("embedding")), "vectors")
+    q = v if queries is None else queries.where("embedding is not null").select("uid", "owner", F.col("embedding").cast("array<double>").alias("embedding"))
+    n, asked = v.count(), q.count()
+    size = min(MOST_QUERIES, max(LEAST_QUERIES, -(-asked // v.sparkSession.sparkContext.defaultParallelism)))
+    blocks = max(1, -(-asked // size))
+    left = _packed(q, [F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int").alias("qb")], "rows").select("qb", F.lit(-1).alias("part"), "rows")
+    # blocks of candidates are ranges of uids, numbered in their order
+    ranged = v.repartitionByRange(max(1, -(-n // BLOCK)), "uid").select("*", F.spark_partition_id().alias("part"))
+    right = _packed(ranged, [F.col("part")], "rows").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"), "part", "rows")
     pre = filter_mode == "pre"
-    return _ranked(spread.mapInArrow(lambda it: _best(it, topk, pre), _FOUND), topk, pre)
+    dealt = left.unionByName(right).repartition(blocks, "qb").sortWithinPartitions("qb", "part")
+    found = dealt.select("qb", "part", "rows").mapInArrow(lambda it: _streamed(it, topk, pre), _FOUND)
+    return _ranked(found, topk, pre)
 
 
 def centroids(vectors: DataFrame, lists: int, train_rows: int, seed: int = 7, rounds: int = 10) -> np.ndarray:
     """Unit centroids of spherical k-means on a hash sample of at most train_rows vectors."""
-    sample = vectors.where("embedding is not null").orderBy(F.xxhash64("uid", F.lit(seed)), "uid").limit(train_rows).select("embedding").toArrow().column(0).to_pylist()
-    x = _matrix([{"embedding": e} for e in sample])
+    sample = vectors.where("embedding is not null").orderBy(F.xxhash64("uid", F.lit(seed)), "uid").limit(train_rows).select(F.col("embedding").cast("array<double>")).toArrow().column(0).combine_chunks()
+    x = _unit(sample)
     c = x[np.random.RandomState(seed).permutation(len(x))[:lists]].copy()
     for _ in range(rounds):
         near = (x @ c.T).argmax(1)
@@ -119,13 +187,13 @@ def nearest_by_lists(vectors: DataFrame, topk: int, lists: int, probes: int, tra
 
     def assign(batches, m):
         for b in batches:
-            sims = _matrix([{"embedding": e} for e in b.column(2).to_pylist()]) @ held.value.T
+            sims = _unit(b.column(2)) @ held.value.T
             top = np.argsort(-sims, axis=1, kind="stable")[:, :m]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(top.tolist(), pa.list_(pa.int32()))], names=["uid", "owner", "embedding", "cells"])
 
     kind = "uid string, owner string, embedding array<float>, cells array<int>"
     rows = lambda df, m: df.select("uid", "owner", F.col("embedding").cast("array<float>")).mapInArrow(lambda it: assign(it, m), kind).withColumn("cell", F.explode("cells")).drop("cells")
-    indexed = rows(v, 1)
+    indexed = stored(rows(v, 1), "indexed")  # read for the sizes of lists and for the blocks
     sizes = indexed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))  # one row per list
     right = _packed(indexed.join(F.broadcast(sizes), "cell"), [F.col("cell"), F.pmod(F.xxhash64("uid"), F.col("parts")).alias("part")], "cands")
     asked = rows(v if queries is None else queries, probes).withColumn("qb", F.pmod(F.xxhash64("uid"), F.lit(max(1, -(-n // BLOCK)))))

@@ -231,6 +231,31 @@ def test_vectors_modes(spark):
     pre = {(r.query, r.cand) for r in vectors.nearest(v, 1, "pre").collect()}
     assert ("a", "c") not in post and ("a", "c") in pre and ("d", "c") in pre
     assert vectors.nearest(v.limit(0), 1).count() == 0
+    with pytest.raises(Exception, match="different lengths"):
+        vectors.nearest(v.unionByName(spark.createDataFrame([("f", "s", [1.0])], v.schema)), 1).collect()
+
+
+@pytest.mark.parametrize("mode", ["pre", "post"])
+def test_nearest_in_blocks(spark, monkeypatch, mode):
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    monkeypatch.setattr(vectors, "LEAST_QUERIES", 5)
+    monkeypatch.setattr(vectors, "MOST_QUERIES", 5)
+    monkeypatch.setattr(vectors, "ROWS", 3)
+    r = np.random.RandomState(5)
+    x = r.randint(-2, 3, (60, 4)).astype(float)  # with ties
+    x[0] = 0
+    rows = [(f"u{i:02d}", f"o{i % 9}", x[i].tolist()) for i in range(60)]
+    v = spark.createDataFrame(rows, "uid string, owner string, embedding array<double>").repartition(5)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    sims = np.round(unit @ unit.T, 12)
+    want = set()
+    for i in range(60):
+        order = sorted((j for j in range(60) if mode == "post" or i % 9 != j % 9), key=lambda j: (-sims[i, j], j))
+        kept = [j for j in order[: 5 if mode == "post" else 4] if i % 9 != j % 9][:4]
+        want |= {(f"u{i:02d}", f"u{j:02d}", rank + 1) for rank, j in enumerate(kept)}
+    assert {(q.query, q.cand, q.rank) for q in vectors.nearest(v, 4, mode).collect()} == want
+    some = v.where("uid < 'u07'")
+    assert {(q.query, q.cand, q.rank) for q in vectors.nearest(v, 4, mode, some).collect()} == {w for w in want if w[0] < "u07"}
 
 
 def test_kernels():
