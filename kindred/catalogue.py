@@ -638,6 +638,23 @@ def dataset_payloads(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("dataset", "done_subjects", "total_subjects", total.alias("pairs"))
 
 
+@query("select dataset, subject_id, query_scan_uid, count(*) as n, min(slot) as first_slot, sum(case when decided then 1 else 0 end) as n_decided from (select qd as dataset, qs as subject_id, q as query_scan_uid, slot, slot % 2 = 0 as decided from listed) group by all", VECTORS)
+def subject_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    listed = _listed(spark, sf).withColumn("is_decided", F.col("slot") % 2 == 0)
+    items = listed.select(F.col("query_dataset").alias("dataset"), F.col("query_subject_id").alias("subject_id"), "query_scan_uid", "slot", "cand_scan_uid", F.col("cand_resolved_path").alias("cand_src_path"), F.col("similarity").alias("cand_similarity"), F.lit("no").alias("qa_status"), "is_decided")
+    back = F.from_json("candidates", "array<struct<slot:long,is_decided:boolean>>")
+    out = decisions.subject_payload(items).withColumn("c", back)
+    decided = F.size(F.filter("c", lambda x: x["is_decided"])).cast("long")
+    return out.select("dataset", "subject_id", "query_scan_uid", F.size("c").cast("long").alias("n"), F.array_min(F.transform("c", lambda x: x["slot"])).alias("first_slot"), decided.alias("n_decided"))
+
+
+@query("select uid as scan_uid, 'inference' as stage, 'E: ' || vec_id as error from v where vec_id % 4 = 0", VECTORS)
+def failures_from_csv(spark: SparkSession, sf: str) -> DataFrame:
+    v = fx.vector_scans(spark, sf).where("vec_id % 4 = 0")
+    rows = v.select(*KEYS, "scan_uid", F.lit("inference").alias("stage"), F.concat(F.lit("E: "), F.col("vec_id").cast("string")).alias("error"))
+    return tables.read_failures(spark, _csv(rows, "scan_uid"))
+
+
 @query("select dataset, candidate, raw_hash from scans", SCANS)
 def mapping_with_meta(spark: SparkSession, sf: str) -> DataFrame:
     s = fx.scans(spark, sf)
@@ -671,6 +688,18 @@ def slice_stack(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("vec_id", arrays.slice_positions(F.size("w"), arrays.centre_index("w"), 4, 2).alias("slices"), arrays.slice_positions(depth, centre, 5).alias("short"))
 
 
+@query("select vec_id, list_transform([0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8], lambda f: cast(greatest(0, least(vec_id % 9, round_even(cast(f as double) * (vec_id % 9), 0))) as int)) as slices from v", VECTORS)
+def fraction_slices(spark: SparkSession, sf: str) -> DataFrame:
+    length = (F.col("vec_id") % 9 + 1).cast("int")
+    return fx.table(spark, sf, "embeddings").select("vec_id", F.array(*[arrays.fraction_index(F.lit(f), length) for f in arrays.FRACTIONS]).alias("slices"))
+
+
+@query("select vec_id, list_transform(e, lambda x: case when x > 0.2 or x < -0.2 then 0.0 else x end) as plain from v", VECTORS)
+def finite_values(spark: SparkSession, sf: str) -> DataFrame:
+    odd = F.transform("embedding", lambda x: F.when(x.cast("double") > 0.2, float("inf")).when(x.cast("double") < -0.2, float("nan")).otherwise(x.cast("double")))
+    return fx.table(spark, sf, "embeddings").withColumn("odd", odd).select("vec_id", arrays.finite("odd").alias("plain"))
+
+
 @query("select event_id, case when lower(trim(t)) in ('nan', 'none', 'null', 'na', 'n/a') then '' else trim(t) end as cleaned from (select event_id, case event_id % 6 when 0 then ' NaN ' when 1 then 'None' when 2 then 'n/a' when 3 then '' else ' ' || event_type || ' ' end as t from events)")
 def null_tokens(spark: SparkSession, sf: str) -> DataFrame:
     e = fx.table(spark, sf, "events")

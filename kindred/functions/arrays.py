@@ -55,6 +55,11 @@ def winsorised(values: str) -> Column:
     return _bound(_bound(ordered, limits), scaled)
 
 
+def finite(values: str) -> Column:
+    """An array of numbers with 0 for null, NaN and infinite entries."""
+    return F.transform(F.col(values), lambda x: F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x.cast("double")))
+
+
 def centre_index(values: str) -> Column:
     """Median position (rounded down) of the non-zero entries of an array; its middle without any."""
     at = F.filter(F.transform(F.col(values), lambda x, i: F.when(x != 0, i)), lambda x: x.isNotNull())
