@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from kindred.llm import archives, bpe, decontamination, media, near_duplicates, personal_data, registry, repeated_passages, sharding, toxicity, url_filters
 from kindred.llm.boosting import BoostedTrees, Isotonic
 
+from brute import brute_repeats, brute_spans
+
 SCHEMA = "doc_id long, text string, lang string, id string, h long"  # clashing extra columns
 
 
@@ -191,28 +193,6 @@ def test_sketch_fills_and_estimates():
 # -- repeated passages -------------------------------------------------------------------------
 
 
-def brute_repeats(texts, length, words):
-    raw = [(t or "").encode() for t in texts]
-    split = [b.split() for b in raw]
-    count, said = defaultdict(int), defaultdict(int)
-    for b, w in zip(raw, split, strict=True):
-        for i in range(len(b) - length + 1):
-            count[b[i : i + length]] += 1
-        for i in range(len(w) - words + 1):
-            said[tuple(w[i : i + words])] += 1
-    out = []
-    for b, w in zip(raw, split, strict=True):
-        m, p = bytearray(len(b)), set()
-        for i in range(len(b) - length + 1):
-            if count[b[i : i + length]] > 1:
-                m[i : i + length] = b"\1" * length
-        for i in range(len(w) - words + 1):
-            if said[tuple(w[i : i + words])] > 1:
-                p.update(range(i, i + words))
-        out.append((len(b), sum(m), len(re.findall(b"\1+", bytes(m))), bytes(x for x, y in zip(b, m, strict=True) if not y), len(p)))
-    return out
-
-
 @pytest.mark.parametrize("crowd", [2000, 1])
 def test_repeated_passages(spark, monkeypatch, crowd):
     monkeypatch.setattr(repeated_passages, "CROWD", crowd)
@@ -312,23 +292,6 @@ def test_decontamination(spark, monkeypatch, small):
 
 # -- personal data -----------------------------------------------------------------------------
 
-E = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-C = re.compile(r"[0-9]([\x20-]?[0-9])+")
-P = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-
-
-def luhn(d):
-    return sum(x - 9 * (x > 9) for x in (int(c) * (1 + k % 2) for k, c in enumerate(reversed(d)))) % 10 == 0
-
-
-def brute_spans(t):
-    return {
-        "email": [m.span() for m in E.finditer(t)], "ip": [m.span() for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))],
-        "card": [m.span() for m in C.finditer(t) if 16 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and luhn(d)], "phone": [m.span() for m in P.finditer(t) if 8 <= len(re.sub(r"\D", "", m[0])) <= 15],
-    }
-
-
 def test_personal_data(spark):
     r = random.Random(6)
     texts = [*ODD, "a@b.c%d@e.f x@y@z.com _x@y.org a@b.com_x@y.org", "1.2.3.4.5.6.7.8 001.02.3.255 1.2.3.256 1.2.3", "+1 (456) 555-2186 and +123 +12", "4111 1111 1111 1111 x 4111-1111-1111-1112", "é😀 4111111111111111, me@ex.org", "call 212 555-0187 or jo (at) ex (dot) com", "1 " * 4000, "a" * 20000 + "@", "9." * 3000, "sk_live_abcdEFGH12345678"]

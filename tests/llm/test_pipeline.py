@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from brute import brute_repeats, brute_spans
 from kindred.llm import registry, toxicity
 from kindred.llm.boosting import BoostedTrees, Isotonic
 
@@ -44,14 +45,69 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in whole.collect()} == {r.doc_id for r in docs.collect()}
 
 
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, gone long, spans string, email string, t string, id string, h int, band long, component string, score double, ids string"
+
+
+def odd_documents(spark, rows):
+    extra = (7, "s", "e", "t", "i", 1, 2, "c", 0.5, "x")
+    return spark.createDataFrame([(*r, *extra) for r in rows], CLASHING)
+
+
 def test_stages_take_odd_rows(spark):
-    rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (3, "a b", "en", "s", 3), (3, "a b", "en", "s", 3), (None, "x@y.com and more", "en", "s", 16)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    long = "jo (at) " + "ab." * 40_000 + "com"
+    rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (3, "a b", "en", "s", 3), (3, "a b", "en", "s", 3), (None, "x@y.com and more", "en", "s", 16), (4, long, "en", "s", len(long)), (5, "q " * 60_000, "en", "s", 120_000)]
+    docs = odd_documents(spark, rows)
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, SF)
-        assert out.count() >= 4
+        assert out.count() >= 6
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns
+            assert {(r.gone, r.spans, r.email, r.t, r.score) for r in out.collect()} == {(7, "s", "e", "t", 0.5)}
+        assert stage(spark, docs.limit(0), SF).count() == 0
     assert corpus_pipeline.one_of_each_group(spark, docs, SF).where("doc_id = 3").count() == 1
-    assert corpus_pipeline.redact_personal_data(spark, docs, SF).where("doc_id is null").first().text == "<email> and more"
+    red = {r.doc_id: r for r in corpus_pipeline.redact_personal_data(spark, docs, SF).collect()}
+    assert red[None].text == "<email> and more" and red[4].text == "<email_written>" and red[4].n_chars == len(red[4].text) and red[1].text is None
+
+
+def test_contracts_of_queries(spark):
+    """Digest columns against plain Python on the smallest tables."""
+    import base64
+    import hashlib
+    import zlib
+
+    hexed = lambda b: hashlib.sha256(b).hexdigest()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    media = {r.doc_id: r for r in registry.QUERIES["op8_media_fingerprints"](spark, SF).collect()}
+    for d, t in texts.items():
+        raw = t.encode()
+        raw += bytes(-len(raw) % 64 if raw else 64)
+        assert (media[d].n_bytes, media[d].payload_bytes, media[d].payload_sha256, media[d].tail_crc32) == (len(t.encode()), len(raw), hexed(raw), zlib.crc32(raw[-64:]))
+    for r in registry.QUERIES["op3_balanced_shards"](spark, SF).collect():
+        assert (r.size, r.text_crc32, r.law) == (len(texts[r.doc_id].encode()) + 16, zlib.crc32(texts[r.doc_id].encode()), "rows") and 0 <= r.shard < 40
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(registry.VOCABULARY)
+    for r in registry.QUERIES["op10_bpe"](spark, SF).collect():
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        want = (len(ids), hexed(" ".join(map(str, ids)).encode()), hexed(library.decode(ids, skip_special_tokens=False).encode()))
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == want
+    for r in registry.QUERIES["op2_personal_data"](spark, SF).collect():
+        found = brute_spans(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(found[k]) for k in ("email", "ip", "card", "phone")]
+        base = [f"{k}:{a}:{z}" for k in ("email", "ip", "card", "phone") for a, z in found[k]]
+        assert r.base_sha256 == hexed(",".join(base).encode()) and r.spans.split(",")[: len(base)] == (base or r.spans.split(",")[:0])
+        assert r.n_spans == (r.spans.count(",") + 1 if r.spans else 0)
+    counts = {r.doc_id: r for r in registry.QUERIES["op7_repeated_passages"](spark, SF).collect()}
+    for d, (n, gone, spans, rest, words) in zip(texts, brute_repeats(list(texts.values()), 400, 51), strict=True):
+        r = counts[d]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_words) == (n, gone, spans, hexed(rest), words)
+    pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    last = {}
+    for k in sorted(pages):
+        last[pages[k]] = k
+    for r in registry.QUERIES["op6_arc_to_warc"](spark, SF).collect():
+        raw = pages[r.page_id]
+        top = last[raw]
+        digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(raw), digest, *(("response", None) if top == r.page_id else ("revisit", top)))
 
 
 @pytest.mark.parametrize("score", [0.29, 0.3, 0.4])
