@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables stored by the calls of scratched functions that have not returned yet.
+_scopes: list[list[DataFrame]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder: spark.checkpoint.dir of the session.
@@ -45,11 +49,39 @@ def stored(df: DataFrame, label: str = "cut") -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+def scratched(f):
+    """A function that returns stored tables; what else it has stored is deleted when it returns.
+
+    Kept are its result, alone or in a tuple, and what the result's `_reads` names.
+    """
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        _scopes.append([])
+        try:
+            result = f(*args, **kwargs)
+        except BaseException:
+            drop(*_scopes.pop())
+            raise
+        held = _scopes.pop()
+        parts = result if isinstance(result, tuple) else (result,)
+        kept = {id(t) for part in parts for t in (part, *getattr(part, "_reads", ()))}
+        kept_paths = {getattr(t, "_stored_path", None) for t in parts}
+        drop(*[t for t in held if id(t) not in kept and t._stored_path not in kept_paths])
+        if _scopes:
+            _scopes[-1] += [t for t in held if id(t) in kept or t._stored_path in kept_paths]
+        return result
+
+    return run
+
+
 def drop(*tables: DataFrame) -> None:
-    """Deletes tables that `stored` wrote and that nothing reads any more."""
+    """Deletes tables that `stored` wrote and that nothing reads any more; twice does no harm."""
     for t in tables:
         path = getattr(t, "_stored_path", None)
         if path:

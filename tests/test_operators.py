@@ -426,6 +426,38 @@ def test_streaming(spark, tmp_path):
     assert spark.read.parquet(log).count() == 3
 
 
+def test_scratch_tables_go(spark):
+    from pathlib import Path
+
+    from kindred.plans.stored import scratched, stored
+
+    seen = []
+
+    def there(t):
+        return Path(t._stored_path.removeprefix("file:")).exists()
+
+    @scratched
+    def inner():
+        seen.append(stored(spark.range(2), "inner"))
+        return stored(seen[-1].selectExpr("id + 1 as id"), "result")
+
+    @scratched
+    def outer(fail=False):
+        first = inner()
+        assert there(first) and not there(seen[-1])
+        seen.append(first)
+        if fail:
+            raise KeyError("x")
+        out = first.where("id > 1")
+        out._reads = [first]
+        return out
+
+    assert [r.id for r in outer().collect()] == [2] and there(seen[-1])
+    with pytest.raises(KeyError):
+        outer(True)
+    assert not there(seen[-1])
+
+
 def test_cache_follows_inputs(spark, tmp_path):
     from kindred.plans.cache import cached, fingerprint
 
