@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kindred.llm import bpe, decontamination, near_duplicates, personal_data, toxicity
 from kindred.llm.registry import TOXIC_SCORE, VOCABULARY, held_out, table
 from kindred.plans.sizes import broadcast_if_small
-from kindred.plans.stored import drop, stored
+from kindred.plans.stored import drop, scratched, stored
 
 #: Documents that score as much or more are rejected: those that op1 calls toxic.
 REJECT_SCORE = TOXIC_SCORE
@@ -77,10 +77,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, beginning with the table documents."""
+    """All stages in turn, beginning with the table documents; of each stage only the result stays."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        after = stored(stage(spark, docs, sf_dir), name)
+    for name, stage in STAGES:
+        after = scratched(lambda stage=stage, docs=docs, name=name: stored(stage(spark, docs, sf_dir), name))()
         drop(docs)
         docs = after
-    return stored(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
+    return docs

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.arrow_rows import bounded_batches, map_batches
 from kindred.plans.sizes import broadcast_if_small
-from kindred.plans.stored import drop, stored
+from kindred.plans.stored import scratched, stored
 
 #: An archive value is closed once it holds so many bytes.
 ARCHIVE_BYTES = 4 << 20
@@ -218,6 +218,7 @@ def parsed_archives(archives: DataFrame) -> DataFrame:
     return map_batches(archives.select("archive"), parse, _PARSED)
 
 
+@scratched
 def convert_archives(archives: DataFrame, least_bytes: int = 0) -> DataFrame:
     """`archive binary`: gzipped WARC archives with the records of ARC archives, written to the shared folder.
 
@@ -246,9 +247,7 @@ def convert_archives(archives: DataFrame, least_bytes: int = 0) -> DataFrame:
         if held:
             yield _binary([b"".join(held)])
 
-    out = stored(bounded_batches(together).mapInArrow(pack, "archive binary"), "warc")
-    drop(parsed, facts, first, revisits)
-    return out
+    return stored(bounded_batches(together).mapInArrow(pack, "archive binary"), "warc")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.plans.sizes import broadcast_if_small
-from kindred.plans.stored import drop, stored
+from kindred.plans.stored import scratched, stored
 
 #: Consecutive item words that make a window, and words of a shingle.
 WINDOW, SHINGLE = 10, 3
@@ -94,6 +94,7 @@ def _hits(rows: DataFrame, windows: DataFrame, prefixes: DataFrame, sizes: list[
     return out.join(F.broadcast(windows.select("window", "text")), "text").select("rid", "start", "len", "window")
 
 
+@scratched
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per document: id_col, n_words, n_hit, items (sorted array of item ids as strings).
 
@@ -109,13 +110,12 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     n = windows.count()
     words = documents.select(F.col(id_col).alias("id"), words_of(text_col).alias("words"))
     rows = stored(words.select(F.monotonically_increasing_id().alias("rid"), F.array_join("words", " ").alias("words"), "id", F.size("words").cast("long").alias("n")), "words")
-    found, blocks, held = [], -(-n // BLOCK_WINDOWS), []
+    found, blocks = [], -(-n // BLOCK_WINDOWS)
     for b in range(blocks):
         block = windows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else windows
         sizes = [r[0] for r in block.select("size").distinct().orderBy("size").collect()]  # SHINGLE rows at most
         if sizes:
             prefixes = stored(_prefixes(rows, block, sizes), "prefixes")
-            held.append(prefixes)
             found.append(stored(_hits(rows, block, prefixes, sizes), "hits"))
     empty = documents.sparkSession.createDataFrame([], "rid long, start int, len int, window long")
     hits = empty
@@ -131,6 +131,4 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     told = stored(covered.join(items, "rid", "left"), "told")
     out = rows.select("rid", "id", "n").join(broadcast_if_small(told, BROADCAST_ROWS), "rid", "left")
     none = F.expr("cast(array() as array<string>)")
-    result = stored(out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items")), "contamination")
-    drop(owned, windows, rows, owners, told, *held, *found)
-    return result
+    return stored(out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items")), "contamination")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from kindred.llm.arrow_rows import map_batches
 from kindred.operators.graph import connected_components
 from kindred.plans.sizes import broadcast_if_small
-from kindred.plans.stored import drop, stored
+from kindred.plans.stored import drop, scratched, stored
 
 
 @dataclass(frozen=True)
@@ -195,6 +195,7 @@ def _joined(merged: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
+@scratched
 def near_duplicate_components(documents: DataFrame, p: NearDuplicates = NearDuplicates(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles long, component_id (the smallest id reachable over links), kept boolean.
 
@@ -240,12 +241,9 @@ def near_duplicate_components(documents: DataFrame, p: NearDuplicates = NearDupl
         step = stored(mixed_buckets(left.select("band", "id", "n", "component", "odd")), "rest")
         drop(rest, chosen, more)
         rest, round_ = step, round_ + 1
-    drop(centres, buckets, sets, stars, links, rest)
     of_class = stored(classes.join(merged, classes.class_id == merged.node, "left").select("set_key", F.coalesce("component", "class_id").alias("of_class")), "classes")
     out = told.select("id", "n", "set_key").join(broadcast_if_small(of_class, BROADCAST_ROWS), "set_key", "left")
     out = out.join(broadcast_if_small(merged, BROADCAST_ROWS), (out.id == merged.node) & out.of_class.isNull(), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("of_class", F.when(F.col("set_key").isNotNull(), F.col("component")), "id"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
-    result = stored(out, "near-duplicates")
-    drop(told, classes, merged, of_class)
-    return result
+    return stored(out, "near-duplicates")

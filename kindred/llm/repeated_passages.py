@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.arrow_rows import bounded_batches, map_batches
 from kindred.plans.sizes import broadcast_if_small
-from kindred.plans.stored import drop, stored
+from kindred.plans.stored import drop, scratched, stored
 
 #: Bytes of a string that is removed where it repeats, and of the anchors.
 LENGTH, GRAM = 400, 128
@@ -374,6 +374,7 @@ def _strings_of(kinds: list[Kind]) -> str:
     return "(case kind " + " ".join(f"when {k.number} then octet_length(run) div {k.width} - {k.length - 1}" for k in kinds) + " end)"
 
 
+@scratched
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, passage: int = PASSAGE, passage_gram: int = PASSAGE_GRAM) -> DataFrame:
     """id_col, n_bytes, n_removed, spans (removed runs: array of (start, end)), kept (the remaining
     bytes) and passages (array of (start, end): words in passages of so many words that start
@@ -408,4 +409,6 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     both = docs.join(gone, F.col("id").eqNullSafe(F.col("wid")) & (F.col("h") == F.col("wh")), "left").select("id", "text", "gone")
     names = [id_col, "n_bytes", "n_removed", "spans", "kept", "passages"]
     span = "array<struct<start:long,end:long>>"
-    return map_batches(both, lambda b: _kept_rows(b, kinds, names), f"`{id_col}` {kind}, n_bytes long, n_removed long, spans {span}, kept binary, passages {span}")
+    out = map_batches(both, lambda b: _kept_rows(b, kinds, names), f"`{id_col}` {kind}, n_bytes long, n_removed long, spans {span}, kept binary, passages {span}")
+    out._reads = [gone]
+    return out

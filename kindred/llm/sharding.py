@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kindred.plans.sizes import broadcast_if_small
-from kindred.plans.stored import drop, stored
+from kindred.plans.stored import drop, scratched, stored
 
 #: Blocks of the layout.
 BLOCKS = 2560
@@ -164,6 +164,7 @@ def copy_links(rows: DataFrame, groups: DataFrame, part_rows: int, shards: int)
     return links, seeds
 
 
+@scratched
 def balanced_shards(documents: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, size, text_crc32, shard (0 to shards - 1) and slot (gapless from 0 in each shard).
 
@@ -214,6 +215,4 @@ def balanced_shards(documents: DataFrame, shards: int = 40, id_col: str = "doc_i
     out = joined.withColumn("rank", rank).withColumn("shard", F.expr(f"cast(rank * {shards} div {max(1, total)} as int)"))
     # the first rank of a shard is the smallest r with r * shards div total = shard
     slot = F.expr(f"rank - (shard * {total} + {shards - 1}) div {shards}")
-    result = stored(out.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", slot.cast("long").alias("slot")), "shards")
-    drop(rows, groups, links, seeds, labels, linked, placed)
-    return result
+    return stored(out.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", slot.cast("long").alias("slot")), "shards")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kindred.plans.sizes import broadcast_if_small
-from kindred.plans.stored import drop, stored
+from kindred.plans.stored import scratched, stored
 
 #: Intervals that are broadcast (some 100 bytes each); more are joined by shuffle.
 BROADCAST_INTERVALS = 200_000
@@ -66,6 +66,7 @@ def capture_keys(url: str, labels: int, segments: int) -> Column:
     return F.when(host != "", keys).otherwise(empty)
 
 
+@scratched
 def evaluate_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """id_col, host, n_entries (active entries that match) and lists (their sorted names).
 
@@ -85,6 +86,4 @@ def evaluate_captures(captures: DataFrame, entries: DataFrame, id_col: str = "pa
     met = active.groupBy("rid").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("list")).alias("lists"))
     out = rows.select("rid", "id", host_of("url").alias("host")).join(met, "rid", "left")
     none = F.expr("cast(array() as array<string>)")
-    result = stored(out.select(F.col("id").alias(id_col), "host", F.coalesce("n", F.lit(0)).cast("long").alias("n_entries"), F.coalesce("lists", none).alias("lists")), "evaluated")
-    drop(spans, rows)
-    return result
+    return stored(out.select(F.col("id").alias(id_col), "host", F.coalesce("n", F.lit(0)).cast("long").alias("n_entries"), F.coalesce("lists", none).alias("lists")), "evaluated")
