@@ -162,6 +162,16 @@ def valid_catalog(spark: SparkSession, sf: str) -> DataFrame:
     return catalogs.valid_catalog(catalogs.classified(fx.odd_paths(spark, sf).select("candidate")))
 
 
+@query(
+    "select subject, case when n = 1 then only_one end as path, case when n = 1 then 'ok' else 'several' end as status from (select subject_id || case when session_id = '' then '' else '_' || session_id end as subject, count(*) as n, min(candidate) as only_one from scans where dataset = 'ds0' group by 1) union all select 'ses-1', null, 'no_subject' union all select 'sub-none', null, 'missing'",
+    SCANS,
+)
+def locate_images(spark: SparkSession, sf: str) -> DataFrame:
+    s = fx.scans(spark, sf)
+    subjects = s.where("dataset = 'ds0'").select(F.concat_ws("_", "subject_id", F.when(F.col("session_id") != "", F.col("session_id"))).alias("subject"))
+    return catalogs.locate_images(subjects.union(spark.createDataFrame([("ses-1",), ("sub-none",)], "subject string")), s.select("candidate"), "/data/ds0")
+
+
 # -- verification ------------------------------------------------------------------------------
 
 

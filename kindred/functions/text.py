@@ -59,10 +59,14 @@ def path_parts(path) -> Column:
     )
 
 
+# The entities that a file name can have.
+ENTITIES = ("sub", "ses", "task", "acq", "ce", "rec", "run", "echo", "part", "chunk")
+
+
 def path_entities(path) -> Column:
-    """map of key-value parts (sub-01_ses-2_run-1 ...) of a file name; the first of a key counts."""
+    """map of the entities (sub-01_ses-2_run-1 ...) of a file name; the last of a key counts."""
     name = F.element_at(F.split(blank(path), "/"), -1)
-    pairs = F.filter(F.split(F.regexp_replace(name, r"[.].*$", ""), "_"), lambda x: x.rlike("^[A-Za-z0-9]+-.+$"))
-    keyed = F.transform(pairs, lambda x: F.struct(F.regexp_extract(x, "^([A-Za-z0-9]+)-", 1).alias("k"), F.regexp_extract(x, "^[A-Za-z0-9]+-(.+)$", 1).alias("v")))
+    pairs = F.filter(F.split(F.regexp_replace(name, r"(?i)[.]nii([.]gz)?$", ""), "_"), lambda x: x.rlike(f"^(?:{'|'.join(ENTITIES)})-.+$"))
+    keyed = F.reverse(F.transform(pairs, lambda x: F.struct(F.substring_index(x, "-", 1).alias("k"), F.regexp_extract(x, "^[a-z]+-(.+)$", 1).alias("v"))))
     keys = F.array_distinct(F.transform(keyed, lambda x: x["k"]))
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(F.filter(keyed, lambda x: x["k"] == k), F.lit(0))["v"]))

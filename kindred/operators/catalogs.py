@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.text import path_parts
+from kindred.functions.text import path_entities, path_parts
 from kindred.operators.exact import excluded_dir
 from kindred.schema import KEYS
 
@@ -66,3 +66,40 @@ def valid_catalog(classified_rows: DataFrame) -> DataFrame:
     """Keys of the rows with status ok; links to one file collapse to the smallest candidate."""
     ok = classified_rows.where("status = 'ok'").groupBy("resolved_path").agg(F.min("candidate").alias("candidate"))
     return ok.withColumn("p", path_parts("candidate")).select("p.*", "candidate", "resolved_path").select(*KEYS)
+
+
+def _level(subject: str, root: str) -> F.Column:
+    """Folder root/sub-x or root/sub-x/ses-y of a name with these entities; null without a subject."""
+    e = path_entities(subject)
+    return F.concat_ws("/", F.lit(root.rstrip("/")), F.concat(F.lit("sub-"), F.try_element_at(e, F.lit("sub"))), F.concat(F.lit("ses-"), F.try_element_at(e, F.lit("ses"))))
+
+
+def locate_images(subjects: DataFrame, files: DataFrame, root: str, modality: str = "T1w") -> DataFrame:
+    """subject, path and status of each subject's image among files (column candidate).
+
+    The image is <subject>_<modality>.nii.gz in the folder anat of its level, else the only
+    *_<modality>.nii.gz there. status: ok, no_subject (no sub- entity), missing or several.
+    """
+    folder, name = F.regexp_replace("candidate", "/[^/]*$", ""), F.substring_index("candidate", "/", -1)
+    found = files.select(folder.alias("folder"), name.alias("name"), "candidate").where(F.col("name").endswith(f"_{modality}.nii.gz")).distinct()
+    asked = subjects.select("subject").distinct().withColumn("level", F.when(F.try_element_at(path_entities("subject"), F.lit("sub")).isNotNull(), _level("subject", root)))
+    asked = asked.withColumn("folder", F.concat("level", F.lit("/anat")))
+    sizes = found.groupBy("folder").agg(F.count("*").alias("n"), F.min("candidate").alias("only"))
+    exact = found.select(F.col("folder").alias("f"), "name", F.col("candidate").alias("own"))
+    both = asked.join(sizes, "folder", "left").join(exact, (F.col("folder") == F.col("f")) & (F.concat("subject", F.lit(f"_{modality}.nii.gz")) == F.col("name")), "left")
+    path = F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("n") == 1, F.col("only"))
+    status = F.when(F.col("level").isNull(), "no_subject").when(path.isNotNull(), "ok").when(F.col("n") > 1, "several").otherwise("missing")
+    return both.select("subject", path.alias("path"), status.alias("status"))
+
+
+def locate_segmentations(subjects: DataFrame, files: DataFrame, root: str, tool: str, modality: str = "T1w") -> DataFrame:
+    """subject, path and status of <subject>_<modality>_seg.nii.gz below a folder that begins with the tool's name.
+
+    It lies in <level>/<tool...>/post/FinalResult; of several such folders the first counts.
+    """
+    asked = subjects.select("subject").distinct().withColumn("level", F.when(F.try_element_at(path_entities("subject"), F.lit("sub")).isNotNull(), _level("subject", root)))
+    inner = F.regexp_extract("candidate", r"^(.*)/([^/]+)/post/FinalResult/([^/]+)$", 1)
+    found = files.select(inner.alias("l"), F.regexp_extract("candidate", r"/([^/]+)/post/FinalResult/[^/]+$", 1).alias("folder"), F.substring_index("candidate", "/", -1).alias("name"), "candidate")
+    found = found.where(F.col("folder").startswith(tool)).groupBy("l", "name").agg(F.min("candidate").alias("path"))
+    both = asked.join(found, (F.col("level") == F.col("l")) & (F.concat("subject", F.lit(f"_{modality}_seg.nii.gz")) == F.col("name")), "left")
+    return both.select("subject", "path", F.when(F.col("level").isNull(), "no_subject").when(F.col("path").isNull(), "missing").otherwise("ok").alias("status"))

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from kindred.functions.text import blank, natural_number
 from kindred.plans.numbering import group_numbers, row_numbers
 from kindred.plans.sizes import broadcast_if_small
-from kindred.schema import KEYS
+from kindred.schema import KEYS, require_unique
 
 #: Datasets with their weight that are broadcast; more are joined by shuffle.
 BROADCAST_DATASETS = 100_000
@@ -164,14 +164,14 @@ def pair_points(rows: DataFrame, axis: DataFrame) -> DataFrame:
     This is the matrix itself, so its rows grow with the square of a group; counts alone come
     from pair_category_counts, which makes no pairs.
     """
-    placed = rows.join(axis.select("idx", "resolved_path"), "resolved_path")
+    placed = rows.join(require_unique(axis.select("idx", "resolved_path"), "resolved_path"), "resolved_path")
     one = placed.alias("a").join(placed.alias("b"), (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.idx") < F.col("b.idx")))
     return one.select(F.col("a.group_id").alias("group_id"), exact_pair_category().alias("category"), F.col("a.idx").alias("x"), F.col("b.idx").alias("y"))
 
 
 def near_pair_points(groups: DataFrame, axis: DataFrame) -> DataFrame:
     """Every unordered pair of subjects of a group: within_dataset or across_datasets."""
-    placed = groups.select("group_id", "subject_key").distinct().join(axis.select("idx", "subject_key", "dataset"), "subject_key")
+    placed = groups.select("group_id", "subject_key").distinct().join(require_unique(axis.select("idx", "subject_key", "dataset"), "subject_key"), "subject_key")
     one = placed.alias("a").join(placed.alias("b"), (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.idx") < F.col("b.idx")))
     category = F.when(F.col("a.dataset") == F.col("b.dataset"), "within_dataset").otherwise("across_datasets")
     return one.select(F.col("a.group_id").alias("group_id"), category.alias("category"), F.col("a.idx").alias("x"), F.col("b.idx").alias("y"))

@@ -112,6 +112,8 @@ def test_paths_and_text(spark):
     got = [tuple(r.t) for r in df.select(text.path_parts("p").alias("t")).collect()]
     assert got == [("ds", "sub-1", "ses-2"), ("", "", ""), ("", "", ""), ("ds", "sub-x", "")]
     assert df.select(text.path_entities("p").alias("e")).first().e == {"sub": "1", "ses": "2", "run": "03"}
+    odd = spark.createDataFrame([("/x/sub-1_odd-7_run-1_run-2-b_T1w.nii",)], "p string")
+    assert odd.select(text.path_entities("p").alias("e")).first().e == {"sub": "1", "run": "2-b"}
     n = spark.createDataFrame([("sub-12a3",), ("sub-x",), (None,), ("9" * 30,)], "s string").select(text.natural_number("s").alias("n")).collect()
     assert [r.n for r in n] == [12, 10**9, 10**9, 10**9]
 
@@ -131,6 +133,18 @@ def test_classify_real_files(spark, tmp_path):
     assert [r.candidate for r in tables.discover(spark, str(tmp_path), "T1w").collect()] == [str(good)]
 
 
+def test_locators(spark):
+    root = "/d/ds"
+    paths = [f"{root}/sub-1/ses-2/anat/sub-1_ses-2_T1w.nii.gz", f"{root}/sub-1/ses-2/anat/sub-1_ses-2_run-2_T1w.nii.gz", f"{root}/sub-2/anat/other_T1w.nii.gz", f"{root}/sub-3/anat/a_T1w.nii.gz", f"{root}/sub-3/anat/b_T1w.nii.gz", f"{root}/sub-4/anat/x.txt"]
+    seg = [f"{root}/sub-1/ses-2/TOOLv2/post/FinalResult/sub-1_ses-2_T1w_seg.nii.gz", f"{root}/sub-1/ses-2/OTHER/post/FinalResult/sub-1_ses-2_T1w_seg.nii.gz"]
+    files_ = spark.createDataFrame([(p,) for p in paths + seg], "candidate string")
+    subjects = spark.createDataFrame([(x,) for x in ("sub-1_ses-2", "sub-2", "sub-3", "sub-4", "ses-9", None)], "subject string")
+    got = {r.subject: (r.status, r.path) for r in catalogs.locate_images(subjects, files_, root).collect()}
+    assert got == {"sub-1_ses-2": ("ok", paths[0]), "sub-2": ("ok", paths[2]), "sub-3": ("several", None), "sub-4": ("missing", None), "ses-9": ("no_subject", None), None: ("no_subject", None)}
+    found = {r.subject: (r.status, r.path) for r in catalogs.locate_segmentations(subjects, files_, root, "TOOL").collect()}
+    assert found["sub-1_ses-2"] == ("ok", seg[0]) and found["sub-2"][0] == "missing" and found["ses-9"][0] == "no_subject"
+
+
 def test_verify_flags(spark):
     rows = [("g", "a", 3, "h1", "c", [1.0, 2.0], "x"), ("g", "b.gz", 4, "h2", "c", [1.0, 2.00001], "x"), ("g", "c", 3, "h3", "z", [1.0, 9.0], "y"), ("g", "d", 3, "h4", "c", [1.0, 9.0], "y"), ("g", "e", 3, None, None, None, None)]
     m = spark.createDataFrame(rows, "group_id string, resolved_path string, n_bytes long, raw_hash string, can_hash string, qform array<double>, header_hash string")
