@@ -30,7 +30,7 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "email_written": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._-]{1,63}+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{2,63}+)++",
-    "phone_local": r"(?<![+0-9()-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
+    "phone_local": r"(?<![+0-9()-])(?<!\+[0-9]{1,3}[ .-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "secret": rf"(?<![A-Za-z0-9_-])(?:{_PREFIXES}[A-Za-z0-9_-]{{12,}}+|[0-9A-Fa-f]{{32,}}+(?![A-Za-z0-9_-]))",
 }

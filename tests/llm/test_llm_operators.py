@@ -307,6 +307,7 @@ def test_personal_data(spark):
         assert {k: mine[k] for k in want} == want, t
         order = [list(personal_data.PATTERNS).index(s.kind) for s in got[i].spans]
         assert order == sorted(order)
+    assert {x.kind for x in got[len(ODD) + 2].spans} == {"phone"}  # not once more as a local number
     assert got[len(ODD) + 4].red == "é😀 <card>, <email>" and got[0].red is None
     empty = personal_data.candidate_spans(docs(spark, []))
     assert personal_data.label_spans(empty, personal_data.fit_spans(empty)).count() == 0
