@@ -179,6 +179,16 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m, d.doc_id) as compon
 from d left join n using (doc_id) left join components on v = d.doc_id
 """
 
+# five hexadecimal digits of the SHA-1 are four of base32
+OP6_SQL = """
+with p as (select page_id, coalesce(html, '') as t, sha1(coalesce(html, '')) as h from pages),
+g as (select *, max(page_id) over (partition by t) as top, list_transform(range(0, 8), lambda j: cast('0x' || substr(h, cast(5 * j + 1 as bigint), 5) as bigint)) as v from p)
+select page_id, cast(strlen(t) as bigint) as payload_bytes,
+       array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((x >> k) & 31 as bigint) + 1, 1)), '')), '') as payload_digest,
+       case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id <> top then top end as refers_to
+from g
+"""
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_personal_data": op2_personal_data,
@@ -191,4 +201,4 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {"op4_url_filters": OP4_SQL, "op5_decontamination": OP5_SQL, "op9_near_duplicates": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_url_filters": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_arc_to_warc": OP6_SQL, "op9_near_duplicates": OP9_SQL}
