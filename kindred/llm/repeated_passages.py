@@ -41,20 +41,21 @@ from kindred.plans.stored import drop, scratched, stored
 #: Bytes of a string that is removed where it repeats, and of the anchors.
 LENGTH, GRAM = 400, 128
 #: Words of a passage that is reported where it repeats, and of the anchors.
-PASSAGE, PASSAGE_GRAM = 51, 16
+PASSAGE, PASSAGE_GRAM = 51, 10
 #: Text positions handled at once within a document; bounds memory on very long texts.
 SEGMENT = 1 << 18
 #: Signatures of one anchor that one task takes; and strings that a task's index holds, about.
 CROWD = 2000
 TASK_STRINGS = 100_000
 #: Strings of a new batch of the index.
-BATCH_STRINGS = 8192
+BATCH_STRINGS = 32_768
 #: Anchors, or signatures with their result, that are broadcast (some 50 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = np.random.RandomState(5).randint(0, 2**62, 256, np.int64).astype(np.uint64) * np.uint64(4) + np.uint64(1)
+_SPACES = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 _powers: list[np.ndarray] = []
 
 
@@ -86,6 +87,21 @@ class _Hashes:
         return _mixed((self.sums[start + length] - self.sums[start]) * self.inverse[start] + np.asarray(length).astype(np.uint64))
 
 
+def word_symbols(data: np.ndarray) -> np.ndarray:
+    """A hash of each word (run of anything but ASCII white space) of some bytes, which end with a word."""
+    word = ~_SPACES[data]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    lengths = np.flatnonzero(last) + 1 - np.flatnonzero(first)
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    starts = np.cumsum(lengths) - lengths
+    at = np.arange(starts[-1] + lengths[-1]) - np.repeat(starts, lengths)
+    sums = np.add.reduceat(_BYTES[data[word]] * _power(int(lengths.max()))[0][at], starts)
+    return _mixed(sums + lengths.astype(np.uint64))
+
+
 class Kind:
     """Bytes or words as the symbols of texts; a run is kept as bytes, `width` of them a symbol."""
 
@@ -94,10 +110,20 @@ class Kind:
 
     def raw(self, data: bytes) -> np.ndarray:
         """The symbols of a text, as an array whose bytes are compared."""
+        whole = np.frombuffer(data, np.uint8)
         if self.number == 0:
-            return np.frombuffer(data, np.uint8)
-        words = data.split()
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).astype(">u8")
+            return whole
+        parts, lo = [], 0
+        while lo < len(whole):  # in pieces that end with a word, for memory's sake
+            hi = lo + SEGMENT
+            while hi < len(whole):
+                spaces = np.flatnonzero(_SPACES[whole[hi : hi + SEGMENT]])
+                hi += int(spaces[0]) if len(spaces) else SEGMENT
+                if len(spaces):
+                    break
+            parts.append(word_symbols(whole[lo:hi]))
+            lo = hi
+        return np.concatenate(parts).astype(">u8") if parts else np.zeros(0, ">u8")
 
     def values(self, raw: np.ndarray) -> np.ndarray:
         return _BYTES[raw] if self.number == 0 else raw.astype(np.uint64) | np.uint64(1)

@@ -215,6 +215,18 @@ def test_repeated_passages(spark, monkeypatch, crowd):
         assert (x.n_bytes, x.n_removed, len(x.spans), bytes(x.kept), sum(p.end - p.start for p in x.passages)) == want, i
 
 
+def test_word_symbols(monkeypatch):
+    r = random.Random(19)
+    text = "".join(r.choice(["a", "bc", " ", "\n", "é", "x" * 30]) for _ in range(900)).encode()
+    want = text.split()
+    kind = repeated_passages.Kind(1, 51, 10)
+    for segment in (1 << 18, 7, 40):
+        monkeypatch.setattr(repeated_passages, "SEGMENT", segment)
+        got = kind.raw(text).tolist()
+        assert len(got) == len(want) and len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+    assert len(kind.raw(b"")) == len(kind.raw(b" \n ")) == 0
+
+
 def test_crowded_anchor_is_dealt(spark, monkeypatch):
     """One passage in hundreds of surroundings, some of which agree in part."""
     monkeypatch.setattr(repeated_passages, "CROWD", 30)
