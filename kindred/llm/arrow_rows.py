@@ -12,13 +12,19 @@ from pyspark.sql import DataFrame
 
 #: Rows and bytes of one Arrow batch: what a Python worker holds of the input at a time.
 BATCH_ROWS = 512
-BATCH_BYTES = "8m"
+BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """Sets the session's Arrow batch bounds, so that very long texts don't add up in a worker."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """Lowers the session's Arrow batch bounds, so that very long texts don't add up in a worker.
+
+    Bounds belong to a session, not to one operator: smaller ones that were set stay.
+    """
+    conf, unit = df.sparkSession.conf, df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    if not 0 < unit.byteStringAsBytes(conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     return df
 
 

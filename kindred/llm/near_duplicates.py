@@ -53,7 +53,7 @@ ODD_BITS = 1024
 #: Centres of a bucket in the first round, about, and how many times more there are in the next one.
 CENTRES, GROWTH = 8, 8
 #: Rows of classes, components or centres (at most 250 bytes each) that are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 50_000
 
 _MULTIPLIERS = (np.random.RandomState(11).randint(0, 2**62, 64, np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
