@@ -717,6 +717,12 @@ def null_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", text.clean(t).alias("cleaned"))
 
 
+@query("select event_id, case when event_id % 3 = 0 then event_type when event_id % 3 = 1 then 'x' else '' end as first from events")
+def first_present(spark: SparkSession, sf: str) -> DataFrame:
+    e, third = fx.table(spark, sf, "events"), F.col("event_id") % 3
+    return e.select("event_id", text.first_present(F.when(third == 0, F.lit(None)).when(third == 1, " x ").otherwise("N/A"), F.lit(" nan "), F.when(third == 0, F.col("event_type"))).alias("first"))
+
+
 @query("select doc_id, 'en' || (doc_id % 2) as sub, case when doc_id % 5 = 0 then null else '' || ((doc_id // 2) % 2) end as ses, cast(doc_id as varchar) as run from documents")
 def path_entities(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx._keys(fx.table(spark, sf, "documents").withColumn("lang", F.lit("en")))
