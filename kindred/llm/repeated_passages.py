@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -188,12 +189,13 @@ class LogSuffixIndex:
         for level in self.levels:
             if level is not None:
                 keys = self._strings(level[0], level[1])
-                left, right = np.searchsorted(keys, rows, "left"), np.searchsorted(keys, rows, "right")
-                hit = right > left
+                left = np.searchsorted(keys, rows, "left")
+                there = keys[np.minimum(left, len(keys) - 1)]
+                hit = (left < len(keys)) & (there.view(f"V{self.length}") == rows.view(f"V{self.length}"))
                 matched.append(names[hit])
                 cover = np.zeros(len(keys) + 1, np.int64)
                 np.add.at(cover, left[hit], 1)
-                np.add.at(cover, right[hit], -1)
+                np.add.at(cover, np.searchsorted(keys, rows[hit], "right"), -1)
                 matched.append(level[2][np.cumsum(cover)[:-1] > 0])
         held, k = (text, offsets, names, rows), 0
         while k < len(self.levels) and self.levels[k] is not None:
@@ -287,71 +289,73 @@ def _halves(b: pa.RecordBatch, kinds: list[Kind]) -> pa.RecordBatch:
 
 
 def _indexed(batches, kinds: list[Kind]):
-    """Adds runs to the index of their kind, batch by batch, and yields (g, sig, offs) of strings that repeat."""
-    indexes = [LogSuffixIndex(k.length * k.width) for k in kinds]
-    owners: list[tuple[int, int, int]] = []
-    starts: list[int] = []
-    hits: list[np.ndarray] = []
-    held: list[list] = [[] for _ in kinds]
-    size, total = [0] * len(kinds), 0
-
-    def flush(k: int) -> None:
-        if held[k]:
-            width = kinds[k].width
-            text = np.frombuffer(b"".join(run for run, _, _ in held[k]), np.uint8)
-            before = np.cumsum([0, *(len(run) for run, _, _ in held[k])])
-            offsets = np.concatenate([at + width * np.arange(n) for (_, _, n), at in zip(held[k], before, strict=False)])
-            hits.append(indexes[k].add(text, offsets, np.concatenate([first + np.arange(n) for _, first, n in held[k]])))
-        held[k], size[k] = [], 0
+    """Adds runs to the index of their kind, batch by batch, and yields (g, sig, offs) of strings that repeat.
 
+    All runs of an anchor are in one partition, so strings whose hash occurs once there can't
+    repeat and aren't indexed; what decides about the others is their bytes.
+    """
+    runs: list[list[tuple]] = [[] for _ in kinds]
     for b in batches:
         for g, sig, k, base, run in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            n = len(run) // kinds[k].width - kinds[k].length + 1
-            held[k].append((run, total, n))
-            owners.append((g, sig, base))
-            starts.append(total)
-            total += n
-            size[k] += n
-            if size[k] >= BATCH_STRINGS:
-                flush(k)
-    for k in range(len(kinds)):
-        flush(k)
-    names = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
-    if not len(names):
-        return
-    owner = np.searchsorted(np.array(starts), names, "right") - 1
-    offs = names - np.array(starts)[owner]
-    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    rows = [(owners[owner[i]][0], owners[owner[i]][1], (owners[owner[i]][2] + offs[i:j]).tolist()) for i, j in zip(first, [*first[1:], len(owner)], strict=True)]
-    columns = list(zip(*rows, strict=True))
-    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int64()))], names=["g", "sig", "offs"])
-
-
-def _merged_runs(runs, length: int) -> list[list[int]]:
-    """Ends of the stretches that strings starting from lo to hi cover, in order."""
-    out: list[list[int]] = []
-    for lo, hi in sorted(runs):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi + length)
-        else:
-            out.append([lo, hi + length])
-    return out
+            runs[k].append((g, sig, base, run))
+    out: list[list] = [[], [], []]
+    for kind, held in zip(kinds, runs, strict=True):
+        counts = np.array([len(r[3]) // kind.width - kind.length + 1 for r in held], np.int64)
+        hashes = [_Hashes(kind.values(kind.of_run(r[3]))).of(np.arange(n), kind.length) for r, n in zip(held, counts.tolist(), strict=True)]
+        if not hashes:
+            continue
+        _, where, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        chosen = np.flatnonzero(times[where] > 1)  # numbers of strings over all runs
+        first = np.cumsum(counts) - counts
+        owner = np.searchsorted(first, chosen, "right") - 1
+        index, hits = LogSuffixIndex(kind.length * kind.width), [np.zeros(0, np.int64)]
+        for lo in range(0, len(chosen), BATCH_STRINGS):
+            names, of = chosen[lo : lo + BATCH_STRINGS], owner[lo : lo + BATCH_STRINGS]
+            used, at = np.unique(of, return_inverse=True)
+            text = np.frombuffer(b"".join(held[i][3] for i in used.tolist()), np.uint8)
+            size = np.array([len(held[i][3]) for i in used.tolist()], np.int64)
+            hits.append(index.add(text, (np.cumsum(size) - size)[at] + kind.width * (names - first[of]), names))
+        names = np.unique(np.concatenate(hits))
+        of = np.searchsorted(first, names, "right") - 1
+        begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])[: len(of)])
+        for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(of)], strict=False):
+            g, sig, base, _ = held[of[i]]
+            for o, v in zip(out, (g, sig, (base + names[i:j] - first[of[i]]).tolist()), strict=True):
+                o.append(v)
+    if out[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], names=["g", "sig", "offs"])
+
+
+def _merged_runs(lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
+    """Starts and ends (rows of two) of the stretches that strings starting from lo to hi cover, in order."""
+    order = np.argsort(lo, kind="stable")
+    lo, reach = lo[order], np.maximum.accumulate(hi[order]) + length
+    new = np.flatnonzero(np.concatenate([[True], lo[1:] > reach[:-1]])[: len(lo)])
+    return np.stack([lo[new], reach[np.append(new[1:], len(lo)) - 1]], axis=1) if len(lo) else np.zeros((0, 2), np.int64)
 
 
 def _kept_rows(b: pa.RecordBatch, kinds: list[Kind], names: list[str]) -> pa.RecordBatch:
-    n_bytes, removed, spans, kept, passages = [], [], [], [], []
-    for text, runs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-        data = (text or "").encode()
-        gone, said = (_merged_runs([(r["lo"], r["hi"]) for r in runs or [] if r["kind"] == k.number], k.length) for k in kinds)
-        ends = [0, *(x for span in gone for x in span), len(data)]
-        rest = b"".join(data[lo:hi] for lo, hi in zip(ends[::2], ends[1::2], strict=True))
+    lists = b.column(2)
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+    flat = lists.flatten()
+    number, lo, hi = (flat.field(i).to_numpy() for i in range(3))
+    n_bytes, removed, kept, found = [], [], [], ([], [])
+    for i, text in enumerate(b.column(1).to_pylist()):
+        data, part = (text or "").encode(), slice(ends[i], ends[i + 1])
+        for kind, out in zip(kinds, found, strict=True):
+            own = number[part] == kind.number
+            out.append(_merged_runs(lo[part][own], hi[part][own], kind.length) if own.any() else np.zeros((0, 2), np.int64))
+        cuts = [0, *found[0][-1].ravel().tolist(), len(data)]
+        rest = b"".join(data[a:z] for a, z in zip(cuts[::2], cuts[1::2], strict=True)) if len(cuts) > 2 else data
         n_bytes.append(len(data))
         removed.append(len(data) - len(rest))
-        spans.append([{"start": a, "end": z} for a, z in gone])
         kept.append(rest)
-        passages.append([{"start": a, "end": z} for a, z in said])
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(passages, kind)], names=names)
+    spans = []
+    for out in found:
+        both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        values = pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["start", "end"])
+        spans.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)), values))
+    return pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), spans[0], pa.array(kept, pa.binary()), spans[1]], names=names)
 
 
 #: Runs of consecutive numbers in the sorted array offs.
