@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import archives, bpe, decontamination, language_id, media, near_duplicates, personal_data, repeated_passages, sharding, toxicity, url_filters
+from kindred.llm import archives, bpe, conversations, decontamination, language_id, media, near_duplicates, personal_data, repeated_passages, sharding, toxicity, url_filters
 from kindred.plans.stored import drop, stored
 
 #: Vocabulary of the word-end BPE; a file of the environment, never copied here.
@@ -158,6 +158,10 @@ def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP5_SQL = rf"""
 with d as (select row_number() over () rid, doc_id, list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents),
@@ -208,5 +212,6 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_bpe": op10_bpe,
     "op11_language": op11_language,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {"op4_url_filters": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_arc_to_warc": OP6_SQL, "op9_near_duplicates": OP9_SQL}
