@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import archives, bpe, conversations, decontamination, language_id, media, near_duplicates, personal_data, repeated_passages, sharding, toxicity, url_filters
-from kindred.plans.stored import drop, stored
+from kindred.llm import archives, bpe, conversations, decontamination, language_id, media, near_duplicates, personal_data, repeated_passages, sharding, time_partitions, toxicity, url_filters
+from kindred.plans.stored import drop, new_path, stored
 
 #: Vocabulary of the word-end BPE; a file of the environment, never copied here.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -158,6 +158,24 @@ def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+#: A click's moment: some are moved back by days, some to the Monday before.
+CLICK_MOMENT = """
+case when crc32(cast(cast(click_id as string) as binary)) % 128 < 16 then cast(ts as timestamp_ntz) - make_dt_interval(cast(pow(crc32(cast(cast(click_id as string) as binary)) % 128 + 6, 3) as int))
+     when crc32(cast(cast(click_id as string) as binary)) % 128 > 111 then cast(date_sub(next_day(cast(ts as date), 'MO'), 7) as timestamp_ntz)
+     else cast(ts as timestamp_ntz) end"""
+#: Clicks that arrived before are there when the layout is created, the rest is added.
+CLICKS_SINCE = "2024-04-01 00:00:00"
+
+
+def op12_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks = table(spark, sf_dir, "clicks")
+    limit = 1 + clicks.count() // 800
+    first = F.coalesce(F.col("arrived_at") < F.lit(CLICKS_SINCE).cast("timestamp_ntz"), F.lit(False))
+    layout = time_partitions.create_layout(clicks.where(first), new_path(spark, "clicks"), limit, CLICK_MOMENT, ("arrived_at", "click_id"))
+    layout = time_partitions.add_rows(layout, clicks.where(~first))
+    return layout.files.select("leaf", "part", F.lit(",".join(clicks.columns)).alias("columns"), "n_rows", "n_new", "ids_sha256", "path", "rewritten")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_conversations(conversations.damaged(table(spark, sf_dir, "conversations")))
 
@@ -212,6 +230,7 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_bpe": op10_bpe,
     "op11_language": op11_language,
+    "op12_time_partitions": op12_time_partitions,
     "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {"op4_url_filters": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_arc_to_warc": OP6_SQL, "op9_near_duplicates": OP9_SQL}
