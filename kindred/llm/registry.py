@@ -143,8 +143,14 @@ def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def repeated_word_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of more than 50 words that repeat, whatever white space is between the words."""
+    found = repeated_passages.word_passages(table(spark, sf_dir, "documents"))
     words = F.aggregate("passages", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.size("passages").cast("long").alias("n_passages"), words.alias("n_passage_words"))
+    return found.select("doc_id", F.size("passages").cast("long").alias("n_passages"), words.alias("n_passage_words"))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,5 +238,6 @@ QUERIES = {
     "op11_language": op11_language,
     "op12_time_partitions": op12_time_partitions,
     "op13_conversation_repair": op13_conversation_repair,
+    "repeated_word_passages": repeated_word_passages,
 }
 ORACLES: dict[str, str] = {"op4_url_filters": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_arc_to_warc": OP6_SQL, "op9_near_duplicates": OP9_SQL}

@@ -1,21 +1,28 @@
 """Removal of every byte covered by a long string that also starts anywhere else.
 
 A text is a sequence of symbols: its bytes in UTF-8 for the strings of LENGTH bytes that are
-removed, its words for the passages of PASSAGE words that are reported. Both go the same way.
+removed (`remove_repeats`), its words for passages of PASSAGE words that are reported
+(`word_passages`). Both go the same way.
 
 A string is judged by a sparse suffix index. Each of its starts belongs to an anchor: the gram
 (GRAM bytes, PASSAGE_GRAM words) of smallest hash inside the string. Equal strings have equal
 anchors at equal places, so only occurrences of one anchor need comparing. For every anchor a
-document holds a run of string starts; runs with equal symbols around them are one signature.
+document holds a run of string starts; runs with equal symbols around them are one signature: a
+cryptographic digest of 128 bits of all symbols of the run and the anchor's place in it.
 
- 1. Anchors that occur once in the corpus are dropped.
- 2. A signature that occurs twice (two hashes of 64 bits, of gram and run) repeats in full.
+ 1. Signatures that a document holds twice repeat in full; one of them stays to be met by others,
+    and the stretches are merged. So periodic texts have few rows, however long they are.
+ 2. Anchors that occur once in the corpus are dropped. A signature that occurs twice repeats in full.
  3. Where an anchor has several signatures, one occurrence of each gives the symbols of its
     run. They go to the logarithmic index family of the anchor's partition: new batches get
     suffix arrays, are merge-scanned against the existing levels for matches of full length,
-    and levels of equal size merge.
+    and levels of equal size merge. What decides there are the symbols themselves.
  4. What repeats is carried back to every occurrence, and documents drop the bytes covered.
 
+`add_batch` does the same for documents that come later: earlier batches are levels of stored
+tables (texts, and anchors sorted by gram), of which each is at least twice as large as the next.
+A batch is merged with the levels' rows of its own anchors alone, and levels of equal size merge.
+
 An anchor with more than CROWD signatures would be too much for one task. Its runs are dealt
 further before they are indexed: each is cut at the middle of the possible offsets. What all
 strings of a half have in common (its core) is longer than the anchor and takes its place as
@@ -23,11 +30,15 @@ the key; halves whose core no other run has are dropped, equal halves become one
 again, and halves that are still crowded are cut once more. After log2(LENGTH) cuts a core is a
 whole string, so every crowd ends.
 
-Offsets and lengths are bytes of the text in UTF-8. Matches never cross documents.
+Offsets and lengths are bytes of the text in UTF-8. Matches never cross documents. Hashes of grams
+and cores only bring together what may be equal: unequal ones that share a hash cost time, no more.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -76,6 +87,21 @@ def _mixed(x):
     return x ^ (x >> np.uint64(33))
 
 
+# Primes below 2^31 and bases.
+_PRIMES = ((2147483647, 1103515245), (2147483629, 1406932606))
+_of_primes: dict[int, np.ndarray] = {}
+
+
+def _prime_powers(k: int, n: int) -> np.ndarray:
+    prime, base = _PRIMES[k]
+    held = _of_primes.get(k, np.ones(1, np.uint64))
+    while len(held) < n:  # doubled: the second half is the first one times a power
+        step = np.uint64(pow(base, len(held), prime))
+        held = np.concatenate([held, held * step % np.uint64(prime)])
+    _of_primes[k] = held
+    return held
+
+
 class _Hashes:
     """Hashes of all substrings of some symbols (odd 64-bit values), from sums over prefixes."""
 
@@ -89,7 +115,11 @@ class _Hashes:
 
 
 def word_symbols(data: np.ndarray) -> np.ndarray:
-    """A hash of each word (run of anything but ASCII white space) of some bytes, which end with a word."""
+    """A number for each word (run of anything but ASCII white space) of some bytes, which end with a word.
+
+    It holds the remainders of two polynomials modulo primes; a polynomial modulo a power of two
+    has the same value for some regular words, whatever its base.
+    """
     word = ~_SPACES[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
@@ -99,20 +129,21 @@ def word_symbols(data: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     starts = np.cumsum(lengths) - lengths
     at = np.arange(starts[-1] + lengths[-1]) - np.repeat(starts, lengths)
-    sums = np.add.reduceat(_BYTES[data[word]] * _power(int(lengths.max()))[0][at], starts)
-    return _mixed(sums + lengths.astype(np.uint64))
+    values, longest = data[word].astype(np.uint64) + np.uint64(1), int(lengths.max())
+    high, low = (np.add.reduceat(values * _prime_powers(k, longest)[at], starts) % np.uint64(_PRIMES[k][0]) for k in (0, 1))
+    return (high << np.uint64(32)) | low
 
 
 class Kind:
     """Bytes or words as the symbols of texts; a run is kept as bytes, `width` of them a symbol."""
 
-    def __init__(self, number: int, length: int, gram: int):
-        self.number, self.length, self.gram, self.width = number, length, gram, 1 if number == 0 else 8
+    def __init__(self, words: bool, length: int, gram: int):
+        self.words, self.length, self.gram, self.width = words, length, gram, 8 if words else 1
 
     def raw(self, data: bytes) -> np.ndarray:
         """The symbols of a text, as an array whose bytes are compared."""
         whole = np.frombuffer(data, np.uint8)
-        if self.number == 0:
+        if not self.words:
             return whole
         parts, lo = [], 0
         while lo < len(whole):  # in pieces that end with a word, for memory's sake
@@ -127,22 +158,35 @@ class Kind:
         return np.concatenate(parts).astype(">u8") if parts else np.zeros(0, ">u8")
 
     def values(self, raw: np.ndarray) -> np.ndarray:
-        return _BYTES[raw] if self.number == 0 else raw.astype(np.uint64) | np.uint64(1)
+        return raw.astype(np.uint64) | np.uint64(1) if self.words else _BYTES[raw]
 
     def of_run(self, run: bytes) -> np.ndarray:
-        return np.frombuffer(run, np.uint8 if self.number == 0 else ">u8")
+        return np.frombuffer(run, ">u8" if self.words else np.uint8)
+
+    def long_enough(self, data: bytes) -> bool:
+        return len(data) >= (2 * self.length - 1 if self.words else self.length)
+
+    @property
+    def strings(self) -> str:
+        """SQL for the number of strings of a run."""
+        return f"(octet_length(run) div {self.width} - {self.length - 1})"
+
+
+def signed(run, offset: int) -> bytes:
+    """Equal for equal runs (bytes) with their anchor at equal offsets."""
+    return blake2b(run, digest_size=16, salt=offset.to_bytes(8, "little", signed=True)).digest()
 
 
 def anchors(raw: np.ndarray, kind: Kind) -> list[np.ndarray]:
-    """Per anchor: hash of its gram, signature, its position, first and last start of its run of strings."""
+    """Per anchor: hash of its gram, both halves of its signature, its position, first and last start of its run of strings."""
     length, gram = kind.length, kind.gram
     span = length - gram + 1
     found: list[list[np.ndarray]] = []
+    view, w = memoryview(raw.tobytes()), kind.width
     for base in range(0, len(raw) - length + 1, SEGMENT):
         part = kind.values(raw[base : base + SEGMENT + length - 1])
         n = len(part) - length + 1
-        h = _Hashes(part)
-        grams = h.of(np.arange(len(part) - gram + 1), gram)
+        grams = _Hashes(part).of(np.arange(len(part) - gram + 1), gram)
         # the smallest (hash, position) of each run of `span` grams, from minima within blocks
         key = (grams & ~np.uint64(0xFFFFF)) | np.arange(len(grams), dtype=np.uint64)
         blocks = np.full(-(-len(key) // span) * span, ~np.uint64(0), np.uint64)
@@ -154,8 +198,9 @@ def anchors(raw: np.ndarray, kind: Kind) -> list[np.ndarray]:
         lo = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
         hi = np.concatenate([lo[1:] - 1, [n - 1]])
         at = at[lo]
-        signature = _mixed(h.of(lo, hi - lo + length) ^ _mixed((at - lo).astype(np.uint64)))
-        found.append([_mixed(grams[at] + np.uint64(kind.number)), signature, at + base, lo + base, hi + base])
+        signs = b"".join([signed(view[w * (base + a) : w * (base + z + length)], p - a) for a, z, p in zip(lo.tolist(), hi.tolist(), at.tolist(), strict=True)])
+        halves = np.frombuffer(signs, np.uint64).reshape(-1, 2)
+        found.append([_mixed(grams[at]), halves[:, 0], halves[:, 1], at + base, lo + base, hi + base])
     return [np.concatenate(x) for x in zip(*found, strict=True)] if found else []
 
 
@@ -220,60 +265,73 @@ class LogSuffixIndex:
         return np.concatenate([text, held[0]]), *out
 
 
-_ANCHORS = "id {0}, h long, kind int, g long, sig long, at long, lo long, hi long"
-_RUN = "g long, sig long, kind int, base long, run binary"
+_ANCHORS = "id {0}, h long, g long, sig binary, n long, at long, lo long, hi long"
+_RUN = "g long, sig binary, base long, run binary"
 
 
-def _anchor_rows(b: pa.RecordBatch, kinds: list[Kind]) -> pa.RecordBatch:
-    rows, numbers, parts = [], [], []
+def _anchor_rows(b: pa.RecordBatch, kind: Kind) -> pa.RecordBatch:
+    """Anchors of each document, of equal ones (g, sig) one with their number n; g is null for stretches of starts that repeat in the document."""
+    rows, parts = [], []
     for i, text in enumerate(b.column(1).to_pylist()):
         data = (text or "").encode()
-        for kind in kinds:
-            if len(data) >= (kind.length if kind.width == 1 else 2 * kind.length - 1):
-                found = anchors(kind.raw(data), kind)
-                if found:
-                    parts.append(found)
-                    rows.append(np.full(len(found[0]), i))
-                    numbers.append(np.full(len(found[0]), kind.number, np.int32))
-    columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
-    which = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-    number = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
-    arrays = [b.column(0).take(which), b.column(2).take(which), pa.array(number), *(pa.array(c.view(np.int64)) for c in columns)]
-    return pa.RecordBatch.from_arrays(arrays, names=["id", "h", "kind", "g", "sig", "at", "lo", "hi"])
-
-
-def _run_batch(g, sig, kind, base, run) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(sig, pa.int64()), pa.array(kind, pa.int32()), pa.array(base, pa.int64()), pa.array(run, pa.binary())], names=["g", "sig", "kind", "base", "run"])
-
-
-def _context_rows(b: pa.RecordBatch, kinds: list[Kind]) -> pa.RecordBatch:
+        if kind.long_enough(data):
+            found = anchors(kind.raw(data), kind)
+            if found:
+                parts.append(found)
+                rows.append(np.full(len(found[0]), i))
+    g, s, z, at, lo, hi = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.uint64)] * 3 + [np.zeros(0, np.int64)] * 3
+    row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    order = np.lexsort((lo, z, s, g, row))
+    g, s, z, at, lo, hi, row = (x[order] for x in (g, s, z, at, lo, hi, row))
+    new = np.ones(len(g), bool)
+    new[1:] = (row[1:] != row[:-1]) | (g[1:] != g[:-1]) | (s[1:] != s[:-1]) | (z[1:] != z[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(g)))
+    # what repeats in its document, as stretches of starts in the documents' order
+    own = np.flatnonzero(np.repeat(times > 1, times))
+    own = own[np.lexsort((lo[own], row[own]))]
+    begin = np.ones(len(own), bool)
+    begin[1:] = (row[own[1:]] != row[own[:-1]]) | (lo[own[1:]] > hi[own[:-1]] + 1)
+    starts = np.flatnonzero(begin)
+    ends = np.append(starts[1:], len(own))[: len(starts)] - 1
+    which = np.concatenate([row[first], row[own[starts]]])
+    none = np.concatenate([np.zeros(len(first), bool), np.ones(len(starts), bool)])
+    with_none = lambda x: pa.array(np.concatenate([x[first].view(np.int64), np.zeros(len(starts), np.int64)]), mask=none)
+    signs = np.ascontiguousarray(np.stack([s[first], z[first]], axis=1)).tobytes()
+    sig = pa.array([*(signs[k : k + 16] for k in range(0, len(signs), 16)), *[None] * len(starts)], pa.binary())
+    plain = lambda x, y: pa.array(np.concatenate([x, y]), pa.int64())
+    columns = [with_none(g), sig, plain(times, np.zeros(len(starts), np.int64)), with_none(at), plain(lo[first], lo[own[starts]]), plain(hi[first], hi[own[ends]])]
+    which = pa.array(which)
+    return pa.RecordBatch.from_arrays([b.column(0).take(which), b.column(2).take(which), *columns], names=["id", "h", "g", "sig", "n", "at", "lo", "hi"])
+
+
+def _run_batch(g, sig, base, run) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(sig, pa.binary()), pa.array(base, pa.int64()), pa.array(run, pa.binary())], names=["g", "sig", "base", "run"])
+
+
+def _context_rows(b: pa.RecordBatch, kind: Kind) -> pa.RecordBatch:
     """The symbols of each wanted run; base: its first start relative to the anchor."""
-    out: list[list] = [[], [], [], [], []]
+    out: list[list] = [[], [], [], []]
     for text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-        data, raw = (text or "").encode(), {}
+        raw = kind.raw((text or "").encode())
         for w in wanted:
-            kind = kinds[w["kind"]]
-            if kind.number not in raw:
-                raw[kind.number] = kind.raw(data)
-            run = raw[kind.number][w["lo"] : w["hi"] + kind.length].tobytes()
-            for o, v in zip(out, (w["g"], w["sig"], kind.number, w["lo"] - w["at"], run), strict=True):
+            for o, v in zip(out, (w["g"], w["sig"], w["lo"] - w["at"], raw[w["lo"] : w["hi"] + kind.length].tobytes()), strict=True):
                 o.append(v)
     return _run_batch(*out)
 
 
-_HALF = "pg long, psig long, " + _RUN + ", first long, last long"
+_HALF = "pg long, psig binary, " + _RUN + ", first long, last long"
 
 
-def _halves(b: pa.RecordBatch, kinds: list[Kind]) -> pa.RecordBatch:
+def _halves(b: pa.RecordBatch, kind: Kind) -> pa.RecordBatch:
     """Runs whose strings start at offsets from first to last, cut at the middle offset.
 
     A half's key is the hash of its core: the symbols that every string which starts at any of
     its offsets has. Each run that has a string in the half has the whole core.
     """
-    out: list[list] = [[] for _ in range(9)]
-    for g, sig, number, base, run, first, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
-        kind, middle = kinds[number], (first + last) // 2
-        raw = kind.of_run(run)
+    out: list[list] = [[] for _ in range(8)]
+    for g, sig, base, run, first, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        middle, raw = (first + last) // 2, kind.of_run(run)
         n, h = len(raw) - kind.length + 1, _Hashes(kind.values(raw))
         for a, z in ((first, middle), (middle + 1, last)):
             lo, hi = max(a, base), min(z, base + n - 1)
@@ -281,49 +339,56 @@ def _halves(b: pa.RecordBatch, kinds: list[Kind]) -> pa.RecordBatch:
                 core = int(h.of(np.array([z - base]), a + kind.length - z)[0])
                 part = raw[lo - base : hi - base + kind.length].tobytes()
                 key = xxhash.xxh3_64_intdigest(f"{g} {core} {a} {z}") - (1 << 63)
-                of = xxhash.xxh3_64_intdigest(part, lo & 0xFFFFFFFF) - (1 << 63)
-                for o, v in zip(out, (g, sig, key, of, number, lo, part, a, z), strict=True):
+                for o, v in zip(out, (g, sig, key, signed(part, lo), lo, part, a, z), strict=True):
                     o.append(v)
-    kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds_, strict=True)], names=["pg", "psig", "g", "sig", "kind", "base", "run", "first", "last"])
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=["pg", "psig", "g", "sig", "base", "run", "first", "last"])
 
 
-def _indexed(batches, kinds: list[Kind]):
-    """Adds runs to the index of their kind, batch by batch, and yields (g, sig, offs) of strings that repeat.
+def _indexed(batches, kind: Kind):
+    """Adds runs to an index, batch by batch, and yields (g, sig, offs) of strings that repeat.
 
-    All runs of an anchor are in one partition, so strings whose hash occurs once there can't
-    repeat and aren't indexed; what decides about the others is their bytes.
+    Runs come sorted by anchor; an index holds those of whole anchors, of about TASK_STRINGS strings.
     """
-    runs: list[list[tuple]] = [[] for _ in kinds]
+    held: list[tuple] = []
+    strings = 0
     for b in batches:
-        for g, sig, k, base, run in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            runs[k].append((g, sig, base, run))
+        for g, sig, base, run in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if strings >= TASK_STRINGS and g != held[-1][0]:
+                yield from _of_index(held, kind)
+                held, strings = [], 0
+            held.append((g, sig, base, run))
+            strings += len(run) // kind.width - kind.length + 1
+    if held:
+        yield from _of_index(held, kind)
+
+
+def _of_index(held: list[tuple], kind: Kind):
+    """Strings whose hash occurs once can't repeat and aren't indexed; what decides about the others is their symbols."""
+    counts = np.array([len(r[3]) // kind.width - kind.length + 1 for r in held], np.int64)
+    hashes = [_Hashes(kind.values(kind.of_run(r[3]))).of(np.arange(n), kind.length) for r, n in zip(held, counts.tolist(), strict=True)]
+    _, where, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    chosen = np.flatnonzero(times[where] > 1)  # numbers of strings over all runs
+    first = np.cumsum(counts) - counts
+    owner = np.searchsorted(first, chosen, "right") - 1
+    index, hits = LogSuffixIndex(kind.length * kind.width), [np.zeros(0, np.int64)]
+    for lo in range(0, len(chosen), BATCH_STRINGS):
+        names, of = chosen[lo : lo + BATCH_STRINGS], owner[lo : lo + BATCH_STRINGS]
+        used, at = np.unique(of, return_inverse=True)
+        text = np.frombuffer(b"".join(held[i][3] for i in used.tolist()), np.uint8)
+        size = np.array([len(held[i][3]) for i in used.tolist()], np.int64)
+        hits.append(index.add(text, (np.cumsum(size) - size)[at] + kind.width * (names - first[of]), names))
+    names = np.unique(np.concatenate(hits))
+    if not len(names):
+        return
+    of = np.searchsorted(first, names, "right") - 1
+    begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
     out: list[list] = [[], [], []]
-    for kind, held in zip(kinds, runs, strict=True):
-        counts = np.array([len(r[3]) // kind.width - kind.length + 1 for r in held], np.int64)
-        hashes = [_Hashes(kind.values(kind.of_run(r[3]))).of(np.arange(n), kind.length) for r, n in zip(held, counts.tolist(), strict=True)]
-        if not hashes:
-            continue
-        _, where, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-        chosen = np.flatnonzero(times[where] > 1)  # numbers of strings over all runs
-        first = np.cumsum(counts) - counts
-        owner = np.searchsorted(first, chosen, "right") - 1
-        index, hits = LogSuffixIndex(kind.length * kind.width), [np.zeros(0, np.int64)]
-        for lo in range(0, len(chosen), BATCH_STRINGS):
-            names, of = chosen[lo : lo + BATCH_STRINGS], owner[lo : lo + BATCH_STRINGS]
-            used, at = np.unique(of, return_inverse=True)
-            text = np.frombuffer(b"".join(held[i][3] for i in used.tolist()), np.uint8)
-            size = np.array([len(held[i][3]) for i in used.tolist()], np.int64)
-            hits.append(index.add(text, (np.cumsum(size) - size)[at] + kind.width * (names - first[of]), names))
-        names = np.unique(np.concatenate(hits))
-        of = np.searchsorted(first, names, "right") - 1
-        begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])[: len(of)])
-        for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(of)], strict=False):
-            g, sig, base, _ = held[of[i]]
-            for o, v in zip(out, (g, sig, (base + names[i:j] - first[of[i]]).tolist()), strict=True):
-                o.append(v)
-    if out[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], names=["g", "sig", "offs"])
+    for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(of)], strict=True):
+        g, sig, base, _ = held[of[i]]
+        for o, v in zip(out, (g, sig, (base + names[i:j] - first[of[i]]).tolist()), strict=True):
+            o.append(v)
+    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64()))], names=["g", "sig", "offs"])
 
 
 def _merged_runs(lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
@@ -334,28 +399,30 @@ def _merged_runs(lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
     return np.stack([lo[new], reach[np.append(new[1:], len(lo)) - 1]], axis=1) if len(lo) else np.zeros((0, 2), np.int64)
 
 
-def _kept_rows(b: pa.RecordBatch, kinds: list[Kind], names: list[str]) -> pa.RecordBatch:
-    lists = b.column(2)
+def _span_lists(lists: pa.ListArray, kind: Kind) -> list[np.ndarray]:
+    """For each list of (lo, hi), null ones too, the stretches covered."""
     ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
     flat = lists.flatten()
-    number, lo, hi = (flat.field(i).to_numpy() for i in range(3))
-    n_bytes, removed, kept, found = [], [], [], ([], [])
-    for i, text in enumerate(b.column(1).to_pylist()):
-        data, part = (text or "").encode(), slice(ends[i], ends[i + 1])
-        for kind, out in zip(kinds, found, strict=True):
-            own = number[part] == kind.number
-            out.append(_merged_runs(lo[part][own], hi[part][own], kind.length) if own.any() else np.zeros((0, 2), np.int64))
-        cuts = [0, *found[0][-1].ravel().tolist(), len(data)]
+    lo, hi = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+    return [_merged_runs(lo[a:z], hi[a:z], kind.length) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _as_lists(spans: list[np.ndarray]) -> pa.ListArray:
+    both = np.concatenate(spans) if spans else np.zeros((0, 2), np.int64)
+    values = pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in spans])]).astype(np.int32)), values)
+
+
+def _kept_rows(b: pa.RecordBatch, kind: Kind, names: list[str]) -> pa.RecordBatch:
+    n_bytes, removed, kept, spans = [], [], [], _span_lists(b.column(2), kind)
+    for text, own in zip(b.column(1).to_pylist(), spans, strict=True):
+        data = (text or "").encode()
+        cuts = [0, *own.ravel().tolist(), len(data)]
         rest = b"".join(data[a:z] for a, z in zip(cuts[::2], cuts[1::2], strict=True)) if len(cuts) > 2 else data
         n_bytes.append(len(data))
         removed.append(len(data) - len(rest))
         kept.append(rest)
-    spans = []
-    for out in found:
-        both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        values = pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["start", "end"])
-        spans.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)), values))
-    return pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), spans[0], pa.array(kept, pa.binary()), spans[1]], names=names)
+    return pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), _as_lists(spans), pa.array(kept, pa.binary())], names=names)
 
 
 #: Runs of consecutive numbers in the sorted array offs.
@@ -365,7 +432,7 @@ _CONSECUTIVE = (
 )
 
 
-def _decided(runs: DataFrame, kinds: list[Kind]) -> DataFrame:
+def _decided(runs: DataFrame, kind: Kind) -> DataFrame:
     """g, sig and runs: the offsets (from lo to hi, relative to the anchor) of strings that repeat.
 
     runs: one row for each signature of anchors that have several: _RUN, first and last.
@@ -374,71 +441,155 @@ def _decided(runs: DataFrame, kinds: list[Kind]) -> DataFrame:
     crowded = stored(runs.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > CROWD).select("g"), "crowded")
     crowds = broadcast_if_small(crowded, BROADCAST_ROWS)
     few = runs.join(crowds, "g", "left_anti")
-    strings = few.agg(F.sum(F.expr(_strings_of(kinds)))).first()[0] or 0
+    strings = few.agg(F.sum(F.expr(kind.strings))).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, -(-int(strings) // TASK_STRINGS))
-    dealt = bounded_batches(few.select("g", "sig", "kind", "base", "run").repartition(parts, "g"))
-    found = dealt.mapInArrow(lambda it: _indexed(it, kinds), "g long, sig long, offs array<long>").select("g", "sig", F.expr(_CONSECUTIVE).alias("runs"))
+    dealt = bounded_batches(few.select("g", "sig", "base", "run").repartition(parts, "g").sortWithinPartitions("g"))
+    found = dealt.mapInArrow(lambda it: _indexed(it, kind), "g long, sig binary, offs array<long>").select("g", "sig", F.expr(_CONSECUTIVE).alias("runs"))
     if crowded.isEmpty():
         return found
     found = stored(found, "indexed")
-    rows = runs.join(crowds, "g", "left_semi").select("g", "sig", "kind", "base", "run", "first", "last")
-    halves = stored(map_batches(rows, lambda b: _halves(b, kinds), _HALF), "halves")
+    rows = runs.join(crowds, "g", "left_semi").select("g", "sig", "base", "run", "first", "last")
+    halves = stored(map_batches(rows, lambda b: _halves(b, kind), _HALF), "halves")
     cores = stored(halves.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "cores")
     halves_ = stored(halves.join(broadcast_if_small(cores, BROADCAST_ROWS), "g", "left_semi"), "halves")
     drop(halves, cores)
     signs = stored(halves_.groupBy("g", "sig").agg(F.count("*").alias("n")), "signatures")
     twice = signs.where("n > 1").select("g", "sig").withColumn("full", F.lit(True))
     several = stored(signs.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g"), "several")
-    again = stored(halves_.join(broadcast_if_small(several, BROADCAST_ROWS), "g", "left_semi").dropDuplicates(["g", "sig"]).select("g", "sig", "kind", "base", "run", "first", "last"), "runs")
-    below = stored(_decided(again, kinds), "decided")
+    again = stored(halves_.join(broadcast_if_small(several, BROADCAST_ROWS), "g", "left_semi").dropDuplicates(["g", "sig"]).select("g", "sig", "base", "run", "first", "last"), "runs")
+    below = stored(_decided(again, kind), "decided")
     told = twice.join(below, ["g", "sig"], "full")
-    whole = F.expr(f"array(named_struct('lo', base, 'hi', base + {_strings_of(kinds)} - 1))")
+    whole = F.expr(f"array(named_struct('lo', base, 'hi', base + {kind.strings} - 1))")
     up = halves_.join(told, ["g", "sig"]).select(F.col("pg").alias("g"), F.col("psig").alias("sig"), F.when(F.col("full"), whole).otherwise(F.col("runs")).alias("runs"))
     up = stored(up.groupBy("g", "sig").agg(F.flatten(F.collect_list("runs")).alias("runs")), "decided")  # two halves at most
     drop(crowded, halves_, signs, several, again, below)
     return found.unionByName(up)
 
 
-def _strings_of(kinds: list[Kind]) -> str:
-    """SQL for the number of strings of a run."""
-    return "(case kind " + " ".join(f"when {k.number} then octet_length(run) div {k.width} - {k.length - 1}" for k in kinds) + " end)"
+def _texts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text and h: which document a row is of, though ids be null or repeated."""
+    text = F.col(text_col).cast("string")
+    return documents.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
+
 
+def _anchored(docs: DataFrame, kind: Kind) -> DataFrame:
+    return map_batches(docs, lambda b: _anchor_rows(b, kind), _ANCHORS.format(docs.schema["id"].dataType.simpleString()))
 
-@scratched
-def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, passage: int = PASSAGE, passage_gram: int = PASSAGE_GRAM) -> DataFrame:
-    """id_col, n_bytes, n_removed, spans (removed runs: array of (start, end)), kept (the remaining
-    bytes) and passages (array of (start, end): words in passages of so many words that start
-    anywhere else too, whatever white space is between them; they are reported, not removed).
 
-    Null texts are empty; texts shorter than `length` lose nothing. Rows with equal texts
-    repeat each other and lose everything if they are long enough, rows with equal or null
-    ids too: every row is judged by its own text. Other columns are not read.
+def _gone(every: DataFrame, docs: DataFrame, kind: Kind) -> DataFrame:
+    """wid, wh and gone: the (lo, hi) of starts of strings that repeat, of each document that has any. Stored.
+
+    every: stored anchors of all documents that may match; docs: their texts.
     """
-    kinds = [Kind(0, length, gram), Kind(1, passage, passage_gram)]
-    kind = documents.schema[id_col].dataType.simpleString()
-    text = F.col(text_col).cast("string")
-    docs = documents.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
-    every = stored(map_batches(docs, lambda b: _anchor_rows(b, kinds), _ANCHORS.format(kind)), "anchors")
     # stored, so that its join has a shuffle on both sides and a much-used anchor can be split
-    twice = stored(every.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "twice")
+    twice = stored(every.where("g is not null").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g"), "twice")
     held = stored(every.join(broadcast_if_small(twice, BROADCAST_ROWS), "g", "left_semi"), "anchors")
-    drop(every, twice)
-    signs = stored(held.groupBy("g", "sig").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "kind", "at", "lo", "hi")).alias("one")), "signatures")
+    drop(twice)
+    signs = stored(held.groupBy("g", "sig").agg(F.sum("n").alias("n"), F.min(F.struct("id", "h", "at", "lo", "hi")).alias("one")), "signatures")
     several = stored(signs.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g"), "several")
     wanted = signs.join(broadcast_if_small(several, BROADCAST_ROWS), "g").select("g", "sig", "one.*")
-    lists = wanted.groupBy(F.col("id").alias("wid"), F.col("h").alias("wh")).agg(F.collect_list(F.struct("g", "sig", "kind", "at", "lo", "hi")).alias("wanted"))
+    lists = wanted.groupBy(F.col("id").alias("wid"), F.col("h").alias("wh")).agg(F.collect_list(F.struct("g", "sig", "at", "lo", "hi")).alias("wanted"))
     found = docs.join(lists, F.col("id").eqNullSafe(F.col("wid")) & (F.col("h") == F.col("wh")))
-    limits = [F.expr("case kind " + " ".join(f"when {k.number} then {v(k)}L" for k in kinds) + " end").alias(n) for n, v in (("first", lambda k: k.gram - k.length), ("last", lambda k: 0))]
-    runs = stored(map_batches(found.select("text", "wanted"), lambda b: _context_rows(b, kinds), _RUN).select("*", *limits), "runs")
-    told = signs.select("g", "sig", (F.col("n") > 1).alias("full")).join(_decided(runs, kinds), ["g", "sig"], "left").where("full or runs is not null")
+    runs = stored(map_batches(found.select("text", "wanted"), lambda b: _context_rows(b, kind), _RUN).dropDuplicates(["g", "sig"]).selectExpr("*", f"{kind.gram - kind.length}L as first", "0L as last"), "runs")
+    told = signs.select("g", "sig", (F.col("n") > 1).alias("full")).join(_decided(runs, kind), ["g", "sig"], "left").where("full or runs is not null")
     told = stored(told, "repeats")
     own = F.expr("if(full, array(named_struct('lo', lo, 'hi', hi)), transform(runs, r -> named_struct('lo', at + r.lo, 'hi', at + r.hi)))")
-    spread = held.join(broadcast_if_small(told, BROADCAST_ROWS // 4), ["g", "sig"]).select("id", "h", "kind", F.explode(own).alias("r")).groupBy("id", "h", "kind", "r.lo").agg(F.max("r.hi").alias("hi"))
-    gone = stored(spread.groupBy(F.col("id").alias("wid"), F.col("h").alias("wh")).agg(F.collect_list(F.struct("kind", "lo", "hi")).alias("gone")), "gone")
+    spread = held.where("n = 1").join(broadcast_if_small(told, BROADCAST_ROWS // 4), ["g", "sig"]).select("id", "h", F.explode(own).alias("r")).select("id", "h", "r.lo", "r.hi")
+    spread = spread.union(every.where("g is null").select("id", "h", "lo", "hi")).groupBy("id", "h", "lo").agg(F.max("hi").alias("hi"))
+    gone = stored(spread.groupBy(F.col("id").alias("wid"), F.col("h").alias("wh")).agg(F.collect_list(F.struct("lo", "hi")).alias("gone")), "gone")
     drop(held, signs, several, runs, told)
-    both = docs.join(gone, F.col("id").eqNullSafe(F.col("wid")) & (F.col("h") == F.col("wh")), "left").select("id", "text", "gone")
-    names = [id_col, "n_bytes", "n_removed", "spans", "kept", "passages"]
-    span = "array<struct<start:long,end:long>>"
-    out = map_batches(both, lambda b: _kept_rows(b, kinds, names), f"`{id_col}` {kind}, n_bytes long, n_removed long, spans {span}, kept binary, passages {span}")
+    return gone
+
+
+def _with_gone(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    return docs.join(gone, F.col("id").eqNullSafe(F.col("wid")) & (F.col("h") == F.col("wh")), "left")
+
+
+_SPANS = "array<struct<start:long,end:long>>"
+
+
+def _kept(docs: DataFrame, gone: DataFrame, kind: Kind, id_col: str) -> DataFrame:
+    names = [id_col, "n_bytes", "n_removed", "spans", "kept"]
+    out = map_batches(_with_gone(docs, gone).select("id", "text", "gone"), lambda b: _kept_rows(b, kind, names), f"`{id_col}` {docs.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, spans {_SPANS}, kept binary")
+    out._reads = [gone]
+    return out
+
+
+@scratched
+def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """id_col, n_bytes, n_removed, spans (removed runs: array of (start, end)) and kept (the remaining bytes).
+
+    Null texts are empty; texts shorter than `length` lose nothing. Rows with equal texts
+    repeat each other and lose everything if they are long enough, rows with equal or null
+    ids too: every row is judged by its own text. Other columns are not read.
+    """
+    kind, docs = Kind(False, length, gram), _texts(documents, id_col, text_col)
+    return _kept(docs, _gone(stored(_anchored(docs, kind), "anchors"), docs, kind), kind, id_col)
+
+
+@scratched
+def word_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
+    """id_col and passages: array of (start, end) of words in passages of so many words that start anywhere else too.
+
+    White space between words doesn't count. Words are compared by two remainders of 31 bits; other
+    rows are treated as by `remove_repeats`. Nothing is removed.
+    """
+    kind, docs = Kind(True, passage, gram), _texts(documents, id_col, text_col)
+    gone = _gone(stored(_anchored(docs, kind), "anchors"), docs, kind)
+    told = lambda b: pa.RecordBatch.from_arrays([b.column(0), _as_lists(_span_lists(b.column(1), kind))], names=[id_col, "passages"])
+    out = map_batches(_with_gone(docs.select("id", "h"), gone).select("id", "gone"), told, f"`{id_col}` {docs.schema['id'].dataType.simpleString()}, passages {_SPANS}")
     out._reads = [gone]
     return out
+
+
+@dataclass(frozen=True)
+class Level:
+    """Documents of earlier batches: id, text and h, and their anchors, sorted by g."""
+
+    docs: DataFrame
+    anchors: DataFrame
+    rows: int
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """Levels from the largest to the smallest."""
+
+    levels: tuple[Level, ...] = ()
+
+    @property
+    def _reads(self) -> list[DataFrame]:
+        return [t for level in self.levels for t in (level.docs, level.anchors)]
+
+
+@scratched
+def add_batch(corpus: Corpus, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame, Corpus]:
+    """What `remove_repeats` gives for the new documents beside all earlier ones; id_col and spans of
+    earlier documents that repeat in the new ones (of strings whose anchors they share); the corpus with them.
+
+    Levels are stored tables; those that have been merged into others are deleted, so a corpus is of
+    no use once another batch has been added to it. An id may come again: rows are told apart by texts.
+    """
+    kind = Kind(False, length, gram)
+    docs = stored(_texts(documents, id_col, text_col), "texts")
+    new = stored(_anchored(docs, kind).repartitionByRange("g").sortWithinPartitions("g"), "anchors")
+    met = broadcast_if_small(stored(new.where("g is not null").select("g").distinct(), "met"), BROADCAST_ROWS)
+    every, texts = new, docs
+    for level in corpus.levels:
+        every, texts = every.union(level.anchors.join(met, "g", "left_semi").select(*new.columns)), texts.union(level.docs)
+    gone = _gone(every, texts, kind)
+    found = _kept(docs, gone, kind, id_col)
+    kept = stored(found, "kept")
+    older, earlier = None, None
+    for level in corpus.levels:
+        earlier = level.docs.select("id", "h") if earlier is None else earlier.union(level.docs.select("id", "h"))
+    told = lambda b: pa.RecordBatch.from_arrays([b.column(0), _as_lists(_span_lists(b.column(1), kind))], names=[id_col, "spans"])
+    earlier = docs.select("id", "h").limit(0) if earlier is None else earlier
+    older = stored(map_batches(_with_gone(earlier, gone).where("gone is not null").select("id", "gone"), told, f"`{id_col}` {docs.schema['id'].dataType.simpleString()}, spans {_SPANS}"), "older")
+    levels, last = list(corpus.levels), Level(docs, new, docs.count())
+    while levels and levels[-1].rows < 2 * last.rows:
+        under = levels.pop()
+        both = Level(stored(under.docs.union(last.docs), "texts"), stored(under.anchors.union(last.anchors).repartitionByRange("g").sortWithinPartitions("g"), "anchors"), under.rows + last.rows)
+        drop(under.docs, under.anchors)
+        last = both
+    return kept, older, Corpus((*levels, last))

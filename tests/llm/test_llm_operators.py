@@ -193,6 +193,14 @@ def test_sketch_fills_and_estimates():
 # -- repeated passages -------------------------------------------------------------------------
 
 
+def check_repeats(spark, texts):
+    got = {x.doc_id: x for x in repeated_passages.remove_repeats(docs(spark, texts), length=100, gram=32).collect()}
+    words = {x.doc_id: x for x in repeated_passages.word_passages(docs(spark, texts), passage=12, gram=4).collect()}
+    for i, want in enumerate(brute_repeats(texts, 100, 12)):
+        x = got[i]
+        assert (x.n_bytes, x.n_removed, len(x.spans), bytes(x.kept), sum(p.end - p.start for p in words[i].passages)) == want, i
+
+
 @pytest.mark.parametrize("crowd", [2000, 1])
 def test_repeated_passages(spark, monkeypatch, crowd):
     monkeypatch.setattr(repeated_passages, "CROWD", crowd)
@@ -209,17 +217,14 @@ def test_repeated_passages(spark, monkeypatch, crowd):
             parts += [r.choice(shared)[r.randrange(30) :], prose(r, r.randrange(1, 30), 10**6)]
         texts.append(" ".join(parts))
     texts += [texts[20], texts[20], "ab" * 300, "é" * 150, texts[30].replace(" ", "\n  ")]
-    got = {x.doc_id: x for x in repeated_passages.remove_repeats(docs(spark, texts), length=100, gram=32, passage=12, passage_gram=4).collect()}
-    for i, want in enumerate(brute_repeats(texts, 100, 12)):
-        x = got[i]
-        assert (x.n_bytes, x.n_removed, len(x.spans), bytes(x.kept), sum(p.end - p.start for p in x.passages)) == want, i
+    check_repeats(spark, texts)
 
 
 def test_word_symbols(monkeypatch):
     r = random.Random(19)
     text = "".join(r.choice(["a", "bc", " ", "\n", "é", "x" * 30]) for _ in range(900)).encode()
     want = text.split()
-    kind = repeated_passages.Kind(1, 51, 10)
+    kind = repeated_passages.Kind(True, 51, 10)
     for segment in (1 << 18, 7, 40):
         monkeypatch.setattr(repeated_passages, "SEGMENT", segment)
         got = kind.raw(text).tolist()
@@ -233,9 +238,56 @@ def test_crowded_anchor_is_dealt(spark, monkeypatch):
     r = random.Random(16)
     common = prose(r, 30, 10**6)
     texts = [prose(r, 9, 10**6)[: r.randrange(60)] + r.choice("xyz") * r.randrange(9) + common[r.randrange(3) :] + r.choice(["", "a", "ab", "abc"]) + prose(r, 9, 10**6) for _ in range(300)]
-    got = {x.doc_id: x for x in repeated_passages.remove_repeats(docs(spark, texts), length=100, gram=32, passage=12, passage_gram=4).collect()}
-    for i, want in enumerate(brute_repeats(texts, 100, 12)):
-        assert (got[i].n_bytes, got[i].n_removed, len(got[i].spans), bytes(got[i].kept), sum(p.end - p.start for p in got[i].passages)) == want, i
+    check_repeats(spark, texts)
+
+
+def test_texts_with_equal_polynomials(spark):
+    """Thue-Morse words over two letters and their complements: polynomials modulo 2^64 can't tell them apart."""
+    symbols = repeated_passages._BYTES
+    a, z = next((a, z) for a in range(33, 127) for z in range(a + 1, 127) if (int(symbols[a]) - int(symbols[z])) % 2048 == 0)
+    word = bytes(a if bin(i).count("1") % 2 else z for i in range(256))
+    other = bytes(a + z - x for x in word)
+    r = random.Random(8)
+    kind = repeated_passages.Kind(False, 400, 128)
+    for _ in range(4000):
+        core = bytes(r.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(128))
+        found = [repeated_passages.anchors(kind.raw(x), kind) for x in (word + core + other, other + core + word)]
+        if [len(f[0]) for f in found] == [1, 1] and found[0][0][0] == found[1][0][0]:
+            break
+    else:
+        raise AssertionError("no core is the anchor")
+    assert found[0][1:3] != found[1][1:3] and (found[0][3][0], found[1][3][0]) == (256, 256)
+    texts = [(word + core + other).decode(), (other + core + word).decode()]
+    assert [x.n_removed for x in repeated_passages.remove_repeats(docs(spark, texts)).collect()] == [0, 0]
+    texts.append("x" + texts[0] + "y")
+    assert {x.doc_id: x.n_removed for x in repeated_passages.remove_repeats(docs(spark, texts)).collect()} == {0: 640, 1: 0, 2: 640}
+
+
+def test_periodic_texts_have_few_rows(spark):
+    kind = repeated_passages.Kind(False, 100, 32)
+    texts = ["a" * 30_000, "ab" * 9000 + "c", "abc" * 7000 + prose(random.Random(1), 30, 10**6), "", None, "a" * 99]
+    every = repeated_passages._anchored(repeated_passages._texts(docs(spark, texts), "doc_id", "text"), kind)
+    assert every.count() < 900
+    check_repeats(spark, [t and t[:3000] for t in texts])
+
+
+def test_later_batches_meet_stored_levels(spark):
+    r = random.Random(12)
+    shared = [prose(r, 40, 10**6) for _ in range(6)]
+    make = lambda n: [prose(r, r.randrange(5, 40), 10**6) + " " + r.choice(shared)[r.randrange(60) :] + prose(r, r.randrange(20), 10**6) for _ in range(n)]
+    corpus, texts, gone, sizes = repeated_passages.Corpus(), [], {}, []
+    for batch in (make(20), make(3), [None, "", "a" * 300], make(4), make(30), [shared[0], shared[0]], []):
+        found, older, corpus = repeated_passages.add_batch(corpus, docs(spark, batch, len(texts)), length=100, gram=32)
+        texts += batch
+        for x in found.collect():
+            gone[x.doc_id] = {p for s in x.spans for p in range(s.start, s.end)}
+            assert (x.n_removed, len(x.kept)) == (len(gone[x.doc_id]), x.n_bytes - len(gone[x.doc_id]))
+        for x in older.collect():
+            gone[x.doc_id] |= {p for s in x.spans for p in range(s.start, s.end)}
+        for i, want in enumerate(brute_repeats(texts, 100, 12)):
+            assert len(gone[i]) == want[1] and bytes(v for p, v in enumerate((texts[i] or "").encode()) if p not in gone[i]) == want[3], i
+        sizes.append([level.rows for level in corpus.levels])
+    assert all(a >= 2 * b for s in sizes for a, b in zip(s, s[1:], strict=False)) and max(map(len, sizes)) > 1
 
 
 def test_suffix_levels():
@@ -251,7 +303,7 @@ def test_suffix_levels():
         assert matched == {i for v in seen.values() if len(v) > 1 for i in v}
     assert sum(x is not None for x in index.levels) <= 5
     assert all(x is None or (len(x[0]), len(x[1])) == (5 * len(x[2]), len(x[2])) for x in index.levels)  # text and offsets
-    kind = repeated_passages.Kind(0, 400, 128)
+    kind = repeated_passages.Kind(False, 400, 128)
     assert repeated_passages.anchors(kind.raw(b"x" * 399), kind) == []
 
 
