@@ -213,12 +213,12 @@ def _facts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 FOUND = """
-sets as (select 'within_sessions' as pair_kind, concat_ws('~', group_id, dataset, subject_id, session_id) as k, * from ({within_sessions}) union all by name
+sets as materialized (select 'within_sessions' as pair_kind, concat_ws('~', group_id, dataset, subject_id, session_id) as k, * from ({within_sessions}) union all by name
   select 'within_subjects' as pair_kind, concat_ws('~', group_id, dataset, subject_id) as k, * from ({within_subjects}) union all by name
   select 'within_datasets' as pair_kind, concat_ws('~', group_id, dataset) as k, * from ({within_datasets}) union all by name
   select 'across_datasets' as pair_kind, group_id as k, * from ({across_datasets})),
-found as (select sets.pair_kind, sets.k, sets.slot, sets.group_id, sets.resolved_path, m.raw_hash, m.n_bytes from sets join members m on m.resolved_path = sets.resolved_path where m.raw_hash is not null),
-state as (select pair_kind, k, case when count(*) < 2 then 'UNKNOWN' when min(raw_hash) = max(raw_hash) then 'TRUE' else 'FALSE' end as raw, case when count(*) < 2 then 'UNKNOWN' else 'TRUE' end as can from found group by 1, 2),
+found as materialized (select sets.pair_kind, sets.k, sets.slot, sets.group_id, sets.resolved_path, m.raw_hash, m.n_bytes from sets join members m on m.resolved_path = sets.resolved_path where m.raw_hash is not null),
+state as materialized (select pair_kind, k, case when count(*) < 2 then 'UNKNOWN' when min(raw_hash) = max(raw_hash) then 'TRUE' else 'FALSE' end as raw, case when count(*) < 2 then 'UNKNOWN' else 'TRUE' end as can from found group by 1, 2),
 """
 
 
@@ -255,7 +255,7 @@ def verified_issues(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- exact reports -----------------------------------------------------------------------------
 
-BASE = "b as (select distinct group_id, dataset, subject_id, session_id, candidate, resolved_path from dups),"
+BASE = "b as materialized (select distinct group_id, dataset, subject_id, session_id, candidate, resolved_path from dups),"
 DETAIL = {
     "within_sessions": "select group_id, dataset, subject_id, session_id, candidate, resolved_path, row_number() over (partition by group_id order by resolved_path) as slot from b where group_id in (select group_id from b group by 1 having count(*) >= 2 and count(distinct (dataset, subject_id, session_id)) = 1)",
     "within_subjects": "select group_id, dataset, subject_id, session_id, resolved_path as candidate, resolved_path, row_number() over (partition by group_id, dataset, subject_id order by session_id) as slot from (select group_id, dataset, subject_id, session_id, min(resolved_path) as resolved_path, count(*) over (partition by group_id, dataset, subject_id) as c from b where session_id <> '' group by 1, 2, 3, 4) where c >= 2",
