@@ -62,52 +62,52 @@ class Layout:
     files: DataFrame  # leaf, part, path, n_rows, n_new, ids_sha256, print, last, rewritten
 
 
-def _siblings(counts: DataFrame, kind: int, limit: int, parents: DataFrame | None) -> DataFrame:
-    """parent, member and n of all nodes of a kind below parents that split, those without rows too.
+def _nodes(counts: DataFrame) -> DataFrame:
+    """kind, key and n of all nodes that have rows."""
+    keys = "array(" + ", ".join(f"named_struct('kind', {k}, 'key', hour div {100 ** (3 - k)}L)" for k in range(4)) + ")"
+    return counts.selectExpr("n", f"inline({keys})").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
-    parents: the keys (column p) of those to plan; None: all.
+
+def _siblings(nodes: DataFrame, limit: int, changed: DataFrame | None) -> DataFrame:
+    """kind, parent, member and n of all years and of all children of nodes that split, those without rows too.
+
+    changed: kind and parent of the families wanted; None: all. nodes is stored.
     """
-    down = 100 ** (3 - kind)
-    own = counts.groupBy(F.expr(f"hour div {down}L").alias("key")).agg(F.sum("n").alias("n"))
-    if kind == 0:
-        ends = own.agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo is not null")
-        every, member = ends.selectExpr("0L as parent", "explode(sequence(lo, hi)) as key"), "key"
-    else:
-        above = counts.groupBy(F.expr(f"hour div {down * 100}L").alias("parent")).agg(F.sum("n").alias("n")).where(F.col("n") > limit)
-        last = ("12", "day(last_day(make_date(int(parent div 100), int(parent % 100), 1)))", "23")[kind - 1]
-        every = above.selectExpr("parent", f"explode(sequence({int(kind < 3)}, {last})) as member").selectExpr("parent", "parent * 100 + member as key")
-        member = "key % 100"
-    if parents is not None:
-        every = every.join(parents.select(F.col("p").alias("parent")), "parent", "left_semi")
-    return every.join(own, "key", "left").selectExpr("parent", f"cast({member} as int) as member", "coalesce(n, 0L) as n")
-
-
-def _runs(siblings: DataFrame, kind: int, limit: int) -> DataFrame:
-    """The runs that have rows, of each parent's children (31 at most, or the years)."""
+    ends = nodes.where("kind = 0").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo is not null").selectExpr("0 as kind", "0L as parent", "lo", "hi")
+    days = "day(last_day(make_date(int(key div 100), int(key % 100), 1)))"
+    split = nodes.where((F.col("n") > limit) & (F.col("kind") < 3)).selectExpr("kind + 1 as kind", "key as parent", "if(kind = 2, 0L, 1L) as lo", f"cast(case kind when 0 then 12 when 1 then {days} else 23 end as long) as hi")
+    families = ends.union(split)
+    if changed is not None:
+        families = families.join(changed, ["kind", "parent"], "left_semi")
+    every = families.selectExpr("kind", "parent", "explode(sequence(lo, hi)) as member").selectExpr("*", "if(kind = 0, member, parent * 100 + member) as key")
+    return every.join(nodes, ["kind", "key"], "left").selectExpr("kind", "parent", "cast(member as int) as member", "coalesce(n, 0L) as n")
+
+
+def _runs(siblings: DataFrame, limit: int) -> DataFrame:
+    """The runs that have rows, of each family (31 members at most, or the years)."""
     last = "x.runs[size(x.runs) - 1]"
     alone = "concat(x.runs, array(named_struct('lo', s.member, 'hi', s.member, 'n', s.n)))"
     longer = f"concat(slice(x.runs, 1, size(x.runs) - 1), array(named_struct('lo', {last}.lo, 'hi', s.member, 'n', {last}.n + s.n)))"
     state = lambda runs, open_: f"named_struct('runs', {runs}, 'open', {open_})"
-    step = f"case when s.n > {limit}L then {state(alone if kind == 3 else 'x.runs', 'false')} when x.open and {last}.n + s.n <= {limit}L then {state(longer, 'true')} else {state(alone, 'true')} end"
+    step = f"case when s.n > {limit}L then {state(f'if(kind = 3, {alone}, x.runs)', 'false')} when x.open and {last}.n + s.n <= {limit}L then {state(longer, 'true')} else {state(alone, 'true')} end"
     none = state("cast(array() as array<struct<lo:int,hi:int,n:bigint>>)", "false")
-    lists = siblings.groupBy("parent").agg(F.sort_array(F.collect_list(F.struct("member", "n"))).alias("each"))
-    found = lists.selectExpr("parent", f"inline(aggregate(each, {none}, (x, s) -> {step}).runs)").where("n > 0")
+    families = siblings.groupBy("kind", "parent").agg(F.sort_array(F.collect_list(F.struct("member", "n"))).alias("each"))
+    found = families.selectExpr("kind", "parent", f"inline(aggregate(each, {none}, (x, s) -> {step}).runs)").where("n > 0")
     digits = lambda of, n=2: f"lpad(cast({of} as string), {n}, '0')"
-    above = ["''", digits("parent", 4), f"{digits('parent div 100', 4)} || '/' || {digits('parent % 100')}", f"{digits('parent div 10000', 4)} || '/' || {digits('parent div 100 % 100')} || '/' || {digits('parent % 100')}"][kind]
-    name = f"{above} || {repr('/') if kind else repr('')} || {digits('lo', 2 if kind else 4)} || '-' || {digits('hi', 2 if kind else 4)}"
-    return found.selectExpr(f"{kind} as kind", "parent", "lo", "hi", "n", f"{name} as leaf")
+    above = f"case kind when 0 then '' when 1 then {digits('parent', 4)} || '/' when 2 then {digits('parent div 100', 4)} || '/' || {digits('parent % 100')} || '/' else {digits('parent div 10000', 4)} || '/' || {digits('parent div 100 % 100')} || '/' || {digits('parent % 100')} || '/' end"
+    ends = [f"lpad(cast({x} as string), if(kind = 0, 4, 2), '0')" for x in ("lo", "hi")]
+    return found.selectExpr("kind", "parent", "lo", "hi", "n", f"{above} || {ends[0]} || '-' || {ends[1]} as leaf")
 
 
-def _parents(hours: DataFrame) -> DataFrame:
-    """kind and p: the parents of nodes of each kind above some hours."""
-    keys = "array(named_struct('kind', 0, 'p', 0L), " + ", ".join(f"named_struct('kind', {k}, 'p', hour div {100 ** (4 - k)}L)" for k in (1, 2, 3)) + ")"
+def _families(hours: DataFrame) -> DataFrame:
+    """kind and parent of the families that some hours are below."""
+    keys = "array(named_struct('kind', 0, 'parent', 0L), " + ", ".join(f"named_struct('kind', {k}, 'parent', hour div {100 ** (4 - k)}L)" for k in (1, 2, 3)) + ")"
     return hours.selectExpr(f"inline({keys})").distinct()
 
 
 def planned(counts: DataFrame, limit: int, changed: DataFrame | None = None) -> DataFrame:
-    """The runs of all parents, or of those in `changed` (kind, p)."""
-    kinds = [_runs(_siblings(counts, k, limit, None if changed is None else changed.where(F.col("kind") == k)), k, limit) for k in range(4)]
-    return kinds[0].union(kinds[1]).union(kinds[2]).union(kinds[3])
+    """The runs of all families, or of those in `changed` (kind, parent)."""
+    return _runs(_siblings(stored(_nodes(counts), "nodes"), limit, changed), limit)
 
 
 def _with_leaves(rows: DataFrame, runs: DataFrame, limit: int) -> DataFrame:
@@ -242,8 +242,8 @@ def add_rows(layout: Layout, rows: DataFrame) -> Layout:
     late = stored(_packed(rows.select(*[f"`{c}`" for c in layout.schema.names]), layout.moment, layout.order, True), "late")
     hours = stored(_hours(late), "hours")
     counts = _kept(layout.folder, turn, "counts", layout.counts.union(hours).groupBy("hour").agg(F.sum("n").alias("n")))
-    changed = stored(_parents(hours), "changed")
-    same = layout.runs.join(changed.withColumnRenamed("p", "parent"), ["kind", "parent"], "left_anti").select(*layout.runs.columns)
+    changed = stored(_families(hours), "changed")
+    same = layout.runs.join(changed, ["kind", "parent"], "left_anti").select(*layout.runs.columns)
     runs = _kept(layout.folder, turn, "runs", same.union(planned(counts, limit, changed)))
     late = stored(_with_leaves(late, runs, limit), "late")
     least = late.groupBy(F.col("l").alias("leaf")).agg(F.min(F.struct("m", "a", "i")).alias("least"))
