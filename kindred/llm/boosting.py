@@ -82,7 +82,6 @@ class Isotonic:
     @staticmethod
     def fit(score: np.ndarray, label: np.ndarray) -> Isotonic:
         order = np.argsort(score, kind="stable")
-        # one pool each of label 0 and 1 at the ends keeps values inside (0, 1)
         xs, ys = score[order].astype(float), label[order].astype(float)
         pools: list[list[float]] = []
         for x, y in zip(xs, ys, strict=True):

@@ -91,7 +91,7 @@ def _hits(rows: DataFrame, windows: DataFrame, prefixes: DataFrame, sizes: list[
         met = met.withColumn("start", F.col("pos") - F.col("off")).where("start >= 0 and start + len <= size(words)")
         met = met.select("rid", "start", "len", F.concat_ws(" ", F.slice("words", F.col("start") + 1, F.col("len"))).alias("text"))
         out = met if out is None else out.unionByName(met)
-    return out.join(F.broadcast(windows.select("window", "text")), "text").select("rid", "start", "len", "window")
+    return out.join(broadcast_if_small(windows.select("window", "text"), BLOCK_WINDOWS), "text").select("rid", "start", "len", "window")
 
 
 @scratched

@@ -13,7 +13,8 @@ through rounds: some members outside the bucket's largest component are centres,
 compared with all members of other components and leave the bucket, components are merged
 again. Their number grows from round to round, so every pair of different components of a
 bucket is compared in the end, and no pair of one component ever is: a bucket of n joined
-members and k strangers costs k * n comparisons. Of the pairs an odd sketch rules out those
+members and k strangers costs k * n comparisons. Where k is large (CROWDED), the members are
+dealt to buckets of their rarest shingles first, which lose no link. Of the pairs an odd sketch rules out those
 that can't be similar: it has the parity of the shingles hashed to each of ODD_BITS bits, so
 two sketches differ in at most as many bits as the sets differ in shingles.
 """
@@ -52,6 +53,8 @@ class NearDuplicates:
 ODD_BITS = 1024
 #: Centres of a bucket in the first round, about, and how many times more there are in the next one.
 CENTRES, GROWTH = 8, 8
+#: Members outside a bucket's largest component beyond which they are dealt by their rarest shingles.
+CROWDED = 512
 #: Rows of classes, components or centres (at most 250 bytes each) that are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -184,6 +187,24 @@ def pairs_of(rest: DataFrame, centres: DataFrame, p: NearDuplicates) -> DataFram
     return one.join(broadcast_if_small(two, BROADCAST_ROWS), "band").where(apart).select("x", "y", "cx", "cy").distinct()
 
 
+def by_rare_shingles(members: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFrame:
+    """Members of crowded buckets (id, n, component, odd) in buckets of their rarest shingles instead.
+
+    Of two sets similar enough, each shares percent / 100 of its shingles with the other; so with
+    all shingles in one order, the first n - ceil(n * percent / 100) + 1 of both have one in common.
+    The order begins with what the fewest members have: sets that agree in common passages alone don't meet.
+    """
+    alone = members.dropDuplicates(["id"]).select("id", "n", "component", "odd")
+    each = stored(sets.join(alone.select("id"), "id").select("id", F.explode("members").alias("g")), "shingles")
+    counts = stored(each.groupBy("g").agg(F.count("*").alias("found")).where("found > 1"), "counts")
+    known = each.join(counts, "g", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("found", F.lit(1)).alias("found"), "g"))).alias("order"))  # a document's own shingles
+    first = F.expr(f"slice(order, 1, size(order) - cast(ceil(size(order) * {p.percent} / 100.0) as int) + 1)")
+    buckets = known.select("id", F.explode(first).alias("s")).where("s.found > 1").select(F.col("s.g").alias("band"), "id")
+    out = stored(buckets.join(alone, "id").select("band", "id", "n", "component", "odd"), "rare")
+    drop(each, counts)
+    return out
+
+
 def _joined(merged: DataFrame, edges: DataFrame) -> DataFrame:
     """node and component after components were linked by edges (cx, cy)."""
     found = connected_components(edges, "cx", "cy").select(F.col("node").alias("old"), F.col("component").alias("new"))
@@ -227,6 +248,13 @@ def near_duplicate_components(documents: DataFrame, p: NearDuplicates = NearDupl
     odd = first.select("id", "odd").dropDuplicates(["id"])
     placed = buckets.join(merged, buckets.id == merged.node, "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
     rest = stored(mixed_buckets(placed).join(odd, "id"), "rest")
+    crowded = rest.where(F.col("outside") > CROWDED)
+    if not crowded.isEmpty():
+        again = by_rare_shingles(crowded, sets, p)
+        columns = again.columns
+        step = stored(mixed_buckets(rest.where(F.col("outside") <= CROWDED).select(*columns).union(again)), "rest")
+        drop(rest, again)
+        rest = step
     round_ = 0
     while not rest.isEmpty():
         chosen = stored(centres_of(rest, round_), "chosen")

@@ -181,13 +181,15 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, learn_from, id_col: st
     """Fits on at most sample_rows labelled documents.
 
     learn_from: a Column over id_col; only rows where it holds are learned from.
-    The sample's ids (at most sample_rows) are broadcast, its texts stored once.
+    The sample's ids (at most sample_rows) are broadcast, its texts stored once; of an id with
+    several rows one text is taken.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & learn_from).groupBy(id_col).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
     chosen = chosen.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(sample_rows)
     texts = documents.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     part = F.pmod(F.xxhash64(F.concat(F.lit("part"), F.col(id_col).cast("string"))), F.lit(4)) == 0
-    sample = stored(texts.join(F.broadcast(chosen), id_col).select("text", "label", part.alias("calibrate")), "toxic-sample")
+    one = texts.join(F.broadcast(chosen), id_col).groupBy(id_col, "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one"))
+    sample = stored(one.select("one.text", "label", part.alias("calibrate")), "toxic-sample")
     lexicon = learn_lexicon(sample.where("not calibrate").select("text", "label"))
     reader = Reader(lexicon)
 

@@ -190,6 +190,33 @@ def test_sketch_fills_and_estimates():
     assert np.bitwise_count(odd[0] ^ odd[1]).sum() <= len(np.setxor1d(a, b))
 
 
+def test_crowded_bucket_of_unlike_sets(spark, monkeypatch):
+    """Many texts that share a passage and are not alike, and a few near copies among them."""
+    r = random.Random(21)
+    monkeypatch.setattr(near_duplicates, "CROWDED", 64)
+    common = prose(r, 60, 10**6)
+    texts = [f"{common} {prose(r, 30, 10**6)}" for _ in range(1500)]
+    texts += [t.rsplit(" ", 1)[0] + " end" for t in texts[:40]]
+    p = near_duplicates.NearDuplicates(shingle=3, percent=85)
+    made = []
+    plain = near_duplicates.pairs_of
+
+    def counted(rest, centres, p):
+        made.append(rest.join(centres.select("band", F.col("id").alias("y"), F.col("component").alias("cy")), "band").where("component <> cy").count())
+        return plain(rest, centres, p)
+
+    rare, dealt = near_duplicates.by_rare_shingles, []
+    monkeypatch.setattr(near_duplicates, "by_rare_shingles", lambda *a: (dealt.append(1), rare(*a))[1])
+    monkeypatch.setattr(near_duplicates, "pairs_of", counted)
+    got = {x.doc_id: x for x in near_duplicates.near_duplicate_components(docs(spark, texts), p).collect()}
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for t in texts)]
+    for i in range(1500):
+        assert got[i].component_id == i and got[i].n_shingles == len(sets[i])
+    for i in range(40):
+        assert 100 * len(sets[i] & sets[1500 + i]) >= 85 * len(sets[i] | sets[1500 + i]) and got[1500 + i].component_id == i
+    assert dealt and sum(made) < 10 * len(texts)
+
+
 # -- repeated passages -------------------------------------------------------------------------
 
 
@@ -591,3 +618,39 @@ def test_boosting_and_calibration():
     got = iso.apply(m.margin(x[3000:]))
     assert ((got > 0.5) == (p[3000:] > 0.5)).mean() > 0.95 and abs(got.mean() - y[3000:].mean()) < 0.05
     assert (np.diff(iso.y) >= 0).all()
+
+
+def test_toxicity_sample_is_bounded_in_rows(spark):
+    """An id that comes again and again is one row of the sample; its rows are all scored, very long ones too."""
+    r = random.Random(23)
+    rows = [(i, prose(r, 20) + (" you idiot" * (i % 2)), "en", "x", 7) for i in range(200)] + [(0, f"copy {i}", "en", "x", 7) for i in range(3000)] + [(1, "you idiot " * 100_000, "en", "x", 7)]
+    texts = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    taken = []
+    plain = toxicity.learn_lexicon
+    toxicity.learn_lexicon = lambda sample: (taken.append(sample.count()), plain(sample))[1]
+    try:
+        model = toxicity.fit_toxicity(texts, labels, F.lit(True), sample_rows=150)
+    finally:
+        toxicity.learn_lexicon = plain
+    assert taken[0] <= 150
+    scored = toxicity.score_toxicity(texts, model).collect()
+    assert len(scored) == len(rows) and all(0 <= x.score <= 1 for x in scored) and max(x.score for x in scored if x.doc_id == 1) > 0.5
+    x = np.stack([toxicity.Reader(model.lexicon).features(t or "") for t in ("you idiot", "")])
+    assert x.shape == (2, len(toxicity.FEATURES)) and x[1].sum() == 0
+
+
+def test_toxicity_features_of_plain_version():
+    """The features of a text, word by word."""
+    lexicon = toxicity.Lexicon({"grob": 3.0}, {"bles": 2.0})
+    text = "You are GROB, blesser! 1di0t sooo, dich? Haus"
+    got = dict(zip(toxicity.FEATURES, toxicity.Reader(lexicon).features(text).tolist(), strict=True))
+    chunks = text.split()
+    n = len(chunks)
+    letters = sum(c.isalpha() for c in text)
+    want = {
+        "learned": 3.0 / n, "learned_max": 3.0, "beginnings": 2.0 / n, "beginnings_max": 2.0, "fixed": 1 / n, "you": 2 / n, "capitals": sum(c.isupper() for c in text) / letters, "shouted": 1 / n,
+        "exclamations": 1 / n, "questions": 1 / n, "obfuscated": 1 / n, "repeated": 1 / n, "word_length": sum(map(len, chunks)) / n, "log_words": np.log1p(n), "hits": 3,
+        "near_you": (1 / 3 + 1 / 4 + 1 / 3) / n, "digits": 2 / n, "punctuation": 4 / n,
+    }
+    assert {k: round(v, 5) for k, v in got.items()} == {k: round(float(v), 5) for k, v in want.items()}
