@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from kindred import fixtures as fx
 from kindred import schema
 from kindred.functions import arrays, text
-from kindred.operators import catalogs, decisions, embedding, exact, pairs, reports, vectors, verify
+from kindred.operators import catalogs, decisions, embedding, exact, pairs, payloads, reports, vectors, verify
 from kindred.plans import audit, sinks
 from kindred.plans.stored import new_path, stored
 from kindred.schema import KEYS
-from kindred.sources import tables
+from kindred.sources import npy, tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -527,6 +527,63 @@ def failures_merge(spark: SparkSession, sf: str) -> DataFrame:
     return embedding.merge_failures(rows(2, "preprocessing", "old"), rows(6, "inference", "new"), v.where("vec_id % 5 = 0"))
 
 
+# -- what a reviewer's program sends --------------------------------------------------------------
+
+#: A body for each document, sound or with one fault each.
+SENT = """case doc_id % 11
+  when 0 then '{"updates": [' || doc_id when 1 then '[' || doc_id || ']' when 2 then '{"updates": {"a": ' || doc_id || '}}'
+  when 3 then '{"updates": [' || {good} || ', ' || doc_id || ']}' when 4 then '{"updates": [{"a": ' || {side_a} || ', "b": "' || subject_id || '"}]}'
+  when 5 then '{"updates": [' || {good} || ', {"a": ' || {side_a} || ', "b": {"dataset": " NaN ", "subject_id": "s", "scan_uid": "u", "src_path": "/p"}, "qa_status": "yes"}]}'
+  when 6 then '{"updates": [{"a": ' || {side_a} || ', "b": ' || {side_b} || ', "qa_status": "perhaps"}]}' when 7 then '{"updates": []}'
+  else '{"updates": [' || {good} || ', {"b": ' || {side_b} || ', "a": ' || {side_a} || ', "qa_status": " No", "reason": null}]}' end"""
+_SIDE = """'{"dataset": "' || dataset || '", "subject_id": " ' || subject_id || '", "session_id": "' || session_id || '", "scan_uid": ' || (doc_id + {n}) || ', "src_path": "' || candidate || '{n}"}'"""
+_GOOD = """'{"a": ' || {side_a} || ', "b": ' || {side_b} || ', "qa_status": "YES ", "reason": "r' || doc_id || '", "more": [1]}'"""
+
+
+def _sent() -> str:
+    a, b = _SIDE.replace("{n}", "1"), _SIDE.replace("{n}", "2")
+    return SENT.replace("{good}", _GOOD).replace("{side_a}", a).replace("{side_b}", b)
+
+
+PAYLOADS = (
+    "sent as (select doc_id, " + _sent() + " as body from scans),"
+    + """
+told as (select doc_id, case when json_valid(body) then body end as j from sent),
+items as (select doc_id, unnest(range(0, len(u))) as idx, unnest(u) as i from (select doc_id, cast(json_extract(j, '$.updates') as json[]) as u from told where json_type(j) = 'OBJECT' and json_type(j, '$.updates') = 'ARRAY')),
+sides as (
+  select doc_id, idx, json_type(i) as kind, json_type(i, '$.a') as ka, json_type(i, '$.b') as kb, lower(trim(json_extract_string(i, '$.qa_status'))) as qa_status, coalesce(trim(json_extract_string(i, '$.reason')), '') as reason,
+         list_transform(['a', 'b'], lambda s: list_transform(['dataset', 'subject_id', 'session_id', 'scan_uid', 'src_path'], lambda f: case when lower(coalesce(trim(json_extract_string(i, '$.' || s || '.' || f)), '')) in ('', 'nan', 'none', 'null', 'na', 'n/a') then '' else trim(json_extract_string(i, '$.' || s || '.' || f)) end)) as f
+  from items),
+judged as (
+  select *, case when kind <> 'OBJECT' then 'Bad update at updates[' || idx || ']' when coalesce(ka, '') <> 'OBJECT' or coalesce(kb, '') <> 'OBJECT' then 'Bad pair payload at updates[' || idx || ']'
+                 when f[1][1] = '' or f[1][2] = '' or f[1][4] = '' or f[1][5] = '' or f[2][1] = '' or f[2][2] = '' or f[2][4] = '' or f[2][5] = '' then 'Missing required fields in updates[' || idx || '] (dataset/subject_id/scan_uid/src_path)'
+                 when qa_status not in ('yes', 'no', 'maybe') then 'Bad status in updates[' || idx || ']' end as error
+  from sides),
+worst as (select doc_id, min_by(error, idx) as error from judged where error is not null group by 1),
+faults as (
+  select doc_id, case when j is null or json_type(j) <> 'OBJECT' then 'Bad payload' when coalesce(json_type(j, '$.updates'), '') <> 'ARRAY' then 'Payload must contain list field ''updates''' else worst.error end as error
+  from told left join worst using (doc_id)),
+"""
+)
+
+
+def _payloads(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.scans(spark, sf).selectExpr("doc_id", f"{_sent()} as body")
+
+
+@query("select doc_id, error from faults where error is not null", SCANS + PAYLOADS)
+def payload_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return payloads.payload_errors(_payloads(spark, sf), "doc_id", "body")
+
+
+@query(
+    "select g.doc_id, idx, f[1][1] as dataset_1, f[1][2] as subject_id_1, f[1][3] as session_id_1, f[1][4] as scan_uid_1, f[1][5] as path_1, f[2][1] as dataset_2, f[2][2] as subject_id_2, f[2][3] as session_id_2, f[2][4] as scan_uid_2, f[2][5] as path_2, qa_status, reason from judged g join faults on faults.doc_id = g.doc_id and faults.error is null",
+    SCANS + PAYLOADS,
+)
+def payload_updates(spark: SparkSession, sf: str) -> DataFrame:
+    return payloads.updates(_payloads(spark, sf), "doc_id", "body")
+
+
 # -- files, requests and exports ---------------------------------------------------------------
 
 
@@ -577,6 +634,17 @@ def manifest_from_csv(spark: SparkSession, sf: str) -> DataFrame:
     return known.join(matrix, "scan_uid").select("scan_uid", "emb_row", F.size("embedding").alias("n"))
 
 
+@query("select uid as scan_uid, row_number() over (order by uid) - 1 as emb_row, unnest(range(0, len(e))) as pos, unnest(e) as value from v where vec_id % 7 <> 0", VECTORS)
+def matrix_from_npy(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest and its matrix, written as .npy by several tasks and read back."""
+    v = fx.vector_scans(spark, sf)
+    numbered = stored(embedding.manifest(v, v.where("vec_id % 7 <> 0")).select("scan_uid", "emb_row", "embedding"), "manifest")
+    path = npy.write_npy(numbered.repartition(5), f"{npy.local_path(new_path(spark, 'matrix'))}/embeddings.npy")
+    known = numbered.select("scan_uid", "emb_row")
+    back = tables.read_embeddings(spark, path, known)
+    return back.join(known, "scan_uid").select("scan_uid", "emb_row", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "value"))
+
+
 @query("select q as query_scan_uid, c as cand_scan_uid, rank, similarity from near", VECTORS)
 def neighbours_from_csv(spark: SparkSession, sf: str) -> DataFrame:
     n = fx.neighbours(spark, sf)

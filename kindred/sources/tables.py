@@ -10,6 +10,7 @@ from kindred import schema
 from kindred.functions.text import blank, clean
 from kindred.operators.exact import excluded_dir
 from kindred.schema import KEYS
+from kindred.sources.npy import read_header, read_npy
 
 
 def _path(spark: SparkSession, path: str):
@@ -83,7 +84,17 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_embeddings(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
-    """Parquet with scan_uid and embedding (arrays of one length); with a manifest, exactly its scans."""
+    """scan_uid and embedding (arrays of one length) from Parquet; with a manifest, exactly its scans.
+
+    Of a matrix (.npy) the manifest is needed: its emb_row says which row is whose, and each row is someone's.
+    """
+    if path.endswith(".npy"):
+        if manifest is None:
+            raise ValueError(f"{path}: the rows of a matrix have no names without a manifest")
+        rows = read_header(path).rows
+        if (n := manifest.count()) != rows:
+            raise ValueError(f"{path} has {rows} rows, the manifest {n}")
+        return read_npy(spark, path).join(manifest.select("scan_uid", "emb_row"), "emb_row").select("scan_uid", "embedding")
     out = schema.require_length(spark.read.parquet(path).select("scan_uid", F.col("embedding").cast("array<float>").alias("embedding")))
     if manifest is not None:
         odd = out.select("scan_uid").join(manifest.select("scan_uid").withColumn("m", F.lit(1)), "scan_uid", "full").where("m is null").count() + manifest.join(out, "scan_uid", "left_anti").count()
