@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred import fixtures as fx
 from kindred import schema
 from kindred.functions import arrays, text
-from kindred.operators import catalogs, decisions, embedding, exact, pairs, payloads, reports, vectors, verify
+from kindred.operators import catalogs, decisions, embedding, exact, pairs, payloads, reports, vectors, verify, volumes
 from kindred.plans import audit, sinks
 from kindred.plans.stored import new_path, stored
 from kindred.schema import KEYS
@@ -327,6 +328,15 @@ def pair_matrix_points(spark: SparkSession, sf: str) -> DataFrame:
     return reports.pair_points(rows, reports.exact_axis(rows))
 
 
+@query(
+    "select level, x // size // (1 << level) as x, y // size // (1 << level) as y, category, count(*) as n_pairs from points, (select greatest(1, (max(idx) + 8) // 8) as size from axis), (select unnest(range(0, 3)) as level) group by all",
+    SCANS + BASE + AXIS + PAIR,
+)
+def pair_matrix_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    rows = reports.base_rows(fx.duplicates(spark, sf))
+    return reports.pair_tiles(rows, reports.exact_axis(rows), 8, 3)
+
+
 @query("select c.category, count(points.category) as n_pairs from (select unnest(['within_session', 'across_sessions', 'across_subjects', 'across_datasets']) as category) c left join points using (category) group by 1", SCANS + BASE + AXIS + PAIR)
 def pair_categories(spark: SparkSession, sf: str) -> DataFrame:
     return reports.pair_category_counts(reports.base_rows(fx.duplicates(spark, sf)))
@@ -527,6 +537,38 @@ def failures_merge(spark: SparkSession, sf: str) -> DataFrame:
     return embedding.merge_failures(rows(2, "preprocessing", "old"), rows(6, "inference", "new"), v.where("vec_id % 5 = 0"))
 
 
+# -- volumes on another grid -----------------------------------------------------------------------
+
+#: Volumes of 4 x 4 x 4 voxels from vectors of 64 numbers, and a grid of 3 x 3 x 3 that reaches over their borders.
+GRID = np.array([[1.5, 0, 0, -0.5], [0, 0.75, 0, 0.25], [0, 0, 1.0, 0.5], [0, 0, 0, 1]])
+
+
+def _volumes(spark: SparkSession, sf: str) -> DataFrame:
+    v = fx.table(spark, sf, "embeddings").where("embedding is not null")
+    affine = F.array(*[F.lit(x).cast("double") for x in (2, 0, 0)], F.col("vec_id") % 3 - 1.0, *[F.lit(x).cast("double") for x in (0, 0.5, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1)])
+    return v.select("vec_id", F.array(F.lit(4), F.lit(4), F.lit(4)).alias("shape"), affine.alias("affine"), F.col("embedding").cast("array<double>").alias("voxels"), (F.col("vec_id") % 2 == 0).alias("labels"))
+
+
+VOLUMES = """
+grid as (select cast(i as int) as i, cast(j as int) as j, cast(k as int) as k, 1.5 * i - 0.5 as wx, 0.75 * j + 0.25 as wy, 1.0 * k + 0.5 as wz from (select unnest(range(0, 3)) as i), (select unnest(range(0, 3)) as j), (select unnest(range(0, 3)) as k)),
+places as (
+  select vec_id, i, j, k, cast(embedding as double[]) as e, (wx - (vec_id % 3 - 1)) / 2 as x, wy / 0.5 as y, wz as z from embeddings, grid where embedding is not null),
+corners as (select 0 as a, 0 as b, 0 as c union all select 0, 0, 1 union all select 0, 1, 0 union all select 0, 1, 1 union all select 1, 0, 0 union all select 1, 0, 1 union all select 1, 1, 0 union all select 1, 1, 1),
+blended as (
+  select vec_id, i, j, k, sum(case when floor(x) + a between 0 and 3 and floor(y) + b between 0 and 3 and floor(z) + c between 0 and 3
+    then e[cast((floor(x) + a) * 16 + (floor(y) + b) * 4 + floor(z) + c + 1 as bigint)] * case when a = 1 then x - floor(x) else 1 - x + floor(x) end * case when b = 1 then y - floor(y) else 1 - y + floor(y) end * case when c = 1 then z - floor(z) else 1 - z + floor(z) end else 0 end) as v
+  from places, corners group by all),
+nearby as (
+  select vec_id, i, j, k, case when floor(x + 0.5) between 0 and 3 and floor(y + 0.5) between 0 and 3 and floor(z + 0.5) between 0 and 3 then e[cast(floor(x + 0.5) * 16 + floor(y + 0.5) * 4 + floor(z + 0.5) + 1 as bigint)] else 0 end as v from places),
+"""
+
+
+@query("select b.vec_id, b.i * 9 + b.j * 3 + b.k as at, round(case when b.vec_id % 2 = 0 then n.v else b.v end, 6) + 0.0 as value from blended b join nearby n using (vec_id, i, j, k)", VOLUMES)
+def volumes_on_grid(spark: SparkSession, sf: str) -> DataFrame:
+    found = volumes.onto_grid(_volumes(spark, sf), GRID, (3, 3, 3))
+    return found.select("vec_id", F.posexplode("voxels").alias("at", "value")).withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
 # -- what a reviewer's program sends --------------------------------------------------------------
 
 #: A body for each document, sound or with one fault each.

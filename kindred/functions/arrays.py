@@ -161,3 +161,35 @@ def side_by_side(images: list[np.ndarray], fill: int = 0) -> np.ndarray:
     """Images in a row, padded at the bottom to the tallest."""
     tall = max(i.shape[0] for i in images)
     return np.concatenate([np.pad(i, [(0, tall - i.shape[0])] + [(0, 0)] * (i.ndim - 1), constant_values=fill) for i in images], axis=1)
+
+
+def resampled(values: np.ndarray, affine: np.ndarray, to_affine: np.ndarray, to_shape: tuple[int, int, int], nearest: bool = False, fill: float = 0.0) -> np.ndarray:
+    """A volume on another grid, by the world coordinates that affines of 4 x 4 give to voxel indices.
+
+    Values between voxels are blended from the eight around them, of which those outside count
+    as fill; nearest: the voxel that is nearest (the higher one of two) is taken as it is, so
+    labels stay labels. Planes of the target are computed one after the other.
+    """
+    back = np.linalg.inv(affine) @ to_affine
+    out = np.full(to_shape, fill, values.dtype if nearest else np.float64)
+    j, k = np.meshgrid(np.arange(to_shape[1]), np.arange(to_shape[2]), indexing="ij")
+    limits = np.array(values.shape[:3]).reshape(3, 1, 1)
+    for i in range(to_shape[0]):
+        at = np.tensordot(back[:3, :3], np.stack([np.full(j.shape, i), j, k]), 1) + back[:3, 3].reshape(3, 1, 1)
+        at = np.round(at, 9)  # so that a voxel's own place is met exactly
+        if nearest:
+            near = np.floor(at + 0.5).astype(np.int64)
+            inside = ((near >= 0) & (near < limits)).all(0)
+            out[i][inside] = values[tuple(near[:, inside])]
+            continue
+        low = np.floor(at).astype(np.int64)
+        part = at - low
+        plane = np.zeros(j.shape)
+        for corner in np.ndindex(2, 2, 2):
+            step = np.array(corner).reshape(3, 1, 1)
+            place, weight = low + step, np.where(step == 1, part, 1 - part).prod(0)
+            inside = ((place >= 0) & (place < limits)).all(0)
+            plane += weight * fill
+            plane[inside] += weight[inside] * (values[tuple(place[:, inside])] - fill)
+        out[i] = plane
+    return out

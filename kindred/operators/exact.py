@@ -106,8 +106,10 @@ def removed_all(duplicates: DataFrame, errors: DataFrame, catalog: DataFrame) ->
 def near_input(catalog: DataFrame, removed: DataFrame, contents: DataFrame) -> DataFrame:
     """Catalog rows that were not removed, with scan_uid: the SHA-256 of the file's bytes.
 
-    contents: resolved_path and raw_hash. A file keeps its uid where it is moved. Rows whose
-    file was never read have no uid and are left out.
+    contents: resolved_path and raw_hash, and read_at if paths come several times: the last
+    read counts. A file keeps its uid where it is moved. Rows whose file was never read have no
+    uid and are left out.
     """
-    uid = contents.where("raw_hash is not null").groupBy("resolved_path").agg(F.min("raw_hash").alias("scan_uid"))
+    when = F.col("read_at") if "read_at" in contents.columns else F.lit(None).cast("timestamp")
+    uid = contents.where("raw_hash is not null").groupBy("resolved_path").agg(F.max_by("raw_hash", F.struct(when.alias("at"), "raw_hash")).alias("scan_uid"))
     return catalog.select(*KEYS).join(removed.select("resolved_path").distinct(), "resolved_path", "left_anti").join(uid, "resolved_path").select(*KEYS, "scan_uid")

@@ -195,6 +195,37 @@ def pair_category_counts(rows: DataFrame) -> DataFrame:
     return totals.unpivot([], list(names), "category", "n_pairs")
 
 
+def pair_tiles(rows: DataFrame, axis: DataFrame, tiles: int = 64, levels: int = 4) -> DataFrame:
+    """level, x, y, category and n_pairs: the pair matrix as counts of tiles, x <= y, at several resolutions.
+
+    Level 0 has at most `tiles` tiles a side, each further level half as many. Counts come from
+    a group's members in each tile at each depth (group, dataset, subject, session), never from
+    pairs: a group takes at most tiles * tiles rows, however large it is. Each level sums to
+    pair_category_counts.
+    """
+    placed = rows.join(require_unique(axis.select("idx", "resolved_path"), "resolved_path"), "resolved_path")
+    n = axis.agg(F.max("idx")).first()[0]
+    size = max(1, -(-(0 if n is None else n + 1) // tiles))
+    named = F.col("session_id") != ""
+    depth = lambda kind, *key: F.struct(F.lit(kind).alias("kind"), F.to_json(F.array(*key)).alias("key"))
+    keys = F.array(
+        depth("group", "group_id"), depth("dataset", "group_id", "dataset"), depth("subject", "group_id", "dataset", "subject_id"),
+        F.when(named, depth("named", "group_id", "dataset", "subject_id")), F.when(named, depth("session", "group_id", "dataset", "subject_id", "session_id")),
+    )
+    tile = F.expr(f"idx div {size}").cast("long")
+    members = placed.select(tile.alias("tile"), F.explode(keys).alias("k")).where("k is not null").groupBy("k.kind", "k.key", "tile").agg(F.count("*").alias("c"))
+    one, two = members.select("kind", "key", F.col("tile").alias("x"), F.col("c").alias("cx")), members.select("kind", "key", F.col("tile").alias("y"), F.col("c").alias("cy"))
+    n_pairs = F.when(F.col("x") == F.col("y"), F.expr("cx * (cx - 1) div 2")).otherwise(F.col("cx") * F.col("cy"))
+    base = one.join(two, ["kind", "key"]).where("x <= y").groupBy("x", "y", "kind").agg(F.sum(n_pairs).alias("n"))
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
+    flat = base.select(F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"), "x", "y", "kind", "n")
+    up = lambda c: F.expr(f"{c} div cast(pow(2, level) as bigint)").alias(c)
+    told = flat.select("level", up("x"), up("y"), "kind", "n").groupBy("level", "x", "y").agg(
+        (of("group") - of("dataset")).alias("across_datasets"), (of("dataset") - of("subject")).alias("across_subjects"), (of("named") - of("session")).alias("across_sessions"), (of("subject") - of("named") + of("session")).alias("within_session")
+    )
+    return told.unpivot(["level", "x", "y"], ["within_session", "across_sessions", "across_subjects", "across_datasets"], "category", "n_pairs").where("n_pairs > 0")
+
+
 def wide(detail: DataFrame, group: list[str], columns: list[str], prefix: str = "duplicate", slots: int | None = None) -> DataFrame:
     """Slots as columns <prefix>_<i>_<column>; missing ones are "".
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,8 @@ def run_exact(spark: SparkSession, cfg: AuditConfig, inspect: Callable[[bytes],
         todo = catalog.select("resolved_path").distinct()
         if done is not None:
             todo = exact.not_yet_hashed(todo, done.where("error is null"))
-        sinks.append_table(files.file_facts(todo, inspect), hashes)
+        now = files.file_facts(todo, inspect).withColumn("read_at", F.lit(datetime.now(timezone.utc)))
+        sinks.append_table(now, hashes)
         facts = current_facts(spark, out, catalog)
         ok, errors = facts.where("error is null and can_hash is not null"), facts.where("error is not null or can_hash is null").select("resolved_path", F.coalesce("error", F.lit("no hash")).alias("error"))
         sinks.write_table(exact.duplicate_groups(ok.select("resolved_path", "can_hash"), catalog, cfg.modality), f"{out}/duplicates")
@@ -60,9 +62,12 @@ def run_exact(spark: SparkSession, cfg: AuditConfig, inspect: Callable[[bytes],
 
 def current_facts(spark: SparkSession, out: str, catalog: DataFrame) -> DataFrame:
     """Of each path in the catalog the facts of its last read: one that failed once and was read later counts as read."""
-    every = spark.read.parquet(f"{out}/hashes").join(catalog.select("resolved_path").distinct(), "resolved_path", "left_semi")
+    every = spark.read.option("mergeSchema", True).parquet(f"{out}/hashes")
+    if "read_at" not in every.columns:  # written before reads had a time
+        every = every.withColumn("read_at", F.lit(None).cast("timestamp"))
+    every = every.join(catalog.select("resolved_path").distinct(), "resolved_path", "left_semi")
     columns = [c for c in every.columns if c != "resolved_path"]
-    best = every.groupBy("resolved_path").agg(F.min_by(F.struct(*columns), F.struct(F.col("error").isNotNull().alias("failed"), F.col("error").alias("e"))).alias("f"))
+    best = every.groupBy("resolved_path").agg(F.max_by(F.struct(*columns), F.struct(F.col("error").isNull().alias("read"), "read_at", F.col("mtime"), F.coalesce("raw_hash", F.lit("")))).alias("f"))
     return best.select("resolved_path", "f.*")
 
 
@@ -172,7 +177,7 @@ def finalise(spark: SparkSession, log: DataFrame, out: str) -> dict[str, DataFra
 
 def run_pipeline(spark: SparkSession, config_path: str, embed: Callable[[DataFrame], DataFrame] | None = None, inspect: Callable[[bytes], dict] | None = None) -> Profiler:
     """The stages of a configuration; timings are saved in any case."""
-    cfg, profiler = read_config(config_path), Profiler()
+    cfg, profiler = read_config(config_path), Profiler(spark=spark)
     sinks.copy_config(config_path, cfg.out_dir)
     try:
         with profiler.stage("total_pipeline"):
