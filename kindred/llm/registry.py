@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import archives, bpe, conversations, decontamination, language_id, media, near_duplicates, personal_data, repeated_passages, sharding, time_partitions, toxicity, url_filters
+from kindred.llm import archive_files, archives, bpe, conversations, decontamination, language_id, media, near_duplicates, personal_data, repeated_passages, sharding, time_partitions, toxicity, url_filters
 from kindred.plans.stored import drop, new_path, stored
 
 #: Vocabulary of the word-end BPE; a file of the environment, never copied here.
@@ -141,6 +141,15 @@ def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_key").alias("refers_to"))
 
 
+def warc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives of op6 as .warc.gz files in a new folder, read back from there."""
+    folder = new_path(spark, "warc-files")
+    made = archives.convert_archives(archives.legacy_archives(table(spark, sf_dir, "pages")))
+    archive_files.save_archives(made, folder).write.format("noop").mode("overwrite").save()
+    found = archives.read_archives(archive_files.open_archives(spark, folder))
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_key").alias("refers_to"))
+
+
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -239,5 +248,6 @@ QUERIES = {
     "op12_time_partitions": op12_time_partitions,
     "op13_conversation_repair": op13_conversation_repair,
     "repeated_word_passages": repeated_word_passages,
+    "warc_files": warc_files,
 }
 ORACLES: dict[str, str] = {"op4_url_filters": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_arc_to_warc": OP6_SQL, "op9_near_duplicates": OP9_SQL}
