@@ -24,8 +24,23 @@ def _keys(docs: DataFrame) -> DataFrame:
     return named.withColumn("candidate", F.concat(folder, F.lit("/"), F.col("doc_id").cast("string"), F.lit("_T1w.nii.gz")))
 
 
+_kept: dict[tuple, DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A table that a session computes and stores once per folder, as the stages do."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        _kept[key] = stored(build(), name)
+    return _kept[key]
+
+
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scan per document with raw and canonical hash and size."""
+    return _once(spark, sf_dir, "scans", lambda: _scans(spark, sf_dir))
+
+
+def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _keys(table(spark, sf_dir, "documents"))
     return rows.select(
         "doc_id", "dataset", "subject_id", "session_id", "candidate", F.col("candidate").alias("resolved_path"), exact.content_hash("text").alias("raw_hash"),
@@ -42,7 +57,7 @@ def odd_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scans(spark, sf_dir)
-    return exact.duplicate_groups(s.select("resolved_path", "can_hash"), s, MODALITY)
+    return _once(spark, sf_dir, "duplicates", lambda: exact.duplicate_groups(s.select("resolved_path", "can_hash"), s, MODALITY))
 
 
 def vector_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,22 +73,17 @@ def vectors_of(scans_: DataFrame) -> DataFrame:
     return scans_.select(F.col("scan_uid").alias("uid"), F.concat_ws("|", "dataset", "subject_id").alias("owner"), "embedding")
 
 
-_neighbours: dict[tuple, DataFrame] = {}
-
-
 def neighbours(spark: SparkSession, sf_dir: str, topk: int = 10) -> DataFrame:
-    """Neighbour rows with the keys of both sides; similarities rounded to 6 digits.
+    """Neighbour rows with the keys of both sides; similarities rounded to 6 digits."""
 
-    A session computes them once per folder and stores them, as the near stage does.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir, topk)
-    if key not in _neighbours:
+    def build() -> DataFrame:
         v = vector_scans(spark, sf_dir)
         found = vectors.nearest(vectors_of(v), topk, "pre")
         side = lambda s: v.select(*[F.col(c).alias(f"{s}_{c}") for c in pairs.META])
         both = found.join(side("query"), F.col("query") == F.col("query_scan_uid")).join(side("cand"), F.col("cand") == F.col("cand_scan_uid"))
-        _neighbours[key] = stored(both.drop("query", "cand").withColumn("similarity", F.round("similarity", 6)), "neighbours")
-    return _neighbours[key]
+        return both.drop("query", "cand").withColumn("similarity", F.round("similarity", 6))
+
+    return _once(spark, sf_dir, f"neighbours-{topk}", build)
 
 
 def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
