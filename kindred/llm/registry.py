@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kindred.llm import archive_files, archives, bpe, conversations, decontamination, language_id, media, near_duplicates, personal_data, repeated_passages, sharding, time_partitions, toxicity, url_filters
 from kindred.plans.stored import drop, new_path, stored
@@ -59,6 +60,23 @@ def op3_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base kinds of op2 alone."""
+    return op2_personal_data(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in personal_data.BASE], "base_sha256")
+
+
+def shard_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes of op3's shards from the largest down, whether their slots are 0 to n - 1, and all bytes and different texts."""
+    placed = stored(op3_balanced_shards(spark, sf_dir), "placed")
+    docs = table(spark, sf_dir, "documents")
+    every = spark.range(40).select(F.col("id").cast("int").alias("shard"))
+    sizes = placed.groupBy("shard").agg(F.count("*").alias("n_rows"), (F.count_distinct("slot") == F.count("*")).alias("once"), F.min("slot").alias("lo"), F.max("slot").alias("hi"))
+    told = every.join(sizes, "shard", "left").select(F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce(F.col("once") & (F.col("lo") == 0) & (F.col("hi") == F.col("n_rows") - 1), F.lit(True)).alias("gapless"))
+    ranked = told.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_rows"))))  # 40 rows
+    whole = placed.agg(F.sum("size").alias("bytes"))
+    return ranked.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(docs.agg(F.count_distinct(F.coalesce("text", F.lit(""))).alias("groups")))).select("rank", "n_rows", "gapless", "bytes", "groups")
+
+
 def _capture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with a fetch time: the tables have none, so the id gives a day of 2024."""
     day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(365)).cast("int"))
@@ -233,6 +251,35 @@ select page_id, cast(strlen(t) as bigint) as payload_bytes,
 from g
 """
 
+# Spans of the base kinds: what lies between matches and the matches themselves give the places.
+PERSONAL_SQL = r"""
+with kinds as (
+  select * from (values (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (2, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'), (3, 'card', '[0-9](?:[\x20-]?[0-9])+'), (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')) v(place, kind, pattern)),
+d as (select row_number() over () rid, doc_id, coalesce(text, '') as t from documents),
+found as (select rid, place, kind, regexp_extract_all(t, pattern) as m, string_split_regex(t, pattern) as p from d, kinds),
+each as (
+  select rid, place, kind, m[i] as s, cast(list_sum([length(x) for x in p[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0) as bigint) as start
+  from found, unnest(range(1, len(m) + 1)) u(i)),
+judged as (
+  select *, start + length(s) as stop, regexp_replace(s, '[^0-9]', '', 'g') as digits from each),
+spans as (
+  select * from judged where case kind
+    when 'email' then true
+    when 'ip' then len(list_filter(string_split(s, '.'), lambda x: len(ltrim(x, '0')) > 3 or coalesce(try_cast(ltrim(x, '0') as int), 0) > 255)) = 0
+    when 'card' then length(digits) between 16 and 19 and list_sum([cast(substr(digits, k, 1) as int) * (1 + (length(digits) - k) % 2) - case when (length(digits) - k) % 2 = 1 and cast(substr(digits, k, 1) as int) > 4 then 9 else 0 end for k in range(1, length(digits) + 1)]) % 10 = 0
+    else length(digits) between 8 and 15 end),
+told as (
+  select rid, count_if(kind = 'email') n_email, count_if(kind = 'ip') n_ip, count_if(kind = 'card') n_card, count_if(kind = 'phone') n_phone, string_agg(kind || ':' || start || ':' || stop, ',' order by place, start) as listed from spans group by 1)
+select doc_id, cast(coalesce(n_email, 0) as bigint) as n_email, cast(coalesce(n_ip, 0) as bigint) as n_ip, cast(coalesce(n_card, 0) as bigint) as n_card, cast(coalesce(n_phone, 0) as bigint) as n_phone, sha256(coalesce(listed, '')) as base_sha256
+from d left join told using (rid)
+"""
+
+SHARDS_SQL = """
+with n as (select count(*) as n from documents), g as (select count(*) as groups from (select distinct coalesce(text, '') from documents))
+select cast(r as int) as rank, cast(n // 40 + case when r <= n % 40 then 1 else 0 end as bigint) as n_rows, true as gapless, (select sum(strlen(coalesce(text, '')) + 16) from documents)::bigint as bytes, groups
+from n, g, unnest(range(1, 41)) u(r)
+"""
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_personal_data": op2_personal_data,
@@ -247,7 +294,9 @@ QUERIES = {
     "op11_language": op11_language,
     "op12_time_partitions": op12_time_partitions,
     "op13_conversation_repair": op13_conversation_repair,
+    "personal_data_base": personal_data_base,
     "repeated_word_passages": repeated_word_passages,
+    "shard_laws": shard_laws,
     "warc_files": warc_files,
 }
-ORACLES: dict[str, str] = {"op4_url_filters": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_arc_to_warc": OP6_SQL, "op9_near_duplicates": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_url_filters": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_arc_to_warc": OP6_SQL, "op9_near_duplicates": OP9_SQL, "personal_data_base": PERSONAL_SQL, "shard_laws": SHARDS_SQL}
