@@ -9,7 +9,9 @@ from __future__ import annotations
 import gzip
 import hashlib
 import struct
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from typing import BinaryIO
 
 import numpy as np
 
@@ -65,10 +67,11 @@ def _rotation(b: float, c: float, d: float) -> np.ndarray:
     )
 
 
-def parse(data: bytes) -> Image:
-    """ValueError on what is no complete NIfTI-1 single file."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+def described(data: bytes) -> tuple[Image, int]:
+    """An image without its voxels (an array of their shape and type that takes no memory), and their offset.
+
+    data: the file from its begin at least to where the voxels begin. ValueError on what is no NIfTI-1 single file.
+    """
     if len(data) < HEADER_BYTES:
         raise ValueError("shorter than a header")
     order = next((o for o in "<>" if struct.unpack_from(o + "i", data, 0)[0] == HEADER_BYTES), None)
@@ -101,12 +104,20 @@ def parse(data: bytes) -> Image:
             extensions.append((kind, size))
             at += size
     dtype = np.dtype(order + DTYPES[code])
-    count = int(np.prod(shape, dtype=np.int64))
-    if len(data) < int(offset) + count * dtype.itemsize:
-        raise ValueError("voxels are missing")
-    voxels = np.frombuffer(data, dtype, count, int(offset)).reshape(shape, order="F")
+    voxels = np.broadcast_to(np.zeros((), dtype), shape)
     scaled = np.isfinite(slope) and slope != 0 and np.isfinite(inter) and (slope, inter) != (1.0, 0.0)
-    return Image(data[:HEADER_BYTES], tuple(extensions), voxels, tuple(map(float, pixdim[1 : len(shape) + 1])), slope if scaled else None, inter if scaled else None, qcode, scode, qform, sform)
+    return Image(data[:HEADER_BYTES], tuple(extensions), voxels, tuple(map(float, pixdim[1 : len(shape) + 1])), slope if scaled else None, inter if scaled else None, qcode, scode, qform, sform), int(offset)
+
+
+def parse(data: bytes) -> Image:
+    """ValueError on what is no complete NIfTI-1 single file."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    image, offset = described(data)
+    count = int(np.prod(image.voxels.shape, dtype=np.int64))
+    if len(data) < offset + count * image.voxels.dtype.itemsize:
+        raise ValueError("voxels are missing")
+    return replace(image, voxels=np.frombuffer(data, image.voxels.dtype, count, offset).reshape(image.voxels.shape, order="F"))
 
 
 def orientation(affine: np.ndarray) -> list[tuple[int, int]]:
@@ -168,18 +179,144 @@ def _flat(m: np.ndarray | None) -> list[float] | None:
     return None if m is None else [float(x) for x in m.ravel()]
 
 
-def inspect(data: bytes) -> dict:
-    """What verification compares, of the bytes of a file: can_hash, value_hash and header facts."""
-    image = parse(data)
-    values, affine = canonical(image.values(), image.affine)
+def _facts(image: Image, values: np.ndarray, affine: np.ndarray) -> dict:
+    """Header facts; values: of the canonical shape and type, whatever they hold."""
     return {
-        "can_hash": hashlib.sha256(voxel_bytes(values)).hexdigest(), "value_hash": value_hash(values), "shape": [int(n) for n in values.shape], "dtype": values.dtype.newbyteorder("=").name,
+        "shape": [int(n) for n in values.shape], "dtype": values.dtype.newbyteorder("=").name,
         "zooms": [round(z, 6) if np.isfinite(z) else z for z in image.zooms], "axcodes_original": axis_codes(image.affine), "axcodes_canonical": axis_codes(affine), "slope": image.slope, "inter": image.inter,
         "qform_code": image.qform_code, "sform_code": image.sform_code, "qform": _flat(image.qform), "sform": _flat(image.sform),
         "header_hash": hashlib.sha256(image.header).hexdigest(), "extensions": ",".join(f"{c}:{n}" for c, n in image.extensions),
     }
 
 
+def inspect(data: bytes) -> dict:
+    """What verification compares, of the bytes of a file: can_hash, value_hash and header facts."""
+    image = parse(data)
+    values, affine = canonical(image.values(), image.affine)
+    return {"can_hash": hashlib.sha256(voxel_bytes(values)).hexdigest(), "value_hash": value_hash(values)} | _facts(image, values, affine)
+
+
+#: Bytes of voxels that `inspect_file` holds, about, and of a header with its extensions, at most.
+HELD_BYTES, MOST_HEAD = 64 << 20, 16 << 20
+
+
+def _opened(path: str) -> BinaryIO:
+    with open(path, "rb") as f:
+        zipped = f.read(2) == b"\x1f\x8b"
+    return gzip.open(path) if zipped else open(path, "rb")
+
+
+class _Pieces:
+    """Reads a file's voxels plane by plane, as often as its canonical order needs.
+
+    The order of canonical voxels begins with an axis that is seldom the file's slowest one; so
+    each pass over the file gathers a few planes of that first axis.
+    """
+
+    def __init__(self, path: str, image: Image, offset: int):
+        self.path, self.image, self.offset = path, image, offset
+        self.stored = image.voxels.shape + (1,) * (3 - image.voxels.ndim)
+        turn = orientation(image.affine)
+        self.flipped = [sign < 0 for _, sign in turn]
+        self.order = [next(a for a, (to, _) in enumerate(turn) if to == world) for world in range(3)]
+        self.dtype = image.voxels.dtype if image.slope is None else np.dtype(np.float64)
+        self.rest = self.stored[3:]
+
+    def planes(self) -> Iterator[tuple[int, tuple[int, ...], np.ndarray]]:
+        """Third index, further indices and values of each plane, in the file's order."""
+        size = self.stored[0] * self.stored[1] * self.image.voxels.dtype.itemsize
+        with _opened(self.path) as f:
+            f.seek(self.offset)
+            for further in np.ndindex(*self.rest[::-1]):
+                for z in range(self.stored[2]):
+                    raw = f.read(size)
+                    if len(raw) < size:
+                        raise ValueError("voxels are missing")
+                    plane = np.frombuffer(raw, self.image.voxels.dtype).reshape(self.stored[:2], order="F")
+                    yield z, further[::-1], plane if self.image.slope is None else plane.astype(np.float64) * self.image.slope + self.image.inter
+
+    def _empty(self, n: int, rest: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """n canonical planes, and the same memory with the axes of the file."""
+        out = np.empty((n, *(self.stored[a] for a in self.order[1:]), *rest), self.dtype)
+        view = out.transpose(*np.argsort(self.order), *range(3, out.ndim))
+        for axis, flip in enumerate(self.flipped):
+            view = np.flip(view, axis) if flip else view
+        return out, view
+
+    def _put(self, view: np.ndarray, lo: int, hi: int, z: int, rest: tuple[int, ...], plane: np.ndarray) -> None:
+        first = self.order[0]
+        n = self.stored[first]
+        at = slice(n - hi, n - lo) if self.flipped[first] else slice(lo, hi)
+        if first == 2:
+            if at.start <= z < at.stop:
+                view[(slice(None), slice(None), z - at.start, *rest)] = plane
+        else:
+            view[(slice(None), slice(None), z, *rest)] = plane[at] if first == 0 else plane[:, at]
+
+    def blocks(self, held: int, rest: tuple[int, ...]) -> Iterator[tuple[int, int]]:
+        """Ranges of the first canonical axis of about `held` bytes."""
+        n = self.stored[self.order[0]]
+        one = max(1, int(np.prod([self.stored[a] for a in self.order[1:]], dtype=np.int64)) * int(np.prod(rest, dtype=np.int64)) * 8)
+        step = max(1, held // one)
+        yield from ((lo, min(lo + step, n)) for lo in range(0, n, step))
+
+    def whole(self, held: int) -> Iterator[np.ndarray]:
+        """The canonical voxels in C order, in pieces."""
+        for lo, hi in self.blocks(held, self.rest):
+            out, view = self._empty(hi - lo, self.rest)
+            for z, rest, plane in self.planes():
+                self._put(view, lo, hi, z, rest, plane)
+            yield out
+
+    def volumes(self, held: int) -> Iterator[np.ndarray]:
+        """The same of each volume of a 4-D image, one after the other; small volumes in one pass over the file."""
+        ranges = list(self.blocks(held, ()))
+        for lo, hi in ranges if len(ranges) == 1 else []:
+            out, view = self._empty(hi - lo, ())
+            for z, _, plane in self.planes():
+                self._put(view, lo, hi, z, (), plane)
+                if z == self.stored[2] - 1:
+                    yield out
+        for t in range(self.rest[0]) if len(ranges) > 1 else ():
+            for lo, hi in ranges:
+                out, view = self._empty(hi - lo, ())
+                for z, (own,), plane in self.planes():
+                    if own > t:
+                        break
+                    if own == t:
+                        self._put(view, lo, hi, z, (), plane)
+                yield out
+
+
+def inspect_file(path: str, held: int = HELD_BYTES) -> dict:
+    """What `inspect` gives, of a file of any size: about 2 * held bytes of its voxels are in memory at a time.
+
+    A file is read once for each held bytes of its values (as 8 bytes each) and hash.
+    """
+    with _opened(path) as f:
+        head = f.read(HEADER_BYTES + 4)
+        begin = described(head)[1]
+        if begin > MOST_HEAD:
+            raise ValueError(f"voxels begin at {begin}")
+        head += f.read(max(0, begin - len(head)))
+    image, offset = described(head)
+    pieces = _Pieces(path, image, offset)
+    like, affine = canonical(np.broadcast_to(np.zeros((), pieces.dtype), image.voxels.shape), image.affine)
+    can, value = hashlib.sha256(), hashlib.sha256(repr(like.shape[:3] if like.ndim == 4 and like.shape[3] == 1 else like.shape).encode())
+    empty = not np.prod(like.shape)
+    for part in () if empty else pieces.volumes(held) if like.ndim == 4 else pieces.whole(held):
+        can.update(np.ascontiguousarray(part, "<f4").tobytes())
+    for part in () if empty else pieces.whole(held):
+        plain = np.ascontiguousarray(part, "<f8") + 0.0
+        plain[np.isnan(plain)] = np.nan
+        value.update(plain.tobytes())
+    return {"can_hash": can.hexdigest(), "value_hash": value.hexdigest()} | _facts(image, like, affine)
+
+
+#: How files too large for memory are inspected (see operators.files).
+inspect.in_pieces = inspect_file
+
+
 def build(values: np.ndarray, affine: np.ndarray | None = None, zooms: tuple[float, ...] | None = None, slope: float = 0.0, inter: float = 0.0, description: bytes = b"", extensions: tuple[tuple[int, bytes], ...] = ()) -> bytes:
     """The bytes of a small NIfTI-1 file; the affine becomes the sform."""
     kind = next(c for c, name in DTYPES.items() if np.dtype(name) == values.dtype.newbyteorder("="))

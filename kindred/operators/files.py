@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 
 #: Bytes read at a time where only the raw hash is wanted.
 CHUNK_BYTES = 4 << 20
+#: Files beyond that are decoded in pieces, if the decoder can (its attribute in_pieces, from a path to facts).
+LARGE_BYTES = 32 << 20
 #: Facts that a decoder gives, with their types; a decoder may leave some out.
 DECODED = {
     "can_hash": "string", "value_hash": "string", "shape": "array<int>", "dtype": "string", "zooms": "array<double>", "axcodes_original": "string", "axcodes_canonical": "string", "slope": "double", "inter": "double",
@@ -35,18 +37,23 @@ def read_facts(path: str, inspect: Callable[[bytes], dict] | None = None) -> dic
         stat = os.stat(path)
         out |= {"n_bytes": stat.st_size, "mtime": _moment(stat.st_mtime), "ctime": _moment(stat.st_ctime)}
         with open(path, "rb") as f:
-            if inspect is None:
+            pieces = getattr(inspect, "in_pieces", None) if stat.st_size > LARGE_BYTES else None
+            if inspect is None or pieces:
                 digest = hashlib.sha256()
                 while chunk := f.read(CHUNK_BYTES):
                     digest.update(chunk)
-                out["raw_hash"] = out["can_hash"] = digest.hexdigest()
-                return out
-            data = f.read()
+                out["raw_hash"] = digest.hexdigest()
+                if inspect is None:
+                    return out | {"can_hash": out["raw_hash"]}
+            else:
+                data = f.read()
     except OSError as e:
         reason = "MISSING" if isinstance(e, FileNotFoundError) else "PERMISSION" if isinstance(e, PermissionError) else f"ERROR:{type(e).__name__}"
         return out | {"raw_error": reason, "error": f"{type(e).__name__}: {e}"}
-    out["raw_hash"] = hashlib.sha256(data).hexdigest()
     try:
+        if pieces:
+            return out | pieces(path)
+        out["raw_hash"] = hashlib.sha256(data).hexdigest()
         return out | inspect(data)
     except Exception as e:  # noqa: BLE001 - the row carries it
         return out | {"error": f"{type(e).__name__}: {e}"}
