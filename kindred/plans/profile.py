@@ -20,7 +20,7 @@ COLUMNS = "run_id string, stage_order int, stage_name string, parent_stage strin
 #: What tasks took and moved, by column and name in Spark's status store, with a factor.
 TASKS = {
     "executor_cpu_s": ("executorCpuTime", 1e-9), "executor_run_s": ("executorRunTime", 1e-3), "rows_read": ("inputRecords", 1), "bytes_read": ("inputBytes", 1), "rows_written": ("outputRecords", 1),
-    "bytes_written": ("outputBytes", 1), "shuffle_rows": ("shuffleWriteRecords", 1), "shuffle_bytes": ("shuffleWriteBytes", 1), "spilled_bytes": ("diskBytesSpilled", 1), "tasks": ("numCompleteTasks", 1),
+    "bytes_written": ("outputBytes", 1), "shuffle_rows": ("shuffleWriteRecords", 1), "shuffle_bytes": ("shuffleWriteBytes", 1), "spilled_bytes": ("diskBytesSpilled", 1), "n_tasks": ("numCompleteTasks", 1),
 }
 TASK_COLUMNS = ", ".join(f"{c} {'double' if c.endswith('_s') else 'long'}" for c in TASKS)
 

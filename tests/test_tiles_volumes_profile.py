@@ -91,8 +91,8 @@ def test_numbers_of_tasks(spark, tmp_path):
     spark.range(5).count()  # outside
     got = {r.stage_name: r for r in p.stages(spark).collect()}
     assert got["write"].rows_written == 1000 and got["write"].shuffle_rows == 1000 and got["read"].rows_read == 1000 and got["read"].rows_written == 0
-    assert got["write"].executor_cpu_s > 0 and got["write"].bytes_written > 0 and got["nothing"].tasks == 0
-    for c in ("rows_read", "rows_written", "shuffle_bytes", "tasks"):
+    assert got["write"].executor_cpu_s > 0 and got["write"].bytes_written > 0 and got["nothing"].n_tasks == 0
+    for c in ("rows_read", "rows_written", "shuffle_bytes", "n_tasks"):
         assert got["whole"][c] == got["write"][c] + got["read"][c]
     assert Profiler().stages(spark).count() == 0
 
