@@ -654,3 +654,18 @@ def test_toxicity_features_of_plain_version():
         "near_you": (1 / 3 + 1 / 4 + 1 / 3) / n, "digits": 2 / n, "punctuation": 4 / n,
     }
     assert {k: round(v, 5) for k, v in got.items()} == {k: round(float(v), 5) for k, v in want.items()}
+
+
+def test_repeated_page_ids(spark):
+    """Rows that repeat an id and a payload are marked alike; one with another payload is a record of its own."""
+    rows = [(1, "http://a", "x"), (1, "http://a", "x"), (2, "http://b", "x"), (3, "http://c", "y"), (3, "http://c", "y"), (3, "http://c", "z")]
+    made = archives.convert_archives(archives.legacy_archives(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    got = sorted((r.key, r.payload_digest, r.record_type, r.refers_to_key) for r in archives.read_archives(made).collect())
+    digest = lambda t: archives.sha1_base32(t.encode())
+    want = [(1, digest("x"), "revisit", 2)] * 2 + [(2, digest("x"), "response", None)] + [(3, digest("y"), "response", None)] * 2 + [(3, digest("z"), "response", None)]
+    assert got == sorted(want, key=lambda r: (r[0], r[1]))
+
+
+def test_media_of_an_empty_table(spark):
+    found = media.media_features(media.media_column(docs(spark, [])))
+    assert found.count() == 0 and {"doc_id", "n_bytes", "times", "codes"} <= set(found.columns)
