@@ -14,6 +14,7 @@ from kindred.plans import audit, sinks
 from kindred.plans.stored import new_path, stored
 from kindred.schema import KEYS
 from kindred.sources import npy, tables
+from kindred.streaming import autosave
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -641,6 +642,28 @@ def payload_updates(spark: SparkSession, sf: str) -> DataFrame:
     return payloads.updates(_payloads(spark, sf), "doc_id", "body")
 
 
+BURSTS = """
+u as (
+  select 'p' || (user_id % 40) as path_1, 'q' as path_2, 'r' || (user_id % 3) as reviewer, ts as moment, event_id % 4 as base, event_id as revision, case event_type when 'click' then 'yes' when 'view' then 'no' else 'maybe' end as qa_status, event_type as reason
+  from events where ts is not null),
+marked as (select *, case when moment - lag(moment) over (partition by path_1, path_2, reviewer order by moment, revision) > interval 1 hour then 1 else 0 end as first from u),
+numbered as (select *, sum(first) over (partition by path_1, path_2, reviewer order by moment, revision) as burst from marked),
+"""
+
+
+@query(
+    "select path_1, path_2, reviewer, min(base) as base, max(revision) as revision, arg_max(qa_status, revision) as qa_status, arg_max(reason, revision) as reason, count(*) as n_updates, epoch_us(max(moment) + interval 1 hour) as ended from numbered group by path_1, path_2, reviewer, burst",
+    BURSTS,
+)
+def decision_bursts(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a reviewer's updates; a pause of an hour ends a burst."""
+    updates = fx.table(spark, sf, "events").selectExpr(
+        "'p' || (user_id % 40) as path_1", "'q' as path_2", "'r' || (user_id % 3) as reviewer", "ts as at", "event_id % 4 as base", "event_id as revision",
+        "case event_type when 'click' then 'yes' when 'view' then 'no' else 'maybe' end as qa_status", "event_type as reason",
+    )
+    return autosave.flushes(updates, pause="1 hour").withColumn("ended", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ended)"))
+
+
 # -- files, requests and exports ---------------------------------------------------------------
 
 
