@@ -61,3 +61,13 @@ def test_odd_rows(spark, tmp_path):
     with pytest.raises(Exception, match="in an index of 2"):
         extend_index(index, spark.createDataFrame([("z", "z", [1.0, 2.0, 3.0])], "uid string, owner string, embedding array<float>"))
     assert search(index, rows.where("false"), 3, 2).count() == 0
+
+
+def test_codes_lose_nothing_in_close_clusters(spark, tmp_path):
+    r = np.random.RandomState(4)
+    centres = r.normal(0, 1, (4, 32))
+    x = centres[r.randint(0, 4, 1200)] + r.normal(0, 0.004, (1200, 32))  # closer than 8-bit codes tell
+    rows = table(spark, x)
+    index = build_index(rows, str(tmp_path / "index"), 6)
+    asked = rows.where("cast(substr(uid, 2) as int) % 50 = 0")
+    assert pairs(search(index, asked, 10, 6, "pre")) == pairs(vectors.nearest(rows, 10, "pre", asked))
