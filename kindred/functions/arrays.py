@@ -32,6 +32,14 @@ def _bound(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def rounded(value: Column | str, digits: int) -> Column:
+    """A double rounded half away from zero as C and SQL engines do: what rounds to 0 keeps its sign,
+    which Spark's round, by way of a decimal, loses."""
+    value = F.col(value) if isinstance(value, str) else value
+    scaled = F.abs(value) * F.lit(10.0**digits)
+    return F.when(scaled < F.lit(2.0**52), F.signum(value) * F.floor(scaled + 0.5).cast("double") / F.lit(10.0**digits)).otherwise(value)
+
+
 def winsorised(values: str) -> Column:
     """winsorised_minmax of an array column (mask: its non-null entries), in the JVM."""
     ordered = F.array_sort(F.transform(F.filter(F.col(values), lambda x: x.isNotNull()), lambda x: x.cast("double")))

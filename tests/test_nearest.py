@@ -45,3 +45,13 @@ def test_few_pairs_are_computed_in_full(monkeypatch):
     monkeypatch.setattr(vectors, "NAMES", 1000)
     top = searched(np.random.RandomState(4).normal(size=(8000, 32)), str, 10, True, 500)
     assert sum(merged) < 100 * 8000 and top.seen < 8000 * 11 * 2 + 1500
+
+
+def test_rounded_keeps_the_sign_of_zero(spark):
+    import math
+
+    from kindred.functions.arrays import rounded
+
+    rows = spark.createDataFrame([(x,) for x in (-1e-7, 1e-7, -0.0, -0.125, 2.5e-5, 1e300, math.nan, None)], "x double")
+    got = [r.y for r in rows.select(rounded("x", 2).alias("y")).collect()]
+    assert [str(y) for y in got] == ["-0.0", "0.0", "-0.0", "-0.13", "0.0", "1e+300", "nan", "None"]
