@@ -11,6 +11,7 @@ from kindred.schema import KEYS
 
 META = (*KEYS, "scan_uid")
 SLOT_FIELDS = ("dataset", "subject_id", "session_id", "scan_uid", "src_path", "similarity")
+_QUERY = [f"query_{c}" for c in (*KEYS[:3], "scan_uid", "src_path")]
 
 
 def scan_pairs(neighbours: DataFrame, min_similarity: float) -> DataFrame:
@@ -45,13 +46,18 @@ def review_list(pairs: DataFrame, cap: int | None = None) -> DataFrame:
     return out if cap is None else out.where(F.col("slot") <= cap)
 
 
+def _packed(listed: DataFrame) -> DataFrame:
+    """One row per query with its candidates as an array s, in the order of their slots."""
+    fields = F.struct("slot", *[F.col(f"cand_{c}").alias(c) for c in KEYS[:3]], F.col("cand_scan_uid").alias("scan_uid"), F.col("cand_resolved_path").alias("src_path"), F.col("similarity").cast("string").alias("similarity"))
+    return listed.groupBy(*[f"query_{c}" for c in (*KEYS[:3], "scan_uid")], F.col("query_resolved_path").alias("query_src_path")).agg(F.sort_array(F.collect_list(fields)).alias("s"))
+
+
 def review_wide(listed: DataFrame, slots: int | None = None) -> DataFrame:
     """One row per query with candidate_<i>_* columns; slots: their number, else the largest found."""
     n = slots if slots is not None else (listed.agg(F.max("slot")).first()[0] or 0)
-    fields = F.struct("slot", *[F.col(f"cand_{c}").alias(c) for c in KEYS[:3]], F.col("cand_scan_uid").alias("scan_uid"), F.col("cand_resolved_path").alias("src_path"), F.col("similarity").cast("string").alias("similarity"))
-    packed = listed.groupBy(*[f"query_{c}" for c in (*KEYS[:3], "scan_uid")], F.col("query_resolved_path").alias("query_src_path")).agg(F.sort_array(F.collect_list(fields)).alias("s"))
+    packed = _packed(listed)
     at = lambda i, c: F.coalesce(F.get("s", F.lit(i))[c], F.lit("")).alias(f"candidate_{i + 1}_{c}")
-    return packed.select(*[f"query_{c}" for c in (*KEYS[:3], "scan_uid", "src_path")], F.size("s").cast("long").alias("n_candidates"), *[at(i, c) for i in range(n) for c in SLOT_FIELDS])
+    return packed.select(*_QUERY, F.size("s").cast("long").alias("n_candidates"), *[at(i, c) for i in range(n) for c in SLOT_FIELDS])
 
 
 def candidate_slots(columns: list[str]) -> list[int]:
@@ -67,11 +73,22 @@ def review_long(wide: DataFrame) -> DataFrame:
         F.struct(F.lit(i).cast("long").alias("slot"), *[(F.col(f"candidate_{i}_{f}") if f"candidate_{i}_{f}" in wide.columns else F.lit("")).cast("string").alias(f) for f in SLOT_FIELDS])
         for i in candidate_slots(wide.columns)
     ]
-    query = [f"query_{c}" for c in (*KEYS[:3], "scan_uid", "src_path")]
     if not items:
         items = [F.struct(F.lit(0).cast("long").alias("slot"), *[F.lit("").alias(f) for f in SLOT_FIELDS])]
-    out = wide.select(*query, F.explode(F.array(*items)).alias("s")).select(*query, *[F.col(f"s.{f}").alias(f if f == "slot" else f"cand_{f}") for f in ("slot", *SLOT_FIELDS)])
-    # what can't be shown lacks a dataset, subject, uid or path
+    return _shown(wide.select(*_QUERY, F.explode(F.array(*items)).alias("s")))
+
+
+def review_rows(listed: DataFrame) -> DataFrame:
+    """What review_long makes of review_wide(listed), without a column for each slot: in a wide
+    table one scan with many candidates widens every row."""
+    rows = _packed(listed).select(*_QUERY, F.posexplode("s").alias("at", "c"))
+    filled = [F.coalesce(F.col("c")[f], F.lit("")).alias(f) for f in SLOT_FIELDS]
+    return _shown(rows.select(*_QUERY, F.struct((F.col("at") + 1).cast("long").alias("slot"), *filled).alias("s")))
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    """Rows of a query and a slot s that can be shown: neither side lacks a dataset, subject, uid or path."""
+    out = rows.select(*_QUERY, *[F.col(f"s.{f}").alias(f if f == "slot" else f"cand_{f}") for f in ("slot", *SLOT_FIELDS)])
     return out.where(" and ".join(f"{s}_{c} <> ''" for s in ("query", "cand") for c in ("dataset", "subject_id", "scan_uid", "src_path"))).withColumn("cand_similarity", F.col("cand_similarity").try_cast("double"))
 
 

@@ -123,7 +123,7 @@ def run_near(spark: SparkSession, cfg: AuditConfig, embed: Callable[[DataFrame],
         sinks.write_table(pairs.review_list(spark.read.parquet(f"{out}/pairs"), cfg.max_candidates), f"{out}/review")
         wide = pairs.review_wide(spark.read.parquet(f"{out}/review"))
         sinks.write_csv(wide, f"{out}/review_candidates.csv", ("query_dataset", "query_subject_id", "query_session_id", "query_scan_uid"))
-        listed = pairs.review_long(wide)
+        listed = pairs.review_rows(spark.read.parquet(f"{out}/review"))
         sinks.write_table(pairs.checked_requests(pairs.scan_requests(listed), kept), f"{out}/scan_requests")
         sinks.write_table(pairs.pair_requests(listed), f"{out}/pair_requests")
     return {n: spark.read.parquet(f"{out}/{n}") for n in ("removed", "input", "neighbours", "pairs", "review")}
