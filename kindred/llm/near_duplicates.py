@@ -174,8 +174,13 @@ def centres_of(rest: DataFrame, round_: int) -> DataFrame:
     They are drawn by a hash from the members outside the largest component, about
     CENTRES * GROWTH ** round_ in each bucket, or all if there are no more.
     """
+    return rest.where(_drawn(round_))
+
+
+def _drawn(round_: int):
+    """Whether a member of a mixed bucket is a centre of this round; its own columns tell."""
     luck = F.pmod(F.xxhash64("id", F.lit(round_)), F.lit(1 << 30)) / float(1 << 30)
-    return rest.where((F.col("component") != F.col("main")) & (luck * F.col("outside") < float(CENTRES * GROWTH**round_)))
+    return (F.col("component") != F.col("main")) & (luck * F.col("outside") < float(CENTRES * GROWTH**round_))
 
 
 def pairs_of(rest: DataFrame, centres: DataFrame, p: NearDuplicates) -> DataFrame:
@@ -260,7 +265,7 @@ def near_duplicate_components(documents: DataFrame, p: NearDuplicates = NearDupl
         chosen = stored(centres_of(rest, round_), "chosen")
         pairs = pairs_of(rest, chosen, p).join(stars, ["x", "y"], "left_anti")
         more = stored(_links(pairs, sets, p, "cx", "cy").select("cx", "cy").distinct(), "links")
-        left = rest.join(broadcast_if_small(chosen.select("band", "id"), BROADCAST_ROWS), ["band", "id"], "left_anti")
+        left = rest.where(~_drawn(round_))
         if not more.isEmpty():
             after = _joined(merged, more)
             left = left.join(after.withColumnRenamed("component", "now"), F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("now", "component"))
