@@ -169,15 +169,20 @@ def warc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeated_passages.remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """What the contract removes, and the passages of more than 50 words that repeat, most of which are shorter than its 400 bytes."""
+    found = repeated_passages.repeats_and_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), *_said())
 
 
 def repeated_word_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of more than 50 words that repeat, whatever white space is between the words."""
     found = repeated_passages.word_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *_said())
+
+
+def _said() -> list:
     words = F.aggregate("passages", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return found.select("doc_id", F.size("passages").cast("long").alias("n_passages"), words.alias("n_passage_words"))
+    return [F.size("passages").cast("long").alias("n_passages"), words.alias("n_passage_words")]
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -413,7 +413,7 @@ def _as_lists(spans: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in spans])]).astype(np.int32)), values)
 
 
-def _kept_rows(b: pa.RecordBatch, kind: Kind, names: list[str]) -> pa.RecordBatch:
+def _kept_rows(b: pa.RecordBatch, kind: Kind, names: list[str], words: Kind | None = None) -> pa.RecordBatch:
     n_bytes, removed, kept, spans = [], [], [], _span_lists(b.column(2), kind)
     for text, own in zip(b.column(1).to_pylist(), spans, strict=True):
         data = (text or "").encode()
@@ -422,7 +422,8 @@ def _kept_rows(b: pa.RecordBatch, kind: Kind, names: list[str]) -> pa.RecordBatc
         n_bytes.append(len(data))
         removed.append(len(data) - len(rest))
         kept.append(rest)
-    return pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), _as_lists(spans), pa.array(kept, pa.binary())], names=names)
+    said = [_as_lists(_span_lists(b.column(3), words))] if words else []
+    return pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), _as_lists(spans), pa.array(kept, pa.binary()), *said], names=names)
 
 
 #: Runs of consecutive numbers in the sorted array offs.
@@ -508,9 +509,10 @@ def _with_gone(docs: DataFrame, gone: DataFrame) -> DataFrame:
 _SPANS = "array<struct<start:long,end:long>>"
 
 
-def _kept(docs: DataFrame, gone: DataFrame, kind: Kind, id_col: str) -> DataFrame:
-    names = [id_col, "n_bytes", "n_removed", "spans", "kept"]
-    out = map_batches(_with_gone(docs, gone).select("id", "text", "gone"), lambda b: _kept_rows(b, kind, names), f"`{id_col}` {docs.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, spans {_SPANS}, kept binary")
+def _kept(docs: DataFrame, gone: DataFrame, kind: Kind, id_col: str, words: Kind | None = None) -> DataFrame:
+    """words: gone has a column said too, which becomes passages."""
+    names = [id_col, "n_bytes", "n_removed", "spans", "kept", *(["passages"] if words else [])]
+    out = map_batches(_with_gone(docs, gone).select("id", "text", "gone", *(["said"] if words else [])), lambda b: _kept_rows(b, kind, names, words), f"`{id_col}` {docs.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, spans {_SPANS}, kept binary" + (f", passages {_SPANS}" if words else ""))
     out._reads = [gone]
     return out
 
@@ -542,6 +544,17 @@ def word_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     return out
 
 
+@scratched
+def repeats_and_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, passage: int = PASSAGE, passage_gram: int = PASSAGE_GRAM) -> DataFrame:
+    """The columns of `remove_repeats`, then passages as `word_passages` has them; texts meet what was found once."""
+    kind, words, docs = Kind(False, length, gram), Kind(True, passage, passage_gram), _texts(documents, id_col, text_col)
+    gone, said = (_gone(stored(_anchored(docs, k), "anchors"), docs, k) for k in (kind, words))
+    none = F.lit(None).cast(gone.schema["gone"].dataType)
+    both = gone.withColumn("said", none).unionByName(said.select("wid", "wh", none.alias("gone"), F.col("gone").alias("said")))
+    both = stored(both.groupBy("wid", "wh").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("gone", "said")]), "gone")
+    return _kept(docs, both, kind, id_col, words)
+
+
 @dataclass(frozen=True)
 class Level:
     """Documents of earlier batches: id, text and h, and their anchors, sorted by g."""

@@ -228,6 +228,24 @@ def check_repeats(spark, texts):
         assert (x.n_bytes, x.n_removed, len(x.spans), bytes(x.kept), sum(p.end - p.start for p in words[i].passages)) == want, i
 
 
+def test_passages_shorter_than_a_string_are_reported_beside_what_is_removed(spark, tmp_path):
+    r = random.Random(4)
+    words = lambda n: [f"{r.randrange(10**4):04d}" for _ in range(n)]
+    shared = words(60)  # 299 bytes
+    texts = [" ".join([*words(20), *shared, *words(15)]), "\n".join([*words(3), *shared]), " ".join(words(90)), "short", None, " ".join(shared[:50])]
+    docs(spark, texts).unionByName(docs(spark, texts[:1]).withColumn("doc_id", F.lit(None).cast("long"))).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in registry.QUERIES["op7_repeated_passages"](spark, str(tmp_path)).collect()}
+    assert [(got[i].n_passages, got[i].n_passage_words) for i in range(len(texts))] == [(1, 95), (1, 60), (0, 0), (0, 0), (0, 0), (0, 0)]
+    assert (got[None].n_passages, got[None].n_passage_words, got[None].n_removed) == (1, 95, 474) and len(got) == len(texts) + 1
+    assert [got[i].n_removed for i in range(len(texts))] == [474, 0, 0, 0, 0, 0]
+    both = repeated_passages.repeats_and_passages(docs(spark, texts), length=100, gram=32, passage=12, passage_gram=4).collect()
+    plain = {x.doc_id: x for x in repeated_passages.remove_repeats(docs(spark, texts), length=100, gram=32).collect()}
+    said = {x.doc_id: x.passages for x in repeated_passages.word_passages(docs(spark, texts), passage=12, gram=4).collect()}
+    for x in both:
+        assert (x.n_bytes, x.n_removed, x.spans, x.kept) == tuple(plain[x.doc_id])[1:] and x.passages == said[x.doc_id]
+    assert any(x.passages for x in both) and any(x.spans for x in both)
+
+
 @pytest.mark.parametrize("crowd", [2000, 1])
 def test_repeated_passages(spark, monkeypatch, crowd):
     monkeypatch.setattr(repeated_passages, "CROWD", crowd)
